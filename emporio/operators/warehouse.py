@@ -128,12 +128,12 @@ def measures(items: DataFrame) -> DataFrame:
                              .cast("decimal(13,2)")))
 
 
-def shipping_ratio(fact: DataFrame) -> DataFrame:
-    """Freight share of the item total, 4 decimals; NULL when the total is 0."""
-    return fact.withColumn(
-        "shipping_ratio",
-        F.round(F.try_divide(F.col("freight_value"), F.col("price") + F.col("freight_value")), 4)
-        .cast("double"))
+def shipping_ratio(fact: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Freight share of the item total (rounded to ``digits``); NULL when the total is 0."""
+    total = F.col("price") + F.col("freight_value")
+    r = F.when(total == 0, F.lit(None).cast("double")) \
+         .otherwise(F.col("freight_value").cast("double") / total.cast("double"))
+    return fact.withColumn("shipping_ratio", r if digits is None else F.round(r, digits))
 
 
 # --- B15 -----------------------------------------------------------------------------

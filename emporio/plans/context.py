@@ -37,6 +37,7 @@ class Context:
         self.materialize = materialize
         self._enriched = None
         self._orders = None
+        self._keyed = None
 
     # --- construction -----------------------------------------------------------
     @staticmethod
@@ -69,6 +70,13 @@ class Context:
             self._enriched = self._store(wh.enriched_fact(self.src, self.params), "enriched_fact")
         return self._enriched
 
+    @property
+    def keyed_dims(self) -> dict[str, DataFrame]:
+        """Dimensions with dense surrogate keys (B6), pinned by checkpoints."""
+        if self._keyed is None:
+            self._keyed = wh.keyed_dimensions(self.src)
+        return self._keyed
+
     @property
     def fact(self) -> DataFrame:
         """Denormalised fact (B13): attributes defaulted to 'unknown'."""

@@ -35,21 +35,43 @@ places AS (
 src_items AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber AS order_item_id,
          CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_suppkey AS VARCHAR) AS seller_id,
+         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS shipping_limit_date,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
          CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(14,4)) AS freight_value
   FROM lineitem),
 src_orders AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id,
          {_case('o_orderstatus', ORDER_STATUS, 'unavailable')} AS order_status,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_approved_at,
+         CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S') END
+           AS order_delivered_carrier_date,
+         CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%d %H:%M:%S') END
+           AS order_delivered_customer_date,
+         strftime(o_orderdate + INTERVAL 21 DAY, '%Y-%m-%d %H:%M:%S') AS order_estimated_delivery_date,
          o_orderdate AS purchase_ts, o_orderdate + INTERVAL 21 DAY AS estimated_ts
   FROM orders),
 src_customers AS (
-  SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(c_custkey AS VARCHAR) AS customer_unique_id,
-         c_nationkey AS zip
-  FROM customer),
+  SELECT CAST(c.c_custkey AS VARCHAR) AS customer_id, CAST(c.c_custkey AS VARCHAR) AS customer_unique_id,
+         c.c_nationkey AS zip, c.c_nationkey AS customer_zip_code_prefix, p.city AS customer_city,
+         p.state AS customer_state
+  FROM customer c LEFT JOIN places p ON c.c_nationkey = p.nk),
+src_sellers AS (
+  SELECT CAST(s.s_suppkey AS VARCHAR) AS seller_id, s.s_nationkey AS seller_zip_code_prefix,
+         p.city AS seller_city, p.state AS seller_state
+  FROM supplier s LEFT JOIN places p ON s.s_nationkey = p.nk),
+src_products AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_type AS product_category_name,
+         CAST(length(p_name) AS INTEGER) AS product_name_lenght,
+         CAST(length(p_brand) * 10 AS INTEGER) AS product_description_lenght,
+         p_size % 4 + 1 AS product_photos_qty, p_size * 100 AS product_weight_g,
+         p_size AS product_length_cm, p_size % 7 + 1 AS product_height_cm, p_size % 5 + 1 AS product_width_cm
+  FROM part),
 src_geo AS (
   SELECT c.c_nationkey AS zip, -20.0 + c.c_acctbal / 1000.0 AS lat, -45.0 - c.c_acctbal / 2000.0 AS lng,
-         p.city, p.state
+         p.city, p.state, c.c_nationkey AS geolocation_zip_code_prefix,
+         -20.0 + c.c_acctbal / 1000.0 AS geolocation_lat, -45.0 - c.c_acctbal / 2000.0 AS geolocation_lng,
+         p.city AS geolocation_city, p.state AS geolocation_state
   FROM customer c LEFT JOIN places p ON c.c_nationkey = p.nk
   WHERE c.c_nationkey <> {MISSING_GEO_NATION}),
 src_payments AS (
@@ -61,7 +83,10 @@ src_payments AS (
 src_reviews AS (
   SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS review_id,
          CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber % 5 + 1 AS review_score,
-         CASE WHEN l_returnflag <> 'N' THEN 'status ' || l_linestatus END AS review_comment_message
+         CAST(NULL AS VARCHAR) AS review_comment_title,
+         CASE WHEN l_returnflag <> 'N' THEN 'status ' || l_linestatus END AS review_comment_message,
+         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS review_creation_date,
+         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS review_answer_timestamp
   FROM lineitem),
 categories AS (
   SELECT * FROM (VALUES {_values(CATEGORY_MAP)}) t(product_category_name, product_category_name_english)),
@@ -105,8 +130,8 @@ enriched AS (
          x.customer_unique_id, g.segment, x.customer_state_code AS state_code,
          x.customer_city_name AS customer_city, p.product_category_name_english,
          s.seller_city_name AS seller_city, s.seller_state_code AS seller_state,
-         strftime(x.purchase_ts, '%Y-%m') AS month_year, year(x.purchase_ts) AS year_number,
-         month(x.purchase_ts) AS month_number
+         strftime(x.purchase_ts, '%Y-%m') AS month_year, CAST(year(x.purchase_ts) AS INTEGER) AS year_number,
+         CAST(month(x.purchase_ts) AS INTEGER) AS month_number
   FROM ioc x
   LEFT JOIN dim_product p ON x.product_id = p.product_id
   LEFT JOIN dim_seller s ON x.seller_id = s.seller_id

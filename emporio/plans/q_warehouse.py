@@ -1 +1,215 @@
-"""Registrations."""
+"""A and B registrations: sources, dimensions, keys, fact."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import warehouse as W
+from .registry import register, source_sql, sql
+
+GEO_KEYED = """geo_k AS (SELECT row_number() OVER (ORDER BY zip_code_prefix) AS geography_key, *
+                          FROM dim_geography)"""
+
+
+# --- A1 / A2: the sources themselves -------------------------------------------------
+@register("a2_load_all_sources", sql("""
+SELECT 'customers' AS source, count(*) AS row_count FROM src_customers
+UNION ALL SELECT 'orders', count(*) FROM src_orders
+UNION ALL SELECT 'order_items', count(*) FROM src_items
+UNION ALL SELECT 'products', count(*) FROM src_products
+UNION ALL SELECT 'sellers', count(*) FROM src_sellers
+UNION ALL SELECT 'payments', count(*) FROM src_payments
+UNION ALL SELECT 'reviews', count(*) FROM src_reviews
+UNION ALL SELECT 'geolocation', count(*) FROM src_geo
+UNION ALL SELECT 'categories', count(*) FROM categories"""))
+def a2(ctx):
+    from functools import reduce
+    parts = [df.agg(F.count(F.lit(1)).cast("long").alias("row_count")).select(F.lit(n).alias("source"), "row_count")
+             for n, df in ctx.src.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("a1_order_items_source", sql(f"SELECT * FROM {source_sql('order_items')} t"))
+def a1(ctx):
+    return ctx.src["order_items"]
+
+
+@register("a1_orders_source", sql(f"SELECT * FROM {source_sql('orders')} t"))
+def a1o(ctx):
+    return ctx.src["orders"]
+
+
+# --- B1-B5 ---------------------------------------------------------------------------
+@register("b1_dim_geography", sql("""
+SELECT zip_code_prefix, city_name, state_code, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
+FROM dim_geography"""))
+def b1(ctx):
+    g = W.dim_geography(ctx.src["geolocation"])
+    return g.withColumn("latitude", F.round("latitude", 6)).withColumn("longitude", F.round("longitude", 6))
+
+
+@register("b2_dim_customer", sql("""
+SELECT row_number() OVER (ORDER BY c.customer_id) AS customer_key, c.customer_id, c.customer_unique_id,
+       g.geography_key
+FROM src_customers c LEFT JOIN geo_k g ON c.zip = g.zip_code_prefix""", GEO_KEYED))
+def b2(ctx):
+    return ctx.keyed_dims["dim_customer"]
+
+
+@register("b3_dim_seller", sql("""
+SELECT row_number() OVER (ORDER BY s.seller_id) AS seller_key, s.seller_id, g.geography_key
+FROM src_sellers s LEFT JOIN geo_k g ON s.seller_zip_code_prefix = g.zip_code_prefix""", GEO_KEYED))
+def b3(ctx):
+    return ctx.keyed_dims["dim_seller"]
+
+
+@register("b4_dim_product", sql("""
+SELECT row_number() OVER (ORDER BY p.product_id) AS product_key, p.product_id, p.product_category_name,
+       c.product_category_name_english, p.product_name_lenght AS product_name_length,
+       p.product_description_lenght AS product_description_length, p.product_photos_qty,
+       p.product_weight_g, p.product_length_cm, p.product_height_cm, p.product_width_cm,
+       p.product_length_cm * p.product_height_cm * p.product_width_cm AS product_volume_cm3
+FROM src_products p LEFT JOIN categories c ON p.product_category_name = c.product_category_name"""))
+def b4(ctx):
+    return ctx.keyed_dims["dim_product"]
+
+
+@register("b5_dim_date", sql("""
+SELECT full_date, CAST(strftime(full_date, '%Y%m%d') AS INTEGER) AS date_key,
+       CAST(day(full_date) AS INTEGER) AS day_number, strftime(full_date, '%A') AS day_name,
+       CAST(weekofyear(full_date) AS INTEGER) AS week_number, CAST(month(full_date) AS INTEGER) AS month_number,
+       strftime(full_date, '%B') AS month_name, strftime(full_date, '%b') AS month_short_name,
+       strftime(full_date, '%Y-%m') AS month_year, CAST(quarter(full_date) AS INTEGER) AS quarter_number,
+       'Q' || CAST(quarter(full_date) AS VARCHAR) AS quarter_name,
+       CAST(year(full_date) AS VARCHAR) || 'Q' || CAST(quarter(full_date) AS VARCHAR) AS quarter_label,
+       CAST(year(full_date) AS INTEGER) AS year_number, CAST(dayofyear(full_date) AS INTEGER) AS day_of_year,
+       dayofweek(full_date) IN (0, 6) AS is_weekend, day(full_date) = 1 AS is_month_start,
+       month(full_date) <> month(full_date + INTERVAL 1 DAY) AS is_month_end
+FROM (SELECT CAST(unnest(generate_series(CAST(min(purchase_ts) AS DATE), CAST(max(estimated_ts) AS DATE),
+                                          INTERVAL 1 DAY)) AS DATE) AS full_date
+      FROM src_orders) d"""))
+def b5(ctx):
+    return ctx.keyed_dims["dim_date"]
+
+
+@register("b6_keyed_dimensions", sql("""
+SELECT 'dim_geography' AS dimension, count(*) AS row_count, count(*) AS distinct_keys, CAST(1 AS BIGINT) AS min_key,
+       count(*) AS max_key FROM dim_geography
+UNION ALL SELECT 'dim_customer', count(*), count(*), 1, count(*) FROM src_customers
+UNION ALL SELECT 'dim_seller', count(*), count(*), 1, count(*) FROM src_sellers
+UNION ALL SELECT 'dim_product', count(*), count(*), 1, count(*) FROM src_products"""))
+def b6(ctx):
+    from functools import reduce
+    keys = {"dim_geography": "geography_key", "dim_customer": "customer_key",
+            "dim_seller": "seller_key", "dim_product": "product_key"}
+    parts = [ctx.keyed_dims[d].agg(F.count(F.lit(1)).cast("long").alias("row_count"),
+                                   F.countDistinct(k).cast("long").alias("distinct_keys"),
+                                   F.min(k).cast("long").alias("min_key"), F.max(k).cast("long").alias("max_key"))
+             .select(F.lit(d).alias("dimension"), "row_count", "distinct_keys", "min_key", "max_key")
+             for d, k in keys.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# --- B7 / B8 -------------------------------------------------------------------------
+@register("b7_aggregate_payments", sql("""
+SELECT order_id, CAST(round(sum(payment_value), 2) AS DOUBLE) AS payment_total,
+       max(payment_installments) AS payment_installments_max,
+       first(payment_type ORDER BY payment_sequential, payment_type, payment_installments, payment_value)
+         AS primary_payment_type,
+       count(payment_sequential) AS payment_count
+FROM src_payments GROUP BY order_id"""))
+def b7(ctx):
+    return W.aggregate_payments(ctx.src["payments"]).withColumn("payment_total", F.col("payment_total").cast("double"))
+
+
+@register("b8_aggregate_reviews", sql("""
+SELECT order_id, round(avg(review_score), 2) AS review_score_avg,
+       count(review_comment_message) AS review_comment_count
+FROM src_reviews GROUP BY order_id"""))
+def b8(ctx):
+    return W.aggregate_reviews(ctx.src["reviews"])
+
+
+# --- B9-B11, B14 -----------------------------------------------------------------------
+FACT_KEYED_SQL = """
+SELECT i.order_id, i.order_item_id, c.customer_key, p.product_key, s.seller_key,
+       CAST(strftime(o.purchase_ts, '%Y%m%d') AS INTEGER) AS purchase_date_key,
+       i.quantity, i.price, i.freight_value, CAST(i.price + i.freight_value AS DECIMAL(13,2)) AS total_sales_amount
+FROM items i JOIN src_orders o ON i.order_id = o.order_id
+LEFT JOIN (SELECT customer_id, row_number() OVER (ORDER BY customer_id) AS customer_key FROM src_customers) c
+  ON o.customer_id = c.customer_id
+LEFT JOIN (SELECT seller_id, row_number() OVER (ORDER BY seller_id) AS seller_key FROM src_sellers) s
+  ON i.seller_id = s.seller_id
+LEFT JOIN (SELECT product_id, row_number() OVER (ORDER BY product_id) AS product_key FROM src_products) p
+  ON i.product_id = p.product_id"""
+
+
+def _fact_sales(ctx):
+    if getattr(ctx, "_fact_sales", None) is None:
+        ctx._fact_sales = ctx._store(W.fact_sales(ctx.src, ctx.keyed_dims), "fact_sales")
+    return ctx._fact_sales
+
+
+@register("b11_fact_sales", sql(FACT_KEYED_SQL))
+def b11(ctx):
+    f = _fact_sales(ctx)
+    return f.drop("sales_key", "etl_created_at", "etl_updated_at")
+
+
+@register("b9_key_lookups", sql(f"""
+SELECT count(*) AS fact_rows, count(*) FILTER (WHERE customer_key IS NULL) AS missing_customer_key,
+       count(*) FILTER (WHERE product_key IS NULL) AS missing_product_key,
+       count(*) FILTER (WHERE seller_key IS NULL) AS missing_seller_key,
+       count(*) FILTER (WHERE purchase_date_key IS NULL) AS missing_purchase_date_key
+FROM ({FACT_KEYED_SQL}) f"""))
+def b9(ctx):
+    f = _fact_sales(ctx)
+    return f.agg(F.count(F.lit(1)).cast("long").alias("fact_rows"),
+                 *[F.count_if(F.col(k).isNull()).cast("long").alias(f"missing_{k}")
+                   for k in ("customer_key", "product_key", "seller_key", "purchase_date_key")])
+
+
+@register("b10_measures", sql("""
+SELECT count(*) AS items, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(price) AS DOUBLE) AS price,
+       CAST(sum(freight_value) AS DOUBLE) AS freight_value,
+       CAST(sum(i.price + i.freight_value) AS DOUBLE) AS total_sales_amount
+FROM items i"""))
+def b10(ctx):
+    m = W.measures(ctx.src["order_items"])
+    return m.agg(F.count(F.lit(1)).cast("long").alias("items"), F.sum("quantity").cast("long").alias("quantity"),
+                 F.sum("price").cast("double").alias("price"),
+                 F.sum("freight_value").cast("double").alias("freight_value"),
+                 F.sum("total_sales_amount").cast("double").alias("total_sales_amount"))
+
+
+@register("b14_audit_columns", sql("""
+SELECT count(*) AS fact_rows, count(*) AS stamped_rows, count(*) AS distinct_sales_keys FROM items i
+JOIN src_orders o ON i.order_id = o.order_id"""))
+def b14(ctx):
+    f = _fact_sales(ctx)
+    return f.agg(F.count(F.lit(1)).cast("long").alias("fact_rows"),
+                 F.count_if(F.col("etl_created_at").isNotNull() & F.col("etl_updated_at").isNotNull())
+                 .cast("long").alias("stamped_rows"),
+                 F.countDistinct("sales_key").cast("long").alias("distinct_sales_keys"))
+
+
+# --- B12 / B13 / B15 ---------------------------------------------------------------------
+@register("b12_shipping_ratio", sql("""
+SELECT order_id, order_item_id,
+       CASE WHEN price + freight_value = 0 THEN NULL
+            ELSE CAST(freight_value AS DOUBLE) / CAST(price + freight_value AS DOUBLE) END AS shipping_ratio
+FROM fact"""))
+def b12(ctx):
+    return W.shipping_ratio(ctx.fact, digits=None).select("order_id", "order_item_id", "shipping_ratio")
+
+
+@register("b13_denormalized_fact_build", sql("SELECT * FROM fact"))
+def b13(ctx):
+    return ctx.fact
+
+
+@register("b15_rule_segments", sql("SELECT customer_unique_id, segment FROM segs"))
+def b15(ctx):
+    io = W.items_with_orders(ctx.src).join(
+        W.dim_customer(ctx.src["customers"], W.dim_geography(ctx.src["geolocation"])), "customer_id", "left")
+    return W.rule_segments(io.where(F.col("customer_unique_id").isNotNull()), ctx.params)

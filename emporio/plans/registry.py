@@ -80,3 +80,13 @@ def orders_sql(s: Slice) -> str:
                 sum(total_sales_amount) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity,
                 sum(freight_value) AS freight
          FROM fact WHERE {s.sql()} GROUP BY order_id)"""
+
+
+# source name -> (oracle CTE, column list); the Spark sources have exactly these columns
+def source_sql(name: str) -> str:
+    from ..sources.schemas import SOURCES
+    cte = {"customers": "src_customers", "orders": "src_orders", "order_items": "src_items",
+           "products": "src_products", "sellers": "src_sellers", "payments": "src_payments",
+           "reviews": "src_reviews", "geolocation": "src_geo", "categories": "categories"}[name]
+    cols = ", ".join(f.name for f in SOURCES[name].fields)
+    return f"(SELECT {cols} FROM {cte})"
