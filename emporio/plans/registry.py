@@ -62,7 +62,7 @@ def oracle_sql(sf: float = ORACLE_SF) -> dict[str, str]:
 
 def _load_all():
     # importing the modules registers their queries
-    from . import (q_dashboard, q_insights, q_profiling, q_quality, q_reporting,  # noqa: F401
+    from . import (q_dashboard, q_insights, q_quality, q_reporting,  # noqa: F401
                    q_segmentation, q_timeseries, q_warehouse)
 
 
