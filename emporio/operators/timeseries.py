@@ -288,7 +288,7 @@ def regression_metrics(preds: DataFrame, by: list[str] | None = None) -> DataFra
              .agg(F.count(F.lit(1)).cast("long").alias("n"),
                   F.avg(F.abs(err)).alias("mae"),
                   F.sqrt(F.avg(err * err)).alias("rmse"),
-                  (F.lit(1.0) - F.sum(err * err) / F.sum("_dev2")).alias("r2"),
+                  (F.lit(1.0) - F.try_divide(F.sum(err * err), F.sum("_dev2"))).alias("r2"),
                   (F.avg(F.when(F.col("y") != 0, F.abs(err / F.col("y")))) * 100.0).alias("mape")))
 
 
