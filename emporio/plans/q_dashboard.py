@@ -225,3 +225,35 @@ _variants("f25_cube_slice", lambda ctx, s: R.cube_slice(ctx.fact, s), lambda s,
 SELECT CAST(sum(total_sales_amount) AS DOUBLE) AS total_revenue, count(DISTINCT order_id) AS total_orders,
        count(DISTINCT customer_unique_id) AS total_customers, CAST(sum(quantity) AS BIGINT) AS total_items_sold
 FROM fact WHERE {s.sql()}""", ("all", "state_segment", "category_month"))
+
+
+# --- F1 / F2 --------------------------------------------------------------------------------------
+@register("f1_slice_filter", lambda p: with_base(f"SELECT * FROM fact WHERE {ORDER_SLICE.sql()}", p))
+def f1(ctx):
+    return ORDER_SLICE.apply(ctx.fact)
+
+
+_ROUTED = {"all": ALL, "state_segment": ORDER_SLICE, "category_month": ITEM_SLICE, "seller": SELLER_SLICE}
+
+
+def _f2_sql(p):
+    parts = []
+    for tag, s in _ROUTED.items():
+        src = "order_table" if set(s.active()) <= {"month", "state", "segment"} else "item_fact"
+        parts.append(f"""SELECT '{tag}' AS slice, '{src}' AS source, count(*) AS orders,
+                          CAST(sum(revenue) AS DOUBLE) AS revenue FROM {orders_sql(s)} o""")
+    return with_base(" UNION ALL ".join(parts), p)
+
+
+@register("f2_summary_routing", _f2_sql)
+def f2(ctx):
+    from functools import reduce
+    from pyspark.sql import functions as F
+    parts = []
+    for tag, s in _ROUTED.items():
+        src = "order_table" if D.uses_order_table(s) else "item_fact"
+        o = D.order_source(ctx, s)
+        parts.append(o.agg(F.count(F.lit(1)).cast("long").alias("orders"),
+                           F.sum("revenue").cast("double").alias("revenue"))
+                      .select(F.lit(tag).alias("slice"), F.lit(src).alias("source"), "orders", "revenue"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

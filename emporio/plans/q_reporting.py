@@ -208,3 +208,29 @@ FROM (SELECT count(DISTINCT customer_unique_id) AS fact_customers, count(DISTINC
      (SELECT count(*) AS order_rows FROM orders_g) o"""))
 def e20(ctx):
     return R.staleness(ctx.fact, R.filter_customer_orders(ctx.fact), ctx.orders)
+
+
+# --- A7: a page of a report table -------------------------------------------------------
+@register("a7_paged_report", sql("""
+SELECT * FROM (
+SELECT year_number, month_number, month_year AS order_month,
+       CAST(sum(total_sales_amount) AS DOUBLE) AS total_revenue,
+       count(DISTINCT order_id) AS total_orders,
+       count(DISTINCT customer_unique_id) AS total_customers,
+       CASE WHEN count(DISTINCT order_id) > 0
+            THEN CAST(sum(total_sales_amount) AS DOUBLE) / count(DISTINCT order_id) ELSE 0 END
+         AS average_order_value
+FROM fact GROUP BY year_number, month_number, month_year) t
+ORDER BY order_month LIMIT 20 OFFSET 20"""))
+def a7(ctx):
+    from ..sources.sinks import paged_report
+    rows, _ = paged_report(R.sales_summary(ctx.fact), "reporting_sales_summary", page=2, page_size=20)
+    return rows
+
+
+@register("a7_paged_report_total", sql("""
+SELECT count(*) AS total_rows FROM (SELECT DISTINCT month_year FROM fact) t"""))
+def a7t(ctx):
+    from ..sources.sinks import paged_report
+    _, total = paged_report(R.sales_summary(ctx.fact), "reporting_sales_summary", page=2, page_size=20)
+    return total
