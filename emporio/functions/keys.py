@@ -10,6 +10,7 @@ partition, so its size is bounded by the partition count).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,11 @@ from ..session import ensure_checkpoint_dir
 def with_dense_key(df: DataFrame, order_cols: list[str | Column], key: str) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     cols = df.columns
-    fixed = df.orderBy(*order_cols).checkpoint(eager=True)
+    # persisted first: an eager checkpoint otherwise computes the sort twice
+    # (once for its count, once more to write the checkpoint files)
+    ordered = df.orderBy(*order_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    fixed = ordered.checkpoint(eager=True)
+    ordered.unpersist()
     tagged = fixed.select("*", F.spark_partition_id().alias("_pid"),
                           F.monotonically_increasing_id().alias("_mid"))
     per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))

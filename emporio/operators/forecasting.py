@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -190,5 +191,7 @@ def recursive_forecast(ts: DataFrame, model, cols: list[str], horizon: int = T.F
                      .withColumn("daily_revenue", F.greatest(F.col("_pred"), F.lit(0.0))).drop("_pred"))
         hist = hist.unionByName(filled.select(*hist.columns))
         if step % checkpoint_every == 0:
-            hist = hist.checkpoint(eager=True)
+            kept = hist.persist(StorageLevel.MEMORY_AND_DISK)
+            hist = kept.checkpoint(eager=True)
+            kept.unpersist()
     return hist.where("is_forecast").select("series_key", "order_date", F.col("daily_revenue").alias("pred"))

@@ -192,8 +192,32 @@ def ewm_mean(col: str, span: int) -> Column:
     return folded
 
 
-def ewm_features(df: DataFrame, windows=ROLLING_WINDOWS) -> DataFrame:
-    return df.withColumns({f"log_rev_roll_ema_{w}": ewm_mean("log_daily_revenue", w) for w in windows})
+def _ewm_frame(pdf, windows, col):
+    """pandas side of ``ewm_features``: one series, sorted by day."""
+    pdf = pdf.sort_values("order_date")
+    prev = pdf[col].shift(1)
+    out = pdf[["series_key", "order_date"]].copy()
+    for w in windows:
+        out[f"log_rev_roll_ema_{w}"] = prev.ewm(span=w, adjust=True).mean()
+    return out
+
+
+def ewm_features(df: DataFrame, windows=ROLLING_WINDOWS, method: str = "pandas",
+                 col: str = "log_daily_revenue") -> DataFrame:
+    """H11 for every span.
+
+    ``method="pandas"``: one ``applyInPandas`` call per series (Arrow batch of the
+    series' days, O(days)) -- a series is bounded by the calendar, not the data.
+    ``method="fold"``: the built-in ``collect_list`` + ``aggregate`` definition
+    (O(days^2)); both give the same numbers (tests/test_functions.py).
+    """
+    if method == "fold":
+        return df.withColumns({f"log_rev_roll_ema_{w}": ewm_mean(col, w) for w in windows})
+    schema = "series_key string, order_date date, " + ", ".join(f"log_rev_roll_ema_{w} double" for w in windows)
+    ws = list(windows)
+    ema = (df.select("series_key", "order_date", col).groupBy("series_key")
+             .applyInPandas(lambda pdf: _ewm_frame(pdf, ws, col), schema))
+    return df.join(ema, ["series_key", "order_date"], "left")
 
 
 def prev_day_drivers(df: DataFrame) -> DataFrame:
