@@ -31,14 +31,15 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], group: str | No
     if group:
         bounds = ranked.groupBy(group).agg(F.min("_r").alias("_lo"), F.count(F.lit(1)).alias("_n"))
         ranked = ranked.join(bounds, group).withColumn("_i", F.col("_r") - F.col("_lo"))
+        base = bounds.select(group, "_n")                                   # one row per group
     else:
-        n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.crossJoin(n).withColumn("_i", F.col("_r") - 1)   # n: one row
-    ps = spark.createDataFrame([(float(p),) for p in probs], "p double")
+        n = ranked.agg(F.count(F.lit(1))).scalar()                          # scalar subquery
+        ranked = ranked.withColumn("_n", n).withColumn("_i", F.col("_r") - 1)
+        base = spark.range(1).select(n.alias("_n"))
     # one row per (group, p): positions of the two neighbours
-    pos = ranked.select(*keys, "_n").distinct().crossJoin(F.broadcast(ps)) \
-        .withColumn("_h", F.col("p") * (F.col("_n") - 1)) \
-        .withColumn("_f", F.floor("_h")).withColumn("_c", F.ceil("_h"))
+    pos = (base.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+               .withColumn("_h", F.col("p") * (F.col("_n") - 1))
+               .withColumn("_f", F.floor("_h")).withColumn("_c", F.ceil("_h")))
     lo = ranked.select(*keys, F.col("_i").alias("_f"), F.col("_v").alias("_vf"))
     hi = ranked.select(*keys, F.col("_i").alias("_c"), F.col("_v").alias("_vc"))
     out = (pos.join(lo, [*keys, "_f"]).join(hi, [*keys, "_c"])

@@ -92,10 +92,8 @@ def with_share(df: DataFrame, total: DataFrame | None = None, value: str = "tota
     if total is None:
         tot = F.sum(value).over(Window.partitionBy())   # bounded frame (groups of a dimension)
         return df.withColumn(name, F.when(tot > 0, F.col(value) / tot * 100.0).otherwise(F.lit(0.0)))
-    t = total.select(F.col(total.columns[0]).alias("_total"))
-    return (df.crossJoin(t)   # one-row total
-              .withColumn(name, F.when(F.col("_total") > 0, F.col(value) / F.col("_total") * 100.0)
-                          .otherwise(F.lit(0.0))).drop("_total"))
+    t = total.select(F.col(total.columns[0])).scalar()     # one-row total as a scalar subquery
+    return df.withColumn(name, F.when(t > 0, F.col(value) / t * 100.0).otherwise(F.lit(0.0)))
 
 
 def bottom_n(df: DataFrame, key: str, n: int = 5, min_groups: int = 10, value: str = "total_revenue") -> DataFrame:

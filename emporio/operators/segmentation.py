@@ -87,24 +87,24 @@ def quintile_edges(df: DataFrame, col: str) -> DataFrame:
                    for i, p in enumerate([0.2, 0.4, 0.6, 0.8])])
 
 
-def _bin(x: Column, prefix: str) -> Column:
-    """1..5: right-closed quintile bins, lowest value in bin 1."""
+def _bin(x: Column, edges: Column) -> Column:
+    """1..5: right-closed quintile bins, lowest value in bin 1 (``edges``: array of 4)."""
     return (F.lit(1) + reduce(lambda a, b: a + b,
-                              [(x > F.col(f"{prefix}{i}")).cast("int") for i in range(1, 5)])).cast("int")
+                              [(x > edges[i]).cast("int") for i in range(4)])).cast("int")
 
 
 def rfm_scores(features: DataFrame) -> DataFrame:
     """R: recency quintile reversed (5 = most recent); F: order-count bins
     (0,1] (1,2] (2,5] (5,100] -> 1..4, else 1; M: revenue quintile."""
-    r = quintile_edges(features, "recency_days").select(*[F.col(f"e{i}").alias(f"r{i}") for i in range(1, 5)])
-    m = quintile_edges(features, "total_revenue").select(*[F.col(f"e{i}").alias(f"m{i}") for i in range(1, 5)])
+    # the edges are scalar subqueries (one 4-element array each), not joined frames
+    r = quintile_edges(features, "recency_days").select(F.array("e1", "e2", "e3", "e4")).scalar()
+    m = quintile_edges(features, "total_revenue").select(F.array("e1", "e2", "e3", "e4")).scalar()
     n = F.col("number_of_orders")
     f_score = (F.when((n > 0) & (n <= 1), 1).when((n > 1) & (n <= 2), 2).when((n > 2) & (n <= 5), 3)
                 .when((n > 5) & (n <= 100), 4).otherwise(1))
-    j = features.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(m))   # one-row edge frames
-    out = j.select("customer_unique_id", "recency_days", "number_of_orders", "total_revenue",
-                   (F.lit(6) - _bin(F.col("recency_days"), "r")).alias("r_score"),
-                   f_score.cast("int").alias("f_score"), _bin(F.col("total_revenue"), "m").alias("m_score"))
+    out = features.select("customer_unique_id", "recency_days", "number_of_orders", "total_revenue",
+                          (F.lit(6) - _bin(F.col("recency_days"), r)).alias("r_score"),
+                          f_score.cast("int").alias("f_score"), _bin(F.col("total_revenue"), m).alias("m_score"))
     return out.withColumn("rfm_score", F.concat(F.col("r_score").cast("string"), F.col("f_score").cast("string"),
                                                 F.col("m_score").cast("string")))
 
@@ -123,26 +123,23 @@ def log_features(features: DataFrame, cols=CLUSTERING_FEATURES) -> DataFrame:
 
 def standard_scale(df: DataFrame, cols=CLUSTERING_FEATURES) -> DataFrame:
     """I6 standard: (x - mean) / population std (0 std -> 1)."""
-    st = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(st))   # one-row statistics
-    return j.select("customer_unique_id", *[
-        ((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0)))
+    st = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                         *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])).scalar()   # one scalar subquery
+    return df.select("customer_unique_id", *[
+        ((F.col(c) - st[f"m_{c}"]) / F.when(st[f"s_{c}"] > 0, st[f"s_{c}"]).otherwise(F.lit(1.0)))
         .alias(c) for c in cols])
 
 
 def robust_scale(df: DataFrame, cols=CLUSTERING_FEATURES) -> DataFrame:
     """I6 robust: (x - median) / IQR (0 IQR -> 1), exact quantiles."""
-    stats = []
+    out = []
     for c in cols:
         q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        stats.append(q.agg(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias(f"_med_{c}"),
-                           (F.max(F.when(F.col("p") == 0.75, F.col("value")))
-                            - F.max(F.when(F.col("p") == 0.25, F.col("value")))).alias(f"_iqr_{c}")))
-    st = reduce(lambda a, b: a.crossJoin(b), stats)
-    j = df.crossJoin(F.broadcast(st))
-    return j.select("customer_unique_id", *[
-        ((F.col(c) - F.col(f"_med_{c}")) / F.when(F.col(f"_iqr_{c}") > 0, F.col(f"_iqr_{c}")).otherwise(F.lit(1.0)))
-        .alias(c) for c in cols])
+        st = q.agg(F.struct(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("med"),
+                            (F.max(F.when(F.col("p") == 0.75, F.col("value")))
+                             - F.max(F.when(F.col("p") == 0.25, F.col("value")))).alias("iqr"))).scalar()
+        out.append(((F.col(c) - st["med"]) / F.when(st["iqr"] > 0, st["iqr"]).otherwise(F.lit(1.0))).alias(c))
+    return df.select("customer_unique_id", *out)
 
 
 def correlation_matrix(df: DataFrame, cols=CLUSTERING_FEATURES) -> DataFrame:

@@ -58,7 +58,9 @@ class Context:
         if not self.materialize:
             return df
         base = ensure_checkpoint_dir(self.spark)
-        digest = hashlib.sha1(f"{self.name}|{self.params}".encode()).hexdigest()[:12]
+        # one folder per application: concurrent sessions never overwrite each other
+        app = self.spark.sparkContext.applicationId
+        digest = hashlib.sha1(f"{app}|{self.name}|{self.params}".encode()).hexdigest()[:12]
         path = f"{base.rstrip('/')}/emporio-tables/{label}-{digest}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
