@@ -70,18 +70,27 @@ def prepared(ready: DataFrame, params: Params) -> tuple[DataFrame, list[str]]:
     return data, cols
 
 
-def param_search(data: DataFrame, family: str, grid: list[dict]) -> list[Fitted]:
-    """Fit every configuration on train, score raw-scale RMSE on valid."""
+def param_search(data: DataFrame, family: str, grid: list[dict], parallelism: int = 4) -> list[Fitted]:
+    """Fit every configuration on train, score raw-scale RMSE on valid.
+
+    Trials are independent Spark jobs submitted from a small thread pool
+    (as ``CrossValidator(parallelism=...)`` does), so several fits share the
+    cluster at once.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     # the daily feature table (series x days) is reused by every trial: keep it in memory
     train = data.where("split = 'train'").persist()
     valid = data.where("split = 'valid'").persist()
-    out = []
-    for p in grid:
+
+    def trial(p):
         m = make_estimator(family, p).fit(train)
-        out.append(Fitted(family, p, m, _rmse(predict(m, valid, family))))
+        return Fitted(family, p, m, _rmse(predict(m, valid, family)))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        out = list(pool.map(trial, grid))
     train.unpersist()
     valid.unpersist()
-    return sorted(out, key=lambda f: f.valid_rmse)
+    return sorted(out, key=lambda f: (f.valid_rmse, str(sorted(f.params.items()))))
 
 
 def search_table(spark, fits: list[Fitted]) -> DataFrame:

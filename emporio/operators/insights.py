@@ -120,7 +120,7 @@ def month_extremes(trend: DataFrame, kpis: DataFrame, month_selected: bool = Fal
                   F.min("total_revenue").alias("worst_revenue"),
                   F.count_if(F.col("total_revenue") > 0).alias("active_months"))
     months = F.lit(1) if month_selected else F.greatest(F.col("active_months"), F.lit(1))
-    return (m.crossJoin(kpis.select("total_revenue"))
+    return (m.crossJoin(kpis.select("total_revenue"))   # two one-row aggregates
              .select("best_month", "best_revenue", "worst_month", "worst_revenue",
                      F.col("active_months").cast("long").alias("active_months"),
                      (F.col("total_revenue") / months).alias("monthly_average")))
@@ -156,6 +156,7 @@ def kpi_row(ctx, s: Slice, params: Params) -> DataFrame:
         F.col("state_code").alias("top_state"), F.col("total_revenue").alias("top_state_revenue"))
     snap = D.customer_snapshot(ctx, s).select("repeat_customers", "one_time_customers",
                                              F.col("total_customers").alias("snapshot_customers"))
+    # every part is a single row (KPIs, growth, top-1 category/state, snapshot)
     row = (kpis.crossJoin(growth).join(topcat, how="left").join(topstate, how="left").crossJoin(snap))
     share = lambda c: F.when(F.col("total_revenue") > 0, F.col(c) / F.col("total_revenue") * 100.0)
     return (row.withColumn("top_category_share", share("top_category_revenue"))
@@ -244,12 +245,12 @@ def geography_insights(states: DataFrame, totals: DataFrame) -> DataFrame:
     s = (states.withColumn("_r", F.row_number().over(w))
                .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())))
     tot = totals.select(F.col("total_revenue").alias("_tot"))
-    lead = (s.where("_r = 1").crossJoin(tot).where("_tot > 0")
+    lead = (s.where("_r = 1").crossJoin(tot).where("_tot > 0")   # one row x one-row total
              .select(F.lit("geography").alias("domain"), F.lit("trend").alias("type"),
                      F.lit("positive").alias("severity"), F.lit("leader_share").alias("metric"),
                      F.col("state_code").alias("subject"),
                      (F.col("total_revenue") / F.col("_tot") * 100.0).alias("value")))
-    bottom = (s.where("_n >= 5 AND _r > _n - 5").agg(F.sum("total_revenue").alias("_b")).crossJoin(tot)
+    bottom = (s.where("_n >= 5 AND _r > _n - 5").agg(F.sum("total_revenue").alias("_b")).crossJoin(tot)  # 1 x 1
                .where("_tot > 0 AND _b IS NOT NULL")
                .select(F.lit("geography").alias("domain"), F.lit("warning").alias("type"),
                        F.lit("warning").alias("severity"), F.lit("bottom5_share").alias("metric"),

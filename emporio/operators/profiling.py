@@ -89,6 +89,7 @@ def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
         q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
         qrow = q.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                        for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+        # base and qrow are one-row aggregates
         parts.append(base.crossJoin(qrow).select(F.lit(c).alias("column_name"), "count", "nulls", "mean",
                                                  "std", "min", "p25", "p50", "p75", "max"))
     return _union(parts)
@@ -103,7 +104,7 @@ def cardinality_ratio(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Distinct customers (people), distinct orders, orders per customer."""
     c = customers.agg(F.countDistinct("customer_unique_id").cast("long").alias("distinct_customers"))
     o = orders.agg(F.countDistinct("order_id").cast("long").alias("distinct_orders"))
-    return (c.crossJoin(o).withColumn(
+    return (c.crossJoin(o).withColumn(   # two one-row aggregates
         "orders_per_customer",
         F.when(F.col("distinct_customers") > 0,
                F.col("distinct_orders").cast("double") / F.col("distinct_customers").cast("double"))))
@@ -116,6 +117,6 @@ def domain_rules(items: DataFrame, reviews: DataFrame, payments: DataFrame) -> D
     r = reviews.agg(F.coalesce(F.every(F.col("review_score").between(1, 5)), F.lit(True))
                     .alias("score_in_range"))
     p = payments.agg(F.coalesce(F.every(F.col("payment_value") > 0), F.lit(True)).alias("payment_positive"))
-    return (i.crossJoin(r).crossJoin(p)
+    return (i.crossJoin(r).crossJoin(p)   # three one-row aggregates
             .withColumn("all_pass", F.col("price_non_negative") & F.col("freight_non_negative")
                         & F.col("score_in_range") & F.col("payment_positive")))

@@ -123,7 +123,7 @@ def match_rate(child: DataFrame, matched_flag: Column, loaded: DataFrame) -> Dat
     """Processed, loaded, matched, missing and success % of a dimension lookup."""
     a = child.agg(F.count(F.lit(1)).alias("processed"), F.count_if(matched_flag).alias("matched"))
     b = loaded.agg(F.count(F.lit(1)).alias("loaded"))
-    return (a.crossJoin(b)
+    return (a.crossJoin(b)   # two one-row aggregates
             .select(F.col("processed").cast("long"), F.col("loaded").cast("long"),
                     F.col("matched").cast("long"),
                     (F.col("processed") - F.col("matched")).cast("long").alias("missing"),

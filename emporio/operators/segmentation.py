@@ -260,7 +260,7 @@ def calinski_harabasz(points: DataFrame, cols: list[str], label: str = "cluster_
     between = (cen.join(F.broadcast(overall), "dim")
                   .agg(F.sum(F.col("nk") * F.pow(F.col("c") - F.col("g"), 2)).alias("B")))
     counts = points.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
-    return (within.crossJoin(between).crossJoin(counts)
+    return (within.crossJoin(between).crossJoin(counts)   # three one-row aggregates
                   .select((F.col("B") / (F.col("k") - 1) / (F.col("W") / (F.col("n") - F.col("k"))))
                           .alias("calinski_harabasz")))
 
@@ -288,7 +288,7 @@ def adjusted_rand_index(labels: DataFrame, a: str, b: str) -> DataFrame:
     sum_ij = cont.agg(F.sum(comb2(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
     sa = cont.groupBy(a).agg(F.sum("nij").alias("ai")).agg(F.sum(comb2(F.col("ai"))).alias("sa"))
     sb = cont.groupBy(b).agg(F.sum("nij").alias("bj")).agg(F.sum(comb2(F.col("bj"))).alias("sb"))
-    j = sum_ij.crossJoin(sa).crossJoin(sb)
+    j = sum_ij.crossJoin(sa).crossJoin(sb)   # three one-row aggregates
     expected = F.col("sa") * F.col("sb") / comb2(F.col("n"))
     max_index = (F.col("sa") + F.col("sb")) / 2.0
     return j.select(F.when(max_index - expected == 0, F.lit(1.0))

@@ -69,7 +69,10 @@ class Context:
     def enriched(self) -> DataFrame:
         """Item-grain fact with nullable dimension attributes."""
         if self._enriched is None:
-            self._enriched = self._store(wh.enriched_fact(self.src, self.params), "enriched_fact")
+            # sorted within each task (no shuffle) so Parquet row-group min/max statistics
+            # let month / state filters skip row groups when the table is read back
+            self._enriched = self._store(wh.enriched_fact(self.src, self.params)
+                                         .sortWithinPartitions("month_year", "state_code"), "enriched_fact")
         return self._enriched
 
     @property
