@@ -174,33 +174,65 @@ CARRIED = ["total_orders", "total_items", "total_customers", "total_sellers", "a
 
 
 def recursive_forecast(ts: DataFrame, model, cols: list[str], horizon: int = T.FORECAST_HORIZON,
-                       checkpoint_every: int = 5) -> DataFrame:
+                       tail_days: int = max(T.LAG_DAYS + T.ROLLING_WINDOWS) + 10) -> DataFrame:
     """Forecast ``horizon`` days, each day's prediction becoming history.
 
-    For every series at once: append the target day (drivers carried from
-    the last known day, revenue unknown), rebuild the features -- so the
-    features of day t come from days < t, including earlier predictions --
-    predict, and write the prediction back as that day's revenue.  The
-    growing plan is cut with a reliable checkpoint every few steps.
+    For every series at once, each step appends the target day (drivers
+    carried from the last known day), rebuilds the windowed features of
+    that day from the last ``tail_days`` days (lags and rolling windows
+    reach at most 90 days back), takes the EWM features from an exact
+    running state (``timeseries.ewm_state``; num/den updated with each
+    prediction) and the time index from the series' first day, predicts,
+    and writes the prediction back as that day's revenue.  So the
+    features of day t come from days < t, including earlier predictions.
+    The tail and the state (series x tail_days rows) are pinned by a
+    reliable checkpoint after every step.
     """
     ensure_checkpoint_dir(ts.sparkSession)
-    base = ts.select("series_key", "order_date", *CARRIED, "daily_revenue")
-    last = (base.withColumn("_r", F.row_number().over(
-        Window.partitionBy("series_key").orderBy(F.desc("order_date")))).where("_r = 1").drop("_r"))
-    hist = base.withColumn("is_forecast", F.lit(False))
+
+    def pin(df):
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = kept.checkpoint(eager=True)
+        kept.unpersist()
+        return out
+
+    base = pin(T.add_drivers(ts.select("series_key", "order_date", *CARRIED, "daily_revenue")))
+    state = pin(T.ewm_state(base))
+    last = pin(base.withColumn("_r", F.row_number().over(
+        Window.partitionBy("series_key").orderBy(F.desc("order_date")))).where("_r = 1").drop("_r")
+        .select("series_key", *CARRIED))
+    cutoff = F.date_sub(F.col("last_day"), tail_days)
+    tail = pin(base.join(state.select("series_key", "last_day"), "series_key")
+                   .where(F.col("order_date") > cutoff).drop("last_day")
+                   .select("series_key", "order_date", *CARRIED, "daily_revenue"))
+    out = []
     for step in range(1, horizon + 1):
-        new = last.select("series_key", F.date_add("order_date", step).alias("order_date"), *CARRIED,
-                          F.lit(0.0).alias("daily_revenue"), F.lit(True).alias("is_forecast"))
-        ext = T.add_drivers(hist.unionByName(new))
-        feats = T.build_features(ext)
-        target = feats.join(new.select("series_key", "order_date"), ["series_key", "order_date"])
-        pred = (model.transform(assemble(target, cols))
-                     .select("series_key", "order_date", F.expm1("prediction").alias("_pred")))
-        filled = (new.join(pred, ["series_key", "order_date"])
-                     .withColumn("daily_revenue", F.greatest(F.col("_pred"), F.lit(0.0))).drop("_pred"))
-        hist = hist.unionByName(filled.select(*hist.columns))
-        if step % checkpoint_every == 0:
-            kept = hist.persist(StorageLevel.MEMORY_AND_DISK)
-            hist = kept.checkpoint(eager=True)
-            kept.unpersist()
-    return hist.where("is_forecast").select("series_key", "order_date", F.col("daily_revenue").alias("pred"))
+        day = F.date_add(F.col("last_day"), step)
+        new = (last.join(state.select("series_key", "last_day"), "series_key")
+                   .select("series_key", day.alias("order_date"), *CARRIED, F.lit(0.0).alias("daily_revenue")))
+        ext = T.add_drivers(tail.unionByName(new))
+        feats = T.build_features(ext, with_ewm=False, with_time_index=False)
+        target = feats.join(new.select("series_key", "order_date"), ["series_key", "order_date"]) \
+                      .join(state, "series_key")
+        target = target.withColumns(
+            {f"log_rev_roll_ema_{w}": F.col(f"_num_{w}") / F.col(f"_den_{w}") for w in T.ROLLING_WINDOWS}) \
+            .withColumn("time_index", F.datediff("order_date", "first_day"))
+        # pinned once: the state, the tail and the output all read this step's predictions
+        pred = pin(model.transform(assemble(target, cols))
+                        .select("series_key", "order_date",
+                                F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("daily_revenue")))
+        filled = new.drop("daily_revenue").join(pred, ["series_key", "order_date"])
+        out.append(pred.select("series_key", "order_date", F.col("daily_revenue").alias("pred")))
+        x = F.log1p(F.col("_x"))
+        upd = {}
+        for w in T.ROLLING_WINDOWS:
+            r = 1.0 - 2.0 / (w + 1.0)
+            upd[f"_num_{w}"] = F.col(f"_num_{w}") * r + x
+            upd[f"_den_{w}"] = F.col(f"_den_{w}") * r + 1.0
+        state = pin(state.join(pred.select("series_key", F.col("daily_revenue").alias("_x")), "series_key")
+                         .withColumns(upd).drop("_x"))
+        tail = pin(tail.unionByName(filled.select(*tail.columns))
+                       .join(state.select("series_key", "last_day"), "series_key")
+                       .where(F.col("order_date") > F.date_sub(F.date_add(F.col("last_day"), step), tail_days))
+                       .drop("last_day"))
+    return reduce(lambda a, b: a.unionByName(b), out)

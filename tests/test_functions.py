@@ -92,3 +92,14 @@ def test_ewm_pandas_path_equals_fold(spark):
         for w in T.ROLLING_WINDOWS:
             c = f"log_rev_roll_ema_{w}"
             assert (x[c] is None and y[c] is None) or abs(x[c] - y[c]) < 1e-9
+
+
+def test_ewm_state_continues_the_series(spark):
+    import datetime as dt
+    vals = [float((i * 13) % 7) for i in range(40)]
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i), v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "series_key string, order_date date, log_daily_revenue double")
+    st = T.ewm_state(df).first()
+    # EWM feature of the day after the last one = fold over all 40 values
+    exp = pd.Series(vals + [0.0]).shift(1).ewm(span=14, adjust=True).mean().iloc[-1]
+    assert abs(st["_num_14"] / st["_den_14"] - exp) < 1e-9
