@@ -38,6 +38,8 @@ class Context:
         self._enriched = None
         self._orders = None
         self._keyed = None
+        self._lock = threading.RLock()
+        self._memo: dict = {}
 
     # --- construction -----------------------------------------------------------
     @staticmethod
@@ -54,6 +56,14 @@ class Context:
         return ctx
 
     # --- shared tables ---------------------------------------------------------------
+    def memo(self, key: str, build):
+        """Build a shared table once per context (thread-safe): queries running in
+        parallel never write the same stored table twice."""
+        with self._lock:
+            if key not in self._memo:
+                self._memo[key] = build()
+            return self._memo[key]
+
     def _store(self, df: DataFrame, label: str) -> DataFrame:
         if not self.materialize:
             return df
@@ -68,6 +78,10 @@ class Context:
     @property
     def enriched(self) -> DataFrame:
         """Item-grain fact with nullable dimension attributes."""
+        with self._lock:
+            return self._enriched_locked()
+
+    def _enriched_locked(self) -> DataFrame:
         if self._enriched is None:
             # sorted within each task (no shuffle) so Parquet row-group min/max statistics
             # let month / state filters skip row groups when the table is read back
@@ -78,9 +92,10 @@ class Context:
     @property
     def keyed_dims(self) -> dict[str, DataFrame]:
         """Dimensions with dense surrogate keys (B6), pinned by checkpoints."""
-        if self._keyed is None:
-            self._keyed = wh.keyed_dimensions(self.src)
-        return self._keyed
+        with self._lock:
+            if self._keyed is None:
+                self._keyed = wh.keyed_dimensions(self.src)
+            return self._keyed
 
     @property
     def fact(self) -> DataFrame:
@@ -94,6 +109,10 @@ class Context:
         An order has one customer, hence one segment and state, and one
         purchase month, so distinct order counts become row counts.
         """
+        with self._lock:
+            return self._orders_locked()
+
+    def _orders_locked(self) -> DataFrame:
         if self._orders is None:
             f = self.fact
             self._orders = self._store(f.groupBy("order_id")

@@ -30,16 +30,12 @@ def rnd(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
 
 # --- Spark side ------------------------------------------------------------------------------------
 def features(ctx) -> DataFrame:
-    if getattr(ctx, "_cust_features", None) is None:
-        ctx._cust_features = ctx._store(S.behaviour_features(S.customer_aggregates(ctx.enriched), ctx.params),
-                                        "customer_features")
-    return ctx._cust_features
+    return ctx.memo("customer_features", lambda: ctx._store(
+        S.behaviour_features(S.customer_aggregates(ctx.enriched), ctx.params), "customer_features"))
 
 
 def rfm(ctx) -> DataFrame:
-    if getattr(ctx, "_rfm", None) is None:
-        ctx._rfm = ctx._store(S.rfm_scores(features(ctx)), "rfm_scores")
-    return ctx._rfm
+    return ctx.memo("rfm_scores", lambda: ctx._store(S.rfm_scores(features(ctx)), "rfm_scores"))
 
 
 def rule_labels(ctx) -> DataFrame:
@@ -48,21 +44,23 @@ def rule_labels(ctx) -> DataFrame:
 
 def rule_personas(ctx) -> DataFrame:
     """customer -> (cluster_id, persona, distance_to_center, confidence_score) for the rule labels."""
-    if getattr(ctx, "_rule_personas", None) is None:
-        labels = rule_labels(ctx)
-        prof = S.assign_personas(S.cluster_profiles(features(ctx), labels))
-        logf = S.log_features(features(ctx)).join(labels, "customer_unique_id")
-        cen = S.centroids(logf, FEATS).collect()          # K x d numbers (K = 5, d = 11)
-        k = 1 + max(r["label"] for r in cen)
-        centers = [[0.0] * len(FEATS) for _ in range(k)]
-        for r in cen:
-            centers[r["label"]][r["dim"]] = r["c"]
-        conf = S.assignment_confidence(logf, centers, cols=FEATS)
-        ctx._rule_personas = ctx._store(
-            conf.join(F.broadcast(prof.select("cluster_id", "persona")), "cluster_id")   # K rows
-                .select("customer_unique_id", "cluster_id", "persona", "distance_to_center", "confidence_score",
-                        "range_confidence"), "rule_personas")
-    return ctx._rule_personas
+    return ctx.memo("rule_personas", lambda: _build_rule_personas(ctx))
+
+
+def _build_rule_personas(ctx) -> DataFrame:
+    labels = rule_labels(ctx)
+    prof = S.assign_personas(S.cluster_profiles(features(ctx), labels))
+    logf = S.log_features(features(ctx)).join(labels, "customer_unique_id")
+    cen = S.centroids(logf, FEATS).collect()          # K x d numbers (K = 5, d = 11)
+    k = 1 + max(r["label"] for r in cen)
+    centers = [[0.0] * len(FEATS) for _ in range(k)]
+    for r in cen:
+        centers[r["label"]][r["dim"]] = r["c"]
+    conf = S.assignment_confidence(logf, centers, cols=FEATS)
+    return ctx._store(
+        conf.join(F.broadcast(prof.select("cluster_id", "persona")), "cluster_id")   # K rows
+            .select("customer_unique_id", "cluster_id", "persona", "distance_to_center", "confidence_score",
+                    "range_confidence"), "rule_personas")
 
 
 def rule_segments(ctx) -> DataFrame:
@@ -466,27 +464,29 @@ def g23(ctx):
 
 # --- model path (rows check) -------------------------------------------------------------------------------
 def _scaled_pca(ctx):
-    if getattr(ctx, "_scaled_pca", None) is None:
+    def build():
         logf = S.log_features(features(ctx))
         out = {}
         for name, fn in (("StandardScaler", S.standard_scale), ("RobustScaler", S.robust_scale)):
             vec = S.to_vector(ctx._store(fn(logf), f"scaled_{name}"))
             proj, k, ratios = S.pca_85(vec)
             out[name] = (proj, k, ratios)
-        ctx._scaled_pca = out
-    return ctx._scaled_pca
+        return out
+    return ctx.memo("scaled_pca", build)
 
 
 def _kmeans(ctx):
-    if getattr(ctx, "_kmeans", None) is None:
-        sp = _scaled_pca(ctx)
-        sample = {n: S.sample_by_hash(v[0], 20000) for n, v in sp.items()}
-        sweep = S.k_sweep(sample)
-        best = sweep.where("chosen").first()
-        proj = sp[best["scaler"]][0]
-        model = S.kmeans_fit(proj, best["k"], in_col="pca")
-        ctx._kmeans = (sweep, best, proj, model, model.transform(proj))
-    return ctx._kmeans
+    return ctx.memo("kmeans", lambda: _build_kmeans(ctx))
+
+
+def _build_kmeans(ctx):
+    sp = _scaled_pca(ctx)
+    sample = {n: S.sample_by_hash(v[0], 20000) for n, v in sp.items()}
+    sweep = S.k_sweep(sample)
+    best = sweep.where("chosen").first()
+    proj = sp[best["scaler"]][0]
+    model = S.kmeans_fit(proj, best["k"], in_col="pca")
+    return (sweep, best, proj, model, model.transform(proj))
 
 
 @register("i8_pca_85")

@@ -51,9 +51,8 @@ def series(ctx, by: str | None = None) -> DataFrame:
 
 def features(ctx) -> DataFrame:
     """Feature table of the company series (cutoff applied), materialised once."""
-    if getattr(ctx, "_features", None) is None:
-        ctx._features = ctx._store(T.build_features(T.apply_cutoff(series(ctx))), "ts_features")
-    return ctx._features
+    return ctx.memo("ts_features", lambda: ctx._store(T.build_features(T.apply_cutoff(series(ctx))),
+                                                      "ts_features"))
 
 
 def ready(ctx) -> DataFrame:
@@ -482,17 +481,15 @@ def h34s(ctx):
 
 # --- model-dependent (rows check) ----------------------------------------------------------------------
 def _prepared(ctx):
-    if getattr(ctx, "_prepared", None) is None:
-        ctx._prepared = FC.prepared(ready(ctx), ctx.params)
-    return ctx._prepared
+    return ctx.memo("prepared", lambda: FC.prepared(ready(ctx), ctx.params))
 
 
 def _searched(ctx):
-    if getattr(ctx, "_fits", None) is None:
+    def build():
         data, _ = _prepared(ctx)
-        ctx._fits = {"random_forest": FC.param_search(data, "random_forest", FC.RF_GRID),
-                     "gbt": FC.param_search(data, "gbt", FC.GBT_GRID)}
-    return ctx._fits
+        return {"random_forest": FC.param_search(data, "random_forest", FC.RF_GRID),
+                "gbt": FC.param_search(data, "gbt", FC.GBT_GRID)}
+    return ctx.memo("fits", build)
 
 
 @register("h18_regressor_fit")

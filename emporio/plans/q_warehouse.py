@@ -145,9 +145,7 @@ LEFT JOIN (SELECT product_id, row_number() OVER (ORDER BY product_id) AS product
 
 
 def _fact_sales(ctx):
-    if getattr(ctx, "_fact_sales", None) is None:
-        ctx._fact_sales = ctx._store(W.fact_sales(ctx.src, ctx.keyed_dims), "fact_sales")
-    return ctx._fact_sales
+    return ctx.memo("fact_sales", lambda: ctx._store(W.fact_sales(ctx.src, ctx.keyed_dims), "fact_sales"))
 
 
 @register("b11_fact_sales", sql(FACT_KEYED_SQL))

@@ -41,7 +41,7 @@ def load_warehouse(ctx, out_dir: str, fail_on_error: bool = True) -> DataFrame:
     fact = W.fact_sales(src, keyed)
     sinks.timed_stage(m, "fact", src["order_items"], fact, f"{base}/fact_sales")
     stored = sinks.read_table(spark, f"{base}/fact_sales")
-    ctx._fact_sales = stored          # later fact queries read the written table
+    ctx.memo("fact_sales", lambda: stored)          # later fact queries read the written table
 
     checks = (Q.grain_check(stored, ["sales_key"], "fact_sales").select("check", "status")
               .unionByName(Q.business_rules(stored).select("check", "status")))
