@@ -563,3 +563,21 @@ def i22k(ctx):
 def i24(ctx):
     proj = _scaled_pca(ctx)["StandardScaler"][0]
     return S.gmm_compare(S.sample_by_hash(proj, 20000))
+
+
+@register("g15_model_sentiment")
+def g15m(ctx):
+    """G15 (model part): silhouette sentiment (0.5 / 0.25) of the K-Means fit and
+    R^2 sentiment (0.8 / 0.5) of the best random forest on the test split."""
+    from ..operators import forecasting as FC
+    from ..operators import insights as G
+    from ..operators import timeseries as T
+    from . import q_timeseries as QT
+    sweep, best, proj, model, pred = _kmeans(ctx)
+    sil = float(S.silhouette(pred, "pca"))
+    data, _ = QT._prepared(ctx)
+    rf = QT._searched(ctx)["random_forest"][0]
+    met = T.regression_metrics(FC.predict(rf.model, data.where("split = 'test'"), "random_forest"), by=["model"])
+    return (met.select("model", "r2", F.lit(sil).alias("silhouette"))
+               .withColumn("forecast_sentiment", G.score_sentiment(F.col("r2"), 0.8, 0.5))
+               .withColumn("segmentation_sentiment", G.score_sentiment(F.col("silhouette"), 0.5, 0.25)))
