@@ -1,0 +1,19 @@
+"""Broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast only when the frame has at most ``max_rows`` rows.
+
+    Counts the frame first (use it for small source tables, where the count
+    is one cheap job); a frame over the bound is returned as is, so the
+    planner / AQE choose the join from measured sizes instead.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

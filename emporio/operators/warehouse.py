@@ -8,8 +8,8 @@ Two flavours of the fact are built from the same pieces:
   key lookup at all and is what every reporting / dashboard / ML job
   reads.  Both give the same rows.
 
-Join strategy: only dimensions whose size is fixed by their domain
-(category translation, calendar) get an explicit broadcast hint.  All
+Join strategy: only the category translation gets an explicit broadcast
+hint, after its row count is checked (``broadcast_if_small``).  All
 other joins are left to the planner: with AQE on, a side whose measured
 shuffle output is under ``spark.sql.autoBroadcastJoinThreshold`` is
 turned into a broadcast at run time, everything else stays a
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import calendar_columns, date_key, month_year, parse_ts
+from ..functions.joins import broadcast_if_small
 from ..functions.keys import with_dense_key, with_unique_key
 
 MONEY = "decimal(12,2)"
@@ -70,8 +71,8 @@ def dim_seller(sellers: DataFrame, geo: DataFrame) -> DataFrame:
 
 # --- B4 ------------------------------------------------------------------------------
 def dim_product(products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Category translation (a fixed ~70-row table: broadcast), volume, renamed sizes."""
-    return (products.join(F.broadcast(categories), "product_category_name", "left")
+    """Category translation (a ~70-row table: broadcast after a size check), volume, renamed sizes."""
+    return (products.join(broadcast_if_small(categories), "product_category_name", "left")
             .select("product_id", "product_category_name", "product_category_name_english",
                     F.col("product_name_lenght").alias("product_name_length"),
                     F.col("product_description_lenght").alias("product_description_length"),
@@ -241,8 +242,8 @@ def fact_sales(src: dict[str, DataFrame], dims: dict[str, DataFrame]) -> DataFra
     tx = (tx.join(dims["dim_customer"].select("customer_id", "customer_key"), "customer_id", "left")
             .join(dims["dim_seller"].select("seller_id", "seller_key"), "seller_id", "left")
             .join(dims["dim_product"].select("product_id", "product_key"), "product_id", "left")
-            .join(F.broadcast(dims["dim_date"].select(F.col("date_key").alias("purchase_date_key"))),
-                  "purchase_date_key", "left"))
+            .join(dims["dim_date"].select(F.col("date_key").alias("purchase_date_key")),
+                  "purchase_date_key", "left"))      # calendar: AQE broadcasts it from its measured size
     now = F.current_timestamp()
     return with_unique_key(
         tx.select("order_id", "order_item_id", "customer_key", "product_key", "seller_key",
