@@ -10,6 +10,7 @@ never over rows.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -185,35 +186,37 @@ def recursive_forecast(ts: DataFrame, model, cols: list[str], horizon: int = T.F
     prediction) and the time index from the series' first day, predicts,
     and writes the prediction back as that day's revenue.  So the
     features of day t come from days < t, including earlier predictions.
-    The tail and the state (series x tail_days rows) are pinned by a
-    reliable checkpoint after every step.
+    The tail, the state and each step's predictions (series x tail_days
+    rows at most) are written to the shared checkpoint folder after every
+    step, which cuts the plan.
     """
-    ensure_checkpoint_dir(ts.sparkSession)
+    spark = ts.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emporio-forecast/{uuid.uuid4().hex}"
+    counter = iter(range(1_000_000))
 
     def pin(df):
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = kept.checkpoint(eager=True)
-        kept.unpersist()
-        return out
+        # one write + a read-back of a small table in the shared checkpoint folder
+        path = f"{root}/{next(counter)}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
     base = pin(T.add_drivers(ts.select("series_key", "order_date", *CARRIED, "daily_revenue")))
-    state = pin(T.ewm_state(base))
+    # cur_day = the day being forecast; kept as data so every step runs the same plan
+    state = pin(T.ewm_state(base).withColumn("cur_day", F.date_add(F.col("last_day"), 1)))
     last = pin(base.withColumn("_r", F.row_number().over(
         Window.partitionBy("series_key").orderBy(F.desc("order_date")))).where("_r = 1").drop("_r")
         .select("series_key", *CARRIED))
-    cutoff = F.date_sub(F.col("last_day"), tail_days)
-    tail = pin(base.join(state.select("series_key", "last_day"), "series_key")
-                   .where(F.col("order_date") > cutoff).drop("last_day")
+    tail = pin(base.join(state.select("series_key", "cur_day"), "series_key")
+                   .where(F.col("order_date") >= F.date_sub(F.col("cur_day"), tail_days)).drop("cur_day")
                    .select("series_key", "order_date", *CARRIED, "daily_revenue"))
     out = []
-    for step in range(1, horizon + 1):
-        day = F.date_add(F.col("last_day"), step)
-        new = (last.join(state.select("series_key", "last_day"), "series_key")
-                   .select("series_key", day.alias("order_date"), *CARRIED, F.lit(0.0).alias("daily_revenue")))
+    for _ in range(horizon):
+        new = (last.join(state.select("series_key", "cur_day"), "series_key")
+                   .select("series_key", F.col("cur_day").alias("order_date"), *CARRIED,
+                           F.lit(0.0).alias("daily_revenue")))
         ext = T.add_drivers(tail.unionByName(new))
         feats = T.build_features(ext, with_ewm=False, with_time_index=False)
-        target = feats.join(new.select("series_key", "order_date"), ["series_key", "order_date"]) \
-                      .join(state, "series_key")
+        target = feats.join(state, "series_key").where(F.col("order_date") == F.col("cur_day"))
         target = target.withColumns(
             {f"log_rev_roll_ema_{w}": F.col(f"_num_{w}") / F.col(f"_den_{w}") for w in T.ROLLING_WINDOWS}) \
             .withColumn("time_index", F.datediff("order_date", "first_day"))
@@ -224,7 +227,7 @@ def recursive_forecast(ts: DataFrame, model, cols: list[str], horizon: int = T.F
         filled = new.drop("daily_revenue").join(pred, ["series_key", "order_date"])
         out.append(pred.select("series_key", "order_date", F.col("daily_revenue").alias("pred")))
         x = F.log1p(F.col("_x"))
-        upd = {}
+        upd = {"cur_day": F.date_add(F.col("cur_day"), 1)}
         for w in T.ROLLING_WINDOWS:
             r = 1.0 - 2.0 / (w + 1.0)
             upd[f"_num_{w}"] = F.col(f"_num_{w}") * r + x
@@ -232,7 +235,7 @@ def recursive_forecast(ts: DataFrame, model, cols: list[str], horizon: int = T.F
         state = pin(state.join(pred.select("series_key", F.col("daily_revenue").alias("_x")), "series_key")
                          .withColumns(upd).drop("_x"))
         tail = pin(tail.unionByName(filled.select(*tail.columns))
-                       .join(state.select("series_key", "last_day"), "series_key")
-                       .where(F.col("order_date") > F.date_sub(F.date_add(F.col("last_day"), step), tail_days))
-                       .drop("last_day"))
+                       .join(state.select("series_key", "cur_day"), "series_key")
+                       .where(F.col("order_date") >= F.date_sub(F.col("cur_day"), tail_days))
+                       .drop("cur_day"))
     return reduce(lambda a, b: a.unionByName(b), out)

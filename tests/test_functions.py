@@ -103,3 +103,28 @@ def test_ewm_state_continues_the_series(spark):
     # EWM feature of the day after the last one = fold over all 40 values
     exp = pd.Series(vals + [0.0]).shift(1).ewm(span=14, adjust=True).mean().iloc[-1]
     assert abs(st["_num_14"] / st["_den_14"] - exp) < 1e-9
+
+
+def test_recursive_forecast_equals_full_history_rebuild(spark):
+    """Tail window + exact EWM state gives the same forecasts as rebuilding all features."""
+    from emporio.operators import forecasting as FC
+    from emporio.plans import q_timeseries as QT
+    from emporio.plans.context import Context
+    from conftest import SF_SMALL
+    ctx = Context.for_fixture(spark, SF_SMALL)
+    data, cols = QT._prepared(ctx)
+    m = FC.make_estimator("random_forest", {"numTrees": 5, "maxDepth": 4}).fit(data.where("split = 'train'"))
+    ts = T.apply_cutoff(QT.series(ctx))
+    fast = {r.order_date: r.pred for r in FC.recursive_forecast(ts, m, cols, horizon=2).collect()}
+    base = ts.select("series_key", "order_date", *FC.CARRIED, "daily_revenue")
+    lastrow = base.orderBy(F.desc("order_date")).limit(1)
+    hist = base
+    for step in (1, 2):
+        new = lastrow.select("series_key", F.date_add("order_date", step).alias("order_date"), *FC.CARRIED,
+                             F.lit(0.0).alias("daily_revenue"))
+        feats = T.build_features(T.add_drivers(hist.unionByName(new)))
+        tgt = feats.join(new.select("series_key", "order_date"), ["series_key", "order_date"])
+        p = m.transform(FC.assemble(tgt, cols)).select(
+            "order_date", F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("p")).first()
+        assert abs(fast[p.order_date] - p.p) <= 1e-9 * max(1.0, abs(p.p))
+        hist = hist.unionByName(new.withColumn("daily_revenue", F.lit(p.p)))
