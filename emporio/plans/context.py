@@ -75,6 +75,13 @@ class Context:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def scratch(self, label: str) -> str:
+        """A folder for tables a query writes and reads back (same place as ``_store``)."""
+        base = ensure_checkpoint_dir(self.spark)
+        app = self.spark.sparkContext.applicationId
+        digest = hashlib.sha1(f"{app}|{self.name}|{self.params}".encode()).hexdigest()[:12]
+        return f"{base.rstrip('/')}/emporio-tables/scratch-{digest}/{label}"
+
     @property
     def enriched(self) -> DataFrame:
         """Item-grain fact with nullable dimension attributes."""

@@ -234,3 +234,15 @@ def a7t(ctx):
     from ..sources.sinks import paged_report
     _, total = paged_report(R.sales_summary(ctx.fact), "reporting_sales_summary", page=2, page_size=20)
     return total
+
+
+@register("e12_refresh_reporting_layer", sql("""
+SELECT 'reporting_sales_summary' AS table_name, count(DISTINCT month_year) AS row_count FROM fact
+UNION ALL SELECT 'reporting_category_summary', count(DISTINCT COALESCE(product_category_name_english, 'Uncategorized'))
+  FROM enriched
+UNION ALL SELECT 'reporting_state_summary', count(DISTINCT state_code) FROM enriched WHERE state_code IS NOT NULL
+UNION ALL SELECT 'reporting_customer_summary', count(DISTINCT customer_unique_id) FROM enriched
+  WHERE customer_unique_id IS NOT NULL"""))
+def e12(ctx):
+    counts = R.refresh_reporting_layer(ctx, ctx.scratch("e12_reporting"))
+    return ctx.spark.createDataFrame(sorted(counts.items()), "table_name string, row_count long")

@@ -211,3 +211,95 @@ def b15(ctx):
     io = W.items_with_orders(ctx.src).join(
         W.dim_customer(ctx.src["customers"], W.dim_geography(ctx.src["geolocation"])), "customer_id", "left")
     return W.rule_segments(io.where(F.col("customer_unique_id").isNotNull()), ctx.params)
+
+
+# --- A3-A6, A8-A10: writes, then the written table read back ------------------------------------
+from ..sources import sinks  # noqa: E402
+
+SELLER_KEYED_SQL = """
+SELECT row_number() OVER (ORDER BY s.seller_id) AS seller_key, s.seller_id, g.geography_key
+FROM src_sellers s LEFT JOIN geo_k g ON s.seller_zip_code_prefix = g.zip_code_prefix"""
+
+
+@register("a3_read_back_dimension_keys", sql(SELLER_KEYED_SQL, GEO_KEYED))
+def a3(ctx):
+    path = ctx.scratch("a3_dim_seller")
+    sinks.replace_table(ctx.keyed_dims["dim_seller"], path)
+    return sinks.read_table(ctx.spark, path)
+
+
+@register("a4_replace_load", sql(SELLER_KEYED_SQL, GEO_KEYED))
+def a4(ctx):
+    path = ctx.scratch("a4_dim_seller")
+    sinks.load_table(ctx.keyed_dims["dim_seller"], path, delete_first=True)
+    sinks.load_table(ctx.keyed_dims["dim_seller"], path, delete_first=True)   # replaced, not doubled
+    return sinks.read_table(ctx.spark, path)
+
+
+@register("a5_append_load", sql(f"{SELLER_KEYED_SQL} UNION ALL {SELLER_KEYED_SQL}", GEO_KEYED))
+def a5(ctx):
+    path = ctx.scratch("a5_dim_seller")
+    sinks.load_table(ctx.keyed_dims["dim_seller"], path, delete_first=True)
+    sinks.load_table(ctx.keyed_dims["dim_seller"], path, delete_first=False)  # appended
+    return sinks.read_table(ctx.spark, path)
+
+
+@register("a6_warehouse_reset", sql(f"SELECT * FROM ({SELLER_KEYED_SQL}) t WHERE FALSE", GEO_KEYED))
+def a6(ctx):
+    base = ctx.scratch("a6_warehouse")
+    sinks.replace_table(ctx.keyed_dims["dim_seller"], f"{base}/dim_seller")
+    sinks.reset_warehouse(ctx.spark, base, ["dim_seller"])
+    return sinks.read_table(ctx.spark, f"{base}/dim_seller")
+
+
+@register("a8_report_csv_export", sql("""
+SELECT year_number, month_number, month_year AS order_month,
+       CAST(sum(total_sales_amount) AS DOUBLE) AS total_revenue,
+       count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_unique_id) AS total_customers,
+       CASE WHEN count(DISTINCT order_id) > 0
+            THEN CAST(sum(total_sales_amount) AS DOUBLE) / count(DISTINCT order_id) ELSE 0 END AS average_order_value
+FROM fact GROUP BY 1, 2, 3 ORDER BY order_month LIMIT 10000"""))
+def a8(ctx):
+    from ..operators import reporting as R
+    report = R.sales_summary(ctx.fact)
+    path = ctx.scratch("a8_export")
+    sinks.export_csv(report, "reporting_sales_summary", path)
+    return ctx.spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+@register("a9_stage_metrics", sql("""
+SELECT * FROM (VALUES ('geography', (SELECT count(*) FROM src_geo), (SELECT count(*) FROM dim_geography), 0, 'SUCCESS'),
+  ('customer', (SELECT count(*) FROM src_customers), (SELECT count(*) FROM src_customers),
+   (SELECT count(*) FROM src_customers WHERE zip NOT IN (SELECT zip_code_prefix FROM dim_geography)), 'SUCCESS'),
+  ('seller', (SELECT count(*) FROM src_sellers), (SELECT count(*) FROM src_sellers),
+   (SELECT count(*) FROM src_sellers WHERE seller_zip_code_prefix NOT IN (SELECT zip_code_prefix FROM dim_geography)),
+   'SUCCESS'),
+  ('product', (SELECT count(*) FROM src_products), (SELECT count(*) FROM src_products),
+   (SELECT count(*) FROM dim_product WHERE product_category_name_english IS NULL), 'SUCCESS'),
+  ('date', (SELECT count(*) FROM src_orders),
+   (SELECT count(*) FROM (SELECT unnest(generate_series(CAST(min(purchase_ts) AS DATE), CAST(max(estimated_ts) AS DATE),
+                                                        INTERVAL 1 DAY)) FROM src_orders) d), 0, 'SUCCESS'),
+  ('fact', (SELECT count(*) FROM src_items), (SELECT count(*) FROM ioc), 0, 'SUCCESS'))
+  t(stage, rows_extracted, rows_loaded, warnings, status)"""))
+def a9(ctx):
+    from .warehouse_load import load_warehouse
+    m = load_warehouse(ctx, ctx.scratch("a9_warehouse"))
+    return m.select("stage", "rows_extracted", "rows_loaded", "warnings", "status")   # seconds vary by run
+
+
+from .q_segmentation import ssql  # noqa: E402
+
+
+@register("a10_write_persona_table", ssql("""
+SELECT customer_unique_id, cluster_id, persona, round(distance_to_center, 6) AS distance_to_center,
+       round(confidence_score, 6) AS confidence_score FROM rp"""))
+def a10(ctx):
+    from pyspark.sql import functions as F
+    from .q_segmentation import rule_personas
+    path = ctx.scratch("a10_customer_segment_ml")
+    sinks.replace_table(rule_personas(ctx).select("customer_unique_id", "cluster_id", "persona",
+                                                  "distance_to_center", "confidence_score"), path)
+    t = sinks.read_table(ctx.spark, path)
+    return t.select("customer_unique_id", "cluster_id", "persona",
+                    F.round("distance_to_center", 6).alias("distance_to_center"),
+                    F.round("confidence_score", 6).alias("confidence_score"))
