@@ -216,16 +216,23 @@ def denormalized_fact(src: dict[str, DataFrame], params: Params) -> DataFrame:
 # --- keyed warehouse (B6, B9, B11, B14) -----------------------------------------------
 def keyed_dimensions(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Dimensions with dense surrogate keys in natural-key order."""
+    from concurrent.futures import ThreadPoolExecutor
     geo = with_dense_key(dim_geography(src["geolocation"]), ["zip_code_prefix"], "geography_key")
     geo_k = geo.select("geography_key", "zip_code_prefix", "city_name", "state_code")
-    cust = with_dense_key(dim_customer(src["customers"], geo_k)
-                          .select("customer_id", "customer_unique_id", "geography_key"),
-                          ["customer_id"], "customer_key")
-    sell = with_dense_key(dim_seller(src["sellers"], geo_k).select("seller_id", "geography_key"),
-                          ["seller_id"], "seller_key")
-    prod = with_dense_key(dim_product(src["products"], src["categories"]), ["product_id"], "product_key")
-    return {"dim_geography": geo, "dim_customer": cust, "dim_seller": sell,
-            "dim_product": prod, "dim_date": dim_date(src["orders"])}
+    jobs = {
+        "dim_customer": lambda: with_dense_key(dim_customer(src["customers"], geo_k)
+                                               .select("customer_id", "customer_unique_id", "geography_key"),
+                                               ["customer_id"], "customer_key"),
+        "dim_seller": lambda: with_dense_key(dim_seller(src["sellers"], geo_k).select("seller_id", "geography_key"),
+                                             ["seller_id"], "seller_key"),
+        "dim_product": lambda: with_dense_key(dim_product(src["products"], src["categories"]),
+                                              ["product_id"], "product_key"),
+    }
+    # the three key assignments are independent Spark jobs: submit them together
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        futures = {k: pool.submit(fn) for k, fn in jobs.items()}
+        dims = {k: f.result() for k, f in futures.items()}
+    return {"dim_geography": geo, **dims, "dim_date": dim_date(src["orders"])}
 
 
 def fact_sales(src: dict[str, DataFrame], dims: dict[str, DataFrame]) -> DataFrame:
