@@ -102,3 +102,23 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"{name}: components did not settle in {max_rounds} rounds")
     return (e.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+
+
+#: Bits of a sieve: 262,144 rows of 64 bits are broadcast, whatever the number of keys.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """Adds ``flag``: false where the 64-bit hash ``key`` is surely not among ``keys`` (one long column).
+
+    A bitmap of fixed size over the hashes is broadcast, so that rows
+    which a later join can't touch need no shuffle.  The join decides;
+    with very many keys more rows are flagged, and none is lost.
+    """
+    words = (keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias("_at"))
+             .selectExpr("_at div 64 as _w", "shiftleft(1L, cast(_at % 64 as int)) as _m")
+             .groupBy("_w").agg(F.bit_or("_m").alias("_m")))
+    return (df.withColumn("_at", F.pmod(key, F.lit(bits))).withColumn("_w", F.expr("_at div 64"))
+            .join(F.broadcast(words), "_w", "left")
+            .withColumn(flag, F.expr("coalesce((_m & shiftleft(1L, cast(_at % 64 as int))) <> 0, false)"))
+            .drop("_at", "_w", "_m"))

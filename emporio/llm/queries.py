@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_rules, decontaminate, language_id, packing, secret_scan, sharding
+from . import bag_minhash, compression_rules, decontaminate, language_id, packing, secret_scan, sharding
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_cross_parsing_language(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op7_bag_minhash_near_dedup(spark, sf_dir):
+    return bag_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_compression_bands(spark, sf_dir):
     return compression_rules.judge(documents(spark, sf_dir))
 
