@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, compression_rules, decontaminate, language_id, packing, secret_scan, sharding
+from . import bag_minhash, compression_rules, decontaminate, language_id, packing, secret_scan, sharding, substring_dedup
 from .common import documents
 
 
@@ -18,6 +18,11 @@ def op3_cross_parsing_language(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op6_relative_lz_substring_dedup(spark, sf_dir):
+    return (substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
+            .select("doc_id", "n_words", "n_removed", "kept_sha256", "factors"))
+
+
 def op7_bag_minhash_near_dedup(spark, sf_dir):
     return bag_minhash.near_duplicates(documents(spark, sf_dir))
 
