@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, sieve, stored, text_key
+from .common import fresh, pivot_classes, sieve, stored, text_key
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -225,44 +225,7 @@ def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     full = (banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
             .where("pivot <> last").select("key", "pivot"))
     members = stored(banded.join(full, "key").select("key", "node", "pivot").distinct(), "bag-members")
-    tested = stored(members.where("node <> pivot").selectExpr("pivot a", "node b").distinct(), "bag-pairs")
-    links = verified(tested, nodes, docs, o, "bag-0")
-    some = members.select("node").distinct().count()
-
-    pivots = 1
-    while True:
-        labels = stored(components(links, f"bag-classes-{pivots}"), "bag-labels")
-        placed = stored(members.select("key", "node").join(labels, "node", "left")
-                        .select("key", "node", F.coalesce("root", "node").alias("root")), "bag-placed")
-        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_keys = stored(sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"),
-                                                    F.max(F.struct("c", "root")).alias("main"))
-                           .where("n * n > q").selectExpr("key", "(n * n - q) div 2 as left", "main.root main"),
-                           "bag-open")
-        left = open_keys.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
-        if not left:
-            break
-        still = placed.join(open_keys, "key")
-        last = left <= 4 * some + 1000
-        if last:
-            ends = still
-        else:
-            # pivots from the smaller classes, in an order that changes with the round
-            order = F.xxhash64("node", F.lit(pivots))
-            pivots *= 2
-            ends = (still.where("root <> main").groupBy("key")
-                    .agg(F.min_by(F.struct("node", "root"), order).alias("e")).select("key", "e.*")
-                    if pivots == 2 else
-                    some_per_key(still.where("root <> main"), order, pivots))
-        pairs = (ends.select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-                 .join(still.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key")
-                 .where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "bag-pairs")
-        links = stored(links.union(verified(new, nodes, docs, o, f"bag-{pivots}")), "bag-links")
-        tested = tested.union(new)
-        if last:
-            labels = stored(components(links, "bag-classes-last"), "bag-labels")
-            break
+    labels = pivot_classes(members, lambda pairs, name: verified(pairs, nodes, docs, o, name), "bag")
 
     named = nodes.join(labels, "node", "left").select("h", "first_id", F.coalesce("root", "node").alias("root"))
     of_class = named.groupBy("root").agg(F.min("first_id").alias("class_id"),
@@ -279,13 +242,6 @@ def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
                     .otherwise(True).alias("keep"), "has", "copies"))
 
 
-def some_per_key(df: DataFrame, order, n: int) -> DataFrame:
-    """Up to ``n`` rows of each key, spread over ``n`` slots by a hash, the least of each slot."""
-    slot = F.pmod(F.xxhash64(order, F.lit("slot")), F.lit(n))
-    return (df.groupBy("key", slot.alias("_slot")).agg(F.min_by(F.struct("node", "root"), order).alias("e"))
-            .select("key", "e.*"))
-
-
 def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, keep (one row of each class)."""
     c = stored(classes(docs, o), "bag-result")

@@ -122,3 +122,51 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits: int = SI
             .join(F.broadcast(words), "_w", "left")
             .withColumn(flag, F.expr("coalesce((_m & shiftleft(1L, cast(_at % 64 as int))) <> 0, false)"))
             .drop("_at", "_w", "_m"))
+
+
+def pivot_classes(members: DataFrame, verify, name: str) -> DataFrame:
+    """Classes of similar nodes: rows (node, root) from buckets ``members(key, node, pivot)``.
+
+    ``verify(pairs(a, b), name)`` returns the pairs that are similar.  All
+    pairs of a bucket are never made: members are compared with the
+    bucket's pivot first, and after that only members of different
+    classes are open.  While many are, each round compares more pivots
+    from the smaller classes with the bucket, which is linear in it; the
+    pairs left at the end, at most four a node, are compared directly.
+    Every link inside a bucket thus ends up in one class.
+    """
+    tested = stored(members.where("node <> pivot").selectExpr("pivot a", "node b").distinct(), f"{name}-pairs")
+    links = verify(tested, f"{name}-0")
+    some = members.select("node").distinct().count()
+    pivots, last = 1, False
+    while True:
+        labels = stored(components(links, f"{name}-classes"), f"{name}-labels")
+        if last:
+            return labels
+        placed = stored(members.select("key", "node").join(labels, "node", "left")
+                        .select("key", "node", F.coalesce("root", "node").alias("root")), f"{name}-placed")
+        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+        open_keys = stored(sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"),
+                                                    F.max_by("root", "c").alias("main"))
+                           .where("n * n > q").selectExpr("key", "(n * n - q) div 2 as left", "main"), f"{name}-open")
+        left = open_keys.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
+        if not left:
+            return labels
+        still = placed.join(open_keys, "key")
+        last = left <= 4 * some + 1000
+        if last:
+            ends = still.select("key", "node", "root")
+        else:
+            # the least node of each of so many hashed slots; the hash changes with the round
+            slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("slot")
+            ends = (still.where("root <> main").groupBy("key", slot)
+                    .agg(F.min_by("node", F.xxhash64("node")).alias("node"),
+                         F.min_by("root", F.xxhash64("node")).alias("root"))
+                    .select("key", "node", "root"))
+            pivots *= 2
+        pairs = (ends.selectExpr("key", "node x", "root rx").join(still.selectExpr("key", "node y", "root ry"), "key")
+                 .where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                 .join(tested, ["a", "b"], "left_anti"))
+        new = stored(pairs, f"{name}-pairs")
+        links = stored(links.union(verify(new, f"{name}-{pivots}")), f"{name}-links")
+        tested = tested.union(new)

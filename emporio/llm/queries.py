@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, compression_rules, decontaminate, language_id, packing, secret_scan, sharding, substring_dedup
+from . import bag_minhash, compression_rules, decontaminate, language_id, line_dedup, packing, secret_scan, sharding, substring_dedup
 from .common import documents
 
 
@@ -18,6 +18,11 @@ def op3_cross_parsing_language(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op4_fuzzy_line_dedup(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_relative_lz_substring_dedup(spark, sf_dir):
     return (substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
             .select("doc_id", "n_words", "n_removed", "kept_sha256", "factors"))
