@@ -19,6 +19,7 @@ import uuid
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,3 +160,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         state = stored(scan(state, block, last=False), "decontaminate")
         block = following
     return scan(state, block, last=True)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a hit, all columns as they were."""
+    blocks = pattern_blocks(benchmark, window, block_bytes)
+    block = next(blocks, {})
+    while True:
+        docs = docs.where(~has_hit(docs, block))
+        following = next(blocks, None)
+        if following is None:
+            return docs
+        docs, block = stored(docs, "decontaminate"), following
+
+
+def has_hit(docs: DataFrame, block: dict[bytes, set[str]]):
+    """A column: true where the text has a window of the block."""
+    sent, tag = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        held = _BUILT.get(tag)
+        if held is None:
+            _BUILT.clear()
+            _BUILT[tag] = held = automaton(sent.value)
+        if not len(held):
+            return pd.Series(np.zeros(len(texts), bool))
+        flat = (b" ".join([b"", *words_of(bytes(t or b"")), b""]).decode("latin-1") for t in texts)
+        return pd.Series([next(held.iter(x), None) is not None for x in flat], dtype=bool)
+
+    return hit(F.col("text").cast("binary"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, compression_rules, decontaminate, language_id, line_dedup, packing, secret_scan, sharding, substring_dedup
+from . import bag_minhash, compression_rules, cotraining, decontaminate, language_id, line_dedup, packing, secret_scan, sharding, substring_dedup
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op4_fuzzy_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_cotraining_quality(spark, sf_dir):
+    return cotraining.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_relative_lz_substring_dedup(spark, sf_dir):
     return (substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
             .select("doc_id", "n_words", "n_removed", "kept_sha256", "factors"))
