@@ -29,7 +29,7 @@ def op5_cotraining_quality(spark, sf_dir):
 
 def op6_relative_lz_substring_dedup(spark, sf_dir):
     return (substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
-            .select("doc_id", "n_words", "n_removed", "kept_sha256", "factors"))
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
 def op7_bag_minhash_near_dedup(spark, sf_dir):
@@ -42,7 +42,7 @@ def op8_compression_bands(spark, sf_dir):
 
 def op9_aho_corasick_decontamination(spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(documents(spark, sf_dir), bench)
+    return decontaminate.decontaminate(documents(spark, sf_dir), bench).drop("spans")
 
 
 def op10_recursive_secret_scan(spark, sf_dir):
@@ -53,5 +53,53 @@ def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+SUBSTRING_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+dup AS (
+  SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + j AS p FROM dup, (SELECT unnest(range(0, 20)) AS j)),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+DECONTAMINATION_SQL = r"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iwin AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[s:s + least(10, len(ws)) - 1], ' ') AS k
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS s FROM item WHERE len(ws) > 0)),
+doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+sizes AS (SELECT DISTINCT n FROM iwin),
+dwin AS (
+  SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM doc, sizes WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, s, dwin.n AS n, item_id FROM dwin JOIN iwin ON dwin.k = iwin.k AND dwin.n = iwin.n),
+words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM hit)) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_relative_lz_substring_dedup": SUBSTRING_SQL,
+            "op9_aho_corasick_decontamination": DECONTAMINATION_SQL}
