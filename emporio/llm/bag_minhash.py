@@ -11,11 +11,10 @@ register is filled are never drawn.
 
 Registers are banded; documents that meet in a band are compared by
 exact multiset overlap, sum of least weights by sum of greatest.
-Buckets are resolved against pivots (linear in the bucket) instead of
-all pairs: members found similar join the pivot's class, and only
-members of different classes still need comparing.  Rounds with more
-pivots go on until few enough such pairs are left to compare directly,
-so no link inside a bucket is lost.
+Pairs are made in small buckets only; large ones are compared with one
+member first, and what is left in different classes block against block
+in matrix products (``common.bucket_classes``), so that no link inside a
+bucket is lost.
 
 Defined results: words are split at ASCII white space, ASCII letters in
 lower case; a text of one to four words is one shingle; a text without
@@ -30,12 +29,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, pivot_classes, sieve, stored, text_key
+from .common import bucket_classes, fresh, sieve, stored, text_key
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,8 +49,8 @@ def salt(k: int) -> np.uint64:
 class Options:
     words: int = 5
     similarity: float = 0.8
-    bands: int = 16
-    rows: int = 4      # registers of a band: 0.9998 of the pairs at 0.8 share one
+    bands: int = 24
+    rows: int = 5      # registers of a band: 0.9999 of the pairs at 0.8 share one
     elements: int = 400_000  # shingles that are drawn for at once
 
     @property
@@ -180,16 +180,21 @@ def overlap(a, b) -> float:
     return shared / max(1, int(wa.sum() + wb.sum()) - shared)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, o: Options, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough, by exact overlap."""
-    need = (pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            .join(nodes, "node").select("node", F.col("first_id").alias("_first"), F.col("h").alias("_h")))
-    need = stored(need, f"{name}-need")
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The text of each node in ``wanted(node)``."""
+    need = stored(wanted.join(nodes, "node").select("node", F.col("first_id").alias("_first"), F.col("h").alias("_h")),
+                  f"{name}-need")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                         text_key().alias("h"))
     texts = (sieve(keyed, F.xxhash64("h"), need.select(F.xxhash64("_h").alias("k")), "_maybe").where("_maybe")
              .join(need, F.expr("h = _h and doc_id <=> _first")).select("node", "text"))
-    texts = stored(texts.dropDuplicates(["node"]), f"{name}-texts")
+    return stored(texts.dropDuplicates(["node"]), f"{name}-texts")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, o: Options, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough, by exact overlap."""
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(),
+                     nodes, docs, name)
     both = (pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
             .join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb"))
 
@@ -212,6 +217,54 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, o: Options, na
     return stored(both.mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
+def compared(near: DataFrame, nodes: DataFrame, docs: DataFrame, o: Options, name: str) -> DataFrame:
+    """Pairs of classes with similar texts, block against block of each cluster."""
+    texts = texts_of(near.select("node"), nodes, docs, f"{name}-block")
+    # a node goes to every pair of blocks that its own is part of
+    to = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
+    dealt = near.join(texts, "node").select("cluster", F.explode(to).alias("p"), "node", "root", "block", "text")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        roots, block = frame["root"].to_numpy(), frame["block"].to_numpy()
+        ok = similar([bag(bytes(t), o.words) for t in frame["text"]], o.similarity)
+        ok &= roots[:, None] != roots[None, :]
+        if i != j:
+            ok &= block[:, None] != block[None, :]
+        a, b = np.nonzero(np.triu(ok, 1))
+        found = np.unique(np.sort(np.column_stack([roots[a], roots[b]]), axis=1), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return (dealt.select("cluster", "p.i", "p.j", "root", "block", "text").groupBy("cluster", "i", "j")
+            .applyInPandas(run, "a long, b long"))
+
+
+def similar(bags: list[tuple[np.ndarray, np.ndarray]], least: float, width: int = 4096) -> np.ndarray:
+    """Which pairs of bags are similar enough: shared weight by products of 0/1 matrices.
+
+    The c-th copy of a shingle is a column, so that a product counts the least weights.
+    """
+    row = np.repeat(np.arange(len(bags)), [int(w.sum()) for _, w in bags])
+    shingle = np.concatenate([np.repeat(e, w) for e, w in bags])
+    copy = np.concatenate([np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) for _, w in bags])
+    _, col, n = np.unique(mix(shingle + mix(copy.astype(np.uint64) + GOLDEN)), return_inverse=True, return_counts=True)
+    shared_cols = np.flatnonzero(n > 1)
+    place = np.full(len(n), -1, np.int64)
+    place[shared_cols] = np.arange(len(shared_cols))
+    at = place[col]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((len(bags), len(bags)), np.float32)
+    for start in range(0, len(shared_cols), width):
+        a, b = np.searchsorted(at, [start, start + width])
+        x = np.zeros((len(bags), width), np.float32)
+        x[row[a:b], at[a:b] - start] = 1
+        shared += x @ x.T
+    total = np.array([w.sum() for _, w in bags], np.float64)
+    return shared >= least * (total[:, None] + total[None, :] - shared)
+
+
 def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """One row per document: doc_id, h (key of its text), class_id, class_size, keep, copies.
 
@@ -222,10 +275,8 @@ def classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
                    .withColumn("node", F.monotonically_increasing_id()), "bag-nodes")
     banded = (sig.alias("s").join(nodes.alias("n"), F.expr("s.h = n.h and s.doc_id <=> n.first_id"))
               .select("node", F.explode("bands").alias("key")))
-    full = (banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-            .where("pivot <> last").select("key", "pivot"))
-    members = stored(banded.join(full, "key").select("key", "node", "pivot").distinct(), "bag-members")
-    labels = pivot_classes(members, lambda pairs, name: verified(pairs, nodes, docs, o, name), "bag")
+    labels = bucket_classes(banded.distinct(), lambda pairs, name: verified(pairs, nodes, docs, o, name),
+                            lambda near, name: compared(near, nodes, docs, o, name), "bag")
 
     named = nodes.join(labels, "node", "left").select("h", "first_id", F.coalesce("root", "node").alias("root"))
     of_class = named.groupBy("root").agg(F.min("first_id").alias("class_id"),

@@ -115,58 +115,57 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits: int = SI
     which a later join can't touch need no shuffle.  The join decides;
     with very many keys more rows are flagged, and none is lost.
     """
-    words = (keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias("_at"))
-             .selectExpr("_at div 64 as _w", "shiftleft(1L, cast(_at % 64 as int)) as _m")
-             .groupBy("_w").agg(F.bit_or("_m").alias("_m")))
-    return (df.withColumn("_at", F.pmod(key, F.lit(bits))).withColumn("_w", F.expr("_at div 64"))
-            .join(F.broadcast(words), "_w", "left")
-            .withColumn(flag, F.expr("coalesce((_m & shiftleft(1L, cast(_at % 64 as int))) <> 0, false)"))
-            .drop("_at", "_w", "_m"))
-
-
-def pivot_classes(members: DataFrame, verify, name: str) -> DataFrame:
-    """Classes of similar nodes: rows (node, root) from buckets ``members(key, node, pivot)``.
-
-    ``verify(pairs(a, b), name)`` returns the pairs that are similar.  All
-    pairs of a bucket are never made: members are compared with the
-    bucket's pivot first, and after that only members of different
-    classes are open.  While many are, each round compares more pivots
-    from the smaller classes with the bucket, which is linear in it; the
-    pairs left at the end, at most four a node, are compared directly.
-    Every link inside a bucket thus ends up in one class.
+    at, word, mask = (fresh(df, c) for c in ("_at", "_word", "_mask"))
+    words = (keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias(at))
+             .selectExpr(f"{at} div 64 as {word}", f"shiftleft(1L, cast({at} % 64 as int)) as {mask}")
+             .groupBy(word).agg(F.bit_or(mask).alias(mask)))
+    return (df.withColumn(at, F.pmod(key, F.lit(bits))).withColumn(word, F.expr(f"{at} div 64"))
+            .join(F.broadcast(words), word, "left")
+            .withColumn(flag, F.expr(f"coalesce(({mask} & shiftleft(1L, cast({at} % 64 as int))) <> 0, false)"))
+            .drop(at, word, mask))
+
+
+#: Buckets up to this size are compared pair by pair, which is linear in the rows.
+SMALL_BUCKET = 16
+#: Nodes of a block in the comparison of large buckets.
+BLOCK = 256
+
+
+def bucket_classes(members: DataFrame, verify, compare, name: str) -> DataFrame:
+    """Classes of similar nodes: rows (node, root) from distinct buckets ``members(key, node)``.
+
+    All pairs of a large bucket are never made.
+
+    1. Buckets of at most ``SMALL_BUCKET`` nodes give their pairs, larger
+       ones a star around their least node.  ``verify(pairs(a, b), name)``
+       returns the pairs that are similar, and these give first classes.
+    2. Large buckets that share nodes form clusters.  A cluster that is
+       one class by now is done.  The others are cut into blocks of about
+       ``BLOCK`` nodes by hash, and ``compare(nodes, name)`` holds block
+       against block: rows (a, b) of classes with a similar pair, at most
+       one for each node and class.
+
+    Every pair that shares a bucket and isn't in one class already has
+    been compared, so no link is lost; memory is bounded by two blocks.
     """
-    tested = stored(members.where("node <> pivot").selectExpr("pivot a", "node b").distinct(), f"{name}-pairs")
-    links = verify(tested, f"{name}-0")
-    some = members.select("node").distinct().count()
-    pivots, last = 1, False
-    while True:
-        labels = stored(components(links, f"{name}-classes"), f"{name}-labels")
-        if last:
-            return labels
-        placed = stored(members.select("key", "node").join(labels, "node", "left")
-                        .select("key", "node", F.coalesce("root", "node").alias("root")), f"{name}-placed")
-        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_keys = stored(sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"),
-                                                    F.max_by("root", "c").alias("main"))
-                           .where("n * n > q").selectExpr("key", "(n * n - q) div 2 as left", "main"), f"{name}-open")
-        left = open_keys.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
-        if not left:
-            return labels
-        still = placed.join(open_keys, "key")
-        last = left <= 4 * some + 1000
-        if last:
-            ends = still.select("key", "node", "root")
-        else:
-            # the least node of each of so many hashed slots; the hash changes with the round
-            slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("slot")
-            ends = (still.where("root <> main").groupBy("key", slot)
-                    .agg(F.min_by("node", F.xxhash64("node")).alias("node"),
-                         F.min_by("root", F.xxhash64("node")).alias("root"))
-                    .select("key", "node", "root"))
-            pivots *= 2
-        pairs = (ends.selectExpr("key", "node x", "root rx").join(still.selectExpr("key", "node y", "root ry"), "key")
-                 .where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        new = stored(pairs, f"{name}-pairs")
-        links = stored(links.union(verify(new, f"{name}-{pivots}")), f"{name}-links")
-        tested = tested.union(new)
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    sized = stored(members.join(sizes, "key"), f"{name}-buckets")
+    small = sized.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
+    pairs = (small.selectExpr("key", "node a").join(small.selectExpr("key", "node b"), "key").where("a < b")
+             .select("a", "b"))
+    star = sized.where((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("pivot"))).selectExpr("pivot a", "node b")
+    tested = stored(pairs.union(star).distinct(), f"{name}-pairs")
+    links = verify(tested, name)
+    labels = stored(components(links, f"{name}-classes"), f"{name}-labels")
+
+    clusters = components(star.distinct(), f"{name}-clusters").withColumnRenamed("root", "cluster")
+    placed = stored(clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")),
+                    f"{name}-placed")
+    open_ = (placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+             .where("r0 <> r1").select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    nodes = stored(placed.join(open_, "cluster")
+                   .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), f"{name}-open")
+    if nodes.isEmpty():
+        return labels
+    more = stored(compare(nodes, name), f"{name}-more")
+    return stored(components(links.union(more.select("a", "b")), f"{name}-all"), f"{name}-labels")

@@ -9,8 +9,9 @@ that share a band are candidates; those with an exact Jaccard similarity
 of ``similarity`` are linked, linked lines form components (distributed
 union-find), and of all places of a component's lines the first stays.
 
-Equal lines are one line from the start.  Buckets are resolved against
-pivots, see ``common.pivot_classes``.
+Equal lines are one line from the start.  Pairs are made in small buckets
+only; large ones are compared with one member first, and what is left in
+different classes block against block (``common.bucket_classes``).
 
 Defined results: a NULL text stays NULL; lines without a word are never
 removed; the first place is the one with the least doc_id (NULL last),
@@ -25,14 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, pivot_classes, sieve, stored
+from .common import bucket_classes, fresh, sieve, stored
 
 
 @dataclass(frozen=True)
 class Options:
     similarity: float = 0.8
-    bands: int = 6
-    rows: int = 2    # minima of a band: 0.998 of the pairs at 0.8 share one
+    bands: int = 10
+    rows: int = 3    # minima of a band: 0.9992 of the pairs at 0.8 share one
     ahead: int = 4
 
 
@@ -50,54 +51,68 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
 
 
-def lines_of(docs: DataFrame, o: Options) -> DataFrame:
-    """Every line with a word: doc_id, tag, pos, two keys of the line, its shingles."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Every line with a word: doc_id, tag, pos, the line in lower case and two keys of it."""
     return (keyed(docs).select("doc_id", "tag", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
-            .select("doc_id", "tag", "pos", shingles(F.col("line"), o).alias("s")).where("size(s) > 0")
-            .select("doc_id", "tag", "pos", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(1)).alias("k2"), "s"))
+            .where(F.col("line").rlike(r"\S"))
+            .select("doc_id", "tag", "pos", "line", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2")))
 
 
 def line_classes(docs: DataFrame, places: DataFrame, o: Options) -> DataFrame:
     """Lines that belong to another line's component: keys k1, k2 and the component's keys c1, c2."""
     h = F.xxhash64("x")
     minima = [F.min(h.bitwiseXOR(F.lit(permutation(k)))).alias(f"m{k}") for k in range(o.bands * o.rows)]
-    signed = lines_of(docs, o).select("k1", "k2", F.explode("s").alias("x")).groupBy("k1", "k2").agg(*minima)
+    signed = lines_of(docs).select("k1", "k2", F.explode(shingles("line", o)).alias("x")).groupBy("k1", "k2").agg(*minima)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)])
                      for b in range(o.bands)])
     nodes = stored(signed.select("k1", "k2", keys.alias("keys"))
                    .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
-    full = (banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-            .where("pivot <> last").select("key", "pivot"))
-    members = stored(banded.join(full, "key").select("key", "node", "pivot"), "line-members")
-
-    # the shingle sets of candidate lines, from one place of each
-    need = (members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
-            .join(places, ["k1", "k2"]).groupBy("node")
-            .agg(F.min(F.struct("doc_id", "tag", "pos")).alias("p")).select("node", "p.*"))
-    need = stored(need, "line-need")
-    texts = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")), "_maybe")
-    texts = (texts.where("_maybe").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"),
-                                          F.split(F.lower("text"), "\n").alias("lines"))
-             .dropDuplicates(["_d", "_t"])
-             .join(need, F.expr("_d <=> doc_id and _t = tag"))
-             .select("node", F.array_distinct(shingles(F.expr("lines[pos]"), o)).alias("s")))
-    sets = stored(texts, "line-sets")
+    def sets_of(wanted, name):
+        """The shingle hashes of lines, from one place of each."""
+        need = (wanted.join(nodes.select("node", "k1", "k2"), "node").join(places, ["k1", "k2"])
+                .groupBy("node").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("p")).select("node", "p.*"))
+        need = stored(need, f"{name}-need")
+        texts = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")),
+                      "_maybe")
+        texts = (texts.where("_maybe").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"),
+                                              F.split(F.lower("text"), "\n").alias("lines"))
+                 .dropDuplicates(["_d", "_t"])
+                 .join(need, F.expr("_d <=> doc_id and _t = tag"))
+                 .select("node", shingles(F.expr("lines[pos]"), o).alias("s")))
+        return stored(texts.select("node", F.array_distinct(F.transform("s", lambda x: F.xxhash64(x))).alias("s")),
+                      f"{name}-sets")
 
     def verify(pairs, name):
-        both = (pairs.join(sets.selectExpr("node a", "s sa"), "a").join(sets.selectExpr("node b", "s sb"), "b")
-                .withColumn("shared", F.size(F.array_intersect("sa", "sb"))))
-        return stored(both.where(F.col("shared") >= o.similarity * (F.size("sa") + F.size("sb") - F.col("shared")))
-                      .select("a", "b"), f"{name}-links")
-
-    labels = pivot_classes(members, verify, "line").where("node <> root")
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(),
+                       name)
+        both = pairs.join(sets.selectExpr("node a", "s sa"), "a").join(sets.selectExpr("node b", "s sb"), "b")
+        return stored(both.where(close(F.col("sa"), F.col("sb"), o)).select("a", "b"), f"{name}-links")
+
+    def compare(near, name):
+        own = stored(near.join(sets_of(near.select("node"), f"{name}-block"), "node"), f"{name}-block")
+        blocks = (own.groupBy("cluster", "block").agg(F.collect_list(F.struct("root", "s")).alias("held"))
+                  .select("cluster", "held", F.explode(F.expr("sequence(0, block)")).alias("block")))
+        hits = F.filter("held", lambda x: (x["root"] != F.col("root")) & close(x["s"], F.col("s"), o))
+        met = own.join(blocks, ["cluster", "block"]).select(
+            "root", F.array_distinct(F.transform(hits, lambda x: x["root"])).alias("hits"))
+        return met.select("root", F.explode("hits").alias("hit")).select(
+            F.least("root", "hit").alias("a"), F.greatest("root", "hit").alias("b")).distinct()
+
+    labels = bucket_classes(banded.distinct(), verify, compare, "line").where("node <> root")
     return (labels.join(nodes.select("node", "k1", "k2"), "node")
             .join(nodes.selectExpr("node root", "k1 c1", "k2 c2"), "root").select("k1", "k2", "c1", "c2"))
 
 
+def close(a, b, o: Options):
+    """Jaccard similarity of two arrays of distinct hashes, by their sizes first."""
+    return ((F.least(F.size(a), F.size(b)) >= o.similarity * F.greatest(F.size(a), F.size(b)) - 1e-9)
+            & (F.size(F.array_intersect(a, b)) * (1 + o.similarity) >= o.similarity * (F.size(a) + F.size(b)) - 1e-9))
+
+
 def removals(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """Positions of the lines that go, by document: doc_id, tag, gone (array of line numbers)."""
-    places = stored(lines_of(docs, o).select("doc_id", "tag", "pos", "k1", "k2"), "line-places")
+    places = stored(lines_of(docs).select("doc_id", "tag", "pos", "k1", "k2"), "line-places")
     moved = line_classes(docs, places, o)
     placed = stored(places.join(moved, ["k1", "k2"], "left")
                     .select("doc_id", "tag", "pos", F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2")),
