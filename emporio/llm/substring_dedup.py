@@ -11,7 +11,8 @@ window hash, over the cluster.
    the corpus is no copy.  Seeds change every few words, which makes
    this index about a sixth of one of all windows.
 2. Windows with a repeated seed are looked up themselves, by a 96-bit
-   hash: least document first, later places of the same document within
+   hash, sorted with the least document first (those of very frequent
+   seeds salted, in two steps); later places of the same document within
    the document.  This is exact at the ends of factors, where a window
    reaches over two factors, too.
 3. Runs of found windows with one source document are the factors; the
@@ -38,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bag_minhash import WordHashes, mix, salt
+from .bag_minhash import mix, salt
 from .common import sieve, stored, text_key
 
 WINDOW = 20
 SEED = 10
 LAST = (1 << 63) - 1  # place of a NULL doc_id in the order
+HOT = 1 << 16     # a seed with more than one in so many places is hot
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -51,11 +54,66 @@ class Options:
     sieve_bits: int = 1 << 27
 
 
-_HASHES = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+SOLID = np.ones(256, bool)
+SOLID[[9, 10, 11, 12, 13, 32]] = False
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+FACTOR = 0xD1342543DE82EF95
+#: Bytes that are hashed at once; a longer word is hashed in one piece.
+SLICE = 1 << 20
+_POWERS = np.ones((2, 1), np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of an odd factor modulo 2^64 and of its inverse."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        n = 1 << n.bit_length()
+        f = np.array([[FACTOR], [pow(FACTOR, -1, 1 << 64)]], np.uint64)
+        _POWERS = np.cumprod(np.hstack([np.ones((2, 1), np.uint64), np.repeat(f, n, axis=1)]), axis=1, dtype=np.uint64)
+    return _POWERS
+
+
+def hash_slice(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words (polynomials over random byte values, freed of their place)."""
+    b = np.frombuffer(data, np.uint8)
+    solid = np.concatenate(([False], SOLID[b], [False]))
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edge[0::2], edge[1::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    up, down = powers(len(b))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[b] * up[:len(b)], dtype=np.uint64)))
+    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after another, and where each text's words begin (and the end)."""
+    out, firsts, count = [], [], 0
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) < SLICE):
+            size += len(texts[stop]) + 1
+            stop += 1
+        if stop == at + 1 and size > SLICE:  # one long text: in slices that end at white space
+            firsts.append([count])
+            t, a = texts[at], 0
+            while a < len(t):
+                b = min(len(t), a + SLICE)
+                while b < len(t) and SOLID[t[b]]:
+                    b += 1
+                h = hash_slice(t[a:b])[1]
+                out.append(h)
+                count, a = count + len(h), b
+        else:
+            starts, h = hash_slice(b"\n".join(texts[at:stop]))
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts[at:stop - 1])])
+            firsts.append(count + np.searchsorted(starts, begin))
+            out.append(h)
+            count += len(h)
+        at = stop
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64),
+            np.concatenate([*firsts, [count]]).astype(np.int64))
 
 
 def grams(h: np.ndarray, family: int) -> dict[int, np.ndarray]:
@@ -83,34 +141,54 @@ def window_seeds(ten: np.ndarray) -> np.ndarray:
     return np.minimum(eight[:-3], eight[3:])
 
 
-def seeds_of(data: bytes) -> np.ndarray:
-    """The seeds of a text, twice if a seed stands in more than one place."""
-    words = data.split()
-    if len(words) < WINDOW:
-        return np.zeros(0, np.int64)
-    ten = grams(word_hashes(words), 0)[SEED]
-    s = window_seeds(ten)
-    found = np.unique(s)
-    # places of a seed, not windows that share one place
-    at = ten[np.isin(ten, found)]
-    u, n = np.unique(at, return_counts=True)
-    return np.concatenate([u, u[n > 1]]).view(np.int64)
+def windows(texts: list[bytes]):
+    """Seed and hash of each window of the texts, the text it is in and its place there; and the word hashes."""
+    h, first = word_hashes(texts)
+    if len(h) < WINDOW:
+        return None
+    g = grams(h, 0)
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    # windows that reach into the next text are left out
+    whole = np.flatnonzero(owner[:len(h) - WINDOW + 1] == owner[WINDOW - 1:])
+    return window_seeds(g[SEED])[whole], g[WINDOW][whole], owner[whole], whole, whole - first[owner[whole]], h
 
 
-def window_rows(data: bytes, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First places of the windows with a repeated seed: 64 bits and 32 bits of hash, position."""
-    words = data.split()
-    if len(words) < WINDOW:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-    h = word_hashes(words)
-    g = grams(h, 0)
-    bit = bits_of(window_seeds(g[SEED]), len(bitmap) * 64)
+def seeds_of(texts: list[bytes]) -> np.ndarray:
+    """The seeds of each text, once a text."""
+    found = windows(texts)
+    if found is None or not len(found[0]):
+        return np.zeros(0, np.int64)
+    seed, _, owner = found[:3]
+    runs = np.concatenate(([True], (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])))
+    seed, owner = seed[runs], owner[runs]
+    order = np.lexsort((seed, owner))
+    seed, owner = seed[order], owner[order]
+    once = np.concatenate(([True], (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])))
+    return seed[once].view(np.int64)
+
+
+def window_rows(texts: list[bytes], bitmap: np.ndarray, hot: np.ndarray):
+    """First places of the windows with a repeated seed.
+
+    64 and 32 bits of hash, whether the seed is hot, text and position.
+    """
+    found = windows(texts)
+    none = np.zeros(0, np.int64)
+    if found is None or not len(found[0]):
+        return none, none.astype(np.int32), none.astype(bool), none, none.astype(np.int32)
+    seed, window, owner, place, pos, h = found
+    bit = bits_of(seed, len(bitmap) * 64)
     near = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
-    w = g[WINDOW][near]
-    _, first = np.unique(w, return_index=True)
-    near, w = near[first], w[first]
-    second = grams(h, 64)[WINDOW][near] >> np.uint64(32)
-    return w.view(np.int64), second.astype(np.uint32).view(np.int32), near.astype(np.int32)
+    order = near[np.lexsort((pos[near], window[near], owner[near]))]
+    once = np.ones(len(order), bool)
+    once[1:] = (window[order[1:]] != window[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+    near = order[once]
+    second = np.zeros(len(near), np.uint64)  # an independent hash of the same words
+    for k in range(WINDOW):
+        second = mix(second + h[place[near] + k] + salt(k + 7))
+    is_hot = np.isin(seed[near], hot) if len(hot) else np.zeros(len(near), bool)
+    return (window[near].view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), is_hot,
+            owner[near], pos[near].astype(np.int32))
 
 
 def bits_of(seeds: np.ndarray, bits: int) -> np.ndarray:
@@ -128,11 +206,11 @@ def cover(data: bytes, found: list[tuple[int, int]] | None, copy: bool):
         gone[:] = True
         return words, gone, [(0, n, None)]
     source = np.full(n - WINDOW + 1, -1, np.int64)
-    h = word_hashes(words)
-    w = grams(h, 0)[WINDOW]
-    order = np.argsort(w, kind="stable")
-    later = order[1:][w[order[1:]] == w[order[:-1]]]
-    source[later] = -2
+    w = grams(word_hashes([data])[0], 0)[WINDOW]
+    ordered = np.sort(w)
+    if (ordered[1:] == ordered[:-1]).any():
+        order = np.argsort(w, kind="stable")
+        source[order[1:][w[order[1:]] == w[order[:-1]]]] = -2
     if found is not None and len(found[0]):
         source[found[0]] = found[1]
     at = np.flatnonzero(source != -1)
@@ -170,35 +248,58 @@ def remove_repeats(docs: DataFrame, o: Options = Options(), with_text: bool = Tr
                                                  F.expr("h = _h and doc = _doc"), "left_anti")
                      .select("doc", "tag", "text")))
 
+    def in_parts(batch):
+        """The texts of a batch in parts of a few MB: first row and texts."""
+        part, size, first = [], 0, 0
+        for k, t in enumerate(batch.column(2)):
+            part.append(t.as_buffer().to_pybytes())
+            size += len(part[-1])
+            if size > 4 * SLICE:
+                yield first, part
+                part, size, first = [], 0, k + 1
+        if part:
+            yield first, part
+
     def seed_rows(batches):
         for batch in batches:
-            out = [seeds_of(t.as_buffer().to_pybytes()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["seed"])
+            for _, texts in in_parts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(seeds_of(texts))], names=["seed"])
 
-    repeated = (firsts.mapInArrow(seed_rows, "seed long").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-                .where("n > 1").select("seed"))
-    words = stored(repeated.mapInArrow(lambda bs: bit_rows(bs, o.sieve_bits), "w long, m long")
+    repeated = stored(firsts.mapInArrow(seed_rows, "seed long").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+                      .where("n > 1"), "sub-seeds")
+    words = stored(repeated.select("seed").mapInArrow(lambda bs: bit_rows(bs, o.sieve_bits), "w long, m long")
                    .groupBy("w").agg(F.bit_or("m").alias("m")), "sub-bitmap")
     bitmap = np.zeros(o.sieve_bits // 64, np.uint64)
     got = words.toArrow()  # at most sieve_bits / 64 rows
     bitmap[got.column("w").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(bitmap)
+    # seeds with more than one place in HOT of all repeated ones: fewer than HOT
+    places = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = np.sort(repeated.where(F.col("n") * HOT > places).where(f"n >= {SALTS}").select("seed").toArrow()
+                  .column("seed").to_numpy().view(np.uint64))
+    sent = spark.sparkContext.broadcast((bitmap, hot))
 
     def rows(batches):
         for batch in batches:
-            out = [window_rows(t.as_buffer().to_pybytes(), sent.value) for t in batch.column(2)]
-            n = [len(x[0]) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])),
-                 pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(batch.column(1).to_numpy(), n)),
-                 pa.array(np.concatenate([x[2] for x in out]))], names=["w1", "w2", "doc", "tag", "pos"])
-
-    index = firsts.mapInArrow(rows, "w1 long, w2 int, doc long, tag long, pos int")
-    source = (index.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
-              .where("source < last").select("w1", "w2", "source"))
-    found = (index.join(source, ["w1", "w2"]).where("doc > source").groupBy("doc", "tag")
-             .agg(F.collect_list("pos").alias("pos"), F.collect_list("source").alias("sources")))
+            docs_, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, texts in in_parts(batch):
+                w1, w2, is_hot, owner, pos = window_rows(texts, *sent.value)
+                doc = docs_[first + owner]
+                salted = np.where(is_hot, 1 + (mix(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (w1, w2, salted.astype(np.int32), doc, tags[first + owner], pos)],
+                    names=["w1", "w2", "salt", "doc", "tag", "pos"])
+
+    # a window of a hot seed is dealt out to SALTS places by document, each with a least document of its own
+    index = (firsts.mapInArrow(rows, "w1 long, w2 int, salt int, doc long, tag long, pos int")
+             .repartition("w1", "w2", "salt").sortWithinPartitions("w1", "w2", "salt", "doc"))
+    told = stored(index.mapInArrow(first_of_runs, "w1 long, w2 int, doc long, tag long, pos int, source long"), "sub-told")
+    salted = told.where("w1 is not null")
+    least = salted.groupBy("w1", "w2").agg(F.min("source").alias("least"))
+    found = (told.where("w1 is null").select("doc", "tag", "pos", "source")
+             .union(salted.join(least, ["w1", "w2"]).where("doc > least").select("doc", "tag", "pos", "least"))
+             .groupBy("doc", "tag").agg(F.collect_list("pos").alias("pos"), F.collect_list("source").alias("sources")))
     found = stored(found, "sub-found")
+
     again = sieve(base.withColumn("doc", place).withColumn("tag", tag), F.xxhash64("doc"),
                   found.select(F.xxhash64("doc").alias("k")).union(copies.select(F.xxhash64("doc"))), "_maybe")
     none = F.lit(None).cast("array<int>").alias("pos"), F.lit(None).cast("array<long>").alias("sources")
@@ -227,6 +328,30 @@ def remove_repeats(docs: DataFrame, o: Options = Options(), with_text: bool = Tr
     return sure.union(perhaps).mapInArrow(finish, RESULT)
 
 
+def first_of_runs(batches):
+    """Rows in the order of window and document: those behind the window's first document, which becomes their source.
+
+    Salted rows all go on, with the least document of their salt.  Only
+    the last row is held from batch to batch, so a group may be of any size.
+    """
+    last, source = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w1, w2, salted, doc, tag, pos = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(w1), bool)
+        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (salted[1:] != salted[:-1])
+        new[0] = last != (w1[0], w2[0], salted[0])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(w1)), -1))
+        first = np.where(at >= 0, doc[at], source)
+        last, source = (w1[-1], w2[-1], salted[-1]), first[-1]
+        out = np.flatnonzero((salted > 0) | (doc > first))
+        plain = salted[out] == 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(w1[out], mask=plain), pa.array(w2[out], mask=plain), pa.array(doc[out]), pa.array(tag[out]),
+             pa.array(pos[out]), pa.array(first[out])], names=["w1", "w2", "doc", "tag", "pos", "source"])
+
+
 def bit_rows(batches, bits: int):
     """Words of the bitmap that the seeds set."""
     for batch in batches:
