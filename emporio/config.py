@@ -23,6 +23,8 @@ class Params:
     vip_min: float = 500.0
     # a last month with revenue under this is treated as incomplete
     near_empty_month_revenue: float = 1000.0
+    # if set, the rule is taken from the data instead: under this share of the earlier months' mean
+    near_empty_month_share: float | None = None
     # recency reference date for RFM features
     rfm_reference_date: str = "2018-09-05"
     # temporal split of the forecasting data
@@ -36,17 +38,15 @@ class Params:
     top_n_sellers: int = 20
     top_n_sales_categories: int = 8
     top_n_sales_states: int = 6
-    report_page_size_max: int = 500
-    export_row_cap: int = 10000
 
     @staticmethod
-    def for_fixture(sf: float = 0.01) -> "Params":
+    def for_fixture() -> "Params":
         """Values for the driver tables (money in the millions, 1995-2001)."""
         return Params(
             tier_edges=(500_000.0, 1_000_000.0, 1_500_000.0, 2_000_000.0, 3_000_000.0),
             currency="$",
             vip_min=2_862_650.0,
-            near_empty_month_revenue=1e8 * sf,
+            near_empty_month_share=0.1,
             rfm_reference_date="2001-08-02",
             train_end="2000-06-30",
             valid_start="2000-07-01",

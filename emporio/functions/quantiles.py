@@ -1,10 +1,13 @@
-"""Exact quantiles (linear interpolation) without a single-task buffer.
+"""Exact quantiles (linear interpolation) on value counts.
 
 ``percentile`` as a global aggregate keeps every distinct value of the
-column in one task's buffer.  Here the column is range-sorted across
-the cluster and numbered 0..n-1 with ``with_dense_key`` (per-partition
-counts + offsets); only the 2 rows around each requested position are
-kept, so the driver and every task see O(#probabilities) rows at the end.
+column in one task's buffer.  Here equal values are counted first, with
+map-side combining, so a value that nearly all rows share is one row.
+The distinct values are range-sorted across the cluster; running counts
+come from per-partition sums and offsets (one row per partition and
+group).  A quantile is the value whose interval of positions holds it,
+picked by a partial aggregate.  One pass serves all groups, so several
+columns are asked for together by unpivoting them into (column, value).
 
 Same definition as numpy / DuckDB ``quantile_cont``:
     h = p * (n - 1);  q = x[floor h] + (h - floor h) * (x[ceil h] - x[floor h])
@@ -12,40 +15,45 @@ Same definition as numpy / DuckDB ``quantile_cont``:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import with_dense_key
+from ..session import ensure_checkpoint_dir
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], group: str | None = None) -> DataFrame:
-    """One row per probability: (p, value) -- or (group, p, value) with ``group``.
-
-    With ``group`` the ranking is per group (numbered within the group via
-    the same global sort on (group, value)); NULL values are ignored.
-    """
-    spark = df.sparkSession
-    keys = [group] if group else []
-    vals = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = with_dense_key(vals, [*keys, "_v"], "_r")          # 1..N in (group, value) order
-    if group:
-        bounds = ranked.groupBy(group).agg(F.min("_r").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.join(bounds, group).withColumn("_i", F.col("_r") - F.col("_lo"))
-        base = bounds.select(group, "_n")                                   # one row per group
-    else:
-        n = ranked.agg(F.count(F.lit(1))).scalar()                          # scalar subquery
-        ranked = ranked.withColumn("_n", n).withColumn("_i", F.col("_r") - 1)
-        base = spark.range(1).select(n.alias("_n"))
-    # one row per (group, p): positions of the two neighbours
-    pos = (base.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-               .withColumn("_h", F.col("p") * (F.col("_n") - 1))
-               .withColumn("_f", F.floor("_h")).withColumn("_c", F.ceil("_h")))
-    lo = ranked.select(*keys, F.col("_i").alias("_f"), F.col("_v").alias("_vf"))
-    hi = ranked.select(*keys, F.col("_i").alias("_c"), F.col("_v").alias("_vc"))
-    out = (pos.join(lo, [*keys, "_f"]).join(hi, [*keys, "_c"])
-              .select(*keys, "p", (F.col("_vf") + (F.col("_h") - F.col("_f")) * (F.col("_vc") - F.col("_vf")))
-                      .alias("value")))
-    return out
+    """One row per probability: (p, value) -- or (group, p, value) with ``group``; NULLs are ignored."""
+    ensure_checkpoint_dir(df.sparkSession)
+    key = F.col(group) if group else F.lit(0)
+    counts = (df.select(key.alias("_g"), F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    # persisted first: an eager checkpoint otherwise computes the sort twice
+    spread = counts.orderBy("_g", "_v").persist(StorageLevel.MEMORY_AND_DISK)
+    fixed = spread.checkpoint(eager=True)
+    spread.unpersist()
+    tagged = fixed.withColumn("_pid", F.spark_partition_id())
+    runs = tagged.groupBy("_g", "_pid").agg(F.sum("_c").alias("_s"))
+    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select("_g", "_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
+                          F.sum("_s").over(Window.partitionBy("_g")).alias("_n"))
+    upto = Window.partitionBy("_g", "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (tagged.withColumn("_run", F.sum("_c").over(upto)).join(offsets, ["_g", "_pid"])
+              .select("_g", "_v", "_n", (F.col("_off") + F.col("_run") - F.col("_c")).alias("_from"),
+                      (F.col("_off") + F.col("_run")).alias("_to")))
+
+    def at(position):
+        return F.max(F.when((F.col("_from") <= position) & (position < F.col("_to")), F.col("_v")))
+
+    picks = []
+    for p in probs:
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        picks.append(F.struct(F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high"),
+                              F.max(h - F.floor(h)).alias("part")))
+    out = placed.groupBy("_g").agg(F.array(*picks).alias("_q")).select("_g", F.inline("_q"))
+    return out.select(*([F.col("_g").alias(group)] if group else []), "p",
+                      (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value"))
 
 
 def quantile_row(df: DataFrame, col: str, probs: list[float], prefix: str = "q") -> DataFrame:

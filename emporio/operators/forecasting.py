@@ -131,7 +131,12 @@ def feature_importance(model, cols: list[str], spark) -> DataFrame:
 # --- H23 / H24 -------------------------------------------------------------------------------------
 def walk_forward(data: DataFrame, family: str, params: dict, n_folds: int = 4, horizon: int = 30,
                  min_train: int = 200) -> DataFrame:
-    """Growing train window, the last ``n_folds`` x ``horizon`` days as test folds."""
+    """Growing train window, the last ``n_folds`` x ``horizon`` days as test folds.
+
+    Every fold has a row; ``status`` says why a fold has no metrics
+    (fewer than ``min_train`` days of training, or no test day).
+    """
+    spark = data.sparkSession
     max_date = data.agg(F.max("order_date")).first()[0]
     import datetime as dt
     start = max_date - dt.timedelta(days=(n_folds - 1) * horizon)
@@ -140,14 +145,19 @@ def walk_forward(data: DataFrame, family: str, params: dict, n_folds: int = 4, h
         end = min(start + dt.timedelta(days=horizon - 1), max_date)
         tr = data.where(F.col("order_date") < F.lit(start))
         te = data.where((F.col("order_date") >= F.lit(start)) & (F.col("order_date") <= F.lit(end)))
-        if tr.count() < min_train or te.limit(1).count() == 0:
-            break
-        m = make_estimator(family, params).fit(tr)
-        met = T.regression_metrics(predict(m, te, family), by=["model"])
+        days = tr.select("order_date").distinct().count()   # days, whatever the number of series
+        status = "short_train" if days < min_train else "ok" if te.limit(1).count() else "no_test"
+        if status == "ok":
+            m = make_estimator(family, params).fit(tr)
+            met = T.regression_metrics(predict(m, te, family), by=["model"])
+        else:
+            met = spark.range(1).select(F.lit(0).cast("long").alias("n"),
+                                        *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "r2", "mape")])
         out.append(met.select(F.lit(k + 1).alias("fold"), F.lit(str(start)).alias("fold_test_start"),
-                              F.lit(str(end)).alias("fold_test_end"), "n", "mae", "rmse", "r2", "mape"))
+                              F.lit(str(end)).alias("fold_test_end"), F.lit(status).alias("status"),
+                              "n", "mae", "rmse", "r2", "mape"))
         start = end + dt.timedelta(days=1)
-    return reduce(lambda a, b: a.unionByName(b), out) if out else None
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def expanding_cv(data: DataFrame, family: str, params: dict, n_splits: int = 5) -> DataFrame:

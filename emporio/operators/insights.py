@@ -58,8 +58,9 @@ def latest_full_month(trend: DataFrame, selected_month: str | None, params: Para
     """The month KPIs compare against, and its growth over the month before.
 
     Selected month if given; else the last month, or the one before it
-    when the last has revenue under ``near_empty_month_revenue`` and
-    there are at least three months.  One row (NULLs if undefined).
+    when the last is nearly empty and there are at least three months:
+    revenue under ``near_empty_month_revenue``, or with
+    ``near_empty_month_share`` under that share of the earlier months' mean.  One row (NULLs if undefined).
     """
     w = Window.orderBy("order_month")
     t = (trend.select("order_month", "total_revenue", "total_orders")
@@ -67,13 +68,17 @@ def latest_full_month(trend: DataFrame, selected_month: str | None, params: Para
               .withColumn("prev_revenue", F.lag("total_revenue").over(w))
               .withColumn("prev_orders", F.lag("total_orders").over(w)))
     n = t.agg(F.count(F.lit(1)).alias("n"),
-              F.max_by("total_revenue", "order_month").alias("last_revenue"))
+              F.max_by("total_revenue", "order_month").alias("last_revenue"),
+              F.sum("total_revenue").alias("sum_revenue"))
+    share, last = params.near_empty_month_share, F.col("last_revenue")
+    near_empty = (last < params.near_empty_month_revenue if share is None
+                  else last * (F.col("n") - 1) < share * (F.col("sum_revenue") - last))
     if selected_month:
         target = t.where(F.col("order_month") == selected_month).select("idx")
         pick = _one(target).select(F.col("idx").alias("target_idx"))
     else:
         pick = n.select(F.when(F.col("n") < 2, F.lit(None).cast("int"))
-                         .when((F.col("last_revenue") < params.near_empty_month_revenue) & (F.col("n") >= 3),
+                         .when(near_empty & (F.col("n") >= 3),
                                F.col("n") - 2)
                          .otherwise(F.col("n") - 1).alias("target_idx"))
     j = _one(pick).join(t, (F.col("idx") == F.col("target_idx")) & (F.col("target_idx") > 0), "left")

@@ -80,14 +80,16 @@ def value_distribution(df: DataFrame, col: str, attribute: str | None = None) ->
 
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """describe() with exact quartiles: count, nulls, mean, std, min, 25/50/75 %, max."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
+                                         for c in cols])).alias("s")).select("s.*")
+    quartiles = exact_quantiles(long, "x", [0.25, 0.5, 0.75], group="column_name")   # one pass for all columns
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
         base = df.agg(F.count(x).cast("long").alias("count"), F.count_if(x.isNull()).cast("long").alias("nulls"),
                       (F.sum(F.col(c)).cast("double") / F.count(x)).alias("mean"),
                       F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        qrow = q.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+        qrow = quartiles.where(F.col("column_name") == c).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                        for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
         # base and qrow are one-row aggregates
         parts.append(base.crossJoin(qrow).select(F.lit(c).alias("column_name"), "count", "nulls", "mean",

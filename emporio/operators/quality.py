@@ -200,6 +200,7 @@ def reporting_audit(table: DataFrame, name: str, key: str, revenue_col: str, fac
 
 def raise_on_failure(findings: DataFrame) -> None:
     """Stop a run when any finding has status FAIL (one small action)."""
-    bad = findings.where(F.col("status") == FAIL).limit(20).collect()
-    if bad:
+    by = [c for c in ("table_name", "check") if c in findings.columns]
+    bad = findings.where(F.col("status") == FAIL).groupBy(*by).agg(F.count(F.lit(1)).alias("failures")).collect()
+    if any(r["failures"] for r in bad):
         raise ValueError(f"data-quality failures: {[r.asDict() for r in bad]}")

@@ -132,14 +132,18 @@ def standard_scale(df: DataFrame, cols=CLUSTERING_FEATURES) -> DataFrame:
 
 def robust_scale(df: DataFrame, cols=CLUSTERING_FEATURES) -> DataFrame:
     """I6 robust: (x - median) / IQR (0 IQR -> 1), exact quantiles."""
-    out = []
-    for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        st = q.agg(F.struct(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("med"),
-                            (F.max(F.when(F.col("p") == 0.75, F.col("value")))
-                             - F.max(F.when(F.col("p") == 0.25, F.col("value")))).alias("iqr"))).scalar()
-        out.append(((F.col(c) - st["med"]) / F.when(st["iqr"] > 0, st["iqr"]).otherwise(F.lit(1.0))).alias(c))
-    return df.select("customer_unique_id", *out)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                                         for c in cols])).alias("s")).select("s.*")
+    q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], group="column")   # one pass for all columns
+
+    def at(c, p):
+        return F.max(F.when((F.col("column") == c) & (F.col("p") == p), F.col("value")))
+
+    st = q.agg(F.struct(*[s for c in cols for s in (at(c, 0.5).alias(f"med_{c}"),
+                                                    (at(c, 0.75) - at(c, 0.25)).alias(f"iqr_{c}"))])).scalar()
+    return df.select("customer_unique_id", *[
+        ((F.col(c) - st[f"med_{c}"]) / F.when(st[f"iqr_{c}"] > 0, st[f"iqr_{c}"]).otherwise(F.lit(1.0))).alias(c)
+        for c in cols])
 
 
 def correlation_matrix(df: DataFrame, cols=CLUSTERING_FEATURES) -> DataFrame:
@@ -175,13 +179,14 @@ def pca_85(vectors: DataFrame, threshold: float = 0.85, in_col: str = "features"
     return model.transform(vectors), k, ratios
 
 
-def sample_by_hash(df: DataFrame, n: int, seed: int = SEED, key: str = "customer_unique_id") -> DataFrame:
-    """Reproducible sample of at most n rows (order by a seeded hash, take n)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+def sample_by_hash(df: DataFrame, fraction: float, seed: int = SEED, key: str = "customer_unique_id") -> DataFrame:
+    """Reproducible share of the rows, by a threshold on a seeded hash (no sort, no shuffle)."""
+    steps = 1_000_000
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(steps)) < round(fraction * steps))
 
 
-def projection_2d(vectors: DataFrame, labels: DataFrame | None = None, n: int = 1000,
-                  in_col: str = "features") -> DataFrame:
+def projection_2d(vectors: DataFrame, labels: DataFrame | None = None, in_col: str = "features") -> DataFrame:
+    """Every customer; a caller that draws them samples for display."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
     m = PCA(k=2, inputCol=in_col, outputCol="_p2").fit(vectors)
@@ -189,7 +194,7 @@ def projection_2d(vectors: DataFrame, labels: DataFrame | None = None, n: int =
     p = p.select("customer_unique_id", F.col("_a")[0].alias("pc1"), F.col("_a")[1].alias("pc2"))
     if labels is not None:
         p = p.join(labels, "customer_unique_id", "left")
-    return sample_by_hash(p, n)
+    return p
 
 
 # --- I11-I13 / I24 ----------------------------------------------------------------------------------

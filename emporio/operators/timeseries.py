@@ -327,14 +327,14 @@ def regression_metrics(preds: DataFrame, by: list[str] | None = None) -> DataFra
     """MAE, RMSE, R^2, MAPE (over y != 0) per group."""
     by = by or ["series_key", "model"]
     p = preds.where(F.col("pred").isNotNull())
-    mean_y = F.avg("y").over(Window.partitionBy(*by))
-    p = p.withColumn("_dev2", F.pow(F.col("y") - mean_y, 2))
+    # the total sum of squares in the same partial aggregate, not from a mean over a window
+    total = F.var_pop("y") * F.count("y")
     err = F.col("y") - F.col("pred")
     return (p.groupBy(*by)
              .agg(F.count(F.lit(1)).cast("long").alias("n"),
                   F.avg(F.abs(err)).alias("mae"),
                   F.sqrt(F.avg(err * err)).alias("rmse"),
-                  (F.lit(1.0) - F.try_divide(F.sum(err * err), F.sum("_dev2"))).alias("r2"),
+                  (F.lit(1.0) - F.try_divide(F.sum(err * err), total)).alias("r2"),
                   (F.avg(F.when(F.col("y") != 0, F.abs(err / F.col("y")))) * 100.0).alias("mape")))
 
 

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import calendar_columns, date_key, month_year, parse_ts
-from ..functions.joins import broadcast_if_small
 from ..functions.keys import with_dense_key, with_unique_key
 
 MONEY = "decimal(12,2)"
@@ -71,8 +70,8 @@ def dim_seller(sellers: DataFrame, geo: DataFrame) -> DataFrame:
 
 # --- B4 ------------------------------------------------------------------------------
 def dim_product(products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Category translation (a ~70-row table: broadcast after a size check), volume, renamed sizes."""
-    return (products.join(broadcast_if_small(categories), "product_category_name", "left")
+    """Category translation (a ~70-row table), volume, renamed sizes."""
+    return (products.join(categories, "product_category_name", "left")
             .select("product_id", "product_category_name", "product_category_name_english",
                     F.col("product_name_lenght").alias("product_name_length"),
                     F.col("product_description_lenght").alias("product_description_length"),

@@ -18,7 +18,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Params, sf_of
+from ..config import Params
 from ..operators import warehouse as wh
 from ..session import ensure_checkpoint_dir
 from ..sources.fixture import load_fixture_sources
@@ -45,7 +45,7 @@ class Context:
     @staticmethod
     def for_fixture(spark: SparkSession, sf_dir: str, params: Params | None = None,
                     materialize: bool = True) -> "Context":
-        params = params or Params.for_fixture(sf_of(sf_dir))
+        params = params or Params.for_fixture()
         key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), params, materialize)
         with _LOCK:
             ctx = _MEMO.get(key)

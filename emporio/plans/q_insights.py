@@ -16,7 +16,8 @@ ALL = Slice()
 
 def _blocks(p: Params) -> str:
     """SQL building blocks mirroring dashboard / insights for the unfiltered slice."""
-    thr = repr(float(p.near_empty_month_revenue))
+    near_empty = (f"last_revenue < {float(p.near_empty_month_revenue)!r}" if p.near_empty_month_share is None else
+                  f"last_revenue * (n - 1) < {p.near_empty_month_share!r} * (sum_revenue - last_revenue)")
     return f"""
 kp AS (SELECT COALESCE(CAST(sum(revenue) AS DOUBLE), 0) AS total_revenue, count(*) AS total_orders,
               count(DISTINCT customer_unique_id) AS total_customers FROM orders_g),
@@ -31,8 +32,8 @@ tr AS (SELECT s.order_month, COALESCE(m.total_revenue, 0.0) AS total_revenue, CO
 trx AS (SELECT *, row_number() OVER (ORDER BY order_month) - 1 AS idx,
                lag(total_revenue) OVER (ORDER BY order_month) AS prev_revenue,
                lag(total_orders) OVER (ORDER BY order_month) AS prev_orders FROM tr),
-pick AS (SELECT CASE WHEN n < 2 THEN NULL WHEN last_revenue < {thr} AND n >= 3 THEN n - 2 ELSE n - 1 END AS target_idx
-         FROM (SELECT count(*) AS n, arg_max(total_revenue, order_month) AS last_revenue FROM trx) z),
+pick AS (SELECT CASE WHEN n < 2 THEN NULL WHEN {near_empty} AND n >= 3 THEN n - 2 ELSE n - 1 END AS target_idx
+         FROM (SELECT count(*) AS n, arg_max(total_revenue, order_month) AS last_revenue, sum(total_revenue) AS sum_revenue FROM trx) z),
 g2 AS (SELECT t.order_month AS target_month,
               CASE WHEN t.prev_revenue IS NULL OR t.prev_revenue = 0 THEN NULL
                    ELSE (t.total_revenue - t.prev_revenue) / t.prev_revenue * 100.0 END AS revenue_growth,

@@ -481,8 +481,7 @@ def _kmeans(ctx):
 
 def _build_kmeans(ctx):
     sp = _scaled_pca(ctx)
-    sample = {n: S.sample_by_hash(v[0], 20000) for n, v in sp.items()}
-    sweep = S.k_sweep(sample)
+    sweep = S.k_sweep({n: v[0] for n, v in sp.items()})   # all customers
     best = sweep.where("chosen").first()
     proj = sp[best["scaler"]][0]
     model = S.kmeans_fit(proj, best["k"], in_col="pca")
@@ -510,7 +509,7 @@ def i9(ctx):
 @register("i10_evaluation_sample")
 def i10(ctx):
     proj = _scaled_pca(ctx)["StandardScaler"][0]
-    return S.sample_by_hash(proj.select("customer_unique_id"), 20000)
+    return S.sample_by_hash(proj.select("customer_unique_id"), 0.2)
 
 
 @register("i11_k_sweep")
@@ -534,12 +533,12 @@ def i13(ctx):
 @register("i16_kmeans_stability")
 def i16k(ctx):
     sweep, best, proj, model, pred = _kmeans(ctx)
-    sample = S.sample_by_hash(pred, 20000)
+    points = pred.drop("cluster_id")
     parts = []
     for s in S.STABILITY_SEEDS:
-        other = S.kmeans_fit(sample.drop("cluster_id"), best["k"], seed=s, in_col="pca").transform(
-            sample.drop("cluster_id")).select("customer_unique_id", F.col("cluster_id").alias("other"))
-        lab = sample.select("customer_unique_id", "cluster_id").join(other, "customer_unique_id")
+        other = S.kmeans_fit(points, best["k"], seed=s, in_col="pca").transform(points).select(
+            "customer_unique_id", F.col("cluster_id").alias("other"))
+        lab = pred.select("customer_unique_id", "cluster_id").join(other, "customer_unique_id")
         parts.append(S.adjusted_rand_index(lab, "cluster_id", "other").select(F.lit(s).alias("seed"), "ari"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -562,7 +561,7 @@ def i22k(ctx):
 @register("i24_gmm_comparison")
 def i24(ctx):
     proj = _scaled_pca(ctx)["StandardScaler"][0]
-    return S.gmm_compare(S.sample_by_hash(proj, 20000))
+    return S.gmm_compare(proj)
 
 
 @register("g15_model_sentiment")

@@ -258,7 +258,7 @@ SELECT year_number, month_number, month_year AS order_month,
        count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_unique_id) AS total_customers,
        CASE WHEN count(DISTINCT order_id) > 0
             THEN CAST(sum(total_sales_amount) AS DOUBLE) / count(DISTINCT order_id) ELSE 0 END AS average_order_value
-FROM fact GROUP BY 1, 2, 3 ORDER BY order_month LIMIT 10000"""))
+FROM fact GROUP BY 1, 2, 3"""))
 def a8(ctx):
     from ..operators import reporting as R
     report = R.sales_summary(ctx.fact)

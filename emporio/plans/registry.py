@@ -19,8 +19,6 @@ from ..functions.filters import Slice
 from .context import Context
 from .oracle import with_base
 
-ORACLE_SF = 0.01
-
 
 @dataclass
 class Query:
@@ -54,9 +52,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(q) for name, q in REGISTRY.items()}
 
 
-def oracle_sql(sf: float = ORACLE_SF) -> dict[str, str]:
+def oracle_sql() -> dict[str, str]:
     _load_all()
-    p = Params.for_fixture(sf)
+    p = Params.for_fixture()
     return {name: q.oracle(p) for name, q in REGISTRY.items() if q.oracle is not None}
 
 

@@ -18,19 +18,23 @@ def get_spark(master: str | None = None, app: str = "emporio",
     with partition coalescing and skew-join splitting, UI off.  On a
     cluster ``master`` stays None and the submitter's settings win.
     """
+    from pyspark import SparkConf
+
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("EMPORIO_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.session.timeZone", "UTC")
-          .config("spark.sql.shuffle.partitions", str(parts))
-          .config("spark.sql.adaptive.enabled", "true")
-          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.driver.memory", os.environ.get("EMPORIO_DRIVER_MEMORY", "16g")))
+    given = SparkConf()   # what spark-submit has passed on
+    wanted = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
+              "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+              "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    if (master or given.get("spark.master", "local")).startswith("local"):
+        # sizes for one machine only; a cluster keeps its own
+        parts = shuffle_partitions or int(os.environ.get("EMPORIO_SHUFFLE_PARTITIONS", "8"))
+        wanted |= {"spark.sql.shuffle.partitions": str(parts), "spark.ui.enabled": "false",
+                   "spark.driver.memory": os.environ.get("EMPORIO_DRIVER_MEMORY", "16g")}
+    for key, value in wanted.items():
+        if not given.contains(key):
+            b = b.config(key, value)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -50,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _LOCAL_CHECKPOINT_ROOT is None:
             _LOCAL_CHECKPOINT_ROOT = tempfile.mkdtemp(prefix="emporio-ckpt-")
         conf_dir = _LOCAL_CHECKPOINT_ROOT

@@ -1,25 +1,36 @@
 """A1/A2: header CSV sources read with fixed schemas (no inference).
 
 The reader is lazy: nothing is scanned until a plan that uses the frame
-runs, and Catalyst prunes columns a plan does not need.  On a cluster
-``base`` is shared storage; every file is split across tasks.
+runs, and Catalyst prunes columns a plan does not need.  Quotes inside
+a quoted field are doubled.  Columns are taken by the header's names, in
+any order; a row that does not fit the schema stops the read instead of
+shifting its values.  Only files whose text fields may hold line breaks
+are read as one piece each (keep such sources as many files); all others
+are split across tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql.types import StructType
+
 from .schemas import SOURCES
 
+#: Sources with free text, which may hold line breaks inside quotes.
+MULTILINE = {"reviews"}
+
 
 def load_source(spark: SparkSession, base: str, name: str, file_name: str | None = None) -> DataFrame:
     schema = SOURCES[name]
     path = f"{base.rstrip('/')}/{file_name or name + '.csv'}"
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-            .csv(path))
+    reader = (spark.read.option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
+              .option("multiLine", name in MULTILINE).option("timestampFormat", "yyyy-MM-dd HH:mm:ss"))
+    # the header's order (one line is read), with the fixed types
+    given = [c.strip() for c in reader.option("inferSchema", False).csv(path).columns]
+    if sorted(given) != sorted(schema.names):
+        raise ValueError(f"{path}: columns {given}, expected {schema.names}")
+    return reader.schema(StructType([schema[c] for c in given])).csv(path).select(*schema.names)
 
 
 def load_orders(spark, base, file_name=None):

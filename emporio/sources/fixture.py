@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
 
 # Category translation used for the fixture
 # (source name -> English name; PROMO deliberately missing).
@@ -65,8 +64,7 @@ def _places(spark, sf_dir) -> DataFrame:
     """nation -> (zip, city, state) for customers, sellers and geolocation."""
     n = read_table(spark, sf_dir, "nation")
     r = read_table(spark, sf_dir, "region")
-    # nation x region: small source tables, broadcast after a size check
-    return (n.join(broadcast_if_small(r), n.n_regionkey == r.r_regionkey)
+    return (n.join(r, n.n_regionkey == r.r_regionkey)
              .select(F.col("n_nationkey").alias("nk"),
                      F.lower("r_name").alias("city"),
                      state_code(F.col("n_nationkey")).alias("state")))
@@ -79,7 +77,7 @@ def load_fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
     cu = read_table(spark, sf_dir, "customer")
     su = read_table(spark, sf_dir, "supplier")
     pa = read_table(spark, sf_dir, "part")
-    places = broadcast_if_small(_places(spark, sf_dir))
+    places = _places(spark, sf_dir)
 
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     order_items = li.select(

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from graphlib import TopologicalSorter
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,6 @@ REPORT_TABLES = {
     "reporting_seller_summary": ["seller_id"],
 }
 MAX_PAGE_SIZE = 500
-EXPORT_ROW_CAP = 10_000
 
 
 def _is_path(target: str) -> bool:
@@ -64,18 +65,28 @@ def load_table(df: DataFrame, target: str, delete_first: bool) -> int:
 
 
 # --- A6 -----------------------------------------------------------------------------------
-# children before parents
-RESET_ORDER = ["fact_sales", "dim_date", "dim_product", "dim_seller", "dim_customer", "dim_geography"]
+#: Table -> tables it refers to.
+REFERS_TO = {
+    "dim_geography": (), "dim_date": (), "dim_product": (), "dim_customer": ("dim_geography",),
+    "dim_seller": ("dim_geography",), "fact_sales": ("dim_customer", "dim_seller", "dim_product", "dim_date"),
+}
+
+
+def reset_order() -> list[str]:
+    """Children before parents."""
+    return list(TopologicalSorter(REFERS_TO).static_order())[::-1]
 
 
-def reset_warehouse(spark: SparkSession, base: str, tables=RESET_ORDER) -> dict[str, int]:
-    """Empty every table (schema kept) in reverse dependency order."""
+def reset_warehouse(spark: SparkSession, base: str, tables: list[str] | None = None) -> dict[str, int]:
+    """Empty every table (schema kept), children first; a table never written is left out."""
     out = {}
-    for t in tables:
+    for t in tables or reset_order():
         path = f"{base.rstrip('/')}/{t}"
         try:
             df = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - a table that was never written has nothing to empty
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         empty = spark.createDataFrame([], df.schema)
         empty.write.mode("overwrite").parquet(path)
@@ -98,19 +109,19 @@ def paged_report(df: DataFrame, table: str, page: int = 1, page_size: int = 50)
     """
     if table not in REPORT_TABLES:
         raise ValueError(f"table {table!r} is not an allowed report")
-    page = max(1, int(page))
-    page_size = max(1, min(int(page_size), MAX_PAGE_SIZE))
+    page, page_size = int(page), int(page_size)
+    if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page {page} of {page_size} rows: pages start at 1 and have 1 to {MAX_PAGE_SIZE} rows")
     keys = REPORT_TABLES[table]
     rows = df.orderBy(*keys).limit(page * page_size).offset((page - 1) * page_size)
     total = df.agg(F.count(F.lit(1)).cast("long").alias("total_rows"))
     return rows, total
 
 
-def export_csv(df: DataFrame, table: str, out_dir: str, cap: int = EXPORT_ROW_CAP) -> int:
-    """The first ``cap`` rows (by key) as one CSV file with a header."""
-    keys = REPORT_TABLES.get(table) or df.columns[:1]
-    head = df.orderBy(*keys).limit(cap)
-    return _write_csv(head.coalesce(1), out_dir)
+def export_csv(df: DataFrame, table: str, out_dir: str, row_limit: int | None = None) -> int:
+    """All rows, or the first ``row_limit``, in key order as CSV part files with a header each."""
+    rows = df.orderBy(*(REPORT_TABLES.get(table) or df.columns[:1]))
+    return _write_csv(rows if row_limit is None else rows.limit(row_limit), out_dir)
 
 
 def _write_csv(df: DataFrame, out_dir: str) -> int:

@@ -77,21 +77,6 @@ def test_constant_series_rolling_std_is_zero(spark):
     assert r[7].log_rev_roll_std_7 == 0.0 and r[7].log_rev_roll_mean_7 == 5.0
 
 
-def test_broadcast_only_behind_the_size_check(spark):
-    from emporio.functions.joins import broadcast_if_small
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")    # only explicit hints broadcast
-    try:
-        big = spark.range(1000).withColumnRenamed("id", "k")
-        small = spark.range(10).withColumnRenamed("id", "k")
-        plan_small = big.join(broadcast_if_small(small, max_rows=100), "k")._jdf.queryExecution().toString()
-        plan_over = big.join(broadcast_if_small(small, max_rows=5), "k")._jdf.queryExecution().toString()
-        assert "BroadcastHashJoin" in plan_small
-        assert "BroadcastHashJoin" not in plan_over
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-
-
 def test_context_memo_builds_once_across_threads(spark):
     from concurrent.futures import ThreadPoolExecutor
     from emporio.plans.context import Context

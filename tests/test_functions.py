@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from emporio.functions.quantiles import exact_quantiles
@@ -45,8 +46,12 @@ def test_paged_report_and_export(spark, tmp_dir):
     rows, total = sinks.paged_report(df, "reporting_sales_summary", page=2, page_size=5)
     assert [r.order_month for r in rows.collect()] == [f"2001-{m:02d}" for m in range(6, 11)]
     assert total.first().total_rows == 12
-    n = sinks.export_csv(df, "reporting_sales_summary", os.path.join(tmp_dir, "csv"), cap=10)
-    assert n == 10
+    n = sinks.export_csv(df, "reporting_sales_summary", os.path.join(tmp_dir, "csv"))
+    assert n == 12
+    assert sinks.export_csv(df, "reporting_sales_summary", os.path.join(tmp_dir, "few"), row_limit=10) == 10
+    for page, size in ((0, 5), (1, 501), (1, 0)):
+        with pytest.raises(ValueError):
+            sinks.paged_report(df, "reporting_sales_summary", page=page, page_size=size)
 
 
 def test_replace_append_reset(spark, tmp_dir):
