@@ -25,18 +25,31 @@ UNION ALL SELECT 'categories', count(*) FROM categories"""))
 def a2(ctx):
     from functools import reduce
     parts = [df.agg(F.count(F.lit(1)).cast("long").alias("row_count")).select(F.lit(n).alias("source"), "row_count")
-             for n, df in ctx.src.items()]
+             for n, df in csv_sources(ctx).items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@register("a1_order_items_source", sql(f"SELECT * FROM {source_sql('order_items')} t"))
-def a1(ctx):
-    return ctx.src["order_items"]
+def csv_sources(ctx):
+    """The nine sources written as CSV, columns in another order, and read back by the loaders."""
+    def build():
+        from ..sources.csv import load_all_sources
+        base = ctx.scratch("csv_sources")
+        for name, df in ctx.src.items():
+            (df.select(*reversed(df.columns)).write.mode("overwrite").option("header", True)
+             .option("quote", '"').option("escape", '"').csv(f"{base}/{name}.csv"))
+        return load_all_sources(ctx.spark, base)
+    return ctx.memo("csv_sources", build)
 
 
-@register("a1_orders_source", sql(f"SELECT * FROM {source_sql('orders')} t"))
-def a1o(ctx):
-    return ctx.src["orders"]
+def _source_query(name):
+    @register(f"a1_{name}_source", sql(f"SELECT * FROM {source_sql(name)} t"))
+    def a1(ctx):
+        return csv_sources(ctx)[name]
+
+
+for _name in ("customers", "orders", "order_items", "products", "sellers", "payments", "reviews", "geolocation",
+              "categories"):
+    _source_query(_name)
 
 
 # --- B1-B5 ---------------------------------------------------------------------------

@@ -133,3 +133,43 @@ def test_recursive_forecast_equals_full_history_rebuild(spark):
             "order_date", F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("p")).first()
         assert abs(fast[p.order_date] - p.p) <= 1e-9 * max(1.0, abs(p.p))
         hist = hist.unionByName(new.withColumn("daily_revenue", F.lit(p.p)))
+
+
+def test_exact_quantiles_with_a_hot_value(spark):
+    """97 % equal values: one row after counting, so no partition holds them all."""
+    from pyspark.sql import functions as F
+    df = spark.range(40_000).select(F.when(F.col("id") % 100 < 97, 5.0).otherwise(F.col("id") / 7.0).alias("x"),
+                                    (F.col("id") % 3).alias("g"))
+    rows = df.collect()
+    probs = [0.0, 0.01, 0.25, 0.5, 0.97, 0.985, 1.0]
+    for r in exact_quantiles(df, "x", probs).collect():
+        assert r.value == pytest.approx(np.quantile([v.x for v in rows], r.p))
+    for r in exact_quantiles(df, "x", probs, group="g").collect():
+        assert r.value == pytest.approx(np.quantile([v.x for v in rows if v.g == r.g], r.p))
+    assert exact_quantiles(df.where("x < 0"), "x", probs).collect() == []
+
+
+def test_csv_quotes_line_breaks_and_column_order(spark, tmp_dir):
+    from emporio.sources.csv import load_source
+    from emporio.sources.schemas import SOURCES
+    cols = list(reversed(SOURCES["reviews"].names))
+    values = {"review_id": "r1", "order_id": "o1", "review_score": "4", "review_comment_title": '"say ""hi"", ok"',
+              "review_comment_message": '"first\nsecond, line"', "review_creation_date": "2018-01-01 00:00:00",
+              "review_answer_timestamp": "2018-01-02 00:00:00"}
+    second = {**values, "review_id": "r2", "review_comment_title": "", "review_comment_message": "plain"}
+    with open(os.path.join(tmp_dir, "reviews.csv"), "w") as f:
+        for row in (dict(zip(cols, cols)), values, second):
+            f.write(",".join(row[c] for c in cols) + "\n")
+    got = load_source(spark, tmp_dir, "reviews").orderBy("review_id").collect()
+    assert [r.review_id for r in got] == ["r1", "r2"] and got[0].review_score == 4
+    assert got[0].review_comment_title == 'say "hi", ok' and got[0].review_comment_message == "first\nsecond, line"
+    with open(os.path.join(tmp_dir, "sellers.csv"), "w") as f:
+        f.write("seller_city,seller_id,seller_state\nx,s,SP\n")
+    with pytest.raises(ValueError):
+        load_source(spark, tmp_dir, "sellers")
+
+
+def test_parameters_do_not_depend_on_the_path():
+    from emporio.config import Params
+    assert Params.for_fixture() == Params.for_fixture()
+    assert Params.for_fixture().near_empty_month_share == 0.1
