@@ -192,32 +192,52 @@ def ewm_mean(col: str, span: int) -> Column:
     return folded
 
 
-def _ewm_frame(pdf, windows, col):
-    """pandas side of ``ewm_features``: one series, sorted by day."""
-    pdf = pdf.sort_values("order_date")
-    prev = pdf[col].shift(1)
-    out = pdf[["series_key", "order_date"]].copy()
-    for w in windows:
-        out[f"log_rev_roll_ema_{w}"] = prev.ewm(span=w, adjust=True).mean()
-    return out
+#: Days of a block of the running weighted sums.
+EWM_BLOCK = 32
 
 
-def ewm_features(df: DataFrame, windows=ROLLING_WINDOWS, method: str = "pandas",
+def ewm_features(df: DataFrame, windows=ROLLING_WINDOWS, method: str = "blocks",
                  col: str = "log_daily_revenue") -> DataFrame:
-    """H11 for every span.
+    """H11 for every span, in built-in expressions.
 
-    ``method="pandas"``: one ``applyInPandas`` call per series (Arrow batch of the
-    series' days, O(days)) -- a series is bounded by the calendar, not the data.
-    ``method="fold"``: the built-in ``collect_list`` + ``aggregate`` definition
-    (O(days^2)); both give the same numbers (tests/test_functions.py).
+    ``method="blocks"``: days are cut into blocks; inside one the weighted
+    sums are running sums, and what earlier blocks add is folded from one
+    number per block, so a series costs O(days) and no row waits for a
+    whole history.  ``method="fold"``: the definition over the whole
+    history of each day (O(days^2)); both give the same numbers.
     """
     if method == "fold":
         return df.withColumns({f"log_rev_roll_ema_{w}": ewm_mean(col, w) for w in windows})
-    schema = "series_key string, order_date date, " + ", ".join(f"log_rev_roll_ema_{w} double" for w in windows)
-    ws = list(windows)
-    ema = (df.select("series_key", "order_date", col).groupBy("series_key")
-             .applyInPandas(lambda pdf: _ewm_frame(pdf, ws, col), schema))
-    return df.join(ema, ["series_key", "order_date"], "left")
+    day = Window.partitionBy("series_key").orderBy("order_date")
+    at = F.row_number().over(day) - 1
+    x = F.lag(col).over(day).cast("double")
+    rows = (df.withColumns({"_x": x, "_i": at})
+            .withColumns({"_b": F.floor(F.col("_i") / EWM_BLOCK), "_p": F.col("_i") % EWM_BLOCK}))
+    has = F.col("_x").isNotNull().cast("double")
+    decay = {w: 1.0 - 2.0 / (w + 1.0) for w in windows}
+
+    def power(q, exponent):
+        return F.pow(F.lit(q), exponent)
+
+    def decayed_by(factor):
+        return lambda acc, e: acc * factor + e
+
+    # weighted sums at the end of each block, and what the blocks before leave at its start
+    ends = rows.groupBy("series_key", "_b").agg(*[
+        F.sum(v * power(q, EWM_BLOCK - 1 - F.col("_p"))).alias(f"_{n}{w}")
+        for w, q in decay.items() for n, v in (("n", F.col("_x")), ("d", has))])
+    before = Window.partitionBy("series_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("series_key", "_b", *[
+        F.aggregate(F.collect_list(F.coalesce(F.col(f"_{n}{w}"), F.lit(0.0))).over(before), F.lit(0.0),
+                    decayed_by(q ** EWM_BLOCK)).alias(f"_{n}{w}")
+        for w, q in decay.items() for n in "nd"])
+    inside = Window.partitionBy("series_key", "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(carried, ["series_key", "_b"])
+    for w, q in decay.items():
+        num, den = (power(q, F.col("_p")) * F.coalesce(F.sum(v * power(q, -F.col("_p"))).over(inside), F.lit(0.0))
+                    + power(q, F.col("_p") + 1) * F.col(f"_{n}{w}") for n, v in (("n", F.col("_x")), ("d", has)))
+        out = out.withColumn(f"log_rev_roll_ema_{w}", F.when(den > 0, num / den))
+    return out.select(*df.columns, *[f"log_rev_roll_ema_{w}" for w in windows])
 
 
 def prev_day_drivers(df: DataFrame) -> DataFrame:

@@ -86,12 +86,12 @@ def test_streaming_append_is_replay_safe(spark, tmp_dir):
     assert spark.read.parquet(out).count() == 2
 
 
-def test_ewm_pandas_path_equals_fold(spark):
+def test_ewm_blocks_equal_fold(spark):
     import datetime as dt
     rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), float((i * 37 + len(k)) % 11))
             for k in ("a", "b") for i in range(60)]
     df = spark.createDataFrame(rows, "series_key string, order_date date, log_daily_revenue double")
-    a = T.ewm_features(df, method="pandas").orderBy("series_key", "order_date").collect()
+    a = T.ewm_features(df, method="blocks").orderBy("series_key", "order_date").collect()
     b = T.ewm_features(df, method="fold").orderBy("series_key", "order_date").collect()
     for x, y in zip(a, b):
         for w in T.ROLLING_WINDOWS:
