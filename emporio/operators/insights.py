@@ -144,8 +144,8 @@ def score_sentiment(x: Column, good: float, fair: float) -> Column:
     return F.when(x >= good, "positive").when(x >= fair, "neutral").otherwise("warning")
 
 
-def customer_sentiment(at_risk_ratio: Column, repeat_pct: Column) -> Column:
-    return (F.when((at_risk_ratio > 0.4) | (repeat_pct < 5), "warning")
+def customer_sentiment(at_risk_ratio: Column, repeat_pct: Column, at_risk_above: float = 0.4) -> Column:
+    return (F.when((at_risk_ratio > at_risk_above) | (repeat_pct < 5), "warning")
              .when(repeat_pct > 20, "positive").otherwise("neutral"))
 
 
@@ -178,6 +178,18 @@ def sentiment_flags(row: DataFrame) -> DataFrame:
                       .otherwise("neutral").alias("customer_sentiment"))
 
 
+def customer_health(counts: DataFrame, repeat_pct: Column, at_risk_above: float = 0.4) -> DataFrame:
+    """G15 / G16, the persona part: customer sentiment and the at-risk flag (one row).
+
+    ``counts`` is the G14 row; the share of at-risk personas is taken of
+    all clustered customers, whatever slice the other numbers are for.
+    """
+    ratio = F.col("at_risk_ratio")
+    return counts.select("at_risk", "cluster_total", (ratio * 100.0).alias("at_risk_pct"),
+                         customer_sentiment(ratio, repeat_pct, at_risk_above).alias("customer_sentiment"),
+                         (ratio > at_risk_above).alias("at_risk_flag"))
+
+
 def risk_flags(row: DataFrame) -> DataFrame:
     """The raised risks, one row each."""
     return _emit(row, [

@@ -451,6 +451,39 @@ def g14(ctx):
                           "at_risk_ratio"), ["at_risk_ratio"])
 
 
+def _health_sql(above: float) -> str:
+    risk = " OR ".join(f"persona LIKE '%{m}%'" for m in S.AT_RISK_MARKERS)
+    return f"""
+SELECT CAST(sum(customer_count) FILTER (WHERE {risk}) AS BIGINT) AS at_risk, CAST(sum(customer_count) AS BIGINT) AS cluster_total,
+       round(COALESCE(sum(customer_count) FILTER (WHERE {risk}), 0) / sum(customer_count) * 100.0, 4) AS at_risk_pct,
+       CASE WHEN COALESCE(sum(customer_count) FILTER (WHERE {risk}), 0) / sum(customer_count) > {above} OR r.repeat_pct < 5
+            THEN 'warning' WHEN r.repeat_pct > 20 THEN 'positive' ELSE 'neutral' END AS customer_sentiment,
+       COALESCE(sum(customer_count) FILTER (WHERE {risk}), 0) / sum(customer_count) > {above} AS at_risk_flag
+FROM pers, (SELECT 100.0 * count(*) FILTER (WHERE n > 1) / count(*) AS repeat_pct
+            FROM (SELECT customer_unique_id, count(DISTINCT order_id) AS n FROM fact GROUP BY 1) c) r
+GROUP BY r.repeat_pct"""
+
+
+def _health(ctx, above: float):
+    from ..operators import dashboard as D
+    from ..operators import insights as G
+    from ..functions.filters import Slice
+    snap = D.customer_snapshot(ctx, Slice())
+    repeat = snap.select((F.col("repeat_customers") * 100.0 / F.col("total_customers"))).scalar()
+    return rnd(G.customer_health(g14(ctx), repeat, above), ["at_risk_pct"], 4)
+
+
+@register("g15_g16_customer_health", ssql(_health_sql(0.4)))
+def g15_health(ctx):
+    return _health(ctx, 0.4)
+
+
+@register("g16_customer_health_low_threshold", ssql(_health_sql(0.05)))
+def g16_health(ctx):
+    """The same rule with a threshold that the fixture's customers exceed."""
+    return _health(ctx, 0.05)
+
+
 @register("g23_cluster_revenue_share", ssql("""
 SELECT cluster_id, persona, round(total_segment_revenue, 2) AS revenue,
        round(total_segment_revenue / sum(total_segment_revenue) OVER () * 100.0, 6) AS revenue_share_pct FROM pers"""))
