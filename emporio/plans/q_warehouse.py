@@ -257,12 +257,23 @@ def a5(ctx):
     return sinks.read_table(ctx.spark, path)
 
 
-@register("a6_warehouse_reset", sql(f"SELECT * FROM ({SELLER_KEYED_SQL}) t WHERE FALSE", GEO_KEYED))
+@register("a6_warehouse_reset", lambda p: """
+SELECT * FROM (VALUES ('dim_customer', CAST(0 AS BIGINT), true), ('dim_date', CAST(0 AS BIGINT), true),
+  ('dim_geography', CAST(0 AS BIGINT), true), ('dim_product', CAST(0 AS BIGINT), true),
+  ('dim_seller', CAST(0 AS BIGINT), true), ('fact_sales', CAST(0 AS BIGINT), true)) t(table_name, row_count, schema_kept)""")
 def a6(ctx):
+    """All six tables written, then emptied children first; each keeps its columns."""
+    from functools import reduce
     base = ctx.scratch("a6_warehouse")
-    sinks.replace_table(ctx.keyed_dims["dim_seller"], f"{base}/dim_seller")
-    sinks.reset_warehouse(ctx.spark, base, ["dim_seller"])
-    return sinks.read_table(ctx.spark, f"{base}/dim_seller")
+    tables = {**{n: ctx.keyed_dims[n] for n in sinks.REFERS_TO if n != "fact_sales"}, "fact_sales": ctx.fact}
+    for name, df in tables.items():
+        sinks.replace_table(df, f"{base}/{name}")
+    sinks.reset_warehouse(ctx.spark, base)
+    left = {n: sinks.read_table(ctx.spark, f"{base}/{n}") for n in tables}
+    parts = [d.agg(F.count(F.lit(1)).cast("long").alias("row_count")).select(
+        F.lit(n).alias("table_name"), "row_count", F.lit(d.columns == tables[n].columns).alias("schema_kept"))
+        for n, d in left.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("a8_report_csv_export", sql("""
