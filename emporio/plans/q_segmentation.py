@@ -392,25 +392,41 @@ def g10(ctx):
                       / F.sum("n")).alias("agreement_pct")), ["agreement_pct"])
 
 
-@register("g11_actionable_cohorts", xsql("""
-SELECT cohort, customers, round(avg_revenue, 6) AS avg_revenue FROM (
-  SELECT 'value_persona_new_rule' AS cohort, CAST(sum(n) AS BIGINT) AS customers, sum(revenue) / sum(n) AS avg_revenue FROM xt
-  WHERE (persona LIKE '%VIP%' OR persona LIKE '%High-Value%') AND segment = 'new'
-  UNION ALL
-  SELECT 'dormant_persona_vip_rule', CAST(sum(n) AS BIGINT), sum(revenue) / sum(n) FROM xt
-  WHERE (persona LIKE '%Dormant%' OR persona LIKE '%Churned%' OR persona LIKE '%Inactive%') AND segment = 'vip') t
-WHERE customers > 0"""))
-def g11(ctx):
+# cohort -> persona markers; the two actionable ones are the first with 'new' and the second with 'vip'
+COHORT_MARKERS = {"value_persona": ("VIP", "High-Value"), "dormant_persona": ("Dormant", "Churned", "Inactive")}
+ACTIONABLE = (("value_persona", "new"), ("dormant_persona", "vip"))
+ALL_COHORTS = tuple((k, seg) for k in COHORT_MARKERS for seg in ("new", "repeat", "vip"))
+
+
+def _cohorts_sql(cohorts) -> str:
+    parts = "\n  UNION ALL ".join(
+        f"""SELECT '{k}_{seg}_rule' AS cohort, CAST(sum(n) AS BIGINT) AS customers, sum(revenue) / sum(n) AS avg_revenue
+  FROM xt WHERE ({" OR ".join(f"persona LIKE '%{m}%'" for m in COHORT_MARKERS[k])}) AND segment = '{seg}'"""
+        for k, seg in cohorts)
+    return f"SELECT cohort, customers, round(avg_revenue, 6) AS avg_revenue FROM (\n  {parts}) t WHERE customers > 0"
+
+
+def _cohorts(ctx, cohorts):
     c = _cells(ctx)
-    value = F.col("persona").contains("VIP") | F.col("persona").contains("High-Value")
-    dormant = F.col("persona").contains("Dormant") | F.col("persona").contains("Churned") | F.col("persona").contains("Inactive")
-    parts = [c.where(cond & (F.col("segment") == seg)).agg(F.sum("n").cast("long").alias("customers"),
-                                                          (F.sum("revenue") / F.sum("n")).alias("avg_revenue"))
-              .select(F.lit(name).alias("cohort"), "customers", "avg_revenue")
-             for name, cond, seg in (("value_persona_new_rule", value, "new"), ("dormant_persona_vip_rule", dormant, "vip"))]
+    parts = []
+    for k, seg in cohorts:
+        has = reduce(lambda a, b: a | b, [F.col("persona").contains(m) for m in COHORT_MARKERS[k]])
+        parts.append(c.where(has & (F.col("segment") == seg))
+                     .agg(F.sum("n").cast("long").alias("customers"), (F.sum("revenue") / F.sum("n")).alias("avg_revenue"))
+                     .select(F.lit(f"{k}_{seg}_rule").alias("cohort"), "customers", "avg_revenue"))
     return rnd(reduce(lambda a, b: a.unionByName(b), parts).where(F.col("customers") > 0), ["avg_revenue"])
 
 
+@register("g11_actionable_cohorts", xsql(_cohorts_sql(ACTIONABLE)))
+def g11(ctx):
+    return _cohorts(ctx, ACTIONABLE)
+
+
+@register("g11_cohorts_all_segments", xsql(_cohorts_sql(ALL_COHORTS)))
+def g11_all(ctx):
+    return _cohorts(ctx, ALL_COHORTS)
+
+
 # every name the persona rule can produce: the pivot's fixed column list
 PIVOT_PERSONAS = S.PERSONAS + [f"{S.PERSONAS[0]} (Core)"] + [f"{x} (Long-Term)" for x in S.PERSONAS[1:]]
 
