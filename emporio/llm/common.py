@@ -148,8 +148,11 @@ def bucket_classes(members: DataFrame, verify, compare, name: str) -> DataFrame:
     Every pair that shares a bucket and isn't in one class already has
     been compared, so no link is lost; memory is bounded by two blocks.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    sized = stored(members.join(sizes, "key"), f"{name}-buckets")
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"),
+                   f"{name}-sizes")
+    # most buckets hold one node; their rows are dropped before the join's shuffle
+    shared = sieve(members, F.col("key"), sizes.select("key"), "_maybe").where("_maybe").drop("_maybe")
+    sized = stored(shared.join(sizes, "key"), f"{name}-buckets")
     small = sized.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
     pairs = (small.selectExpr("key", "node a").join(small.selectExpr("key", "node b"), "key").where("a < b")
              .select("a", "b"))

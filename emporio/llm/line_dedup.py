@@ -67,7 +67,7 @@ def line_classes(docs: DataFrame, places: DataFrame, o: Options) -> DataFrame:
                      for b in range(o.bands)])
     nodes = stored(signed.select("k1", "k2", keys.alias("keys"))
                    .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    banded = nodes.select("node", F.explode("keys").alias("key"))
+    banded = nodes.select("node", F.explode("keys").alias("key"))   # distinct: a key holds its band's number
     def sets_of(wanted, name):
         """The shingle hashes of lines, from one place of each."""
         need = (wanted.join(nodes.select("node", "k1", "k2"), "node").join(places, ["k1", "k2"])
@@ -83,14 +83,17 @@ def line_classes(docs: DataFrame, places: DataFrame, o: Options) -> DataFrame:
         return stored(texts.select("node", F.array_distinct(F.transform("s", lambda x: F.xxhash64(x))).alias("s")),
                       f"{name}-sets")
 
+    sets = None
+
     def verify(pairs, name):
+        nonlocal sets
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(),
                        name)
         both = pairs.join(sets.selectExpr("node a", "s sa"), "a").join(sets.selectExpr("node b", "s sb"), "b")
         return stored(both.where(close(F.col("sa"), F.col("sb"), o)).select("a", "b"), f"{name}-links")
 
     def compare(near, name):
-        own = stored(near.join(sets_of(near.select("node"), f"{name}-block"), "node"), f"{name}-block")
+        own = stored(near.join(sets, "node"), f"{name}-block")   # every node of a bucket has been in a pair
         blocks = (own.groupBy("cluster", "block").agg(F.collect_list(F.struct("root", "s")).alias("held"))
                   .select("cluster", "held", F.explode(F.expr("sequence(0, block)")).alias("block")))
         hits = F.filter("held", lambda x: (x["root"] != F.col("root")) & close(x["s"], F.col("s"), o))
@@ -99,7 +102,7 @@ def line_classes(docs: DataFrame, places: DataFrame, o: Options) -> DataFrame:
         return met.select("root", F.explode("hits").alias("hit")).select(
             F.least("root", "hit").alias("a"), F.greatest("root", "hit").alias("b")).distinct()
 
-    labels = bucket_classes(banded.distinct(), verify, compare, "line").where("node <> root")
+    labels = bucket_classes(banded, verify, compare, "line").where("node <> root")
     return (labels.join(nodes.select("node", "k1", "k2"), "node")
             .join(nodes.selectExpr("node root", "k1 c1", "k2 c2"), "root").select("k1", "k2", "c1", "c2"))
 
