@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from emporio.plans import registry
 
 from conftest import SF_SMALL
 
@@ -38,13 +39,12 @@ def con():
     return c
 
 
-NAMES = sorted(k for k in E.oracle_sql() if not k.startswith(SKIP))
+NAMES = sorted(k for k in registry.oracle_sql() if not k.startswith(SKIP))
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    from emporio.plans.registry import oracle_sql
-    sql = oracle_sql(0.001)[name]
+    sql = registry.oracle_sql()[name]
     df = E.queries()[name](spark, SF_SMALL)
     cols = df.columns
     got = _canon(tuple(r) for r in df.collect())
