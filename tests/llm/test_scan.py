@@ -6,12 +6,13 @@ import json
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
 
 import __spark_entry__ as entry
-from emporio.llm import compression_rules, cotraining, decontaminate, language_id, secret_scan
+from emporio.llm import compression_rules, cotraining, decontaminate, language_id, queries, secret_scan
 
 from .conftest import same_columns
 
@@ -291,3 +292,17 @@ def test_pipeline_stages(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    df = queries.queries()[name](spark, sf)
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    at = [names.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
