@@ -8,9 +8,7 @@ Two flavours of the fact are built from the same pieces:
   key lookup at all and is what every reporting / dashboard / ML job
   reads.  Both give the same rows.
 
-Join strategy: only the category translation gets an explicit broadcast
-hint, after its row count is checked (``broadcast_if_small``).  All
-other joins are left to the planner: with AQE on, a side whose measured
+Join strategy: no explicit hints; all joins are left to the planner: with AQE on, a side whose measured
 shuffle output is under ``spark.sql.autoBroadcastJoinThreshold`` is
 turned into a broadcast at run time, everything else stays a
 sort-merge join, and AQE splits skewed partitions of the big side.
