@@ -1,9 +1,9 @@
 """Operator 4, line dedup: fuzzy lines by MinHash. DataFrame and SQL functions only.
 
-A line, in lower case, is a set of character shingles: at every word the
-word, the space and the next word's first ``ahead`` characters, so that
-each character and each word boundary is in a shingle.  Signatures are
-minima of one 64-bit shingle hash under ``bands * rows`` exclusive-or
+A line, in lower case, its stretches of white space as one blank and none
+at its ends, is the set of its character shingles: ``width`` characters
+from every position, and a shorter line is one shingle.  Signatures are
+minima of the 64-bit shingle hash under ``bands * rows`` exclusive-or
 permutations, taken by a partial aggregation over the shingles.  Lines
 that share a band are candidates; those with an exact Jaccard similarity
 of ``similarity`` are linked, linked lines form components (distributed
@@ -34,7 +34,7 @@ class Options:
     similarity: float = 0.8
     bands: int = 10
     rows: int = 3    # minima of a band: 0.9992 of the pairs at 0.8 share one
-    ahead: int = 4
+    width: int = 5
 
 
 def permutation(k: int) -> int:
@@ -43,8 +43,27 @@ def permutation(k: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingles(line, o: Options):
-    return F.regexp_extract_all(line, F.lit(rf"(?=(\S+(?:\s+\S{{1,{o.ahead}}})?))\S+"), F.lit(1))
+def plain(line):
+    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+
+
+def wide(line):
+    """Four bytes a character, so that a shingle is cut out without a walk over the line."""
+    return F.encode(line, "UTF-32")
+
+
+def starts(chars, o: Options):
+    """Places of the shingles of ``wide`` text, from 0."""
+    return F.sequence(F.lit(0), F.greatest((F.length(chars) / 4).cast("int") - o.width, F.lit(0)))
+
+
+def shingle(chars, at, o: Options):
+    """Hash of the shingle at a place."""
+    return F.xxhash64(F.substring(chars, at * 4 + 1, F.lit(4 * o.width)))
+
+
+def shingle_set(chars, o: Options):
+    return F.array_distinct(F.transform(starts(chars, o), lambda at: shingle(chars, at, o)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -52,48 +71,56 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Every line with a word: doc_id, tag, pos, the line in lower case and two keys of it."""
-    return (keyed(docs).select("doc_id", "tag", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    """Every line with a word: doc_id, tag, pos, the plain line and two keys of it."""
+    return (keyed(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .where(F.col("line").rlike(r"\S"))
+            .select("doc_id", "tag", "pos", plain("line").alias("line"))
             .select("doc_id", "tag", "pos", "line", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2")))
 
 
 def line_classes(docs: DataFrame, places: DataFrame, o: Options) -> DataFrame:
     """Lines that belong to another line's component: keys k1, k2 and the component's keys c1, c2."""
-    h = F.xxhash64("x")
-    minima = [F.min(h.bitwiseXOR(F.lit(permutation(k)))).alias(f"m{k}") for k in range(o.bands * o.rows)]
-    signed = lines_of(docs).select("k1", "k2", F.explode(shingles("line", o)).alias("x")).groupBy("k1", "k2").agg(*minima)
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(permutation(k)))).alias(f"m{k}") for k in range(o.bands * o.rows)]
+    chars = lines_of(docs).select("k1", "k2", wide("line").alias("c"))
+    signed = (chars.select("k1", "k2", "c", F.explode(starts(F.col("c"), o)).alias("at"))
+              .select("k1", "k2", shingle(F.col("c"), F.col("at"), o).alias("h")).groupBy("k1", "k2").agg(*minima))
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)])
                      for b in range(o.bands)])
     nodes = stored(signed.select("k1", "k2", keys.alias("keys"))
                    .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))   # distinct: a key holds its band's number
-    def sets_of(wanted, name):
-        """The shingle hashes of lines, from one place of each."""
+
+    def texts_of(wanted, name):
+        """The plain text of lines, from one place of each."""
         need = (wanted.join(nodes.select("node", "k1", "k2"), "node").join(places, ["k1", "k2"])
                 .groupBy("node").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("p")).select("node", "p.*"))
         need = stored(need, f"{name}-need")
-        texts = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")),
+        found = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")),
                       "_maybe")
-        texts = (texts.where("_maybe").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"),
-                                              F.split(F.lower("text"), "\n").alias("lines"))
+        found = (found.where("_maybe").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"),
+                                              F.split("text", "\n").alias("lines"))
                  .dropDuplicates(["_d", "_t"])
-                 .join(need, F.expr("_d <=> doc_id and _t = tag"))
-                 .select("node", shingles(F.expr("lines[pos]"), o).alias("s")))
-        return stored(texts.select("node", F.array_distinct(F.transform("s", lambda x: F.xxhash64(x))).alias("s")),
-                      f"{name}-sets")
+                 .join(need, F.expr("_d <=> doc_id and _t = tag")))
+        return stored(found.select("node", plain(F.expr("lines[pos]")).alias("line")), f"{name}-texts")
 
-    sets = None
+    texts = None
 
     def verify(pairs, name):
-        nonlocal sets
-        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(),
-                       name)
-        both = pairs.join(sets.selectExpr("node a", "s sa"), "a").join(sets.selectExpr("node b", "s sb"), "b")
-        return stored(both.where(close(F.col("sa"), F.col("sb"), o)).select("a", "b"), f"{name}-links")
+        nonlocal texts
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(),
+                         name)
+        # texts travel, which are an eighth of their shingle sets; the sets are made where a pair is compared
+        both = (pairs.join(texts.selectExpr("node a", "line la"), "a").join(texts.selectExpr("node b", "line lb"), "b")
+                .select("a", "b", wide("la").alias("ca"), wide("lb").alias("cb"))
+                .select("a", "b", shingle_set(F.col("ca"), o).alias("sa"), shingle_set(F.col("cb"), o).alias("sb")))
+        # the result is stored before it is a filter, which would repeat the sets for each use
+        return stored(both.select("a", "b", close(F.col("sa"), F.col("sb"), o).alias("linked")),
+                      f"{name}-links").where("linked").select("a", "b")
 
     def compare(near, name):
-        own = stored(near.join(sets, "node"), f"{name}-block")   # every node of a bucket has been in a pair
+        own = (near.join(texts, "node").withColumn("c", wide("line"))
+               .select(*near.columns, shingle_set(F.col("c"), o).alias("s")))
+        own = stored(own, f"{name}-block")   # every node of a bucket has been in a pair
         blocks = (own.groupBy("cluster", "block").agg(F.collect_list(F.struct("root", "s")).alias("held"))
                   .select("cluster", "held", F.explode(F.expr("sequence(0, block)")).alias("block")))
         hits = F.filter("held", lambda x: (x["root"] != F.col("root")) & close(x["s"], F.col("s"), o))

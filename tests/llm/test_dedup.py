@@ -275,3 +275,29 @@ def test_substrings_messy(spark, request, which):
 
 def test_substrings_empty(empty):
     assert substring_dedup.remove_repeats(empty).collect() == []
+
+
+def brute_char_links(lines, width=5):
+    """Pairs of line numbers at Jaccard 0.8 or more by sets of character shingles."""
+    plain = [re.sub(r"\s+", " ", x.lower(), flags=re.ASCII).strip(" ") for x in lines]
+    sets = [{x[i:i + width] for i in range(max(1, len(x) - width + 1))} for x in plain]
+    return {(j, i) for i in range(len(sets)) for j in range(i)
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+
+
+def test_lines_are_linked_by_character_shingles(spark):
+    """Lines with one character changed, short English ones and some without blanks."""
+    rng = np.random.default_rng(21)
+    lines = []
+    for k in range(40):
+        if k % 2:
+            base = "".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 70))
+        else:
+            base = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(11))
+        at = int(rng.integers(10, len(base) - 10))
+        lines += [base, base[:at] + "#" + base[at + 1:]]
+    links = brute_char_links(lines)
+    assert links == {(i, i + 1) for i in range(0, 80, 2)}
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, counts=True).collect()}
+    assert {i for i, n in out.items() if n} == {b for _, b in links}
