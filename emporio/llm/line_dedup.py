@@ -3,8 +3,9 @@
 A line, in lower case, its stretches of white space as one blank and none
 at its ends, is the set of its character shingles: ``width`` characters
 from every position, and a shorter line is one shingle.  Signatures are
-minima of the 64-bit shingle hash under ``bands * rows`` exclusive-or
-permutations, taken by a partial aggregation over the shingles.  Lines
+minima of the 64-bit shingle hash under ``bands * rows`` permutations (an
+exclusive-or and then a full mix), taken by a partial aggregation over the
+shingles.  Lines
 that share a band are candidates; those with an exact Jaccard similarity
 of ``similarity`` are linked, linked lines form components (distributed
 union-find), and of all places of a component's lines the first stays.
@@ -37,12 +38,26 @@ class Options:
     width: int = 5
 
 
-def permutation(k: int) -> int:
+def mask(k: int) -> int:
     """The k-th exclusive-or mask: multiples of the golden ratio, as a signed 64-bit number."""
     x = (k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
     return x - (1 << 64) if x >> 63 else x
 
 
+def permuted(h, k: int):
+    """The k-th permutation of a hash; without the mix the minima of small sets depend on each other."""
+    return F.xxhash64(h.bitwiseXOR(F.lit(mask(k))))
+
+
+def minima(h, o: Options):
+    return [F.min(permuted(h, k)).alias(f"m{k}") for k in range(o.bands * o.rows)]
+
+
+def band_keys(o: Options):
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)])
+                     for b in range(o.bands)])
+
+
 def plain(line):
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
@@ -80,13 +95,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame, places: DataFrame, o: Options) -> DataFrame:
     """Lines that belong to another line's component: keys k1, k2 and the component's keys c1, c2."""
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(permutation(k)))).alias(f"m{k}") for k in range(o.bands * o.rows)]
     chars = lines_of(docs).select("k1", "k2", wide("line").alias("c"))
     signed = (chars.select("k1", "k2", "c", F.explode(starts(F.col("c"), o)).alias("at"))
-              .select("k1", "k2", shingle(F.col("c"), F.col("at"), o).alias("h")).groupBy("k1", "k2").agg(*minima))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)])
-                     for b in range(o.bands)])
-    nodes = stored(signed.select("k1", "k2", keys.alias("keys"))
+              .select("k1", "k2", shingle(F.col("c"), F.col("at"), o).alias("h")).groupBy("k1", "k2")
+              .agg(*minima(F.col("h"), o)))
+    nodes = stored(signed.select("k1", "k2", band_keys(o).alias("keys"))
                    .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))   # distinct: a key holds its band's number
 
