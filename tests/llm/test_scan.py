@@ -178,6 +178,40 @@ def test_cycles_and_long_texts_end(spark, empty):
     assert secret_scan.scan_secrets(empty).collect() == []
 
 
+@pytest.mark.parametrize("wrap", [
+    lambda s: base64.b64encode(gzip.compress(gzip.compress(s))),
+    lambda s: base64.b64encode(zlib.compress(zstandard.compress(s))),
+    lambda s: "".join(f"%{c:02X}" for c in gzip.compress(s)).encode(),
+    lambda s: "".join(f"\\x{c:02x}" for c in gzip.compress(s)).encode(),
+    lambda s: repr(zlib.compress(s))[2:-1].encode(),
+    lambda s: base64.b64encode(gzip.compress(b"none here") + gzip.compress(s)),
+    lambda s: base64.b64encode(gzip.compress(s[:9]) + gzip.compress(s[9:])),
+    lambda s: base64.b64encode(zstandard.compress(b"none here") + zstandard.compress(s))])
+def test_nested_compression_is_found(wrap):
+    secret = wrap(KEY.encode())
+    data = "é vor ".encode() + secret + b" nach"
+    base, found, _ = secret_scan.scan(data)
+    assert [(a, k) for a, k, _ in secret_scan.points(data, found)] == [(6, 1)] and not base
+
+
+def test_a_long_compressed_stretch_is_read_to_its_end():
+    for body, pack in ((b"some words, and more. " * (49 << 16), zstandard.compress), (b"\0" * (70 << 20), gzip.compress)):
+        data = base64.b64encode(pack(body + KEY.encode()))
+        assert {k for _, k, _ in secret_scan.scan(data)[1]} == {1}
+
+
+def test_pieces_lose_nothing():
+    rng = np.random.default_rng(3)
+    for body in (b"a1. ", b"x", b"line of words\n"):
+        body = body * (40 << 20 >> 4)
+        cuts = sorted(rng.integers(0, len(body), 30))
+        parts = [body[a:b] for a, b in zip([0, *cuts], [*cuts, len(body)])]
+        got, at = list(secret_scan.pieces(iter(parts))), 0
+        for p in got:
+            assert p in body
+        assert sum(map(len, got)) >= len(body) and got[-1] == body[len(body) - len(got[-1]):]
+
+
 # --- language ----------------------------------------------------------------------------
 def brute_phrases(ref, text):
     i = n = 0
