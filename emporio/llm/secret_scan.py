@@ -9,7 +9,8 @@ in pieces (``PIECE``).  A layer whose bytes were seen already for
 the same stretch is not followed again (cycles).  Findings in a decoded
 layer are mapped back to code points of the original text: character by
 character through escapes, to the whole encoded stretch through base64
-and compression.
+and compression.  Base64 is read at its four alignments, line by line and
+over line ends; decoded bytes need not be text.
 
 Defined results: NULL is an empty text; an empty text has no findings;
 repeated rows get one row each; spans that several layers find are
@@ -19,7 +20,6 @@ listed once; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -41,6 +41,8 @@ KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 URL = re.compile(rb"(?:%[0-9A-Fa-f]{2})")
 UNICODE = re.compile(rb"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 in lines.
+WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\t ]*[A-Za-z0-9+/_-]+)+={0,2}")
 
 #: Escapes that may stand for bytes, in texts that have one above 0x7F.
 BYTES = re.compile(UNICODE.pattern + rb"|\\[abfnrtv0'\"\\/]")
@@ -168,14 +170,17 @@ def pieces(parts):
         yield b"".join(held)
 
 
-def unbase64(stretch: bytes) -> bytes | None:
+def unbase64(stretch: bytes):
+    """The bytes of a stretch read from each of its first four characters.
+
+    A group of four is decoded by itself, so every later start is the end of one of these.
+    """
     body = stretch.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        return base64.b64decode(body + b"=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+    for at in range(4):
+        part = body[at:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        yield base64.b64decode(part + b"=" * (-len(part) % 4))
 
 
 def is_text(plain: bytes) -> bool:
@@ -206,10 +211,11 @@ def decoded(layer: bytes, starts, ends):
                 yield plain, a, b, True
             else:
                 yield plain, starts[a], ends[b - 1], True
-    for m in BASE64.finditer(layer):
-        plain = unbase64(m[0])
-        if plain:
-            yield plain, *back(starts, ends, *m.span()), is_text(plain)
+    for pattern in (BASE64, WRAPPED) if b"\n" in layer else (BASE64,):
+        for m in pattern.finditer(layer):
+            for plain in unbase64(m[0].translate(None, b"\r\n\t ")):
+                if plain:
+                    yield plain, *back(starts, ends, *m.span()), is_text(plain)
     at = 0
     while m := MAGIC.search(layer, at):
         used = []

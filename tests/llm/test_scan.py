@@ -212,6 +212,22 @@ def test_pieces_lose_nothing():
         assert sum(map(len, got)) >= len(body) and got[-1] == body[len(body) - len(got[-1]):]
 
 
+@pytest.mark.parametrize("prefix", ["/callback/", "key_", "path/", "a-", "ab", "abc", "x1/y2_"])
+@pytest.mark.parametrize("pack", [lambda s: s, gzip.compress, lambda s: b"\1\xff" + s, lambda s: s.decode().encode("utf-16")])
+def test_base64_behind_characters_of_its_class(prefix, pack):
+    data = b"see " + prefix.encode() + base64.b64encode(pack(KEY.encode() + b" and some more words")) + b" there"
+    assert [k for _, k, _ in secret_scan.scan(data)[1]] == [1]
+
+
+@pytest.mark.parametrize("end", [b"\n", b"\r\n", b"\n  "])
+def test_base64_in_lines(end):
+    salt = bytes(np.random.default_rng(8).integers(0, 256, 300, np.uint8))
+    for plain in (b"some words " * 4 + b"and " + KEY.encode() + b" more words" * 9, gzip.compress(salt + KEY.encode())):
+        b64 = base64.b64encode(plain)
+        data = b"see\n" + end.join(b64[a:a + 76] for a in range(0, len(b64), 76)) + b"\nthere"
+        assert {k for _, k, _ in secret_scan.scan(data)[1]} == {1}
+
+
 # --- language ----------------------------------------------------------------------------
 def brute_phrases(ref, text):
     i = n = 0
