@@ -3,8 +3,11 @@
 Per language a suffix automaton of labelled text gives, at every place
 of a new text, the longest match with that language's text.  Parsing a
 text into longest matches (each byte without a match is a phrase of its
-own) counts phrases; phrases times log2 of the reference length, per
-byte, is the cross entropy.  The language with the least wins.
+own) counts phrases; phrases times log2 of the longest reference's
+length, per byte, is the cross entropy.  The language with the least
+wins.  A phrase costs the same in every language: a language with little
+text has shorter matches and so higher costs, and one with next to none
+pays that price for each byte.
 
 The automata are fitted on a bounded sample: per language the
 ``sample_docs`` documents with the smallest hash, at most ``doc_chars``
@@ -45,7 +48,6 @@ class Sample:
     sample_docs: int = 300
     doc_chars: int = 2000
     ref_bytes: int = 50_000
-    least_bytes: int = 2_000  # a language with less doesn't shorten the others
     segment: int = 4096
     lanes: int = 4096
 
@@ -102,7 +104,7 @@ class Model:
     langs: list[str]
     classes: np.ndarray       # byte -> class; the last class is any byte not in the sample
     tables: list[np.ndarray]
-    bits: np.ndarray          # bits of a phrase, by language
+    bits: float               # bits of a phrase, the same for all languages
 
 
 def fit_model(langs: list[str], texts: list[bytes]) -> Model:
@@ -110,7 +112,7 @@ def fit_model(langs: list[str], texts: list[bytes]) -> Model:
     classes = np.full(256, len(used), np.uint8 if len(used) < 256 else np.uint16)
     classes[used] = np.arange(len(used))
     tables = [parse_table(t, classes, len(used) + 1) for t in texts]
-    return Model(langs, classes, tables, np.log2([max(2, len(t)) for t in texts]))
+    return Model(langs, classes, tables, float(np.log2(max([2, *map(len, texts)]))))
 
 
 def phrase_counts(model: Model, texts: list[bytes], segment: int, lanes: int) -> np.ndarray:
@@ -160,10 +162,7 @@ def learn(docs: DataFrame, opts: Sample) -> tuple[list[str], list[bytes]]:
     for r in rows:
         parts.setdefault(r["lang"], []).append(r["text"].encode())
     langs = sorted(parts)
-    # equal lengths, so that no language has the better chance of a long match
-    texts = [b"".join(map(plain, parts[x])) for x in langs]
-    n = min([opts.ref_bytes, *(len(t) for t in texts if len(t) >= opts.least_bytes)])
-    return langs, [t[:n] for t in texts]
+    return langs, [b"".join(map(plain, parts[x]))[:opts.ref_bytes] for x in langs]
 
 
 def identify(docs: DataFrame, opts: Sample = Sample()) -> DataFrame:

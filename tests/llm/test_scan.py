@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from emporio.llm import compression_rules, cotraining, decontaminate, language_id, queries, secret_scan
@@ -274,6 +275,23 @@ def test_language_messy(spark, messy, clashing, empty):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_rare_and_near_empty_languages(spark):
+    """German with about 2.5 KB of labelled text, one language without a letter and one with a word."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    free = [i for i in range(10 ** 9, 10 ** 9 + 40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    known = [r for r in docs.where("lang = 'de' and length(text) > 1300").orderBy("doc_id").collect()
+             if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2][:2]
+    extra = [(free[k], "de", r["text"][:1300]) for k, r in enumerate(known)] + [(free[5], "zz", "12 34 ..."), (free[6], "zy", "ok")]
+    table = docs.withColumn("lang", F.expr("nullif(lang, 'de')")).union(spark.createDataFrame(extra, docs.schema))
+    langs, texts = language_id.learn(table, language_id.Sample())
+    sizes = dict(zip(langs, map(len, texts)))
+    assert 2000 <= sizes["de"] < 3000 and sizes["zz"] == 0 and sizes["en"] > 10 * sizes["de"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(table).where("held_out").collect()}
+    for x in ("de", "en", "es", "fr"):
+        assert np.mean([got[i] == x for i in got if truth[i] == x]) > 0.95, x
+
+
 # --- quality ----------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def quality(spark):
