@@ -1,10 +1,10 @@
-"""Operator 6, substring dedup: relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Operator 6, substring dedup: lookup of windows in an index of the whole corpus.
 
 A window is ``window`` consecutive words.  A word goes if a window that
-covers it starts earlier elsewhere.  Each document is parsed greedily
-into factors, stretches whose windows all occur earlier; the index that
-they are parsed against covers every document and lies in blocks, by
-window hash, over the cluster.
+covers it starts earlier elsewhere.  The lookup of each window decides
+that exactly and stands in place of a greedy relative Lempel-Ziv parse;
+the index covers every document and lies in blocks, by window hash, over
+the cluster.
 
 1. Seeds: of the word ten-grams of a window the one with the least hash.
    Equal windows have equal seeds, so a window whose seed occurs once in
@@ -15,8 +15,9 @@ window hash, over the cluster.
    seeds salted, in two steps); later places of the same document within
    the document.  This is exact at the ends of factors, where a window
    reaches over two factors, too.
-3. Runs of found windows with one source document are the factors; the
-   words that they cover are the duplicate spans.
+3. Runs of found windows with one source document are the factors,
+   without source positions (one need not be a copy of a single stretch);
+   the words that they cover are the duplicate spans.
 
 Texts equal to an earlier document's are left out of 1 and 2: all their
 windows start earlier.  Repeated seeds reach the scan of step 2 as a
