@@ -316,3 +316,34 @@ def test_bands_find_small_sets(spark, union):
         F.collect_list("keys").alias("k"))
     met = both.select(F.arrays_overlap(F.col("k")[0], F.col("k")[1]).cast("int").alias("met")).agg(F.avg("met")).first()[0]
     assert met > 0.998
+
+
+def brute_char_lines(rows):
+    """As ``brute_lines``, with sets of character shingles."""
+    places, lines = [], {}
+    for i, t in {(r["doc_id"], r["text"]) for r in rows}:
+        for p, line in enumerate((t or "").lower().split("\n")):
+            if x := re.sub(r"\s+", " ", line, flags=re.ASCII).strip(" "):
+                places.append(((i is None, i or 0), t, p, lines.setdefault(x, len(lines))))
+    par = list(range(len(lines)))
+    for i, j in brute_char_links(list(lines)):
+        a, b = find(par, i), find(par, j)
+        par[max(a, b)] = min(a, b)
+    by = collections.defaultdict(list)
+    for place in places:
+        by[find(par, place[3])].append(place)
+    return by
+
+
+def test_line_dedup_equals_brute_force_on_characters(spark, small, messy):
+    one = messy.where("doc_id is not null and not (doc_id = 11 and length(text) > 9999)").distinct()
+    for docs in (small, one):
+        rows = docs.select("doc_id", "text").collect()
+        gone = set()
+        for g in brute_char_lines(rows).values():
+            g = sorted(g, key=lambda x: (x[0], x[2]))
+            gone |= {(d[1], p) for d, _, p, _ in g[1:]}
+        out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+        for r in rows:
+            want = r["text"] and "\n".join(x for p, x in enumerate(r["text"].split("\n")) if (r["doc_id"], p) not in gone)
+            assert out[r["doc_id"]] == want
