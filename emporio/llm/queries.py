@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, compression_rules, cotraining, decontaminate, language_id, line_dedup, packing, secret_scan, sharding, substring_dedup
+from pyspark.sql import functions as F
+
+from . import (bag_minhash, byte_pair, compression_rules, cotraining, decontaminate, language_id, lexical_search,
+               line_dedup, packing, periodic_runs, secret_scan, sharding, substring_dedup)
 from .common import documents
 
 
@@ -49,6 +52,48 @@ def op10_recursive_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
 
+def op11_rank_array_bpe(spark, sf_dir):
+    coded = byte_pair.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    both = byte_pair.decode(coded.select("doc_id", "ids"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_blocked_lexical_search(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def with_periodic_tails(docs):
+    """The contract's input of operator 13: doc_id and text.
+
+    With h = crc32(doc_id), g = h div 10 and n words, a text of h % 10 = 0
+    repeats from word a = g % n on with period 1 + (n - a) div (3 + g % 8).
+    """
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    parts = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    for name, made in (("w", words), ("n", F.size("w")), ("a", F.expr("cast((h div 10) % nullif(n, 0) as int)")),
+                       ("p", F.expr("cast(1 + (n - a) div (3 + (h div 10) % 8) as int)"))):
+        parts = parts.withColumn(name, made)
+    again = F.expr("slice(concat(slice(w, 1, a), "
+                   "flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int)))), 1, n)")
+    return parts.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_maximal_pair_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(with_periodic_tails(documents(spark, sf_dir))).drop("text")
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                 F.concat(r["period"].cast("string"), F.lit("\n")))
+    found = found.withColumn("best", F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))))
+    length, period = -F.col("best.less"), F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        period.alias("period"), F.expr("(-1000 * best.less) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -100,6 +145,32 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+size AS (SELECT count(*) AS big_n, CAST(sum(len(ts)) AS BIGINT) AS big_l FROM d WHERE len(ts) > 0),
+doc AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS n
+        FROM (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d) GROUP BY doc_id, t),
+df AS (SELECT t, count(*) AS df FROM doc GROUP BY t),
+item AS (
+  SELECT item_id, t, count(*) AS qtf FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+weighted AS (
+  SELECT item_id, t, qtf * CAST(floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+  FROM item JOIN df USING (t), size),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM weighted JOIN doc USING (t), size GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op6_relative_lz_substring_dedup": SUBSTRING_SQL,
-            "op9_aho_corasick_decontamination": DECONTAMINATION_SQL}
+            "op9_aho_corasick_decontamination": DECONTAMINATION_SQL,
+            "op12_blocked_lexical_search": SEARCH_SQL}
