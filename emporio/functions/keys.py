@@ -20,11 +20,13 @@ from ..session import ensure_checkpoint_dir
 def with_dense_key(df: DataFrame, order_cols: list[str | Column], key: str) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     cols = df.columns
-    # persisted first: an eager checkpoint otherwise computes the sort twice
-    # (once for its count, once more to write the checkpoint files)
-    ordered = df.orderBy(*order_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    # persisted before the sort, whose sampling would read the input twice, and after it, as an
+    # eager checkpoint runs the sort twice (once for its count, once to write the files)
+    once = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = once.orderBy(*order_cols).persist(StorageLevel.MEMORY_AND_DISK)
     fixed = ordered.checkpoint(eager=True)
     ordered.unpersist()
+    once.unpersist()
     tagged = fixed.select("*", F.spark_partition_id().alias("_pid"),
                           F.monotonically_increasing_id().alias("_mid"))
     per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))

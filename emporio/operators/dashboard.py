@@ -1,13 +1,9 @@
 """Parameterised dashboard queries.
 
-One logical definition per query; the physical source is chosen by
-``order_source`` (F2): filters on month / state / segment only touch
-order attributes, so they are answered from the order-grain table
-(E17), where a distinct order count is a row count and the data is
-several times smaller than the item fact.  Category or seller filters
-are item attributes: the item fact is filtered first and rolled up to
-the same order grain, so every query below sees identical columns and
-gives the same answer on either path (tests/test_dashboard.py).
+One logical definition per query; the table that answers it is chosen by
+``cubes.source`` (F2) from the dimensions it filters and groups by and the
+measures it needs.  Every table gives the same answer; ``using`` names one
+(tests/test_dashboard.py).
 """
 
 from __future__ import annotations
@@ -17,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.filters import Slice
+from .cubes import candidates, source
 from .reporting import money, n_distinct, n_rows, ratio
 
 ORDER_ATTRS = {"month", "state", "segment"}
@@ -40,30 +37,42 @@ def roll_up_orders(items: DataFrame) -> DataFrame:
 
 def order_source(ctx, s: Slice) -> DataFrame:
     """Order-grain rows of the slice (F2 routing)."""
-    if uses_order_table(s):
-        return s.apply(ctx.orders)
-    return roll_up_orders(s.apply(ctx.fact))
-
-
-def customer_totals(orders: DataFrame) -> DataFrame:
-    """Customer grain of an order slice: lifetime revenue, orders, items."""
-    return (orders.groupBy("customer_unique_id")
-            .agg(F.sum("revenue").alias("lifetime_revenue"),
-                 n_rows().alias("order_count"),
+    if "seller" in s.active():
+        return roll_up_orders(s.apply(ctx.fact))
+    if "category" in s.active():   # one category: a row per order there too
+        return s.apply(ctx.cube("order_categories"))
+    return s.apply(ctx.orders)
+
+
+def n_orders() -> Column:
+    return F.coalesce(F.sum("orders"), F.lit(0)).cast("long")
+
+
+def customer_totals(ctx, s: Slice, using: str | None = None) -> DataFrame:
+    """Customer grain of a slice: lifetime revenue, orders, items."""
+    question = s, {"customer"}, {"revenue", "orders", "quantity"}
+    rows = source(ctx, *question, using)
+    if (using or candidates(*question)[0]) == "customers":   # a row per customer already
+        return rows.select("customer_unique_id", F.col("revenue").alias("lifetime_revenue"),
+                           F.col("orders").alias("order_count"), F.col("quantity").alias("total_items"))
+    return (rows.groupBy("customer_unique_id")
+            .agg(F.sum("revenue").alias("lifetime_revenue"), n_orders().alias("order_count"),
                  F.sum("quantity").cast("long").alias("total_items")))
 
 
 # --- F3 / F9 ------------------------------------------------------------------------------
-def overall_kpis(ctx, s: Slice = Slice()) -> DataFrame:
-    o = order_source(ctx, s)
+def overall_kpis(ctx, s: Slice = Slice(), using: str | None = None) -> DataFrame:
+    o = source(ctx, s, set(), {"revenue", "orders", "customers"}, using)
     return (o.agg(F.coalesce(money("revenue"), F.lit(0.0)).alias("total_revenue"),
-                  n_rows().alias("total_orders"),
+                  n_orders().alias("total_orders"),
                   n_distinct("customer_unique_id").alias("total_customers"))
              .withColumn("average_order_value", ratio(F.col("total_revenue"), F.col("total_orders"))))
 
 
-def sales_kpis(ctx, s: Slice = Slice()) -> DataFrame:
-    return overall_kpis(ctx, s).select("total_revenue", "total_orders", "average_order_value")
+def sales_kpis(ctx, s: Slice = Slice(), using: str | None = None) -> DataFrame:
+    o = source(ctx, s, set(), {"revenue", "orders"}, using)
+    return (o.agg(F.coalesce(money("revenue"), F.lit(0.0)).alias("total_revenue"), n_orders().alias("total_orders"))
+             .withColumn("average_order_value", ratio(F.col("total_revenue"), F.col("total_orders"))))
 
 
 # --- F4 / F5 + G1 ---------------------------------------------------------------------------
@@ -88,15 +97,15 @@ def growth_pct(cur: Column, prev: Column) -> Column:
 
 
 def monthly_trend(ctx, s: Slice = Slice(), honour_month: bool = False,
-                  with_customers: bool = True) -> DataFrame:
+                  with_customers: bool = True, using: str | None = None) -> DataFrame:
     """F4 (month filter ignored) / F5 (month filter honoured, no customers).
 
     Gap-free: months without sales show zeros.  Adds MoM revenue growth.
     """
     if not honour_month:
         s = s.without("month")
-    o = order_source(ctx, s)
-    aggs = [money("revenue").alias("total_revenue"), n_rows().alias("total_orders")]
+    o = source(ctx, s, {"month"}, {"revenue", "orders", *(["customers"] if with_customers else [])}, using)
+    aggs = [money("revenue").alias("total_revenue"), n_orders().alias("total_orders")]
     if with_customers:
         aggs.append(n_distinct("customer_unique_id").alias("total_customers"))
     m = o.groupBy(F.col("month_year").alias("order_month")).agg(*aggs)
@@ -118,15 +127,14 @@ def monthly_trend(ctx, s: Slice = Slice(), honour_month: bool = False,
 
 
 # --- F6 / F10 / F16 ------------------------------------------------------------------------------
-def category_performance(ctx, s: Slice = Slice(), limit: int | None = None) -> DataFrame:
+def category_performance(ctx, s: Slice = Slice(), limit: int | None = None, using: str | None = None) -> DataFrame:
     """Per category: revenue, orders, customers, items, average item price.
 
     Top-N is ordered by revenue then name (a unique tie-break).
     """
-    f = s.apply(ctx.fact)
+    f = source(ctx, s, {"category"}, {"revenue", "orders", "customers", "quantity"}, using)
     out = (f.groupBy(F.col("product_category_name_english").alias("product_category"))
-           .agg(money("total_sales_amount").alias("total_revenue"),
-                n_distinct("order_id").alias("total_orders"),
+           .agg(money("revenue").alias("total_revenue"), n_orders().alias("total_orders"),
                 n_distinct("customer_unique_id").alias("total_customers"),
                 F.sum("quantity").cast("long").alias("total_items_sold"))
            .withColumn("average_item_price", ratio(F.col("total_revenue"), F.col("total_items_sold"))))
@@ -140,10 +148,10 @@ def top_categories(ctx, s: Slice = Slice(), params: Params = Params()) -> DataFr
 
 
 # --- F7 / F11 / F18 / F19 --------------------------------------------------------------------------
-def state_performance(ctx, s: Slice = Slice(), limit: int | None = None) -> DataFrame:
-    o = order_source(ctx, s)
+def state_performance(ctx, s: Slice = Slice(), limit: int | None = None, using: str | None = None) -> DataFrame:
+    o = source(ctx, s, {"state"}, {"revenue", "orders", "customers", "freight"}, using)
     out = (o.groupBy("state_code")
-           .agg(money("revenue").alias("total_revenue"), n_rows().alias("total_orders"),
+           .agg(money("revenue").alias("total_revenue"), n_orders().alias("total_orders"),
                 n_distinct("customer_unique_id").alias("total_customers"),
                 money("freight").alias("total_freight_cost")))
     if limit is not None:
@@ -155,9 +163,10 @@ def top_states(ctx, s: Slice = Slice(), params: Params = Params()) -> DataFrame:
     return state_performance(ctx, s, params.top_n_states)
 
 
-def sales_by_state(ctx, s: Slice = Slice(), params: Params = Params()) -> DataFrame:
-    return state_performance(ctx, s, params.top_n_sales_states).select(
-        "state_code", "total_revenue", "total_orders")
+def sales_by_state(ctx, s: Slice = Slice(), params: Params = Params(), using: str | None = None) -> DataFrame:
+    o = source(ctx, s, {"state"}, {"revenue", "orders"}, using)
+    return (o.groupBy("state_code").agg(money("revenue").alias("total_revenue"), n_orders().alias("total_orders"))
+             .orderBy(F.desc("total_revenue"), F.asc("state_code")).limit(params.top_n_sales_states))
 
 
 def all_states(ctx, s: Slice = Slice()) -> DataFrame:
@@ -175,8 +184,8 @@ def state_totals(ctx, s: Slice = Slice()) -> DataFrame:
 
 
 # --- F8 / F12 / F13 / F14 ----------------------------------------------------------------------------
-def customer_snapshot(ctx, s: Slice = Slice()) -> DataFrame:
-    c = customer_totals(order_source(ctx, s))
+def customer_snapshot(ctx, s: Slice = Slice(), using: str | None = None) -> DataFrame:
+    c = customer_totals(ctx, s, using)
     return c.agg(F.coalesce(F.sum(F.when(F.col("order_count") > 1, 1).otherwise(0)), F.lit(0))
                  .cast("long").alias("repeat_customers"),
                  F.coalesce(F.sum(F.when(F.col("order_count") == 1, 1).otherwise(0)), F.lit(0))
@@ -184,8 +193,8 @@ def customer_snapshot(ctx, s: Slice = Slice()) -> DataFrame:
                  n_rows().alias("total_customers"))
 
 
-def customer_overview(ctx, s: Slice = Slice()) -> DataFrame:
-    c = customer_totals(order_source(ctx, s))
+def customer_overview(ctx, s: Slice = Slice(), using: str | None = None) -> DataFrame:
+    c = customer_totals(ctx, s, using)
     return c.agg(n_rows().alias("total_customers"),
                  F.count_if(F.col("order_count") > 1).cast("long").alias("repeat_customers"),
                  F.count_if(F.col("order_count") == 1).cast("long").alias("one_time_customers"),
@@ -205,9 +214,9 @@ def tier_column(spend: Column, params: Params) -> tuple[Column, Column]:
     return label.otherwise(labels[-1]), idx.otherwise(len(labels) - 1)
 
 
-def spending_tiers(ctx, s: Slice = Slice(), params: Params = Params()) -> DataFrame:
+def spending_tiers(ctx, s: Slice = Slice(), params: Params = Params(), using: str | None = None) -> DataFrame:
     """customers per spend tier, ordered by the tier's smallest spend."""
-    c = customer_totals(order_source(ctx, s))
+    c = customer_totals(ctx, s, using)
     label, _ = tier_column(F.col("lifetime_revenue"), params)
     return (c.groupBy(label.alias("tier"))
             .agg(n_rows().alias("customer_count"),
@@ -216,8 +225,8 @@ def spending_tiers(ctx, s: Slice = Slice(), params: Params = Params()) -> DataFr
                  F.min("lifetime_revenue").cast("double").alias("min_spend")))
 
 
-def top_customers(ctx, s: Slice = Slice(), params: Params = Params()) -> DataFrame:
-    c = customer_totals(order_source(ctx, s))
+def top_customers(ctx, s: Slice = Slice(), params: Params = Params(), using: str | None = None) -> DataFrame:
+    c = customer_totals(ctx, s, using)
     return (c.select("customer_unique_id",
                      F.col("lifetime_revenue").cast("double").alias("lifetime_revenue"),
                      F.col("order_count").alias("total_orders"),
@@ -229,18 +238,27 @@ def top_customers(ctx, s: Slice = Slice(), params: Params = Params()) -> DataFra
 
 
 # --- F17 ---------------------------------------------------------------------------------------------
-def seller_ranking(ctx, s: Slice = Slice(), limit: int | None = 20) -> DataFrame:
-    f = s.apply(ctx.fact).where(F.col("seller_id") != "unknown")
-    out = (f.groupBy("seller_id")
+def seller_ranking(ctx, s: Slice = Slice(), limit: int | None = 20, using: str | None = None) -> DataFrame:
+    f = source(ctx, s, {"seller"}, {"revenue", "orders", "quantity"}, using, known=frozenset({"seller"}))
+    out = (f.where(F.col("seller_id") != "unknown").groupBy("seller_id")
            .agg(F.max("seller_city").alias("seller_city"), F.max("seller_state").alias("seller_state"),
-                n_distinct("order_id").alias("total_orders"),
+                n_orders().alias("total_orders"),
                 F.sum("quantity").cast("long").alias("total_items"),
-                money("total_sales_amount").alias("total_revenue")))
+                money("revenue").alias("total_revenue")))
     if limit is not None:
         out = out.orderBy(F.desc("total_revenue"), F.asc("seller_id")).limit(limit)
     return out
 
 
+# --- F25 ---------------------------------------------------------------------------------------------
+def cube_slice(ctx, s: Slice = Slice(), using: str | None = None) -> DataFrame:
+    """sums of a month x state x category x segment slice (one row)."""
+    o = source(ctx, s, set(), {"revenue", "orders", "customers", "quantity"}, using)
+    return o.agg(money("revenue").alias("total_revenue"), n_orders().alias("total_orders"),
+                 n_distinct("customer_unique_id").alias("total_customers"),
+                 F.sum("quantity").cast("long").alias("total_items_sold"))
+
+
 # --- F21 / F23 / F24 -----------------------------------------------------------------------------------
 def customer_categories(ctx, customer_unique_id: str) -> DataFrame:
     """distinct categories a customer bought, ordered."""

@@ -1,25 +1,33 @@
-"""Model fits with pyspark.ml.
+"""Model fits with pyspark.ml, and what follows from their predictions.
 
 The feature table comes from ``timeseries`` (all series at once, one row
 per series and day).  Models are fitted on the log target with
-``RandomForestRegressor`` / ``GBTRegressor`` -- distributed tree learners,
-so a fit scales with the number of series x days.  The loops here are
-over model configurations, folds and forecast steps (a handful each),
-never over rows.
+``RandomForestRegressor``, ``GBTRegressor`` and ``LinearRegression`` --
+distributed learners, so a fit scales with the number of series x days.
+The loops here are over model configurations, folds and forecast steps (a
+handful each), never over rows.
+
+Weights, blend and champion (H20, H21) are DataFrame operations on one
+prediction table (model, split, series_key, order_date, y, pred_log),
+whatever the models are; so is the importance of features (H28) for any
+function that adds a prediction.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Params
+from ..functions.keys import with_dense_key
 from ..session import ensure_checkpoint_dir
 from . import timeseries as T
 
@@ -29,6 +37,10 @@ PROMOTE_THRESHOLD = 0.005
 # 12 trials per model family, as in the reference's search budget
 RF_GRID = [{"numTrees": n, "maxDepth": d} for n in (20, 50, 100) for d in (4, 6, 8, 10)]
 GBT_GRID = [{"maxIter": n, "maxDepth": d} for n in (10, 20, 30) for d in (3, 4, 5, 6)]
+LINEAR_GRID = [{"regParam": r, "elasticNetParam": a} for r in (0.001, 0.01, 0.1, 1.0) for a in (0.0, 0.5, 1.0)]
+FAMILIES = {"random_forest": RF_GRID, "gbt": GBT_GRID, "linear": LINEAR_GRID}
+#: Families of the blend at most.
+BLEND_TOP = 3
 
 
 @dataclass
@@ -49,6 +61,8 @@ def make_estimator(family: str, params: dict):
         return RandomForestRegressor(seed=SEED, featureSubsetStrategy="onethird", **params)
     if family == "gbt":
         return GBTRegressor(seed=SEED, **params)
+    if family == "linear":
+        return LinearRegression(**params)
     raise ValueError(family)
 
 
@@ -98,34 +112,142 @@ def search_table(spark, fits: list[Fitted]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, params string, valid_rmse double")
 
 
-def ensemble(data: DataFrame, fits: list[Fitted], top: int = 3, split: str = "test") -> DataFrame:
-    """Weights proportional to 1 / valid RMSE over the ``top`` fits, blended in log space."""
-    chosen = sorted(fits, key=lambda f: f.valid_rmse)[:top]
-    inv = [1.0 / f.valid_rmse for f in chosen]
-    weights = [x / sum(inv) for x in inv]
-    part = data.where(F.col("split") == split)
-    blend = None
-    for i, (f, w) in enumerate(zip(chosen, weights)):
-        p = f.model.transform(part).select("series_key", "order_date", "daily_revenue",
-                                           (F.col("prediction") * w).alias(f"_p{i}"))
-        blend = p if blend is None else blend.join(p.drop("daily_revenue"), ["series_key", "order_date"])
-    s = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(chosen))])
-    return blend.select("series_key", "order_date", F.lit("ensemble").alias("model"),
-                        F.col("daily_revenue").alias("y"), F.expm1(s).alias("pred"), s.alias("pred_log"))
+# --- H20 / H21: from the prediction table ---------------------------------------------------------
+def best_of_family(fits: list[Fitted]) -> list[Fitted]:
+    """The trial with the least validation RMSE of each family."""
+    best: dict[str, Fitted] = {}
+    for f in sorted(fits, key=lambda f: (f.valid_rmse, str(sorted(f.params.items())))):
+        best.setdefault(f.name, f)
+    return list(best.values())
 
 
-def champion(best_single: Fitted, ensemble_valid_rmse: float) -> str:
-    """The ensemble only if it beats the best single model by >= 0.5 % relative."""
-    gain = (best_single.valid_rmse - ensemble_valid_rmse) / best_single.valid_rmse
-    return "ensemble" if gain >= PROMOTE_THRESHOLD else best_single.name
+def prediction_table(fits: list[Fitted], data: DataFrame) -> DataFrame:
+    """(model, split, series_key, order_date, y, pred_log) of every model over the valid and test days."""
+    part = data.where(F.col("split").isin("valid", "test"))
+    return reduce(lambda a, b: a.unionByName(b), [
+        f.model.transform(part).select(F.lit(f.name).alias("model"), "split", "series_key", "order_date",
+                                       F.col("daily_revenue").alias("y"), F.col("prediction").alias("pred_log"))
+        for f in fits])
 
 
-def feature_importance(model, cols: list[str], spark) -> DataFrame:
-    """Tree importances normalised to sum 100, sorted."""
-    imp = model.featureImportances.toArray()
-    total = float(imp.sum()) or 1.0
-    rows = [(c, float(max(v, 0.0)) / total * 100.0) for c, v in zip(cols, imp)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+def _rmse_of(pred: Column) -> Column:
+    err = F.col("y") - pred
+    return F.sqrt(F.avg(err * err))
+
+
+def blend_weights(preds: DataFrame, top: int = BLEND_TOP) -> DataFrame:
+    """(model, valid_rmse, rank, weight): the ``top`` models by validation RMSE on the raw scale,
+    with weights proportional to 1 / RMSE.  A row per model, so the windows are small."""
+    rmse = (preds.where((F.col("split") == "valid") & F.col("pred_log").isNotNull()).groupBy("model")
+            .agg(_rmse_of(F.expm1("pred_log")).alias("valid_rmse")))
+    order = Window.orderBy("valid_rmse", "model")
+    chosen = rmse.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    inverse = F.lit(1.0) / F.col("valid_rmse")
+    return chosen.withColumn("weight", inverse / F.sum(inverse).over(Window.partitionBy()))
+
+
+def blend(preds: DataFrame, weights: DataFrame) -> DataFrame:
+    """The weighted mean of the chosen models' log predictions, per split, series and day.
+
+    Days that one of them has no prediction for are left out.
+    """
+    n = weights.select(F.count(F.lit(1))).scalar()
+    return (preds.where(F.col("pred_log").isNotNull()).join(weights.select("model", "weight"), "model")
+            .groupBy("split", "series_key", "order_date")
+            .agg(F.max("y").alias("y"), F.sum(F.col("weight") * F.col("pred_log")).alias("pred_log"),
+                 F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") == n)
+            .select(F.lit("ensemble").alias("model"), "split", "series_key", "order_date", "y", "pred_log",
+                    F.expm1("pred_log").alias("pred")))
+
+
+def champion(preds: DataFrame, weights: DataFrame, threshold: float = PROMOTE_THRESHOLD) -> DataFrame:
+    """H21 (one row): the ensemble only if its validation RMSE is at least ``threshold`` (relative) below the best model's."""
+    best = weights.where(F.col("rank") == 1).select(F.col("model").alias("best_single"),
+                                                    F.col("valid_rmse").alias("best_single_rmse"))
+    ens = (blend(preds, weights).where(F.col("split") == "valid")
+           .agg(_rmse_of(F.col("pred")).alias("ensemble_rmse")))
+    gain = F.lit(1.0) - F.col("ensemble_rmse") / F.col("best_single_rmse")
+    return (best.crossJoin(ens)    # one row each
+            .withColumn("gain", gain)
+            .withColumn("champion", F.when(gain >= threshold, F.lit("ensemble")).otherwise(F.col("best_single"))))
+
+
+Members = list[tuple[object, float]]
+
+
+def deployed(data: DataFrame, fits: list[Fitted], choice: str, weights: DataFrame) -> Members:
+    """The champion fitted anew on all complete days: (model, weight) of each member."""
+    by_name = {f.name: f for f in fits}
+    if choice == "ensemble":
+        chosen = [(r["model"], r["weight"]) for r in weights.orderBy("rank").collect()]   # at most BLEND_TOP rows
+    else:
+        chosen = [(choice, 1.0)]
+    days = data.persist()
+    out = [(make_estimator(name, by_name[name].params).fit(days), w) for name, w in chosen]
+    days.unpersist()
+    return out
+
+
+def score(members: Members, df: DataFrame, out: str = "prediction") -> DataFrame:
+    """``df`` (with ``features``) and the weighted mean of the members' predictions."""
+    for i, (m, _) in enumerate(members):
+        df = m.copy({m.predictionCol: f"_p{i}"}).transform(df)
+    return df.withColumn(out, reduce(lambda a, b: a + b, [F.col(f"_p{i}") * w for i, (_, w) in enumerate(members)])) \
+             .drop(*[f"_p{i}" for i in range(len(members))])
+
+
+# --- H28 ------------------------------------------------------------------------------------------
+def permutation_importance(rows: DataFrame, cols: list[str], keys: list[str], predict: Callable[[DataFrame], DataFrame],
+                           repeats: int = 5, seed: int = SEED) -> DataFrame:
+    """(feature, rise, importance): the mean rise of the squared error when a feature's values change places.
+
+    ``rows`` has the key columns, ``label`` and ``x``, the feature values
+    as an array in the order of ``cols``; ``predict`` adds a column
+    ``prediction`` for it.  Rows are numbered in a seeded hash order; in
+    repeat r every row takes the feature's value of the row that stands
+    1 + (7919 r mod (n - 1)) places further, around the end.  So one
+    distributed numbering and one join by number serve all features and
+    repeats, and all of them are scored as one stacked table, of which
+    nothing but the error sums is shuffled.  Mean rises below 0 count 0;
+    importances add up to 100 (to 0 if nothing rises).
+    """
+    by = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    ranked = with_dense_key(rows.select(*keys, "label", "x", by.alias("_h")), ["_h", *keys], "_rank").drop("_h")
+    n = ranked.count()
+    if n < 2:
+        raise ValueError("permutation needs two rows at least")
+    shift = F.lit(1) + (F.col("_repeat") * 7919) % (n - 1)
+    asked = (ranked.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+             .withColumn("_from", (F.col("_rank") - 1 + shift) % n + 1))
+    given = ranked.select(F.col("_rank").alias("_from"), F.col("x").alias("_other"))
+    paired = asked.join(given, "_from")
+    changed = F.concat(F.slice("x", 1, F.col("_j")), F.array(F.get("_other", F.col("_j"))),
+                       F.slice("x", F.col("_j") + 2, F.lit(len(cols))))
+    stacked = (paired.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))))
+               .select("label", "_repeat", "_j", changed.alias("x")))
+    plain = ranked.select("label", F.lit(0).alias("_repeat"), F.lit(-1).alias("_j"), "x")
+    err = F.col("label") - F.col("prediction")
+    mse = (predict(stacked.unionByName(plain)).groupBy("_repeat", "_j").agg(F.avg(err * err).alias("mse")))
+    # features x repeats rows from here on
+    base = F.max(F.when(F.col("_j") < 0, F.col("mse"))).over(Window.partitionBy())
+    rise = (mse.withColumn("_rise", F.col("mse") - base).where(F.col("_j") >= 0)
+            .groupBy("_j").agg(F.avg("_rise").alias("rise")))
+    gain = F.greatest(F.col("rise"), F.lit(0.0))
+    total = F.sum(gain).over(Window.partitionBy())
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_j") + 1)
+    return rise.select(name.alias("feature"), "rise",
+                       F.when(total > 0, gain / total * 100.0).otherwise(F.lit(0.0)).alias("importance"))
+
+
+def arrayed(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with ``x``, the features as an array, and ``label``."""
+    return df.withColumn("x", F.array(*[F.col(c).cast("double") for c in cols])).withColumn("label", F.col("log_daily_revenue"))
+
+
+def scorer(members: Members) -> Callable[[DataFrame], DataFrame]:
+    """A prediction from ``x`` by fitted models, for ``permutation_importance``."""
+    return lambda df: score(members, df.withColumn("features", array_to_vector("x")))
 
 
 # --- H23 / H24 -------------------------------------------------------------------------------------
@@ -183,68 +305,98 @@ CARRIED = ["total_orders", "total_items", "total_customers", "total_sellers", "a
            "total_freight", "avg_freight"]
 
 
-def recursive_forecast(ts: DataFrame, model, cols: list[str], horizon: int = T.FORECAST_HORIZON,
-                       tail_days: int = max(T.LAG_DAYS + T.ROLLING_WINDOWS) + 10) -> DataFrame:
+#: Days of history that a step reads.
+RING_DAYS = max(T.LAG_DAYS + T.ROLLING_WINDOWS)
+#: Measures that a step reads; those after revenue stay as on the last known day.
+RING = ["log_daily_revenue", "daily_revenue", "total_orders", "total_customers", "avg_order_value", "total_items",
+        "avg_items_per_order", "total_freight", "avg_freight", "total_sellers"]
+
+
+class ArrayPast(T.Past):
+    """The past of a series in its state: an array per measure, the last day at its end."""
+
+    def value(self, measure, days):
+        a = F.col(f"_{measure}")
+        return F.get(a, F.size(a) - days)
+
+    def stats(self, measure, days):
+        a = F.col(f"_{measure}")
+        last = F.slice(a, F.greatest(F.size(a) - days + 1, F.lit(1)), F.lit(days))
+        mean = F.aggregate(last, F.lit(0.0), lambda s, v: s + v) / days
+        square = F.aggregate(last, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+        found = {"mean": mean, "std": F.sqrt(square / (days - 1)), "min": F.array_min(last), "max": F.array_max(last)}
+        return {name: F.when(F.size(a) >= days, c) for name, c in found.items()}
+
+
+def forecast_state(ts: DataFrame) -> DataFrame:
+    """One row per series: the last ``RING_DAYS`` days as arrays, the EWM sums, the next day."""
+    base = T.add_drivers(ts.select("series_key", "order_date", *CARRIED, "daily_revenue"))
+    sums = T.ewm_state(base)
+    recent = (base.join(sums.select("series_key", "last_day"), "series_key")
+              .where(F.col("order_date") > F.date_sub(F.col("last_day"), RING_DAYS)))
+    # RING_DAYS elements at most
+    days = F.array_sort(F.collect_list(F.struct("order_date", *RING)))
+    rings = recent.groupBy("series_key").agg(days.alias("_days"))
+    return (rings.select("series_key", *[F.col("_days").getField(m).alias(f"_{m}") for m in RING])
+            .join(sums, "series_key")
+            .withColumns({"order_date": F.date_add("last_day", 1), "forecast": F.expr("cast(array() as array<double>)")})
+            .drop("last_day"))
+
+
+def forecast_step(state: DataFrame, members: Members, cols: list[str]) -> DataFrame:
+    """The state one day on: a projection, without window, join or shuffle.
+
+    The day's features come from the arrays by the same definitions as in
+    the feature table; its prediction joins them as the last day.
+    """
+    past = ArrayPast()
+    known = T.fourier_terms(T.event_flags(T.cyclic_features(T.calendar_features(state))))
+    made = {**T.lag_columns(past), **T.rolling_columns(past), **T.prev_day_columns(past),
+            **{f"log_rev_roll_ema_{w}": F.col(f"_num_{w}") / F.col(f"_den_{w}") for w in T.ROLLING_WINDOWS},
+            "time_index": F.datediff("order_date", "first_day")}
+    # a feature that the history is too short for is NaN, as in ``assemble``
+    features = F.array(*[F.coalesce((made[c] if c in made else F.col(c)).cast("double"), F.lit(float("nan"))) for c in cols])
+    day = score(members, known.select(*state.columns, array_to_vector(features).alias("features")))
+    day = day.withColumn("_new", F.greatest(F.expm1("prediction"), F.lit(0.0))).drop("features", "prediction")
+    log = F.log1p("_new")
+    fresh = {"daily_revenue": F.col("_new"), "log_daily_revenue": log,
+             "avg_order_value": F.col("_new") / F.greatest(past.value("total_orders", 1), F.lit(1.0))}
+    moved = {}
+    for m in RING:
+        longer = F.concat(F.col(f"_{m}"), F.array(fresh.get(m, past.value(m, 1))))
+        moved[f"_{m}"] = F.slice(longer, F.greatest(F.size(longer) - RING_DAYS + 1, F.lit(1)), F.lit(RING_DAYS))
+    for w in T.ROLLING_WINDOWS:
+        r = 1.0 - 2.0 / (w + 1.0)
+        moved[f"_num_{w}"] = F.col(f"_num_{w}") * r + log
+        moved[f"_den_{w}"] = F.col(f"_den_{w}") * r + 1.0
+    moved |= {"forecast": F.concat("forecast", F.array("_new")), "order_date": F.date_add("order_date", 1)}
+    return day.select(*[moved.get(c, F.col(c)).alias(c) for c in state.columns])
+
+
+def recursive_forecast(ts: DataFrame, members: Members | object, cols: list[str], horizon: int = T.FORECAST_HORIZON,
+                       steps: int = 10) -> DataFrame:
     """Forecast ``horizon`` days, each day's prediction becoming history.
 
-    For every series at once, each step appends the target day (drivers
-    carried from the last known day), rebuilds the windowed features of
-    that day from the last ``tail_days`` days (lags and rolling windows
-    reach at most 90 days back), takes the EWM features from an exact
-    running state (``timeseries.ewm_state``; num/den updated with each
-    prediction) and the time index from the series' first day, predicts,
-    and writes the prediction back as that day's revenue.  So the
-    features of day t come from days < t, including earlier predictions.
-    The tail, the state and each step's predictions (series x tail_days
-    rows at most) are written to the shared checkpoint folder after every
-    step, which cuts the plan.
+    Every series is one row that carries its last ``RING_DAYS`` days in
+    arrays, so a step works on all series at once without moving a row.
+    The state is written to the shared checkpoint folder after every
+    ``steps`` steps, which cuts the plan.  Drivers stay as on the last
+    known day.  ``members`` is one fitted model or (model, weight) pairs.
     """
     spark = ts.sparkSession
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emporio-forecast/{uuid.uuid4().hex}"
-    counter = iter(range(1_000_000))
-
-    def pin(df):
-        # one write + a read-back of a small table in the shared checkpoint folder
-        path = f"{root}/{next(counter)}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    base = pin(T.add_drivers(ts.select("series_key", "order_date", *CARRIED, "daily_revenue")))
-    # cur_day = the day being forecast; kept as data so every step runs the same plan
-    state = pin(T.ewm_state(base).withColumn("cur_day", F.date_add(F.col("last_day"), 1)))
-    last = pin(base.withColumn("_r", F.row_number().over(
-        Window.partitionBy("series_key").orderBy(F.desc("order_date")))).where("_r = 1").drop("_r")
-        .select("series_key", *CARRIED))
-    tail = pin(base.join(state.select("series_key", "cur_day"), "series_key")
-                   .where(F.col("order_date") >= F.date_sub(F.col("cur_day"), tail_days)).drop("cur_day")
-                   .select("series_key", "order_date", *CARRIED, "daily_revenue"))
-    out = []
-    for _ in range(horizon):
-        new = (last.join(state.select("series_key", "cur_day"), "series_key")
-                   .select("series_key", F.col("cur_day").alias("order_date"), *CARRIED,
-                           F.lit(0.0).alias("daily_revenue")))
-        ext = T.add_drivers(tail.unionByName(new))
-        feats = T.build_features(ext, with_ewm=False, with_time_index=False)
-        target = feats.join(state, "series_key").where(F.col("order_date") == F.col("cur_day"))
-        target = target.withColumns(
-            {f"log_rev_roll_ema_{w}": F.col(f"_num_{w}") / F.col(f"_den_{w}") for w in T.ROLLING_WINDOWS}) \
-            .withColumn("time_index", F.datediff("order_date", "first_day"))
-        # pinned once: the state, the tail and the output all read this step's predictions
-        pred = pin(model.transform(assemble(target, cols))
-                        .select("series_key", "order_date",
-                                F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("daily_revenue")))
-        filled = new.drop("daily_revenue").join(pred, ["series_key", "order_date"])
-        out.append(pred.select("series_key", "order_date", F.col("daily_revenue").alias("pred")))
-        x = F.log1p(F.col("_x"))
-        upd = {"cur_day": F.date_add(F.col("cur_day"), 1)}
-        for w in T.ROLLING_WINDOWS:
-            r = 1.0 - 2.0 / (w + 1.0)
-            upd[f"_num_{w}"] = F.col(f"_num_{w}") * r + x
-            upd[f"_den_{w}"] = F.col(f"_den_{w}") * r + 1.0
-        state = pin(state.join(pred.select("series_key", F.col("daily_revenue").alias("_x")), "series_key")
-                         .withColumns(upd).drop("_x"))
-        tail = pin(tail.unionByName(filled.select(*tail.columns))
-                       .join(state.select("series_key", "cur_day"), "series_key")
-                       .where(F.col("order_date") >= F.date_sub(F.col("cur_day"), tail_days))
-                       .drop("cur_day"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    members = members if isinstance(members, list) else [(members, 1.0)]
+
+    def pin(df, k):
+        path = f"{root}/{k}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    state = pin(forecast_state(ts), 0)
+    for k in range(1, horizon + 1):
+        state = forecast_step(state, members, cols)
+        if k % steps == 0 or k == horizon:
+            state = pin(state, k)
+    day = F.date_add(F.date_sub("order_date", horizon), F.col("pos"))
+    return (state.select("series_key", "order_date", F.posexplode("forecast").alias("pos", "pred"))
+            .select("series_key", day.alias("order_date"), "pred"))

@@ -190,16 +190,20 @@ def customer_health(counts: DataFrame, repeat_pct: Column, at_risk_above: float
                          (ratio > at_risk_above).alias("at_risk_flag"))
 
 
-def risk_flags(row: DataFrame) -> DataFrame:
-    """The raised risks, one row each."""
-    return _emit(row, [
-        _rule((F.col("repeat_pct") < 10) & (F.col("total_customers") > 0), "summary", "risk", "warning",
-              "repeat_pct", None, F.col("repeat_pct")),
-        _rule(F.col("top_category_share") > 40, "summary", "risk", "warning", "top_category_share",
-              F.col("top_category"), F.col("top_category_share")),
-        _rule(F.col("top_state_share") > 40, "summary", "risk", "warning", "top_state_share",
-              F.col("top_state"), F.col("top_state_share")),
+def risk_flags(row: DataFrame, health: DataFrame | None = None, repeat_below: float = 10.0,
+               share_above: float = 40.0) -> DataFrame:
+    """The raised risks, one row each; with ``health`` (one row) the at-risk customers among them."""
+    repeat, category, state = F.col("repeat_pct"), F.col("top_category_share"), F.col("top_state_share")
+    raised = _emit(row, [
+        _rule((repeat < repeat_below) & (F.col("total_customers") > 0), "summary", "risk", "warning", "repeat_pct", None, repeat),
+        _rule(category > share_above, "summary", "risk", "warning", "top_category_share", F.col("top_category"), category),
+        _rule(state > share_above, "summary", "risk", "warning", "top_state_share", F.col("top_state"), state),
     ])
+    if health is None:
+        return raised
+    at_risk = F.col("at_risk_pct")
+    return raised.unionByName(_emit(health, [
+        _rule(F.col("at_risk_flag"), "summary", "risk", "warning", "at_risk_pct", None, at_risk)]))
 
 
 # --- G17-G22 ----------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
@@ -33,23 +33,54 @@ def dataset_profile(df: DataFrame, name: str) -> DataFrame:
                     (F.col("rows") - F.col("distinct_rows")).cast("long").alias("duplicate_rows")))
 
 
-def column_profile(df: DataFrame, name: str, approx: bool = False) -> DataFrame:
-    """Per column type, NULLs, distinct values, min and max (as text)."""
+SAMPLES = 3
+
+
+def column_values(df: DataFrame) -> DataFrame:
+    """The distinct values of every column as text: (column_name, value), NULLs left out.
+
+    Rows are unpivoted and equal values of a column combined before the
+    shuffle, so a distinct count is a row count and no column needs a
+    copy of all rows.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    return (df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull())
+            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def value_samples(values: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """(column_name, sample_values): of each column the first distinct values in hash order.
+
+    A ranked limit per column: every task passes on ``samples`` rows of a
+    column at most.
+    """
+    order = Window.partitionBy("column_name").orderBy(F.md5("value"), "value")
+    few = values.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= samples)
+    parts = F.array_sort(F.collect_list(F.struct("_r", "value")))     # ``samples`` elements
+    return few.groupBy("column_name").agg(F.array_join(parts.getField("value"), " | ").alias("sample_values"))
+
+
+def column_profile(df: DataFrame, name: str, samples: int = 0) -> DataFrame:
+    """Per column type, NULLs, distinct values, min and max (as text), and ``samples`` values if asked for."""
     cols = df.columns
     types = dict(df.dtypes)
-    distinct = F.approx_count_distinct if approx else F.countDistinct
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count_if(F.col(c).isNull()).cast("long").alias(f"n{i}"),
-                 distinct(c).cast("long").alias(f"d{i}"),
                  F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
     one = df.agg(F.count(F.lit(1)).cast("long").alias("rows"), *aggs)
-    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
-                        F.col(f"n{i}").alias("null_count"), F.col(f"d{i}").alias("distinct_count"),
-                        F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"))
-               for i, c in enumerate(cols)]
-    return (one.select("rows", F.explode(F.array(*structs)).alias("s"))
-               .select(F.lit(name).alias("dataset"), "s.*", "rows"))
+    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"), F.col(f"n{i}").alias("null_count"),
+                        F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")) for i, c in enumerate(cols)]
+    found = one.select("rows", F.explode(F.array(*structs)).alias("s")).select("s.*", "rows")     # a row per column
+    values = column_values(df)
+    distinct = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    out = (found.join(distinct, "column_name", "left")
+           .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long")))
+    more = []
+    if samples:
+        out, more = out.join(value_samples(values, samples), "column_name", "left"), ["sample_values"]
+    return out.select(F.lit(name).alias("dataset"), "column_name", "dtype", "null_count", "distinct_count", "min_value",
+                      "max_value", *more, "rows")
 
 
 def all_dataset_summary(frames: dict[str, DataFrame]) -> DataFrame:

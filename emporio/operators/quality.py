@@ -176,7 +176,7 @@ def reporting_audit(table: DataFrame, name: str, key: str, revenue_col: str, fac
     t = table.agg(F.count(F.lit(1)).alias("rows"),
                   F.count_if(F.col(key).isNull()).alias("null_keys"),
                   (F.count(F.lit(1)) - F.countDistinct(key)).alias("dup_keys"),
-                  F.sum(revenue_col).cast("double").alias("rev"),
+                  F.sum(F.col(revenue_col).cast("decimal(28,2)")).cast("double").alias("rev"),   # cents add up exactly
                   F.count_if(F.col(revenue_col) < 0).alias("neg_rev"),
                   *( [F.sum(orders_col).alias("orders")] if orders_col else []))
     f = fact.agg(F.sum(fact_revenue).cast("double").alias("fact_rev"),

@@ -35,13 +35,24 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
+def by_orders(rows: DataFrame, by: list, customer: str = "customer_unique_id") -> DataFrame:
+    """A row per group and order: revenue, quantity, freight and the order's customer.
+
+    Order counts are then row counts, and one distinct count is left,
+    which needs no copy of the rows.
+    """
+    return (rows.groupBy(*by, "order_id").agg(
+        F.max(customer).alias("customer"), F.sum("total_sales_amount").alias("revenue"),
+        F.sum("quantity").cast("long").alias("quantity"), F.sum("freight_value").alias("freight")))
+
+
 # --- E1 ---------------------------------------------------------------------------
 def sales_summary(fact: DataFrame) -> DataFrame:
     """reporting_sales_summary: month -> revenue, orders, customers, AOV."""
-    return (fact.groupBy("year_number", "month_number", F.col("month_year").alias("order_month"))
-            .agg(money("total_sales_amount").alias("total_revenue"),
-                 n_distinct("order_id").alias("total_orders"),
-                 n_distinct("customer_unique_id").alias("total_customers"))
+    by = ["year_number", "month_number", "order_month"]
+    return (by_orders(fact.withColumn("order_month", F.col("month_year")), by).groupBy(*by)
+            .agg(money("revenue").alias("total_revenue"), n_rows().alias("total_orders"),
+                 n_distinct("customer").alias("total_customers"))
             .withColumn("average_order_value", ratio(F.col("total_revenue"), F.col("total_orders"))))
 
 
@@ -69,22 +80,17 @@ def category_summary_denorm(fact: DataFrame) -> DataFrame:
 # --- E4 / E5 -------------------------------------------------------------------------------
 def state_summary(enriched: DataFrame) -> DataFrame:
     """reporting_state_summary: inner joins -> customers without geography drop out."""
-    return (enriched.where(F.col("state_code").isNotNull())
-            .groupBy("state_code")
-            .agg(money("total_sales_amount").alias("total_revenue"),
-                 n_distinct("order_id").alias("total_orders"),
-                 n_distinct("customer_unique_id").alias("total_customers"),
-                 money("freight_value").alias("total_freight_cost")))
+    return (by_orders(enriched.where(F.col("state_code").isNotNull()), ["state_code"]).groupBy("state_code")
+            .agg(money("revenue").alias("total_revenue"), n_rows().alias("total_orders"),
+                 n_distinct("customer").alias("total_customers"), money("freight").alias("total_freight_cost")))
 
 
 def state_summary_denorm(fact: DataFrame) -> DataFrame:
     """Denormalised variant: LEFT(state, 2) over codes of length 2 ('unknown' drops)."""
-    return (fact.where(F.col("state_code").isNotNull() & (F.length("state_code") == 2))
-            .groupBy(F.left(F.col("state_code"), F.lit(2)).alias("state_code"))
-            .agg(money("total_sales_amount").alias("total_revenue"),
-                 n_distinct("order_id").alias("total_orders"),
-                 n_distinct("customer_unique_id").alias("total_customers"),
-                 money("freight_value").alias("total_freight_cost")))
+    return (by_orders(fact.where(F.col("state_code").isNotNull() & (F.length("state_code") == 2)), ["state_code"])
+            .groupBy("state_code")
+            .agg(money("revenue").alias("total_revenue"), n_rows().alias("total_orders"),
+                 n_distinct("customer").alias("total_customers"), money("freight").alias("total_freight_cost")))
 
 
 # --- E6 ---------------------------------------------------------------------------------------
@@ -160,15 +166,22 @@ def _filter_measures(with_customers: bool = True, with_freight: bool = True) ->
     return out
 
 
+def _order_measures() -> list[Column]:
+    return [money("revenue").alias("total_revenue"), n_rows().alias("total_orders"),
+            n_distinct("customer").alias("total_customers"), F.sum("quantity").cast("long").alias("total_items_sold"),
+            money("freight").alias("total_freight")]
+
+
 def filter_monthly(fact: DataFrame) -> DataFrame:
     """reporting_filter_monthly: segment x state x month."""
-    return fact.groupBy("segment", "state_code", "month_year", "year_number", "month_number") \
-               .agg(*_filter_measures())
+    by = ["segment", "state_code", "month_year", "year_number", "month_number"]
+    return by_orders(fact, by, "customer_id").groupBy(*by).agg(*_order_measures())
 
 
 def filter_totals(fact: DataFrame) -> DataFrame:
     """reporting_filter_totals: segment x state."""
-    return fact.groupBy("segment", "state_code").agg(*_filter_measures())
+    by = ["segment", "state_code"]
+    return by_orders(fact, by, "customer_id").groupBy(*by).agg(*_order_measures())
 
 
 def filter_categories(fact: DataFrame) -> DataFrame:
@@ -183,7 +196,6 @@ def filter_grouping_sets(fact: DataFrame) -> DataFrame:
     One read of the fact and one shuffle instead of three; rows of the
     three tables are told apart by ``grouping_id``.
     """
-    fact.createOrReplaceTempView("_emporio_fact_gs")
     return fact.sparkSession.sql("""
         SELECT segment, state_code, month_year, product_category_name_english AS product_category,
                grouping_id(segment, state_code, month_year, product_category_name_english) AS gid,
@@ -192,9 +204,9 @@ def filter_grouping_sets(fact: DataFrame) -> DataFrame:
                COUNT(DISTINCT customer_id) AS total_customers,
                CAST(SUM(quantity) AS BIGINT) AS total_items_sold,
                CAST(SUM(freight_value) AS DOUBLE) AS total_freight
-        FROM _emporio_fact_gs
+        FROM {fact}
         GROUP BY GROUPING SETS ((segment, state_code, month_year), (segment, state_code),
-                                (segment, product_category_name_english))""")
+                                (segment, product_category_name_english))""", fact=fact)
 
 
 def filter_customer_orders(fact: DataFrame) -> DataFrame:
@@ -268,29 +280,15 @@ REPORTING_TABLES = {
 
 
 def refresh_reporting_layer(ctx, out_dir: str) -> dict[str, int]:
-    """Rebuild the four summary tables.
+    """Rebuild the four summary tables and publish them together.
 
-    Each table is written to a staging folder first and only then
-    swapped in by an overwrite of the final folder from the staged copy,
-    so a failed build never leaves a half-written reporting table.
-    (Plain Parquet gives no atomicity across the four tables.)
+    They are written as a new version; the manifest names it only when
+    all four are there, so a failure in any of them leaves the four old
+    ones as they were.  Read them with ``versions.read_current``.
     """
-    spark = ctx.spark
-    counts = {}
-    for name, (source, fn) in REPORTING_TABLES.items():
-        df = fn(ctx.fact if source == "fact" else ctx.enriched)
-        staging = f"{out_dir.rstrip('/')}/_staging/{name}"
-        df.write.mode("overwrite").parquet(staging)
-        staged = spark.read.parquet(staging)
-        staged.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
-        counts[name] = spark.read.parquet(f"{out_dir.rstrip('/')}/{name}").count()
-    return counts
-
-
-def cube_slice(fact: DataFrame, slice_: Slice) -> DataFrame:
-    """sum of a month x state x category x segment slice (one row)."""
-    return (slice_.apply(fact)
-            .agg(money("total_sales_amount").alias("total_revenue"),
-                 n_distinct("order_id").alias("total_orders"),
-                 n_distinct("customer_unique_id").alias("total_customers"),
-                 F.sum("quantity").cast("long").alias("total_items_sold")))
+    from ..sources import versions
+
+    def build(source, fn):
+        return lambda: fn(ctx.fact if source == "fact" else ctx.enriched)
+
+    return versions.replace_together(ctx.spark, out_dir, {n: build(*t) for n, t in REPORTING_TABLES.items()})

@@ -3,22 +3,23 @@
 Customer-grain work is ordinary grouping of the fact (partial aggregates
 per task, then one shuffle on customer_unique_id).  Per-cluster work runs
 over K rows (K <= 8), so joins against cluster centres / profiles are
-broadcasts of a frame whose size is bounded by K.  Models come from
-pyspark.ml (KMeans, GaussianMixture, PCA); quality metrics that the ML
-library lacks (Calinski-Harabasz, Davies-Bouldin, adjusted Rand index)
-are aggregates over (label, dimension) rows, so they scale with the
-customers and work for any labelling.
+broadcasts of a frame whose size is bounded by K.  K-Means and the
+measures of labellings are in ``clustering``; GaussianMixture and PCA come
+from pyspark.ml.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.quantiles import exact_quantiles
+from . import clustering
 
 SEED = 42
 # Fixed values of the clustering recipe.
@@ -31,6 +32,8 @@ PERSONAS = ["VIP Loyalists", "Churned High-Value", "High-Value Spenders", "Dorma
             "Standard / Bargain Shoppers"]
 AT_RISK_MARKERS = ["Churned", "Dormant", "At-Risk", "Inactive"]
 
+# initialisations of a K-Means configuration
+STARTS = 10
 # seeds of the refits whose agreement is measured (own choice)
 STABILITY_SEEDS = [0, 7, 21, 99, 123]
 
@@ -164,27 +167,22 @@ def to_vector(df: DataFrame, cols=CLUSTERING_FEATURES, out: str = "features") ->
 
 
 def pca_85(vectors: DataFrame, threshold: float = 0.85, in_col: str = "features"):
-    """I8: components until cumulative explained variance >= threshold.
+    """I8: components until cumulative explained variance >= threshold, from one fit.
 
-    Returns (projected frame with ``pca`` column, k, explained ratios)."""
+    Returns (frame with ``pca``, an array of the first k components, k, explained ratios)."""
     from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
     n = len(vectors.select(in_col).first()[0])
-    full = PCA(k=n, inputCol=in_col, outputCol="_pca_all").fit(vectors)
-    ratios = [float(x) for x in full.explainedVariance.toArray()]
+    model = PCA(k=n, inputCol=in_col, outputCol="_all").fit(vectors)
+    ratios = [float(x) for x in model.explainedVariance.toArray()]
     cum, k = 0.0, n
     for i, r in enumerate(ratios):
         cum += r
         if cum >= threshold:
             k = i + 1
             break
-    model = PCA(k=k, inputCol=in_col, outputCol="pca").fit(vectors)
-    return model.transform(vectors), k, ratios
-
-
-def sample_by_hash(df: DataFrame, fraction: float, seed: int = SEED, key: str = "customer_unique_id") -> DataFrame:
-    """Reproducible share of the rows, by a threshold on a seeded hash (no sort, no shuffle)."""
-    steps = 1_000_000
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(steps)) < round(fraction * steps))
+    projected = model.transform(vectors).withColumn("pca", F.slice(vector_to_array("_all"), 1, k)).drop("_all")
+    return projected, k, ratios
 
 
 def projection_2d(vectors: DataFrame, labels: DataFrame | None = None, in_col: str = "features") -> DataFrame:
@@ -200,49 +198,87 @@ def projection_2d(vectors: DataFrame, labels: DataFrame | None = None, in_col: s
 
 
 # --- I11-I13 / I24 ----------------------------------------------------------------------------------
-def kmeans_fit(vectors: DataFrame, k: int, seed: int = SEED, in_col: str = "features"):
-    from pyspark.ml.clustering import KMeans
-    return KMeans(k=k, seed=seed, featuresCol=in_col, predictionCol="cluster_id", maxIter=50).fit(vectors)
+KEY = "customer_unique_id"
 
 
-def silhouette(pred: DataFrame, in_col: str = "features", label: str = "cluster_id") -> float:
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    return ClusteringEvaluator(featuresCol=in_col, predictionCol=label,
-                               distanceMeasure="squaredEuclidean").evaluate(pred)
+@dataclass
+class Sweep:
+    """Measures of every (scaler, K), the labels of every customer, and the centres behind them."""
+    table: DataFrame
+    labels: dict[str, DataFrame]
+    centres: dict[tuple[str, int], np.ndarray]
 
 
-def k_sweep(scaled: dict[str, DataFrame], k_range=K_RANGE, in_col: str = "pca") -> DataFrame:
-    """Every (scaler, K): silhouette, inertia, CH, DB; the chosen row has the best
-    silhouette among K >= MIN_ACTIONABLE_SEGMENTS."""
-    spark = next(iter(scaled.values())).sparkSession
-    rows = []
-    for name, vec in scaled.items():
-        vec = vec.cache()
-        for k in k_range:
-            m = kmeans_fit(vec, k, in_col=in_col)
-            pred = m.transform(vec)
-            rows.append((name, k, float(silhouette(pred, in_col)), float(m.summary.trainingCost)))
-        vec.unpersist()
-    out = spark.createDataFrame(rows, "scaler string, k int, silhouette double, inertia double")
-    w = Window.orderBy(F.desc("silhouette"), F.asc("scaler"), F.asc("k"))   # 2 x 7 rows
-    best = out.where(F.col("k") >= MIN_ACTIONABLE_SEGMENTS).withColumn("_r", F.row_number().over(w))
-    return out.join(best.select("scaler", "k", (F.col("_r") == 1).alias("chosen")), ["scaler", "k"], "left") \
-              .withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-
-
-def gmm_compare(vectors: DataFrame, k_range=range(3, 9), in_col: str = "pca") -> DataFrame:
-    """GaussianMixture vs KMeans for each K (silhouette)."""
+def label_name(algorithm: str, k: int) -> str:
+    return f"{algorithm}_{k}"
+
+
+def k_sweep(points: DataFrame, store, k_range=K_RANGE, rows: int = clustering.EVALUATION_ROWS) -> Sweep:
+    """Every (scaler, K) from ``STARTS`` starts: inertia, silhouette, CH, DB.
+
+    ``points`` has the customer and an array column per scaler.  All
+    configurations are fitted together; of each the start with the least
+    inertia counts.  The chosen row has the best silhouette among
+    K >= MIN_ACTIONABLE_SEGMENTS.  ``store(df, name)`` writes a table.
+    """
+    spark = points.sparkSession
+    scalers = [c for c in points.columns if c != KEY]
+    configs = [clustering.Config(s, k, start) for s in scalers for k in k_range for start in range(STARTS)]
+    fits = clustering.fit_many(points, KEY, configs, seed=SEED)
+    centres = clustering.best_starts(fits)
+    inertia = {}
+    for c, (_, w) in fits.items():
+        inertia[c.space, c.k] = min(w, inertia.get((c.space, c.k), w))
+    labels, judged = {}, []
+    for s in scalers:
+        names = {label_name("kmeans", k): centres[s, k] for k in k_range}
+        labels[s] = store(clustering.assign(points.select(KEY, s), s, names), f"kmeans_labels_{s}")
+        judged.append(clustering.judge(labels[s], KEY, s, list(names), rows, SEED).withColumn("scaler", F.lit(s)))
+    costs = spark.createDataFrame([(s, k, float(w)) for (s, k), w in inertia.items()], "scaler string, k int, inertia double")
+    found = (reduce(lambda a, b: a.unionByName(b), judged)
+             .withColumn("k", F.element_at(F.split("labelling", "_"), -1).cast("int")).join(costs, ["scaler", "k"]))
+    # a row per configuration
+    order = Window.orderBy(F.when(F.col("k") >= MIN_ACTIONABLE_SEGMENTS, F.col("silhouette")).desc_nulls_last(), "scaler", "k")
+    chosen = (F.row_number().over(order) == 1) & (F.col("k") >= MIN_ACTIONABLE_SEGMENTS)
+    table = store(found.select("scaler", "k", "silhouette", "calinski_harabasz", "davies_bouldin", "inertia",
+                               chosen.alias("chosen")), "k_sweep")
+    return Sweep(table, labels, centres)
+
+
+def algorithm_comparison(points: DataFrame, sweep: Sweep, store, k_range=range(3, 9),
+                         rows: int = clustering.EVALUATION_ROWS) -> DataFrame:
+    """Gaussian mixtures against K-Means for every scaler and K: silhouette, CH, DB.
+
+    The labels of all models of a scaler are judged together.  A mixture
+    whose components are partly empty is judged by the others;
+    ``clusters`` says how many there are, and one alone has no measures.
+    """
     from pyspark.ml.clustering import GaussianMixture
-    spark = vectors.sparkSession
-    rows = []
-    for k in k_range:
-        km = kmeans_fit(vectors, k, in_col=in_col).transform(vectors)
-        gm = GaussianMixture(k=k, seed=SEED, featuresCol=in_col, predictionCol="cluster_id").fit(vectors)
-        gp = gm.transform(vectors)
-        rows.append(("kmeans", k, float(silhouette(km, in_col))))
-        n_used = gp.select("cluster_id").distinct().count()
-        rows.append(("gmm", k, float(silhouette(gp, in_col)) if n_used > 1 else None))
-    return spark.createDataFrame(rows, "algorithm string, k int, silhouette double")
+    from pyspark.ml.functions import array_to_vector
+    out = []
+    for s, labelled in sweep.labels.items():
+        vectors = store(points.select(KEY, array_to_vector(s).alias("features")), f"gmm_points_{s}")
+        both = labelled
+        for k in k_range:
+            name = label_name("gmm", k)
+            model = GaussianMixture(k=k, seed=SEED, featuresCol="features", predictionCol=name, probabilityCol="_p").fit(vectors)
+            both = both.join(model.transform(vectors).select(KEY, name), KEY)
+        names = [label_name(a, k) for a in ("kmeans", "gmm") for k in k_range]
+        both = store(both, f"algorithm_labels_{s}")
+        out.append(clustering.judge(both, KEY, s, names, rows, SEED).withColumn("scaler", F.lit(s)))
+    found = reduce(lambda a, b: a.unionByName(b), out)
+    part = F.split("labelling", "_")
+    return found.select("scaler", part[0].alias("algorithm"), part[1].cast("int").alias("k"), "clusters", "silhouette",
+                        "calinski_harabasz", "davies_bouldin")
+
+
+def stability_labels(points: DataFrame, space: str, k: int, seeds=tuple(STABILITY_SEEDS)) -> DataFrame:
+    """I16: a labelling ``seed_<s>`` per seed, each the best of ``STARTS`` starts, fitted on all customers."""
+    centres = {}
+    for s in seeds:
+        fits = clustering.fit_many(points, KEY, [clustering.Config(space, k, n) for n in range(STARTS)], seed=s)
+        centres[f"seed_{s}"] = clustering.best_starts(fits)[space, k]
+    return clustering.assign(points.select(KEY, space), space, centres)
 
 
 # --- I14 / I15 / I16: quality of any labelling --------------------------------------------------------
@@ -257,35 +293,19 @@ def centroids(points: DataFrame, cols: list[str], label: str = "cluster_id") ->
     return _long(points, cols, label).groupBy("label", "dim").agg(F.avg("x").alias("c"))
 
 
+def _measure(points: DataFrame, cols: list[str], label: str, name: str) -> DataFrame:
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    return clustering.dispersion(points.select(x.alias("x"), label), "x", [label]).select(name)
+
+
 def calinski_harabasz(points: DataFrame, cols: list[str], label: str = "cluster_id") -> DataFrame:
     """[B / (k - 1)] / [W / (n - k)] (one row)."""
-    lp = _long(points, cols, label)
-    cen = lp.groupBy("label", "dim").agg(F.avg("x").alias("c"), F.count(F.lit(1)).alias("nk"))
-    overall = lp.groupBy("dim").agg(F.avg("x").alias("g"))
-    within = (lp.join(F.broadcast(cen), ["label", "dim"])            # K x d centres
-                .agg(F.sum(F.pow(F.col("x") - F.col("c"), 2)).alias("W")))
-    between = (cen.join(F.broadcast(overall), "dim")
-                  .agg(F.sum(F.col("nk") * F.pow(F.col("c") - F.col("g"), 2)).alias("B")))
-    counts = points.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
-    return (within.crossJoin(between).crossJoin(counts)   # three one-row aggregates
-                  .select((F.col("B") / (F.col("k") - 1) / (F.col("W") / (F.col("n") - F.col("k"))))
-                          .alias("calinski_harabasz")))
+    return _measure(points, cols, label, "calinski_harabasz")
 
 
 def davies_bouldin(points: DataFrame, cols: list[str], label: str = "cluster_id") -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j) (one row)."""
-    pts = points.select(F.col(label).alias("label"),
-                        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
-    cen = points.groupBy(F.col(label).alias("label")).agg(
-        *[F.avg(c).alias(f"_c{i}") for i, c in enumerate(cols)])
-    dist = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(f"_x{i}") - F.col(f"_c{i}"), 2) for i in range(len(cols))]))
-    scatter = pts.join(F.broadcast(cen), "label").groupBy("label").agg(F.avg(dist).alias("s"))
-    a = cen.join(scatter, "label")
-    b = a.select(*[F.col(c).alias(f"b{c}") for c in a.columns])
-    dij = F.sqrt(reduce(lambda x, y: x + y, [F.pow(F.col(f"_c{i}") - F.col(f"b_c{i}"), 2) for i in range(len(cols))]))
-    pairs = (a.crossJoin(F.broadcast(b)).where(F.col("label") != F.col("blabel"))   # K x K, K <= 8
-               .select("label", ((F.col("s") + F.col("bs")) / dij).alias("r")))
-    return pairs.groupBy("label").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    return _measure(points, cols, label, "davies_bouldin")
 
 
 def adjusted_rand_index(labels: DataFrame, a: str, b: str) -> DataFrame:

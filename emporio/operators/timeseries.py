@@ -146,16 +146,47 @@ def fourier_terms(df: DataFrame, k_max: int = 3, period: float = 365.25) -> Data
 
 
 # --- H9-H13 ---------------------------------------------------------------------------------------
+# Names of the lagged columns (prefix, measure) and of yesterday's measures.
+LAGGED = {"log_rev": "log_daily_revenue", "rev": "daily_revenue", "orders": "total_orders",
+          "customers": "total_customers", "aov": "avg_order_value"}
+YESTERDAY = {"orders": "total_orders", "aov": "avg_order_value", "customers": "total_customers", "items": "total_items",
+             "items_per_order": "avg_items_per_order", "freight": "total_freight", "avg_freight": "avg_freight",
+             "sellers": "total_sellers"}
+SELLER_DAYS = 7
+
+
+class Past:
+    """What a feature may read of the days before: values and statistics of a measure.
+
+    ``WindowPast`` reads them from the rows of the series, the forecast
+    from the arrays of its state; the features are stated once.
+    """
+
+    def value(self, measure: str, days: int) -> Column:
+        raise NotImplementedError
+
+    def stats(self, measure: str, days: int) -> dict[str, Column]:
+        """mean, std (sample), min and max of the last ``days`` days, NULL until there are so many."""
+        raise NotImplementedError
+
+
+class WindowPast(Past):
+    def value(self, measure, days):
+        return F.lag(measure, days).over(series_window())
+
+    def stats(self, measure, days):
+        frame = series_window().rowsBetween(-days, -1)
+        return {name: _full(frame, days, agg(measure))
+                for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))}
+
+
+def lag_columns(past: Past, lags=LAG_DAYS) -> dict[str, Column]:
+    return {f"{prefix}_lag_{days}": past.value(measure, days) for days in lags for prefix, measure in LAGGED.items()}
+
+
 def lag_features(df: DataFrame, lags=LAG_DAYS) -> DataFrame:
-    w = series_window()
-    cols = {}
-    for lag in lags:
-        cols[f"log_rev_lag_{lag}"] = F.lag("log_daily_revenue", lag).over(w)
-        cols[f"rev_lag_{lag}"] = F.lag("daily_revenue", lag).over(w)
-        cols[f"orders_lag_{lag}"] = F.lag("total_orders", lag).over(w)
-        cols[f"customers_lag_{lag}"] = F.lag("total_customers", lag).over(w)
-        cols[f"aov_lag_{lag}"] = F.lag("avg_order_value", lag).over(w)
-    return df.withColumns(cols)
+    """H9."""
+    return df.withColumns(lag_columns(WindowPast(), lags))
 
 
 def _full(frame: Window, w: int, agg: Column) -> Column:
@@ -163,17 +194,19 @@ def _full(frame: Window, w: int, agg: Column) -> Column:
     return F.when(F.count(F.lit(1)).over(frame) == w, agg.over(frame))
 
 
+def rolling_columns(past: Past, windows=ROLLING_WINDOWS) -> dict[str, Column]:
+    cols = {}
+    for days in windows:
+        of = past.stats("log_daily_revenue", days)
+        cols[f"log_rev_roll_mean_{days}"] = of["mean"]
+        cols[f"rev_roll_mean_{days}"] = past.stats("daily_revenue", days)["mean"]
+        cols |= {f"log_rev_roll_{name}_{days}": of[name] for name in ("std", "min", "max")}
+    return cols
+
+
 def rolling_features(df: DataFrame, windows=ROLLING_WINDOWS) -> DataFrame:
     """Stats of the previous w days (the current day is excluded)."""
-    cols = {}
-    for w in windows:
-        fr = series_window().rowsBetween(-w, -1)
-        cols[f"log_rev_roll_mean_{w}"] = _full(fr, w, F.avg("log_daily_revenue"))
-        cols[f"rev_roll_mean_{w}"] = _full(fr, w, F.avg("daily_revenue"))
-        cols[f"log_rev_roll_std_{w}"] = _full(fr, w, F.stddev_samp("log_daily_revenue"))
-        cols[f"log_rev_roll_min_{w}"] = _full(fr, w, F.min("log_daily_revenue"))
-        cols[f"log_rev_roll_max_{w}"] = _full(fr, w, F.max("log_daily_revenue"))
-    return df.withColumns(cols)
+    return df.withColumns(rolling_columns(WindowPast(), windows))
 
 
 def ewm_mean(col: str, span: int) -> Column:
@@ -240,23 +273,17 @@ def ewm_features(df: DataFrame, windows=ROLLING_WINDOWS, method: str = "blocks",
     return out.select(*df.columns, *[f"log_rev_roll_ema_{w}" for w in windows])
 
 
+def prev_day_columns(past: Past) -> dict[str, Column]:
+    cols = {f"{name}_prev_day": past.value(measure, 1) for name, measure in YESTERDAY.items()}
+    cols[f"sellers_roll_mean_{SELLER_DAYS}"] = past.stats("total_sellers", SELLER_DAYS)["mean"]
+    sellers = F.greatest(past.value("total_sellers", 1), F.lit(1.0))
+    cols["rev_per_seller_prev_day"] = past.value("daily_revenue", 1) / sellers
+    return cols
+
+
 def prev_day_drivers(df: DataFrame) -> DataFrame:
-    """yesterday's drivers, 7-day seller mean, revenue per seller (lagged)."""
-    w = series_window()
-    fr7 = w.rowsBetween(-7, -1)
-    return df.withColumns({
-        "orders_prev_day": F.lag("total_orders", 1).over(w),
-        "aov_prev_day": F.lag("avg_order_value", 1).over(w),
-        "customers_prev_day": F.lag("total_customers", 1).over(w),
-        "items_prev_day": F.lag("total_items", 1).over(w),
-        "items_per_order_prev_day": F.lag("avg_items_per_order", 1).over(w),
-        "freight_prev_day": F.lag("total_freight", 1).over(w),
-        "avg_freight_prev_day": F.lag("avg_freight", 1).over(w),
-        "sellers_prev_day": F.lag("total_sellers", 1).over(w),
-        "sellers_roll_mean_7": _full(fr7, 7, F.avg("total_sellers")),
-        "rev_per_seller_prev_day": F.lag(F.col("daily_revenue") / F.greatest(F.col("total_sellers"), F.lit(1.0)), 1)
-                                    .over(w),
-    })
+    """yesterday's drivers, 7-day seller mean, revenue per seller."""
+    return df.withColumns(prev_day_columns(WindowPast()))
 
 
 def time_index(df: DataFrame) -> DataFrame:

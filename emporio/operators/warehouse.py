@@ -8,7 +8,9 @@ Two flavours of the fact are built from the same pieces:
   key lookup at all and is what every reporting / dashboard / ML job
   reads.  Both give the same rows.
 
-Join strategy: no explicit hints; all joins are left to the planner: with AQE on, a side whose measured
+Join strategy: what belongs to an order is joined to the orders, so that
+items are shuffled on product, seller and order only, and rows without a
+key are spread (``looked_up``).  No explicit hints; all joins are left to the planner: with AQE on, a side whose measured
 shuffle output is under ``spark.sql.autoBroadcastJoinThreshold`` is
 turned into a broadcast at run time, everything else stays a
 sort-merge join, and AQE splits skewed partitions of the big side.
@@ -49,19 +51,19 @@ def dim_geography(geolocation: DataFrame) -> DataFrame:
 
 
 # --- B2 / B3 ---------------------------------------------------------------------
-def dim_customer(customers: DataFrame, geo: DataFrame) -> DataFrame:
+def dim_customer(customers: DataFrame, geo: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """customers left join geography on zip; geography columns travel along
-    so that the denormalised fact needs no second geography join."""
+    so that the denormalised fact needs no second geography join.  ``keep``: further customer columns."""
     return (customers.join(geo, customers.customer_zip_code_prefix == geo.zip_code_prefix, "left")
-            .select("customer_id", "customer_unique_id", *(
+            .select("customer_id", "customer_unique_id", *keep, *(
                 [F.col("geography_key")] if "geography_key" in geo.columns else []),
                 F.col("city_name").alias("customer_city_name"),
                 F.col("state_code").alias("customer_state_code")))
 
 
-def dim_seller(sellers: DataFrame, geo: DataFrame) -> DataFrame:
+def dim_seller(sellers: DataFrame, geo: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return (sellers.join(geo, sellers.seller_zip_code_prefix == geo.zip_code_prefix, "left")
-            .select("seller_id", *([F.col("geography_key")] if "geography_key" in geo.columns else []),
+            .select("seller_id", *keep, *([F.col("geography_key")] if "geography_key" in geo.columns else []),
                     F.col("city_name").alias("seller_city_name"),
                     F.col("state_code").alias("seller_state_code")))
 
@@ -144,56 +146,83 @@ def rule_segments(items_orders: DataFrame, params: Params) -> DataFrame:
     aggregate per task.
     """
     per_order = (items_orders.groupBy("customer_unique_id", "order_id")
-                 .agg(F.sum("total_sales_amount").alias("_rev")))
-    per_cust = (per_order.groupBy("customer_unique_id")
-                .agg(F.sum("_rev").alias("lifetime_revenue"), F.count(F.lit(1)).alias("order_count")))
+                 .agg(F.sum("total_sales_amount").alias("revenue")))
+    return order_segments(per_order, params)
+
+
+def order_segments(orders: DataFrame, params: Params) -> DataFrame:
+    """The same from a row per order (customer_unique_id, revenue)."""
+    per_cust = (orders.groupBy("customer_unique_id")
+                .agg(F.sum("revenue").alias("lifetime_revenue"), F.count(F.lit(1)).alias("order_count")))
     seg = (F.when(F.col("lifetime_revenue") >= F.lit(params.vip_min), "vip")
             .when(F.col("order_count") > 1, "repeat").otherwise("new"))
     return per_cust.select("customer_unique_id", seg.alias("segment"))
 
 
 # --- B11 / B13 -----------------------------------------------------------------------
+def looked_up(rows: DataFrame, dim: DataFrame, key: str, spread: str = "order_id") -> DataFrame:
+    """Left join on ``key``; rows without a key are spread over the tasks by another column.
+
+    NULL keys never match, yet a shuffle would send all of them to one
+    task; they get a stand-in that no dimension row has.
+    """
+    stand_in = F.when(F.col(key).isNull(), F.xxhash64(spread))
+    return (rows.withColumn("_spread", stand_in)
+            .join(dim.withColumnRenamed(key, "_key").withColumn("_spread_key", F.lit(None).cast("long")),
+                  F.col(key).eqNullSafe(F.col("_key")) & F.col("_spread").eqNullSafe(F.col("_spread_key")), "left")
+            .drop("_spread", "_spread_key", "_key"))
+
+
 def items_with_orders(src: dict[str, DataFrame]) -> DataFrame:
     """order_items inner join orders (both shuffled on order_id)."""
     o = src["orders"].select("order_id", "customer_id", "order_purchase_timestamp")
     return measures(src["order_items"]).join(o, "order_id", "inner")
 
 
+def order_attributes(src: dict[str, DataFrame], params: Params) -> DataFrame:
+    """A row per order: customer, segment, place and purchase time.
+
+    Everything that an item takes from its order is joined at the
+    order's grain.  Items come in as revenue per order, added up before
+    the shuffle.
+    """
+    geo = dim_geography(src["geolocation"])
+    cust = dim_customer(src["customers"], geo)
+    orders = looked_up(src["orders"].select("order_id", "customer_id", "order_purchase_timestamp"), cust, "customer_id")
+    revenue = measures(src["order_items"]).groupBy("order_id").agg(F.sum("total_sales_amount").alias("revenue"))
+    sold = orders.where(F.col("customer_unique_id").isNotNull()).select("order_id", "customer_unique_id").join(revenue, "order_id")
+    segs = order_segments(sold, params)
+    ts = parse_ts("order_purchase_timestamp")
+    return looked_up(orders, segs, "customer_unique_id").select(
+        "order_id", "customer_id", "customer_unique_id", "segment", F.col("customer_state_code").alias("state_code"),
+        F.col("customer_city_name").alias("customer_city"), F.to_date(ts).alias("order_date"),
+        date_key(F.to_date(ts)).alias("purchase_date_key"), month_year(ts).alias("month_year"),
+        F.year(ts).alias("year_number"), F.month(ts).alias("month_number"))
+
+
 def enriched_fact(src: dict[str, DataFrame], params: Params) -> DataFrame:
     """Item-grain fact joined to every dimension on natural keys.
 
     Dimension attributes stay NULL where the dimension row is missing
     (the SQL views' LEFT JOIN semantics); ``denormalized_fact`` adds the
-    'unknown' defaults on top.  The rule segment (B15) is computed from
-    the same items-x-orders-x-customers plan, so its exchanges are reused.
+    'unknown' defaults on top.  Item rows are shuffled three times at
+    most: on product, on seller and on order.
     """
     geo = dim_geography(src["geolocation"])
-    cust = dim_customer(src["customers"], geo)
     sell = dim_seller(src["sellers"], geo).withColumn("_seller_found", F.lit(True))
-    prod = dim_product(src["products"], src["categories"]).select(
-        "product_id", "product_category_name_english", F.lit(True).alias("_product_found"))
-
-    ioc = items_with_orders(src).join(cust, "customer_id", "left")
-    segs = rule_segments(ioc.where(F.col("customer_unique_id").isNotNull()), params)
-    ts = parse_ts("order_purchase_timestamp")
-    return (ioc.join(prod, "product_id", "left")
-            .join(sell, "seller_id", "left")
-            .join(segs, "customer_unique_id", "left")
+    prod = dim_product(src["products"], src["categories"]).select("product_id", "product_category_name_english")
+    items = looked_up(looked_up(measures(src["order_items"]), prod, "product_id"), sell, "seller_id")
+    return (items.join(order_attributes(src, params), "order_id")
             .select(
                 "order_id", "order_item_id", "customer_id", "product_id",
                 F.when(F.col("_seller_found"), F.col("seller_id")).alias("seller_id"),
-                F.to_date(ts).alias("order_date"),
-                date_key(F.to_date(ts)).alias("purchase_date_key"),
+                "order_date", "purchase_date_key",
                 "quantity", "price", "freight_value", "total_sales_amount",
-                "customer_unique_id", "segment",
-                F.col("customer_state_code").alias("state_code"),
-                F.col("customer_city_name").alias("customer_city"),
+                "customer_unique_id", "segment", "state_code", "customer_city",
                 "product_category_name_english",
                 F.col("seller_city_name").alias("seller_city"),
                 F.col("seller_state_code").alias("seller_state"),
-                month_year(ts).alias("month_year"),
-                F.year(ts).alias("year_number"),
-                F.month(ts).alias("month_number")))
+                "month_year", "year_number", "month_number"))
 
 
 UNKNOWN_DEFAULTED = ["customer_unique_id", "segment", "state_code", "customer_city",
@@ -211,19 +240,32 @@ def denormalized_fact(src: dict[str, DataFrame], params: Params) -> DataFrame:
 
 
 # --- keyed warehouse (B6, B9, B11, B14) -----------------------------------------------
+def keyed_geography(geolocation: DataFrame) -> DataFrame:
+    return with_dense_key(dim_geography(geolocation), ["zip_code_prefix"], "geography_key")
+
+
+def keyed_customer(customers: DataFrame) -> DataFrame:
+    """From ``dim_customer`` rows."""
+    return with_dense_key(customers.select("customer_id", "customer_unique_id", "geography_key"), ["customer_id"], "customer_key")
+
+
+def keyed_seller(sellers: DataFrame) -> DataFrame:
+    return with_dense_key(sellers.select("seller_id", "geography_key"), ["seller_id"], "seller_key")
+
+
+def keyed_product(products: DataFrame) -> DataFrame:
+    return with_dense_key(products, ["product_id"], "product_key")
+
+
 def keyed_dimensions(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Dimensions with dense surrogate keys in natural-key order."""
     from concurrent.futures import ThreadPoolExecutor
-    geo = with_dense_key(dim_geography(src["geolocation"]), ["zip_code_prefix"], "geography_key")
+    geo = keyed_geography(src["geolocation"])
     geo_k = geo.select("geography_key", "zip_code_prefix", "city_name", "state_code")
     jobs = {
-        "dim_customer": lambda: with_dense_key(dim_customer(src["customers"], geo_k)
-                                               .select("customer_id", "customer_unique_id", "geography_key"),
-                                               ["customer_id"], "customer_key"),
-        "dim_seller": lambda: with_dense_key(dim_seller(src["sellers"], geo_k).select("seller_id", "geography_key"),
-                                             ["seller_id"], "seller_key"),
-        "dim_product": lambda: with_dense_key(dim_product(src["products"], src["categories"]),
-                                              ["product_id"], "product_key"),
+        "dim_customer": lambda: keyed_customer(dim_customer(src["customers"], geo_k)),
+        "dim_seller": lambda: keyed_seller(dim_seller(src["sellers"], geo_k)),
+        "dim_product": lambda: keyed_product(dim_product(src["products"], src["categories"])),
     }
     # the three key assignments are independent Spark jobs: submit them together
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
@@ -235,22 +277,24 @@ def keyed_dimensions(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def fact_sales(src: dict[str, DataFrame], dims: dict[str, DataFrame]) -> DataFrame:
     """Items x orders, key lookups (B9), measures (B10), audit columns.
 
+    The customer and date keys belong to the order and are looked up at
+    its grain; a purchase day that the calendar lacks has no date key.
     The reference also left-joins the per-order payment and review
     aggregates (B7/B8) and then drops every column they bring; a left
     join on a unique key cannot change the item rows, so those two
     shuffles are skipped here.
     """
-    ts = parse_ts("order_purchase_timestamp")
-    tx = (items_with_orders(src)
-          .withColumn("purchase_date_key", date_key(F.to_date(ts))))
-    tx = (tx.join(dims["dim_customer"].select("customer_id", "customer_key"), "customer_id", "left")
-            .join(dims["dim_seller"].select("seller_id", "seller_key"), "seller_id", "left")
-            .join(dims["dim_product"].select("product_id", "product_key"), "product_id", "left")
-            .join(dims["dim_date"].select(F.col("date_key").alias("purchase_date_key")),
-                  "purchase_date_key", "left"))      # calendar: AQE broadcasts it from its measured size
+    day = date_key(F.to_date(parse_ts("order_purchase_timestamp")))
+    orders = looked_up(src["orders"].select("order_id", "customer_id", day.alias("_day")),
+                       dims["dim_customer"].select("customer_id", "customer_key"), "customer_id")
+    orders = looked_up(orders, dims["dim_date"].select(F.col("date_key").alias("_day"),
+                                                       F.col("date_key").alias("purchase_date_key")), "_day")
+    items = looked_up(measures(src["order_items"]), dims["dim_product"].select("product_id", "product_key"), "product_id")
+    items = looked_up(items, dims["dim_seller"].select("seller_id", "seller_key"), "seller_id")
     now = F.current_timestamp()
     return with_unique_key(
-        tx.select("order_id", "order_item_id", "customer_key", "product_key", "seller_key",
-                  "purchase_date_key", "quantity", "price", "freight_value", "total_sales_amount",
-                  now.alias("etl_created_at"), now.alias("etl_updated_at")),
+        items.join(orders.select("order_id", "customer_key", "purchase_date_key"), "order_id").select(
+            "order_id", "order_item_id", "customer_key", "product_key", "seller_key",
+            "purchase_date_key", "quantity", "price", "freight_value", "total_sales_amount",
+            now.alias("etl_created_at"), now.alias("etl_updated_at")),
         "sales_key")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Params
+from ..operators import cubes
 from ..operators import warehouse as wh
 from ..session import ensure_checkpoint_dir
 from ..sources.fixture import load_fixture_sources
@@ -109,6 +110,13 @@ class Context:
         """Denormalised fact (B13): attributes defaulted to 'unknown'."""
         return wh.denormalize(self.enriched)
 
+    def cube(self, name: str) -> DataFrame:
+        """A stored summary table of ``operators.cubes``, built when it is first asked for."""
+        build = cubes.NAMES[name].build
+        if name == "orders":   # stored under ``orders`` already
+            return build(self)
+        return self.memo(f"cube_{name}", lambda: self._store(build(self), f"cube_{name}"))
+
     @property
     def orders(self) -> DataFrame:
         """Order grain (E17): one row per order, additive measures.

@@ -221,7 +221,7 @@ for _q in ("ar", "sc", "s"):
     register(f"f24_search_{_q}", _search_sql(_q))((lambda q: (lambda ctx: D.search(ctx, q)))(_q))
 
 
-_variants("f25_cube_slice", lambda ctx, s: R.cube_slice(ctx.fact, s), lambda s, p: f"""
+_variants("f25_cube_slice", D.cube_slice, lambda s, p: f"""
 SELECT CAST(sum(total_sales_amount) AS DOUBLE) AS total_revenue, count(DISTINCT order_id) AS total_orders,
        count(DISTINCT customer_unique_id) AS total_customers, CAST(sum(quantity) AS BIGINT) AS total_items_sold
 FROM fact WHERE {s.sql()}""", ("all", "state_segment", "category_month"))
@@ -257,3 +257,24 @@ def f2(ctx):
                            F.sum("revenue").cast("double").alias("revenue"))
                       .select(F.lit(tag).alias("slice"), F.lit(src).alias("source"), "orders", "revenue"))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# --- F2: the same questions answered by each table that can ------------------------------------------
+KNOWN_CATEGORY = Slice.of(category="economy", segment="repeat")
+
+
+def _routed(name: str, build, oracle, s: Slice, tables: tuple[str, ...]):
+    for table in tables:
+        register(f"f2_{name}_from_{table}", lambda p, s=s: with_base(oracle(s, p), p))(
+            lambda ctx, table=table: build(ctx, s, table))
+
+
+_routed("sales_kpis", lambda ctx, s, t: D.sales_kpis(ctx, s, using=t), _sales_kpi_sql, KNOWN_CATEGORY,
+        ("categories", "order_categories", "fact"))
+_routed("seller_kpis", lambda ctx, s, t: D.sales_kpis(ctx, s, using=t), _sales_kpi_sql, SELLER_SLICE, ("sellers", "fact"))
+_routed("sales_trend", lambda ctx, s, t: D.monthly_trend(ctx, s, True, False, using=t),
+        lambda s, p: _trend_sql(s, p, True, False), ORDER_SLICE, ("monthly", "orders", "fact"))
+_routed("overall_kpis", lambda ctx, s, t: D.overall_kpis(ctx, s, using=t), _kpi_sql, Slice.of(segment="repeat"),
+        ("customers", "orders", "fact"))
+_routed("category_performance", lambda ctx, s, t: D.category_performance(ctx, s, using=t),
+        lambda s, p: _category_sql(s, p, None), ORDER_SLICE, ("order_categories", "fact"))

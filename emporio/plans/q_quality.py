@@ -217,6 +217,27 @@ def c13s(ctx):
                              "total_revenue", ctx.fact)
 
 
+E2_SQL = """(SELECT COALESCE(product_category_name_english, 'Uncategorized') AS product_category,
+                    sum(total_sales_amount) AS total_revenue FROM enriched GROUP BY 1)"""
+E6_SQL = """(SELECT customer_unique_id, sum(total_sales_amount) AS lifetime_revenue, count(DISTINCT order_id) AS total_orders
+             FROM enriched WHERE customer_unique_id IS NOT NULL GROUP BY 1)"""
+
+
+@register("c13_reporting_audit_category", lambda p: _c13_sql(p, E2_SQL, "reporting_category_summary", "product_category",
+                                                             "total_revenue", None))
+def c13c(ctx):
+    """Orders of several categories count in each, so that their sum says nothing."""
+    return Q.reporting_audit(R.category_summary(ctx.enriched), "reporting_category_summary", "product_category",
+                             "total_revenue", ctx.fact)
+
+
+@register("c13_reporting_audit_customer", lambda p: _c13_sql(p, E6_SQL, "reporting_customer_summary", "customer_unique_id",
+                                                             "lifetime_revenue", "total_orders"))
+def c13u(ctx):
+    return Q.reporting_audit(R.customer_summary(ctx.enriched), "reporting_customer_summary", "customer_unique_id",
+                             "lifetime_revenue", ctx.fact, orders_col="total_orders")
+
+
 def _c13_sql(p, table_sql, name, key, rev, orders):
     from .oracle import base_ctes
     body = _audit_sql(table_sql, name, key, rev, orders)
@@ -280,6 +301,32 @@ def d2(ctx):
     return P.column_profile(ctx.src["order_items"], "order_items")
 
 
+def _profiles_sql() -> str:
+    from ..sources.schemas import SOURCES
+    parts = []
+    for name, schema in SOURCES.items():
+        for f in schema.fields:
+            c, src = f.name, source_sql(name)
+            parts.append(f"""
+SELECT '{name}' AS dataset, '{c}' AS column_name, '{f.dataType.simpleString()}' AS dtype,
+       count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count, count(*) AS rows,
+       (SELECT string_agg(v, ' | ' ORDER BY r) FROM (
+          SELECT v, row_number() OVER (ORDER BY md5(v), v) AS r
+          FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {src} y WHERE {c} IS NOT NULL) z) w WHERE r <= {P.SAMPLES})
+         AS sample_values
+FROM {src} t""")
+    return " UNION ALL ".join(parts)
+
+
+@register("d2_column_profiles_with_samples", sql(_profiles_sql()))
+def d2_all(ctx):
+    """Every column of all nine sources, with three values each."""
+    from functools import reduce
+    from ..sources.schemas import SOURCES
+    return reduce(lambda a, b: a.unionByName(b), [P.column_profile(ctx.src[n], n, P.SAMPLES) for n in SOURCES]) \
+        .drop("min_value", "max_value")
+
+
 @register("d3_all_dataset_summary", sql(" UNION ALL ".join(_profile_sql(n) for n in SOURCE_NAMES)))
 def d3(ctx):
     return P.all_dataset_summary({n: ctx.src[n] for n in SOURCE_NAMES})
@@ -372,3 +419,48 @@ FROM (SELECT COALESCE(bool_and(price >= 0), TRUE) AS a, COALESCE(bool_and(freigh
      (SELECT COALESCE(bool_and(payment_value > 0), TRUE) AS d FROM src_payments) p"""))
 def d11(ctx):
     return P.domain_rules(ctx.src["order_items"], ctx.src["reviews"], ctx.src["payments"])
+
+
+# --- C1, and C1-C8 as the load run applies them ------------------------------------------------------
+_CHECKED = ["customers", "orders", "order_items", "products", "sellers"]
+
+
+@register("c1_schema_check", lambda p: "SELECT * FROM (VALUES " + ", ".join(
+    [f"('schema', '{n}', '', CAST(0 AS BIGINT), 'PASS')" for n in _CHECKED if n != "sellers"]
+    + ["('schema', 'sellers', 'seller_city', CAST(1 AS BIGINT), 'FAIL')"]) + ") t(\"check\", dataset, key, violations, status)")
+def c1(ctx):
+    """Five sources, one of them without a column that it must have."""
+    from ..sources.schemas import REQUIRED
+    frames = {n: ctx.src[n] for n in _CHECKED}
+    frames["sellers"] = frames["sellers"].drop("seller_city")
+    return Q.schema_check(ctx.spark, frames, {n: REQUIRED[n] for n in _CHECKED})
+
+
+def _load_findings_sql(p) -> str:
+    from .warehouse_load import STAGES
+    from .oracle import with_base
+    counted = {
+        ("dim_customer", "null_geography_key"): "SELECT count(*) FROM src_customers WHERE zip IS NULL OR zip NOT IN (SELECT zip_code_prefix FROM dim_geography)",
+        ("dim_seller", "null_geography_key"): "SELECT count(*) FROM src_sellers WHERE seller_zip_code_prefix IS NULL OR seller_zip_code_prefix NOT IN (SELECT zip_code_prefix FROM dim_geography)",
+        ("dim_product", "null_product_category_name_english"): "SELECT count(*) FROM dim_product WHERE product_category_name_english IS NULL",
+    }
+    rows = []
+    for s in STAGES:
+        for kind, level, rules in (("rule", "FAIL", s.must), ("null_keys", "WARN", s.warn)):
+            for key in rules:
+                n = counted.get((s.table, key), "SELECT 0")
+                rows.append(f"SELECT '{kind}' AS check, '{s.table}' AS dataset, '{key}' AS key, CAST(({n}) AS BIGINT) AS violations, "
+                            f"CASE WHEN ({n}) > 0 THEN '{level}' ELSE 'PASS' END AS status")
+        n = ("SELECT COALESCE(sum(c), 0) FROM (SELECT count(*) AS c FROM src_items JOIN src_orders USING (order_id) "
+             "GROUP BY order_id, order_item_id HAVING count(*) > 1) d" if s.name == "fact" else "SELECT 0")
+        rows.append(f"SELECT 'grain', '{s.table}', '{','.join(s.unique)}', CAST(({n}) AS BIGINT), "
+                    f"CASE WHEN ({n}) > 0 THEN '{s.repeats}' ELSE 'PASS' END")
+        rows += [f"SELECT 'row_count', '{s.table}', 'more_than_source', CAST(0 AS BIGINT), 'PASS'"] if s.totals else []
+        rows += [f"SELECT 'reconciliation', '{s.table}', '{t}', CAST(0 AS BIGINT), 'PASS'" for t in s.totals]
+    return with_base(" UNION ALL ".join(rows), p)
+
+
+@register("c1_c8_load_findings", _load_findings_sql)
+def load_findings(ctx):
+    from .warehouse_load import load_findings as run
+    return run(ctx, ctx.scratch("c1_c8_load"))

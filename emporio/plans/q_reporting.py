@@ -246,3 +246,32 @@ UNION ALL SELECT 'reporting_customer_summary', count(DISTINCT customer_unique_id
 def e12(ctx):
     counts = R.refresh_reporting_layer(ctx, ctx.scratch("e12_reporting"))
     return ctx.spark.createDataFrame(sorted(counts.items()), "table_name string, row_count long")
+
+
+@register("e12_refreshed_contents", sql("""
+SELECT 'reporting_sales_summary' AS table_name, month_year AS key, CAST(sum(total_sales_amount) AS DOUBLE) AS revenue,
+       count(DISTINCT order_id) AS orders FROM fact GROUP BY 2
+UNION ALL SELECT 'reporting_category_summary', COALESCE(product_category_name_english, 'Uncategorized'),
+       CAST(sum(total_sales_amount) AS DOUBLE), count(DISTINCT order_id) FROM enriched GROUP BY 2
+UNION ALL SELECT 'reporting_state_summary', state_code, CAST(sum(total_sales_amount) AS DOUBLE), count(DISTINCT order_id)
+  FROM enriched WHERE state_code IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'reporting_customer_summary', customer_unique_id, CAST(sum(total_sales_amount) AS DOUBLE),
+       count(DISTINCT order_id) FROM enriched WHERE customer_unique_id IS NOT NULL GROUP BY 2"""))
+def e12c(ctx):
+    """The published tables of a second refresh, row by row."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from ..sources import versions
+    base = ctx.scratch("e12_contents")
+    for _ in range(2):
+        R.refresh_reporting_layer(ctx, base)
+    keys = {"reporting_sales_summary": ("order_month", "total_revenue"),
+            "reporting_category_summary": ("product_category", "total_revenue"),
+            "reporting_state_summary": ("state_code", "total_revenue"),
+            "reporting_customer_summary": ("customer_unique_id", "lifetime_revenue")}
+    return reduce(lambda a, b: a.unionByName(b), [
+        versions.read_current(ctx.spark, base, t).select(F.lit(t).alias("table_name"), F.col(k).alias("key"),
+                                                         F.col(m).alias("revenue"), F.col("total_orders").alias("orders"))
+        for t, (k, m) in keys.items()])

@@ -500,6 +500,28 @@ def g16_health(ctx):
     return _health(ctx, 0.05)
 
 
+def _risks_sql(p: Params) -> str:
+    from .q_insights import _blocks
+    risk = " OR ".join(f"persona LIKE '%{m}%'" for m in S.AT_RISK_MARKERS)
+    row = "SELECT 'summary' AS domain, 'risk' AS type, 'warning' AS severity, '{0}' AS metric, {1} AS subject, round({0}, 4) AS value FROM {2}"
+    parts = [row.format("repeat_pct", "CAST(NULL AS VARCHAR)", "rowk WHERE repeat_pct < 101 AND total_customers > 0"),
+             row.format("top_category_share", "top_category", "rowk WHERE top_category_share > 1"),
+             row.format("top_state_share", "top_state", "rowk WHERE top_state_share > 1"),
+             row.format("at_risk_pct", "CAST(NULL AS VARCHAR)", f"""(
+               SELECT COALESCE(sum(customer_count) FILTER (WHERE {risk}), 0) / sum(customer_count) * 100.0 AS at_risk_pct
+               FROM pers) h WHERE at_risk_pct > 5""")]
+    return with_base(" UNION ALL ".join(parts), p, _blocks(p) + ",\n" + _cust_ctes(p))
+
+
+@register("g16_risks_with_customers", _risks_sql)
+def g16_rows(ctx):
+    """Limits that the fixture passes: a row for each of the four risks."""
+    from ..functions.filters import Slice
+    from ..operators import insights as G
+    out = G.risk_flags(G.kpi_row(ctx, Slice(), ctx.params), _health(ctx, 0.05), repeat_below=101.0, share_above=1.0)
+    return rnd(out, ["value"], 4)
+
+
 @register("g23_cluster_revenue_share", ssql("""
 SELECT cluster_id, persona, round(total_segment_revenue, 2) AS revenue,
        round(total_segment_revenue / sum(total_segment_revenue) OVER () * 100.0, 6) AS revenue_share_pct FROM pers"""))
@@ -511,6 +533,68 @@ def g23(ctx):
         "revenue", F.round("revenue", 2))
 
 
+# --- I10, I13, I24 on rule labels ---------------------------------------------------------------------------
+RULES = {"m": "m_score", "r": "r_score", "f": "f_score"}
+
+
+def _ruled_points(ctx) -> DataFrame:
+    """customer, its log features as an array, and three rule labellings."""
+    def build():
+        x = F.array(*[F.col(c) for c in FEATS]).alias("x")
+        labels = rfm(ctx).select("customer_unique_id", *[F.col(c).alias(n) for n, c in RULES.items()])
+        return ctx._store(S.log_features(features(ctx)).select("customer_unique_id", x).join(labels, "customer_unique_id"),
+                          "ruled_points")
+    return ctx.memo("ruled_points", build)
+
+
+#: Rows of the evaluation sample in the checked queries; the SQL twin holds each against each.
+CHECKED_ROWS = S.clustering.EVALUATION_ROWS
+SAMPLE_SQL = f"""
+, sm AS (SELECT lf.* FROM lf ORDER BY md5('{S.SEED}:' || lf.customer_unique_id), lf.customer_unique_id LIMIT {CHECKED_ROWS})"""
+
+
+@register("i10_evaluation_sample", ssql(SAMPLE_SQL + " SELECT customer_unique_id FROM sm"))
+def i10(ctx):
+    return S.clustering.evaluation_sample(features(ctx).select("customer_unique_id"), "customer_unique_id", CHECKED_ROWS, S.SEED)
+
+
+_SQUARED = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in FEATS)
+_OF_RULES = f"""
+, lr AS (SELECT lf.*, u.labelling, CASE u.labelling WHEN 'm' THEN m_score WHEN 'r' THEN r_score ELSE f_score END AS l
+         FROM lf JOIN rfm ON lf.customer_unique_id = rfm.customer_unique_id,
+              (SELECT unnest(['m', 'r', 'f']) AS labelling) u),
+cr AS (SELECT labelling, l, count(*) AS nk, {", ".join(f"avg({c}) AS {c}" for c in FEATS)} FROM lr GROUP BY 1, 2),
+gr AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in FEATS)} FROM lf),
+wr AS (SELECT a.labelling, a.l, sum({_SQUARED}) AS w, avg(sqrt({_SQUARED})) AS s
+       FROM lr a JOIN cr b ON a.labelling = b.labelling AND a.l = b.l GROUP BY 1, 2),
+chr_ AS (SELECT a.labelling, count(*) AS k, sum(nk) AS n, sum(nk * ({_SQUARED})) AS bb, sum(w.w) AS ww
+         FROM cr a JOIN wr w ON a.labelling = w.labelling AND a.l = w.l, gr b GROUP BY 1),
+dbr AS (SELECT labelling, avg(r) AS db FROM (
+          SELECT a.labelling, a.l, max((wa.s + wb.s) / sqrt({_SQUARED})) AS r
+          FROM cr a JOIN cr b ON a.labelling = b.labelling AND a.l <> b.l
+               JOIN wr wa ON a.labelling = wa.labelling AND a.l = wa.l
+               JOIN wr wb ON b.labelling = wb.labelling AND b.l = wb.l GROUP BY 1, 2) t GROUP BY 1),
+sl AS (SELECT sm.*, u.labelling, CASE u.labelling WHEN 'm' THEN m_score WHEN 'r' THEN r_score ELSE f_score END AS l
+       FROM sm JOIN rfm ON sm.customer_unique_id = rfm.customer_unique_id, (SELECT unnest(['m', 'r', 'f']) AS labelling) u),
+ds AS (SELECT a.labelling, a.customer_unique_id AS id, a.l, b.l AS other, sum(sqrt({_SQUARED})) AS t, count(*) AS n
+       FROM sl a JOIN sl b ON a.labelling = b.labelling GROUP BY 1, 2, 3, 4),
+sc AS (SELECT labelling, id, max(CASE WHEN other = l THEN n END) AS own,
+              max(CASE WHEN other = l THEN t / greatest(n - 1, 1) END) AS a, min(CASE WHEN other <> l THEN t / n END) AS b
+       FROM ds GROUP BY 1, 2),
+sil AS (SELECT labelling, avg(CASE WHEN own < 2 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette
+        FROM sc WHERE b IS NOT NULL GROUP BY 1)"""
+
+
+@register("i13_i24_measures_of_rule_labels", ssql(SAMPLE_SQL + _OF_RULES + """
+SELECT c.labelling, c.k AS clusters, round(silhouette, 6) AS silhouette,
+       round((bb / (k - 1)) / (ww / (n - k)), 4) AS calinski_harabasz, round(db, 6) AS davies_bouldin
+FROM chr_ c LEFT JOIN dbr ON c.labelling = dbr.labelling LEFT JOIN sil ON c.labelling = sil.labelling"""))
+def i13_rules(ctx):
+    """Silhouette, CH and DB of three labellings of the same customers, judged together."""
+    out = S.clustering.judge(_ruled_points(ctx), "customer_unique_id", "x", list(RULES), CHECKED_ROWS, S.SEED)
+    return rnd(rnd(out, ["silhouette", "davies_bouldin"]), ["calinski_harabasz"], 4)
+
+
 # --- model path (rows check) -------------------------------------------------------------------------------
 def _scaled_pca(ctx):
     def build():
@@ -518,23 +602,30 @@ def _scaled_pca(ctx):
         out = {}
         for name, fn in (("StandardScaler", S.standard_scale), ("RobustScaler", S.robust_scale)):
             vec = S.to_vector(ctx._store(fn(logf), f"scaled_{name}"))
-            proj, k, ratios = S.pca_85(vec)
-            out[name] = (proj, k, ratios)
+            out[name] = S.pca_85(vec)
         return out
     return ctx.memo("scaled_pca", build)
 
 
-def _kmeans(ctx):
-    return ctx.memo("kmeans", lambda: _build_kmeans(ctx))
+def _points(ctx) -> DataFrame:
+    """customer and its principal components, an array per scaler."""
+    def build():
+        parts = [p.select("customer_unique_id", F.col("pca").alias(name)) for name, (p, _, _) in _scaled_pca(ctx).items()]
+        return ctx._store(reduce(lambda a, b: a.join(b, "customer_unique_id"), parts), "cluster_points")
+    return ctx.memo("cluster_points", build)
+
 
+def _sweep(ctx) -> S.Sweep:
+    return ctx.memo("k_sweep", lambda: S.k_sweep(_points(ctx), ctx._store))
 
-def _build_kmeans(ctx):
-    sp = _scaled_pca(ctx)
-    sweep = S.k_sweep({n: v[0] for n, v in sp.items()})   # all customers
-    best = sweep.where("chosen").first()
-    proj = sp[best["scaler"]][0]
-    model = S.kmeans_fit(proj, best["k"], in_col="pca")
-    return (sweep, best, proj, model, model.transform(proj))
+
+def _chosen(ctx):
+    """(scaler, K, its centres, the customers with cluster_id)."""
+    sweep = _sweep(ctx)
+    best = sweep.table.where("chosen").first()
+    s, k = best["scaler"], best["k"]
+    labelled = sweep.labels[s].select("customer_unique_id", s, F.col(S.label_name("kmeans", k)).alias("cluster_id"))
+    return s, k, sweep.centres[s, k], labelled
 
 
 @register("i8_pca_85")
@@ -550,67 +641,53 @@ def i8(ctx):
 
 @register("i9_projection_2d")
 def i9(ctx):
-    sweep, best, proj, model, pred = _kmeans(ctx)
     return S.projection_2d(S.to_vector(S.standard_scale(S.log_features(features(ctx)))),
-                           pred.select("customer_unique_id", "cluster_id"))
-
-
-@register("i10_evaluation_sample")
-def i10(ctx):
-    proj = _scaled_pca(ctx)["StandardScaler"][0]
-    return S.sample_by_hash(proj.select("customer_unique_id"), 0.2)
+                           _chosen(ctx)[3].select("customer_unique_id", "cluster_id"))
 
 
 @register("i11_k_sweep")
 def i11(ctx):
-    return _kmeans(ctx)[0]
+    return _sweep(ctx).table
 
 
 @register("i12_kmeans_assignments")
 def i12(ctx):
-    return _kmeans(ctx)[4].select("customer_unique_id", "cluster_id")
+    return _chosen(ctx)[3].select("customer_unique_id", "cluster_id")
 
 
 @register("i13_silhouette")
 def i13(ctx):
-    sweep, best, proj, model, pred = _kmeans(ctx)
-    pts = pred
-    return ctx.spark.createDataFrame([(best["scaler"], int(best["k"]), float(S.silhouette(pts, "pca")))],
-                                     "scaler string, k int, silhouette double")
+    return _sweep(ctx).table.where("chosen").select("scaler", "k", "silhouette")
 
 
 @register("i16_kmeans_stability")
 def i16k(ctx):
-    sweep, best, proj, model, pred = _kmeans(ctx)
-    points = pred.drop("cluster_id")
-    parts = []
-    for s in S.STABILITY_SEEDS:
-        other = S.kmeans_fit(points, best["k"], seed=s, in_col="pca").transform(points).select(
-            "customer_unique_id", F.col("cluster_id").alias("other"))
-        lab = pred.select("customer_unique_id", "cluster_id").join(other, "customer_unique_id")
-        parts.append(S.adjusted_rand_index(lab, "cluster_id", "other").select(F.lit(s).alias("seed"), "ari"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    s, k, _, labelled = _chosen(ctx)
+    refits = S.stability_labels(_points(ctx), s, k)
+    both = ctx._store(refits.drop(s).join(labelled.select("customer_unique_id", "cluster_id"), "customer_unique_id"),
+                      "stability_labels")
+    return reduce(lambda a, b: a.unionByName(b), [
+        S.adjusted_rand_index(both, "cluster_id", f"seed_{seed}").select(F.lit(seed).alias("seed"), "ari")
+        for seed in S.STABILITY_SEEDS])
 
 
 @register("i12_kmeans_personas")
 def i12p(ctx):
-    sweep, best, proj, model, pred = _kmeans(ctx)
-    prof = S.assign_personas(S.cluster_profiles(features(ctx), pred.select("customer_unique_id", "cluster_id")))
-    return prof
+    return S.assign_personas(S.cluster_profiles(features(ctx), i12(ctx)))
 
 
 @register("i22_kmeans_confidence")
 def i22k(ctx):
-    sweep, best, proj, model, pred = _kmeans(ctx)
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    return S.assignment_confidence(pred.select("customer_unique_id", "cluster_id", "pca"), centers, vec_col="pca") \
-            .select("customer_unique_id", "cluster_id", "distance_to_center", "confidence_score")
+    s, _, centres, labelled = _chosen(ctx)
+    x = [F.get(s, F.lit(i)).alias(f"_c{i}") for i in range(centres.shape[1])]
+    points = labelled.select("customer_unique_id", "cluster_id", *x)
+    return (S.assignment_confidence(points, centres.tolist(), cols=[f"_c{i}" for i in range(centres.shape[1])])
+            .select("customer_unique_id", "cluster_id", "distance_to_center", "confidence_score"))
 
 
 @register("i24_gmm_comparison")
 def i24(ctx):
-    proj = _scaled_pca(ctx)["StandardScaler"][0]
-    return S.gmm_compare(proj)
+    return S.algorithm_comparison(_points(ctx), _sweep(ctx), ctx._store)
 
 
 @register("g15_model_sentiment")
@@ -621,11 +698,10 @@ def g15m(ctx):
     from ..operators import insights as G
     from ..operators import timeseries as T
     from . import q_timeseries as QT
-    sweep, best, proj, model, pred = _kmeans(ctx)
-    sil = float(S.silhouette(pred, "pca"))
+    sil = _sweep(ctx).table.where("chosen").select("silhouette").scalar()
     data, _ = QT._prepared(ctx)
     rf = QT._searched(ctx)["random_forest"][0]
     met = T.regression_metrics(FC.predict(rf.model, data.where("split = 'test'"), "random_forest"), by=["model"])
-    return (met.select("model", "r2", F.lit(sil).alias("silhouette"))
+    return (met.select("model", "r2", sil.alias("silhouette"))
                .withColumn("forecast_sentiment", G.score_sentiment(F.col("r2"), 0.8, 0.5))
                .withColumn("segmentation_sentiment", G.score_sentiment(F.col("silhouette"), 0.5, 0.25)))

@@ -11,6 +11,7 @@ Floating-point features are rounded to 6 decimals on both sides
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -487,11 +488,34 @@ def _prepared(ctx):
 def _searched(ctx):
     def build():
         data, _ = _prepared(ctx)
-        return {"random_forest": FC.param_search(data, "random_forest", FC.RF_GRID),
-                "gbt": FC.param_search(data, "gbt", FC.GBT_GRID)}
+        return {name: FC.param_search(data, name, grid) for name, grid in FC.FAMILIES.items()}
     return ctx.memo("fits", build)
 
 
+def _best(ctx):
+    """The best trial of each family."""
+    return FC.best_of_family([f for fits in _searched(ctx).values() for f in fits])
+
+
+def _predictions(ctx):
+    """The stored predictions that weights, blend and champion are taken from."""
+    data, _ = _prepared(ctx)
+    return ctx.memo("predictions", lambda: ctx._store(FC.prediction_table(_best(ctx), data), "forecast_predictions"))
+
+
+def _weights(ctx):
+    return ctx.memo("weights", lambda: ctx._store(FC.blend_weights(_predictions(ctx)), "forecast_weights"))
+
+
+def _deployed(ctx):
+    """The champion of H21 fitted on all complete days."""
+    def build():
+        data, _ = _prepared(ctx)
+        choice = FC.champion(_predictions(ctx), _weights(ctx)).first()["champion"]
+        return FC.deployed(data, _best(ctx), choice, _weights(ctx))
+    return ctx.memo("deployed", build)
+
+
 @register("h18_regressor_fit")
 def h18(ctx):
     data, _ = _prepared(ctx)
@@ -502,26 +526,97 @@ def h18(ctx):
 @register("h19_param_search")
 def h19(ctx):
     fits = _searched(ctx)
-    return FC.search_table(ctx.spark, fits["random_forest"] + fits["gbt"])
+    return FC.search_table(ctx.spark, [f for family in fits.values() for f in family])
 
 
 @register("h20_weighted_ensemble")
 def h20(ctx):
-    data, _ = _prepared(ctx)
-    fits = _searched(ctx)
-    return FC.ensemble(data, fits["random_forest"] + fits["gbt"])
+    return FC.blend(_predictions(ctx), _weights(ctx)).where("split = 'test'").drop("split")
+
+
+@register("h20_family_weights")
+def h20w(ctx):
+    return _weights(ctx)
 
 
 @register("h21_champion")
 def h21(ctx):
-    data, _ = _prepared(ctx)
-    fits = _searched(ctx)
-    allf = sorted(fits["random_forest"] + fits["gbt"], key=lambda f: f.valid_rmse)
-    ens_valid = FC.ensemble(data, allf, split="valid")
-    ens_rmse = ens_valid.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("pred"), 2)))).first()[0]
-    choice = FC.champion(allf[0], ens_rmse)
-    return ctx.spark.createDataFrame([(allf[0].name, float(allf[0].valid_rmse), float(ens_rmse), choice)],
-                                     "best_single string, best_single_rmse double, ensemble_rmse double, champion string")
+    return FC.champion(_predictions(ctx), _weights(ctx))
+
+
+# the same operators over a prediction table of rules: naive, the two 7-day means and the day a week ago
+RULE_CTE = f"""
+, pt AS (
+  SELECT m.model, bl.split, bl.series_key, bl.order_date, bl.y,
+         ln(1 + CASE m.model WHEN 'naive' THEN pred_naive WHEN 'ma7_log' THEN pred_ma7_log WHEN 'ma7_raw' THEN pred_ma7_raw
+                             ELSE pred_week END) AS pred_log
+  FROM (SELECT bl.*, lag(y, 7) OVER ({W}) AS pred_week FROM bl) bl,
+       (SELECT unnest(['naive', 'ma7_log', 'ma7_raw', 'week']) AS model) m
+  WHERE split IN ('valid', 'test')),
+wt AS (
+  SELECT model, valid_rmse, rank, (1 / valid_rmse) / sum(1 / valid_rmse) OVER () AS weight
+  FROM (SELECT *, row_number() OVER (ORDER BY valid_rmse, model) AS rank
+        FROM (SELECT model, sqrt(avg(pow(y - (exp(pred_log) - 1), 2))) AS valid_rmse FROM pt
+              WHERE split = 'valid' AND pred_log IS NOT NULL GROUP BY 1) r) q WHERE rank <= {FC.BLEND_TOP}),
+en AS (
+  SELECT split, series_key, order_date, max(y) AS y, sum(weight * pred_log) AS pred_log
+  FROM pt JOIN wt USING (model) WHERE pred_log IS NOT NULL GROUP BY 1, 2, 3
+  HAVING count(*) = (SELECT count(*) FROM wt))"""
+
+
+def _rule_predictions(ctx):
+    b = with_baselines(ctx)
+    b = b.withColumn("pred_week", F.lag("daily_revenue", 7).over(T.series_window()))
+    models = {"naive": "pred_naive", "ma7_log": "pred_ma7_log", "ma7_raw": "pred_ma7_raw", "week": "pred_week"}
+    stacked = b.select("split", "series_key", "order_date", F.col("daily_revenue").alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.log1p(c).alias("pred_log")) for m, c in models.items()])).alias("s"))
+    return (stacked.where(F.col("split").isin("valid", "test"))
+            .select("s.model", "split", "series_key", "order_date", "y", "s.pred_log"))
+
+
+def rsql(body: str):
+    return lambda p: with_base(body, p, _feat_ctes() + _split_ctes(p) + BASE_CTE + RULE_CTE)
+
+
+@register("h20_blend_weights_of_rules", rsql("""
+SELECT model, round(valid_rmse, 4) AS valid_rmse, CAST(rank AS INTEGER) AS rank, round(weight, 6) AS weight FROM wt"""))
+def h20rw(ctx):
+    w = FC.blend_weights(_rule_predictions(ctx))
+    return rounded(rounded(w, 4, ["valid_rmse"]), cols=["weight"])
+
+
+@register("h20_blend_of_rules", rsql("""
+SELECT split, series_key, order_date, round(y, 2) AS y, round(pred_log, 6) AS pred_log FROM en"""))
+def h20rb(ctx):
+    preds = _rule_predictions(ctx)
+    out = FC.blend(preds, FC.blend_weights(preds)).select("split", "series_key", "order_date", "y", "pred_log")
+    return rounded(rounded(out, 2, ["y"]), cols=["pred_log"])
+
+
+def _champion_sql(threshold: float) -> str:
+    return f"""
+SELECT best_single, round(best_single_rmse, 4) AS best_single_rmse, round(ensemble_rmse, 4) AS ensemble_rmse,
+       round(1 - ensemble_rmse / best_single_rmse, 6) AS gain,
+       CASE WHEN 1 - ensemble_rmse / best_single_rmse >= {threshold} THEN 'ensemble' ELSE best_single END AS champion
+FROM (SELECT model AS best_single, valid_rmse AS best_single_rmse FROM wt WHERE rank = 1) a,
+     (SELECT sqrt(avg(pow(y - (exp(pred_log) - 1), 2))) AS ensemble_rmse FROM en WHERE split = 'valid') b"""
+
+
+def _rule_champion(ctx, threshold: float):
+    preds = _rule_predictions(ctx)
+    c = FC.champion(preds, FC.blend_weights(preds), threshold)
+    return rounded(rounded(c, 4, ["best_single_rmse", "ensemble_rmse"]), cols=["gain"])
+
+
+@register("h21_champion_of_rules", rsql(_champion_sql(FC.PROMOTE_THRESHOLD)))
+def h21r(ctx):
+    return _rule_champion(ctx, FC.PROMOTE_THRESHOLD)
+
+
+@register("h21_champion_of_rules_other_side", rsql(_champion_sql(-1.0)))
+def h21r2(ctx):
+    """A threshold that every blend passes."""
+    return _rule_champion(ctx, -1.0)
 
 
 @register("h23_walk_forward_backtest")
@@ -541,12 +636,49 @@ def h24(ctx):
 @register("h27_recursive_forecast")
 def h27(ctx):
     _, cols = _prepared(ctx)
-    best = _searched(ctx)["random_forest"][0]
-    return FC.recursive_forecast(T.apply_cutoff(series(ctx)), best.model, cols)
+    return FC.recursive_forecast(T.apply_cutoff(series(ctx)), _deployed(ctx), cols)
 
 
 @register("h28_feature_importance")
 def h28(ctx):
-    _, cols = _prepared(ctx)
-    best = _searched(ctx)["random_forest"][0]
-    return FC.feature_importance(best.model, cols, ctx.spark)
+    """Of the deployed champion, over the test days."""
+    data, cols = _prepared(ctx)
+    rows = FC.arrayed(data.where("split = 'test'").drop("features", "label"), cols)
+    return FC.permutation_importance(rows, cols, ["series_key", "order_date"], FC.scorer(_deployed(ctx)))
+
+
+# the same operator for a rule: the day's revenue from its items and their mean price, and three features of no effect
+RULE_FEATURES = ["total_items", "log_rev_lag_7", "avg_item_price", "day_of_week", "time_index"]
+RULE_WEIGHTS, RULE_BASE = [0.04, 0.0, 2.6e-5, 0.0, 0.0], 11.8
+
+
+def _permuted_sql(j: int) -> str:
+    terms = f"{RULE_BASE} + " + " + ".join(f"CAST({w!r} AS DOUBLE) * CAST({'o' if i == j else 'k'}.{c} AS DOUBLE)"
+                       for i, (c, w) in enumerate(zip(RULE_FEATURES, RULE_WEIGHTS)))
+    return f"""
+SELECT '{RULE_FEATURES[j]}' AS feature, avg(e - base) AS rise FROM (
+  SELECT r, avg(pow(k.label - ({terms}), 2)) AS e
+  FROM rk k, (SELECT unnest(range(1, 6)) AS r) rr, nn, rk o
+  WHERE o.i = (k.i - 1 + 1 + (r * 7919) % (nn.n - 1)) % nn.n + 1 GROUP BY r) t, bs"""
+
+
+@register("h28_permutation_of_a_rule", tsql(f"""
+, rk AS (SELECT *, log_daily_revenue AS label,
+                row_number() OVER (ORDER BY md5('{FC.SEED}:' || series_key || ':' || strftime(order_date, '%Y-%m-%d'))) AS i
+         FROM feat f JOIN split_of s ON f.order_date = s.d WHERE {_NOT_NULL} AND s.split = 'test'),
+nn AS (SELECT count(*) AS n FROM rk),
+bs AS (SELECT avg(pow(label - ({RULE_BASE} + {" + ".join(f"CAST({w!r} AS DOUBLE) * CAST({c} AS DOUBLE)"
+                                                         for c, w in zip(RULE_FEATURES, RULE_WEIGHTS))}), 2)) AS base FROM rk),
+im AS ({" UNION ALL ".join(_permuted_sql(j) for j in range(len(RULE_FEATURES)))})
+SELECT feature, round(rise, 6) AS rise,
+       round(CASE WHEN sum(greatest(rise, 0)) OVER () > 0 THEN greatest(rise, 0) / sum(greatest(rise, 0)) OVER () * 100.0 ELSE 0.0 END, 4)
+         AS importance FROM im""", with_features=True))
+def h28r(ctx):
+    rows = FC.arrayed(T.temporal_split(ready(ctx), ctx.params).where("split = 'test'"), RULE_FEATURES)
+
+    def rule(df):
+        return df.withColumn("prediction", reduce(lambda a, b: a + b, [
+            F.lit(RULE_BASE), *[F.get("x", F.lit(i)) * w for i, w in enumerate(RULE_WEIGHTS)]]))
+
+    out = FC.permutation_importance(rows, RULE_FEATURES, ["series_key", "order_date"], rule)
+    return rounded(rounded(out, cols=["rise"]), 4, ["importance"])

@@ -303,7 +303,9 @@ SELECT * FROM (VALUES ('geography', (SELECT count(*) FROM src_geo), (SELECT coun
   ('date', (SELECT count(*) FROM src_orders),
    (SELECT count(*) FROM (SELECT unnest(generate_series(CAST(min(purchase_ts) AS DATE), CAST(max(estimated_ts) AS DATE),
                                                         INTERVAL 1 DAY)) FROM src_orders) d), 0, 'SUCCESS'),
-  ('fact', (SELECT count(*) FROM src_items), (SELECT count(*) FROM ioc), 0, 'SUCCESS'))
+  ('fact', (SELECT count(*) FROM src_items), (SELECT count(*) FROM ioc),
+   (SELECT CAST(COALESCE(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM src_items JOIN src_orders USING (order_id)
+                                                     GROUP BY order_id, order_item_id HAVING count(*) > 1) d), 'SUCCESS'))
   t(stage, rows_extracted, rows_loaded, warnings, status)"""))
 def a9(ctx):
     from .warehouse_load import load_warehouse

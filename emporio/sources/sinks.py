@@ -9,11 +9,12 @@ no second pass over the data is needed.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Tables a paged report may read, with their sort keys.
@@ -37,16 +38,23 @@ def read_table(spark: SparkSession, target: str) -> DataFrame:
 
 
 # --- A4 / A5 / A10 ------------------------------------------------------------------------
-def _write(df: DataFrame, target: str, mode: str, partition_by: list[str] | None = None) -> int:
-    obs = Observation(f"rows_{abs(hash((target, mode, time.time())))}")
-    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+def write_observed(df: DataFrame, target: str, mode: str = "overwrite", partition_by: list[str] | None = None,
+                   metrics: dict[str, Column] | None = None) -> dict:
+    """Write a table; ``rows`` and the given aggregates of it come from the write itself."""
+    obs = Observation(f"write_{uuid.uuid4().hex}")
+    watched = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (metrics or {}).items()])
+    w = watched.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if _is_path(target):
         w.parquet(target)
     else:
         w.saveAsTable(target)
-    return int(obs.get.get("rows", 0))
+    return obs.get
+
+
+def _write(df: DataFrame, target: str, mode: str, partition_by: list[str] | None = None) -> int:
+    return int(write_observed(df, target, mode, partition_by).get("rows", 0))
 
 
 def replace_table(df: DataFrame, target: str, partition_by: list[str] | None = None) -> int:
@@ -146,15 +154,3 @@ class StageMetrics:
 
     def to_csv(self, spark: SparkSession, out_dir: str) -> None:
         self.frame(spark).coalesce(1).write.mode("overwrite").option("header", True).csv(out_dir)
-
-
-def timed_stage(metrics: StageMetrics, stage: str, source: DataFrame, result: DataFrame, target: str,
-                warnings: DataFrame | None = None) -> int:
-    """Write one stage's table and record its metrics (source count observed in the same job
-    when the source feeds the result directly; otherwise one extra count of the source)."""
-    t0 = time.time()
-    loaded = replace_table(result, target)
-    extracted = source.count()
-    warn = int(warnings.first()[0]) if warnings is not None else 0
-    metrics.record(stage, extracted, loaded, time.time() - t0, warn)
-    return loaded
