@@ -2,17 +2,27 @@
 
 A line, in lower case, its stretches of white space as one blank and none
 at its ends, is the set of its character shingles: ``width`` characters
-from every position, and a shorter line is one shingle.  Signatures are
-minima of the 64-bit shingle hash under ``bands * rows`` permutations (an
-exclusive-or and then a full mix), taken by a partial aggregation over the
-shingles.  Lines
-that share a band are candidates; those with an exact Jaccard similarity
-of ``similarity`` are linked, linked lines form components (distributed
-union-find), and of all places of a component's lines the first stays.
-
-Equal lines are one line from the start.  Pairs are made in small buckets
-only; large ones are compared with one member first, and what is left in
-different classes block against block (``common.bucket_classes``).
+from every position, and a shorter line is one shingle.
+
+Signatures have ``bands * rows`` minima.  A shingle's 64-bit hash falls
+into one of so many bins, and a bin's minimum is a row; the rows of a band
+make a key.  So a shingle costs one hash and one update, whatever the
+number of rows.  A set that leaves bins empty is too small for that: lines
+of up to ``short`` characters, and longer ones that fill few bins because
+they repeat themselves, get keys of minima under independent permutations
+(an exclusive-or and then a full mix) as well.  Both kinds of keys are
+made where a line may be at either side of the limit.
+
+Lines that share a key are candidates; those with an exact Jaccard
+similarity of ``similarity`` are linked, linked lines form components
+(distributed union-find), and of all places of a component's lines the
+first stays.
+
+Equal lines are one line from the start: their text is shuffled once, and
+shingles, bins and keys are made where it arrives.  Pairs are made in
+small buckets only; large ones are compared with one member first, and
+what is left in different classes block against block
+(``common.bucket_classes``).
 
 Defined results: a NULL text stays NULL; lines without a word are never
 removed; the first place is the one with the least doc_id (NULL last),
@@ -33,9 +43,17 @@ from .common import bucket_classes, fresh, sieve, stored
 @dataclass(frozen=True)
 class Options:
     similarity: float = 0.8
-    bands: int = 10
-    rows: int = 3    # minima of a band: 0.9992 of the pairs at 0.8 share one
+    bands: int = 14
+    rows: int = 4    # minima of a band: 0.9994 of the pairs at 0.8 share one
     width: int = 5
+    short: int = 160
+    # with the share of bins that a set fills: from the first on it gets keys of bins, up to the second of permutations
+    fills_from: float = 0.64
+    fills_upto: float = 0.86
+
+
+#: A line at more than 1 / HOT of all places is joined by a broadcast; there are HOT of them at most.
+HOT = 1024
 
 
 def mask(k: int) -> int:
@@ -59,7 +77,12 @@ def band_keys(o: Options):
 
 
 def plain(line):
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    """Lower case, white space as single blanks; the pattern runs only over lines that need it."""
+    low = F.lower(line)
+    uneven = F.lit(False)
+    for x in ("  ", "\t", "\x0b", "\f", "\r", "\n"):
+        uneven = uneven | low.contains(x)
+    return F.trim(F.when(uneven, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def wide(line):
@@ -88,40 +111,84 @@ def keyed(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """Every line with a word: doc_id, tag, pos, the plain line and two keys of it."""
     return (keyed(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .where(F.col("line").rlike(r"\S"))
-            .select("doc_id", "tag", "pos", plain("line").alias("line"))
+            .select("doc_id", "tag", "pos", plain("line").alias("line")).where("line <> ''")
             .select("doc_id", "tag", "pos", "line", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2")))
 
 
-def line_classes(docs: DataFrame, places: DataFrame, o: Options) -> DataFrame:
-    """Lines that belong to another line's component: keys k1, k2 and the component's keys c1, c2."""
-    chars = lines_of(docs).select("k1", "k2", wide("line").alias("c"))
-    signed = (chars.select("k1", "k2", "c", F.explode(starts(F.col("c"), o)).alias("at"))
-              .select("k1", "k2", shingle(F.col("c"), F.col("at"), o).alias("h")).groupBy("k1", "k2")
-              .agg(*minima(F.col("h"), o)))
-    nodes = stored(signed.select("k1", "k2", band_keys(o).alias("keys"))
+def shingles(lines: DataFrame, keys: list[str], o: Options) -> DataFrame:
+    """A row per shingle of ``line``: the keys and its hash ``h``."""
+    chars = lines.select(*keys, wide("line").alias("c"))
+    return (chars.select(*keys, "c", F.explode(starts(F.col("c"), o)).alias("at"))
+            .select(*keys, shingle(F.col("c"), F.col("at"), o).alias("h")))
+
+
+def permuted_keys(hashes: DataFrame, keys: list[str], o: Options) -> DataFrame:
+    """``keys`` and ``more``: a set's band keys of minima under independent permutations."""
+    return hashes.groupBy(*keys).agg(*minima(F.col("h"), o)).select(*keys, band_keys(o).alias("more"))
+
+
+def bin_keys(hashes: DataFrame, keys: list[str], o: Options) -> DataFrame:
+    """``keys``, ``filled`` (share of the bins) and ``bands``: a set's band keys of the minima of bins.
+
+    A band with an empty bin or two is weaker than it should be; one
+    empty bin is let pass.
+    """
+    n = o.bands * o.rows
+    low = (hashes.withColumn("bin", F.pmod("h", F.lit(n)).cast("int")).groupBy(*keys, "bin").agg(F.min("h").alias("m")))
+    mixed = F.xxhash64("bin", "m")
+    sums = low.groupBy(*keys).agg(
+        F.bit_or(F.expr("shiftleft(1L, bin)")).alias("mask"),
+        *[F.bit_xor(F.when(F.col("bin").between(b * o.rows, (b + 1) * o.rows - 1), mixed)).alias(f"x{b}")
+          for b in range(o.bands)])
+    one = (1 << o.rows) - 1
+    made = [F.when(F.bit_count(F.col("mask").bitwiseAND(F.lit(one << b * o.rows))) >= o.rows - 1,
+                   F.xxhash64(F.lit(o.bands + b), F.col(f"x{b}"))) for b in range(o.bands)]
+    return sums.select(*keys, (F.bit_count("mask") / F.lit(n)).alias("filled"), F.array_compact(F.array(*made)).alias("bands"))
+
+
+def line_classes(docs: DataFrame, firsts: DataFrame, o: Options) -> DataFrame:
+    """Lines that belong to another line's component: keys k1, k2 and the component's keys c1, c2.
+
+    ``firsts`` has a place (doc_id, tag, pos) of every line.
+    """
+    if o.bands * o.rows > 62:
+        raise ValueError("the bins of a line are kept as the bits of one number")
+    both = ["k1", "k2"]
+    lines = lines_of(docs).groupBy(*both).agg(F.first("line").alias("line"))
+    # what follows finds the rows of a line in one task already, so nothing else is shuffled
+    binned = bin_keys(shingles(lines, both, o), both, o)
+    small = permuted_keys(shingles(lines.where(F.length("line") <= o.short), both, o), both, o)
+    none = F.array().cast("array<long>")
+    keyed_ = binned.join(small, both, "left")
+    keys = F.concat(F.when(F.col("filled") >= o.fills_from, F.col("bands")).otherwise(none), F.coalesce("more", none))
+    thin = (F.col("filled") <= o.fills_upto) & F.col("more").isNull()
+    nodes = stored(keyed_.select(*both, keys.alias("keys"), thin.alias("thin"))
                    .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    banded = nodes.select("node", F.explode("keys").alias("key"))   # distinct: a key holds its band's number
 
     def texts_of(wanted, name):
         """The plain text of lines, from one place of each."""
-        need = (wanted.join(nodes.select("node", "k1", "k2"), "node").join(places, ["k1", "k2"])
-                .groupBy("node").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("p")).select("node", "p.*"))
-        need = stored(need, f"{name}-need")
+        need = stored(wanted.join(nodes.select("node", *both), "node").join(firsts, both).select("node", "doc_id", "tag", "pos"),
+                      f"{name}-need")
         found = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")),
                       "_maybe")
         found = (found.where("_maybe").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"),
                                               F.split("text", "\n").alias("lines"))
                  .dropDuplicates(["_d", "_t"])
                  .join(need, F.expr("_d <=> doc_id and _t = tag")))
-        return stored(found.select("node", plain(F.expr("lines[pos]")).alias("line")), f"{name}-texts")
+        return found.select("node", plain(F.expr("lines[pos]")).alias("line"))
+
+    banded = nodes.select("node", F.explode("keys").alias("key"))   # distinct: a key holds its band's number
+    repetitive = nodes.where("thin").select("node")
+    if not repetitive.isEmpty():
+        more = permuted_keys(shingles(texts_of(repetitive, "line-thin"), ["node"], o), ["node"], o)
+        banded = banded.union(stored(more, "line-thin-keys").select("node", F.explode("more")))
 
     texts = None
 
     def verify(pairs, name):
         nonlocal texts
-        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(),
-                         name)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = stored(texts_of(ends, name), f"{name}-texts")
         # texts travel, which are an eighth of their shingle sets; the sets are made where a pair is compared
         both = (pairs.join(texts.selectExpr("node a", "line la"), "a").join(texts.selectExpr("node b", "line lb"), "b")
                 .select("a", "b", wide("la").alias("ca"), wide("lb").alias("cb"))
@@ -155,15 +222,29 @@ def close(a, b, o: Options):
 
 def removals(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """Positions of the lines that go, by document: doc_id, tag, gone (array of line numbers)."""
-    places = stored(lines_of(docs).select("doc_id", "tag", "pos", "k1", "k2"), "line-places")
-    moved = line_classes(docs, places, o)
-    placed = stored(places.join(moved, ["k1", "k2"], "left")
-                    .select("doc_id", "tag", "pos", F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2")),
-                    "line-placed")
+    both = ["k1", "k2"]
+    places = stored(lines_of(docs).select("doc_id", "tag", "pos", *both), "line-places")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag", "pos")
-    firsts = (placed.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f")).where("n > 1")
-              .select("c1", "c2", F.col("f.doc_id").alias("fd"), F.col("f.tag").alias("ft"), F.col("f.pos").alias("fp")))
-    gone = placed.join(firsts, ["c1", "c2"]).where("not (doc_id <=> fd and tag = ft and pos = fp)")
+    firsts = stored(places.groupBy(*both).agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n"))
+                    .select(*both, "f.*", "n"), "line-firsts")
+    moved = line_classes(docs, firsts.select(*both, "doc_id", "tag", "pos"), o)
+    # of each component the first place; a line at one place only, without a component, is none of them
+    named = firsts.join(moved, both, "left").select(
+        *both, "n", F.struct("z", "doc_id", "tag", "pos").alias("f"),
+        F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2"))
+    kept = named.groupBy("c1", "c2").agg(F.sum("n").alias("places"), F.min("f").alias("f")).where("places > 1")
+    fate = stored(named.select(*both, "n", "c1", "c2").join(kept, ["c1", "c2"])
+                  .select(*both, "n", F.col("f.doc_id").alias("fd"), F.col("f.tag").alias("ft"), F.col("f.pos").alias("fp")),
+                  "line-fate")
+    # lines at very many places, a bounded number, don't meet all their places in one task
+    total = places.agg(F.count(F.lit(1))).first()[0]
+    often = F.col("n") * HOT > total
+    split = places.join(F.broadcast(fate.where(often).select(*both, "fd", "ft", "fp", F.lit(True).alias("hot"))), both, "left")
+    columns = ["doc_id", "tag", "pos", "fd", "ft", "fp"]
+    cold = sieve(split.where("hot is null").select("doc_id", "tag", "pos", *both), F.col("k1"),
+                 fate.where(~often).select("k1"), "_maybe").where("_maybe").join(fate.where(~often).drop("n"), both)
+    gone = (split.where("hot").select(columns).union(cold.select(columns))
+            .where("not (doc_id <=> fd and tag = ft and pos = fp)"))
     return stored(gone.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("gone")), "line-gone")
 
 

@@ -135,30 +135,32 @@ def test_large_near_copy_group_equals_brute_force(spark):
     docs = spark.createDataFrame([(1, "\n".join(t for _, t in rows[:130])), (2, "\n".join(t for _, t in rows[130:]))],
                                  "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
-    by = brute_lines(docs.collect())
+    by = brute_char_lines(docs.collect())
     first = {min((d[1], p) for d, _, p, _ in g) for g in by.values()}
     for r in docs.collect():
         assert out[r["doc_id"]] == "\n".join(x for p, x in enumerate(r["text"].split("\n")) if (r["doc_id"], p) in first)
 
 
 # --- fuzzy lines -------------------------------------------------------------------
-RX = re.compile(r"(?=(\S+(?:\s+\S{1,4})?))\S+", re.ASCII)
+def brute_char_links(lines, width=5):
+    """Pairs of line numbers at Jaccard 0.8 or more by sets of character shingles."""
+    plain = [re.sub(r"\s+", " ", x.lower(), flags=re.ASCII).strip(" ") for x in lines]
+    sets = [{x[i:i + width] for i in range(max(1, len(x) - width + 1))} for x in plain]
+    return {(j, i) for i in range(len(sets)) for j in range(i)
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
 
 
-def brute_lines(rows):
-    """Texts after removal, by all pairs of distinct lines."""
+def brute_char_lines(rows):
+    """Places of each component of lines, by all pairs of distinct lines."""
     places, lines = [], {}
     for i, t in {(r["doc_id"], r["text"]) for r in rows}:
         for p, line in enumerate((t or "").lower().split("\n")):
-            if s := tuple(RX.findall(line)):
-                places.append(((i is None, i or 0), t, p, lines.setdefault(s, len(lines))))
-    sets, par = [set(s) for s in lines], list(range(len(lines)))
-    for i in range(len(sets)):
-        for j in range(i):
-            n = len(sets[i] & sets[j])
-            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
-                a, b = find(par, i), find(par, j)
-                par[max(a, b)] = min(a, b)
+            if x := re.sub(r"\s+", " ", line, flags=re.ASCII).strip(" "):
+                places.append(((i is None, i or 0), t, p, lines.setdefault(x, len(lines))))
+    par = list(range(len(lines)))
+    for i, j in brute_char_links(list(lines)):
+        a, b = find(par, i), find(par, j)
+        par[max(a, b)] = min(a, b)
     by = collections.defaultdict(list)
     for place in places:
         by[find(par, place[3])].append(place)
@@ -174,7 +176,7 @@ def test_line_dedup_equals_brute_force(spark, request, which):
     for r in out.collect():
         got[r["doc_id"]].append(r)
     before = docs.select("doc_id", "text").collect()
-    by = brute_lines(before)
+    by = brute_char_lines(before)
     assert sum(len(g) - 1 for g in by.values()) == sum(
         {(r["doc_id"], r["text"]): r[-1] for rs in got.values() for r in rs}.values())
     texts = collections.defaultdict(list)
@@ -201,13 +203,69 @@ def test_line_dedup_on_documents(spark, small):
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(small).collect()}
     rows = small.orderBy("doc_id").collect()
     gone = set()
-    for g in brute_lines(rows).values():
+    for g in brute_char_lines(rows).values():
         g = sorted(g, key=lambda x: (x[0], x[2]))
         gone |= {(d[1], p) for d, _, p, _ in g[1:]}
     for r in rows:
         assert out[r["doc_id"]] == "\n".join(x for p, x in enumerate(r["text"].split("\n")) if (r["doc_id"], p) not in gone)
 
 
+@pytest.mark.parametrize("union", [60, 75, 100, 150, 400])
+def test_bins_find_larger_sets(spark, union):
+    """Pairs at Jaccard 0.8 share a key of bins or, where they fill few, of permutations."""
+    o, n = line_dedup.Options(), 4_000
+    common_ = union * 4 // 5
+    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(union - 1))).alias("e"))
+    rows = rows.select("id", F.xxhash64("id", "e").alias("h"),
+                       F.explode(F.expr(f"if(e < {common_}, array(0, 1), array(0))")).alias("side"))
+    made = line_dedup.bin_keys(rows, ["id", "side"], o).join(line_dedup.permuted_keys(rows, ["id", "side"], o), ["id", "side"])
+    none = F.array().cast("array<long>")
+    keys = F.concat(F.when(F.col("filled") >= o.fills_from, F.col("bands")).otherwise(none),
+                    F.when(F.col("filled") <= o.fills_upto, F.col("more")).otherwise(none))
+    both = made.select("id", "side", keys.alias("keys")).groupBy("id").agg(F.collect_list("keys").alias("k"))
+    met = both.select(F.arrays_overlap(F.col("k")[0], F.col("k")[1]).cast("int").alias("met")).agg(F.avg("met")).first()[0]
+    assert met > 0.997
+
+
+def test_different_sets_share_few_keys(spark):
+    """Of unrelated sets, few pairs become candidates."""
+    o, n = line_dedup.Options(), 600
+    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), (F.col("id") % 300 + 20).cast("int"))).alias("e"))
+    rows = rows.select("id", F.xxhash64("id", "e").alias("h"))
+    # a third of each set is common to all
+    rows = rows.union(spark.range(n).select("id", F.explode(F.sequence(F.lit(0), ((F.col("id") % 300 + 20) / 6).cast("int"))).alias("e"))
+                      .select("id", F.xxhash64("e").alias("h")))
+    made = line_dedup.bin_keys(rows, ["id"], o).where(F.col("filled") >= o.fills_from).select("id", F.explode("bands").alias("k"))
+    small = line_dedup.permuted_keys(rows, ["id"], o).select("id", F.explode("more").alias("k"))
+    keys = made.union(small)
+    pairs = keys.selectExpr("id a", "k").join(keys.selectExpr("id b", "k"), "k").where("a < b").select("a", "b").distinct().count()
+    assert pairs < n * (n - 1) / 2 * 0.05
+
+
+def test_repetitive_lines_meet_short_ones(spark):
+    """Long lines of few different shingles are linked to short ones and to each other."""
+    rows = [(1, "tick tock " * 40), (2, "tick tock " * 6), (3, "tick tock " * 90), (4, "abc " * 200 + "\n" + "abc " * 4),
+            (5, "something else altogether, which stands alone"), (6, "tick tock tick tack " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = set()
+    for g in brute_char_lines(docs.collect()).values():
+        gone |= {(d[1], p) for d, _, p, _ in sorted(g, key=lambda x: (x[0], x[2]))[1:]}
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, counts=True).collect()}
+    assert out == {i: len([1 for g in gone if g[0] == i]) for i, _ in rows} and len(gone) == 3
+
+
+def test_hot_line_is_joined_by_broadcast(spark, monkeypatch):
+    """A line in every document, by the broadcast and by the plain join."""
+    rows = [(i, f"the same line in all of the documents here\nown words of document number {i * 7919} only") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = None
+    for hot in (1024, 1):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        out = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+        want = want or out
+        assert out == want and sum("same line" in t for _, t in out) == 1
+
+
 def test_line_dedup_is_native(spark, small):
     plan = line_dedup.dedup_lines(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -277,14 +335,6 @@ def test_substrings_empty(empty):
     assert substring_dedup.remove_repeats(empty).collect() == []
 
 
-def brute_char_links(lines, width=5):
-    """Pairs of line numbers at Jaccard 0.8 or more by sets of character shingles."""
-    plain = [re.sub(r"\s+", " ", x.lower(), flags=re.ASCII).strip(" ") for x in lines]
-    sets = [{x[i:i + width] for i in range(max(1, len(x) - width + 1))} for x in plain]
-    return {(j, i) for i in range(len(sets)) for j in range(i)
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
-
-
 def test_lines_are_linked_by_character_shingles(spark):
     """Lines with one character changed, short English ones and some without blanks."""
     rng = np.random.default_rng(21)
@@ -318,23 +368,6 @@ def test_bands_find_small_sets(spark, union):
     assert met > 0.998
 
 
-def brute_char_lines(rows):
-    """As ``brute_lines``, with sets of character shingles."""
-    places, lines = [], {}
-    for i, t in {(r["doc_id"], r["text"]) for r in rows}:
-        for p, line in enumerate((t or "").lower().split("\n")):
-            if x := re.sub(r"\s+", " ", line, flags=re.ASCII).strip(" "):
-                places.append(((i is None, i or 0), t, p, lines.setdefault(x, len(lines))))
-    par = list(range(len(lines)))
-    for i, j in brute_char_links(list(lines)):
-        a, b = find(par, i), find(par, j)
-        par[max(a, b)] = min(a, b)
-    by = collections.defaultdict(list)
-    for place in places:
-        by[find(par, place[3])].append(place)
-    return by
-
-
 def test_line_dedup_equals_brute_force_on_characters(spark, small, messy):
     one = messy.where("doc_id is not null and not (doc_id = 11 and length(text) > 9999)").distinct()
     for docs in (small, one):
