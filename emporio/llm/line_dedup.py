@@ -1,28 +1,27 @@
-"""Operator 4, line dedup: fuzzy lines by MinHash. DataFrame and SQL functions only.
+"""Operator 4, line dedup: fuzzy lines by MinHash.
 
 A line, in lower case, its stretches of white space as one blank and none
 at its ends, is the set of its character shingles: ``width`` characters
 from every position, and a shorter line is one shingle.
 
-Signatures have ``bands * rows`` minima.  A shingle's 64-bit hash falls
-into one of so many bins, and a bin's minimum is a row; the rows of a band
-make a key.  So a shingle costs one hash and one update, whatever the
-number of rows.  A set that leaves bins empty is too small for that: lines
-of up to ``short`` characters, and longer ones that fill few bins because
-they repeat themselves, get keys of minima under independent permutations
-(an exclusive-or and then a full mix) as well.  Both kinds of keys are
-made where a line may be at either side of the limit.
-
-Lines that share a key are candidates; those with an exact Jaccard
-similarity of ``similarity`` are linked, linked lines form components
-(distributed union-find), and of all places of a component's lines the
-first stays.
-
-Equal lines are one line from the start: their text is shuffled once, and
-shingles, bins and keys are made where it arrives.  Pairs are made in
-small buckets only; large ones are compared with one member first, and
-what is left in different classes block against block
-(``common.bucket_classes``).
+Signatures have ``bands * rows`` minima.  For a large set a shingle's hash
+falls into one of so many bins and a bin's minimum is a row; the shingles
+of a batch are sorted once, and bins, minima and the exact size of each
+set are read off.  A set of up to ``small`` shingles leaves bins empty and
+gets minima under independent permutations.  From ``similarity * small``
+shingles on a set has both kinds, so that two sets which are similar
+enough always have a kind in common.
+
+Lines that share a band's key are candidates, unless their sizes alone
+rule the similarity out; those with an exact Jaccard similarity of
+``similarity`` are linked, linked lines form components (distributed
+union-find), and of all places of a component's lines the first stays.
+
+Equal lines are one line from the start.  Pairs are made in small buckets
+only; large ones are compared with one member first, and what is left in
+different classes block against block (``common.bucket_classes``).
+Signatures and exact checks run in Arrow batches (the README says why);
+joins, grouping, union-find and the assembly of texts are SQL functions.
 
 Defined results: a NULL text stays NULL; lines without a word are never
 removed; the first place is the one with the least doc_id (NULL last),
@@ -34,6 +33,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,206 +45,277 @@ from .common import bucket_classes, fresh, sieve, stored
 @dataclass(frozen=True)
 class Options:
     similarity: float = 0.8
-    bands: int = 14
-    rows: int = 4    # minima of a band: 0.9994 of the pairs at 0.8 share one
+    bands: int = 18
+    rows: int = 5    # minima of a band: 0.9992 of the pairs at 0.8 share one
     width: int = 5
-    short: int = 160
-    # with the share of bins that a set fills: from the first on it gets keys of bins, up to the second of permutations
-    fills_from: float = 0.64
-    fills_upto: float = 0.86
+    small: int = 250
 
 
+#: Characters of the lines whose shingles are sorted together.
+CHUNK_CHARS = 1 << 21
 #: A line at more than 1 / HOT of all places is joined by a broadcast; there are HOT of them at most.
 HOT = 1024
-
-
-def mask(k: int) -> int:
-    """The k-th exclusive-or mask: multiples of the golden ratio, as a signed 64-bit number."""
-    x = (k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-    return x - (1 << 64) if x >> 63 else x
-
-
-def permuted(h, k: int):
-    """The k-th permutation of a hash; without the mix the minima of small sets depend on each other."""
-    return F.xxhash64(h.bitwiseXOR(F.lit(mask(k))))
-
-
-def minima(h, o: Options):
-    return [F.min(permuted(h, k)).alias(f"m{k}") for k in range(o.bands * o.rows)]
-
-
-def band_keys(o: Options):
-    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * o.rows + r}") for r in range(o.rows)])
-                     for b in range(o.bands)])
-
-
-def plain(line):
-    """Lower case, white space as single blanks; the pattern runs only over lines that need it."""
-    low = F.lower(line)
-    uneven = F.lit(False)
-    for x in ("  ", "\t", "\x0b", "\f", "\r", "\n"):
-        uneven = uneven | low.contains(x)
-    return F.trim(F.when(uneven, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
-
-
-def wide(line):
-    """Four bytes a character, so that a shingle is cut out without a walk over the line."""
-    return F.encode(line, "UTF-32")
-
-
-def starts(chars, o: Options):
-    """Places of the shingles of ``wide`` text, from 0."""
-    return F.sequence(F.lit(0), F.greatest((F.length(chars) / 4).cast("int") - o.width, F.lit(0)))
-
-
-def shingle(chars, at, o: Options):
-    """Hash of the shingle at a place."""
-    return F.xxhash64(F.substring(chars, at * 4 + 1, F.lit(4 * o.width)))
-
-
-def shingle_set(chars, o: Options):
-    return F.array_distinct(F.transform(starts(chars, o), lambda at: shingle(chars, at, o)))
+#: Odd factors of the hashes (own choice).
+MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+#: Bits of a hash that are kept beside the number of its line.
+HASH_BITS = np.uint64(44)
+EMPTY = np.uint64(0)
+
+
+def plain(line: str) -> str:
+    return b" ".join(line.lower().encode().split()).decode()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * MIX[2]
+    return x ^ x >> np.uint64(33)
+
+
+def shingle_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all lines, by line and then rising; their lines; the size of each set."""
+    gap = "\0" * (width - 1)   # a short line's window doesn't reach the next line
+    chars = np.frombuffer(gap.join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in lines])
+    first = np.cumsum(size + len(gap)) - size - len(gap)
+    count = np.maximum(size - width + 1, 1)
+    ahead = np.concatenate([chars, np.zeros(width, np.uint64)])
+    h = np.zeros(len(chars), np.uint64)
+    for j in range(width):
+        h = h * MIX[0] + ahead[j:j + len(chars)] + np.uint64(1)
+    h = (h ^ h >> np.uint64(32)) * MIX[1]
+    h ^= h >> np.uint64(29)
+    owner = np.repeat(np.arange(len(lines)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    both = owner.astype(np.uint64) << HASH_BITS | h[at] >> (np.uint64(64) - HASH_BITS)
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    owner = (both >> HASH_BITS).astype(np.int64)
+    return both & (np.uint64(1) << HASH_BITS) - np.uint64(1), owner, np.bincount(owner, minlength=len(lines))
+
+
+def banded(minima: np.ndarray, salt: int) -> np.ndarray:
+    """Keys of the bands: sets x bands from sets x bands x rows."""
+    key = np.zeros(minima.shape[:2], np.uint64)
+    for r in range(minima.shape[2]):
+        key = mixed(key * MIX[0] + minima[:, :, r] + np.uint64(r))
+    return mixed(key + np.arange(salt + 1, salt + 1 + key.shape[1], dtype=np.uint64) * MIX[1])
+
+
+def bin_keys(h: np.ndarray, owner: np.ndarray, sets: int, o: Options) -> np.ndarray:
+    """Keys from minima of bins; a band with more than one empty bin has none."""
+    n = o.bands * o.rows
+    place = (h >> np.uint64(12)) * np.uint64(n) >> HASH_BITS - np.uint64(12)
+    cell = owner * n + place.astype(np.int64)
+    least = np.concatenate([[True], cell[1:] != cell[:-1]])
+    minima = np.zeros(sets * n, np.uint64)
+    minima[cell[least]] = h[least] + np.uint64(1)
+    minima = minima.reshape(sets, o.bands, o.rows)
+    return np.where((minima > 0).sum(axis=2) >= o.rows - 1, banded(minima, 0), EMPTY)
+
+
+def permuted_keys(h: np.ndarray, first: np.ndarray, o: Options) -> np.ndarray:
+    """Keys from minima under permutations: odd multiples of a mixed hash."""
+    factors = np.random.default_rng(7).integers(0, 1 << 63, o.bands * o.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    x = mixed(h * MIX[0] + np.uint64(7))
+    minima = np.empty((len(factors), len(first)), np.uint64)
+    for k, f in enumerate(factors):
+        y = x * f
+        minima[k] = np.minimum.reduceat(y ^ y >> np.uint64(32), first)
+    return banded(minima.T.reshape(len(first), o.bands, o.rows), o.bands)
+
+
+def signatures(lines: list[str], o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the shingle sets, and 2 x bands keys of each (0: none)."""
+    with np.errstate(over="ignore"):
+        h, owner, size = shingle_sets(lines, o.width)
+        keys = np.zeros((len(lines), 2 * o.bands), np.uint64)
+        large = size >= o.similarity * o.small
+        if large.any():
+            own = large[owner]
+            keys[large, :o.bands] = bin_keys(h[own], (np.cumsum(large) - 1)[owner[own]], int(large.sum()), o)
+        few = size <= o.small
+        if few.any():
+            keys[few, o.bands:] = permuted_keys(h[few[owner]], np.cumsum(size[few]) - size[few], o)
+    return size, keys
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Every line with a word: doc_id, tag, pos, the plain line and two keys of it."""
-    return (keyed(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .select("doc_id", "tag", "pos", plain("line").alias("line")).where("line <> ''")
-            .select("doc_id", "tag", "pos", "line", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2")))
-
-
-def shingles(lines: DataFrame, keys: list[str], o: Options) -> DataFrame:
-    """A row per shingle of ``line``: the keys and its hash ``h``."""
-    chars = lines.select(*keys, wide("line").alias("c"))
-    return (chars.select(*keys, "c", F.explode(starts(F.col("c"), o)).alias("at"))
-            .select(*keys, shingle(F.col("c"), F.col("at"), o).alias("h")))
-
-
-def permuted_keys(hashes: DataFrame, keys: list[str], o: Options) -> DataFrame:
-    """``keys`` and ``more``: a set's band keys of minima under independent permutations."""
-    return hashes.groupBy(*keys).agg(*minima(F.col("h"), o)).select(*keys, band_keys(o).alias("more"))
-
-
-def bin_keys(hashes: DataFrame, keys: list[str], o: Options) -> DataFrame:
-    """``keys``, ``filled`` (share of the bins) and ``bands``: a set's band keys of the minima of bins.
-
-    A band with an empty bin or two is weaker than it should be; one
-    empty bin is let pass.
-    """
-    n = o.bands * o.rows
-    low = (hashes.withColumn("bin", F.pmod("h", F.lit(n)).cast("int")).groupBy(*keys, "bin").agg(F.min("h").alias("m")))
-    mixed = F.xxhash64("bin", "m")
-    sums = low.groupBy(*keys).agg(
-        F.bit_or(F.expr("shiftleft(1L, bin)")).alias("mask"),
-        *[F.bit_xor(F.when(F.col("bin").between(b * o.rows, (b + 1) * o.rows - 1), mixed)).alias(f"x{b}")
-          for b in range(o.bands)])
-    one = (1 << o.rows) - 1
-    made = [F.when(F.bit_count(F.col("mask").bitwiseAND(F.lit(one << b * o.rows))) >= o.rows - 1,
-                   F.xxhash64(F.lit(o.bands + b), F.col(f"x{b}"))) for b in range(o.bands)]
-    return sums.select(*keys, (F.bit_count("mask") / F.lit(n)).alias("filled"), F.array_compact(F.array(*made)).alias("bands"))
-
-
-def line_classes(docs: DataFrame, firsts: DataFrame, o: Options) -> DataFrame:
-    """Lines that belong to another line's component: keys k1, k2 and the component's keys c1, c2.
-
-    ``firsts`` has a place (doc_id, tag, pos) of every line.
-    """
-    if o.bands * o.rows > 62:
-        raise ValueError("the bins of a line are kept as the bits of one number")
-    both = ["k1", "k2"]
-    lines = lines_of(docs).groupBy(*both).agg(F.first("line").alias("line"))
-    # what follows finds the rows of a line in one task already, so nothing else is shuffled
-    binned = bin_keys(shingles(lines, both, o), both, o)
-    small = permuted_keys(shingles(lines.where(F.length("line") <= o.short), both, o), both, o)
-    none = F.array().cast("array<long>")
-    keyed_ = binned.join(small, both, "left")
-    keys = F.concat(F.when(F.col("filled") >= o.fills_from, F.col("bands")).otherwise(none), F.coalesce("more", none))
-    thin = (F.col("filled") <= o.fills_upto) & F.col("more").isNull()
-    nodes = stored(keyed_.select(*both, keys.alias("keys"), thin.alias("thin"))
-                   .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"),
+                       F.col("text").cast("string").alias("text"))
+
+
+def line_keys(x: str) -> tuple[int, int]:
+    import xxhash
+    h = xxhash.xxh3_128_intdigest(x.encode())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
+def places_of(docs: DataFrame) -> DataFrame:
+    """Every line with a word: doc_id, tag, pos and two keys of the plain line."""
+
+    def run(batches):
+        for batch in batches:
+            at, pos, k1, k2 = [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for p, line in enumerate(text.split("\n") if text else ()):
+                    if x := plain(line):
+                        a, b = line_keys(x)
+                        at.append(i)
+                        pos.append(p)
+                        k1.append(a)
+                        k2.append(b)
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos, pa.int32()),
+                 pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["doc_id", "tag", "pos", "k1", "k2"])
+
+    return keyed(docs).mapInArrow(run, "doc_id long, tag long, pos int, k1 long, k2 long")
+
+
+def chunks(lines: list[str]):
+    """Stretches (from, to) of about ``CHUNK_CHARS`` characters."""
+    start, n = 0, 0
+    for k, x in enumerate(lines):
+        n += len(x)
+        if n >= CHUNK_CHARS:
+            yield start, k + 1
+            start, n = k + 1, 0
+    if start < len(lines):
+        yield start, len(lines)
+
+
+def lines_of(docs: DataFrame, o: Options) -> DataFrame:
+    """The lines of every batch: k1, k2, their places there (how many, and the first), size and keys."""
+    names = [f"b{k}" for k in range(2 * o.bands)]
+
+    def run(batches):
+        for batch in batches:
+            ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            seen: dict[str, list] = {}
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for p, line in enumerate(text.split("\n") if text else ()):
+                    if x := plain(line):
+                        place = (ids[i] is None, ids[i] or 0, tags[i], p)
+                        held = seen.get(x)
+                        if held is None:
+                            seen[x] = [1, place]
+                        else:
+                            held[0] += 1
+                            held[1] = min(held[1], place)
+            lines = list(seen)
+            for a, b in chunks(lines):
+                size, keys = signatures(lines[a:b], o)
+                own = [line_keys(x) for x in lines[a:b]]
+                held = [seen[x] for x in lines[a:b]]
+                z, d, t, p = zip(*(h[1] for h in held))
+                columns = [pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64()),
+                           pa.array(size, pa.int64()), pa.array([h[0] for h in held], pa.int64()), pa.array(z, pa.bool_()),
+                           pa.array(d, pa.int64(), mask=np.array(z)), pa.array(t, pa.int64()), pa.array(p, pa.int32()),
+                           *[pa.array(k.view(np.int64), mask=k == EMPTY) for k in np.ascontiguousarray(keys.T)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "size", "places", "z", "doc_id", "tag", "pos", *names])
+
+    return keyed(docs).mapInArrow(run, "k1 long, k2 long, size long, places long, z boolean, doc_id long, tag long, pos int, "
+                                  + ", ".join(f"{n} long" for n in names))
+
+
+def shingle_set(x: str, width: int) -> set[str]:
+    return {x[i:i + width] for i in range(max(1, len(x) - width + 1))}
+
+
+def close(a: set, b: set, similarity: float) -> bool:
+    """Jaccard similarity of two sets, by their sizes first."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(a & b)
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def line_classes(docs: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
+    """Lines that belong to another line's component: node, root."""
+    members = nodes.select("node", F.explode(F.array_compact(F.array(*[f"b{k}" for k in range(2 * o.bands)]))).alias("key"))
+    sizes = nodes.select("node", "size")
 
     def texts_of(wanted, name):
         """The plain text of lines, from one place of each."""
-        need = stored(wanted.join(nodes.select("node", *both), "node").join(firsts, both).select("node", "doc_id", "tag", "pos"),
-                      f"{name}-need")
-        found = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")),
-                      "_maybe")
+        need = stored(wanted.join(nodes.select("node", "f.doc_id", "f.tag", "f.pos"), "node"), f"{name}-need")
+        found = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")), "_maybe")
         found = (found.where("_maybe").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"),
                                               F.split("text", "\n").alias("lines"))
                  .dropDuplicates(["_d", "_t"])
                  .join(need, F.expr("_d <=> doc_id and _t = tag")))
-        return found.select("node", plain(F.expr("lines[pos]")).alias("line"))
-
-    banded = nodes.select("node", F.explode("keys").alias("key"))   # distinct: a key holds its band's number
-    repetitive = nodes.where("thin").select("node")
-    if not repetitive.isEmpty():
-        more = permuted_keys(shingles(texts_of(repetitive, "line-thin"), ["node"], o), ["node"], o)
-        banded = banded.union(stored(more, "line-thin-keys").select("node", F.explode("more")))
+        return stored(found.select("node", F.expr("lines[pos]").alias("line")), f"{name}-texts")
 
     texts = None
 
     def verify(pairs, name):
         nonlocal texts
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = stored(texts_of(ends, name), f"{name}-texts")
-        # texts travel, which are an eighth of their shingle sets; the sets are made where a pair is compared
-        both = (pairs.join(texts.selectExpr("node a", "line la"), "a").join(texts.selectExpr("node b", "line lb"), "b")
-                .select("a", "b", wide("la").alias("ca"), wide("lb").alias("cb"))
-                .select("a", "b", shingle_set(F.col("ca"), o).alias("sa"), shingle_set(F.col("cb"), o).alias("sb")))
-        # the result is stored before it is a filter, which would repeat the sets for each use
-        return stored(both.select("a", "b", close(F.col("sa"), F.col("sb"), o).alias("linked")),
-                      f"{name}-links").where("linked").select("a", "b")
+        # sizes are exact, so what they rule out isn't similar
+        able = (pairs.join(sizes.selectExpr("node a", "size na"), "a").join(sizes.selectExpr("node b", "size nb"), "b")
+                .where(F.least("na", "nb") >= o.similarity * F.greatest("na", "nb") - 1e-9).select("a", "b"))
+        able = stored(able, f"{name}-able")
+        texts = texts_of(able.select(F.col("a").alias("node")).union(able.select(F.col("b").alias("node"))).distinct(), name)
+        both = able.join(texts.selectExpr("node a", "line la"), "a").join(texts.selectExpr("node b", "line lb"), "b")
+
+        def check(batches):
+            for batch in batches:
+                held: dict[int, set] = {}   # of a batch
+
+                def set_of(node, line):
+                    s = held.get(node)
+                    if s is None:
+                        s = held[node] = shingle_set(plain(line), o.width)
+                    return s
+
+                a, b, la, lb = (batch.column(k).to_pylist() for k in range(4))
+                same = [close(set_of(*x), set_of(*y), o.similarity) for x, y in zip(zip(a, la), zip(b, lb))]
+                yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+        return stored(both.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long"), f"{name}-links")
 
     def compare(near, name):
-        own = (near.join(texts, "node").withColumn("c", wide("line"))
-               .select(*near.columns, shingle_set(F.col("c"), o).alias("s")))
-        own = stored(own, f"{name}-block")   # every node of a bucket has been in a pair
-        blocks = (own.groupBy("cluster", "block").agg(F.collect_list(F.struct("root", "s")).alias("held"))
-                  .select("cluster", "held", F.explode(F.expr("sequence(0, block)")).alias("block")))
-        hits = F.filter("held", lambda x: (x["root"] != F.col("root")) & close(x["s"], F.col("s"), o))
-        met = own.join(blocks, ["cluster", "block"]).select(
-            "root", F.array_distinct(F.transform(hits, lambda x: x["root"])).alias("hits"))
-        return met.select("root", F.explode("hits").alias("hit")).select(
-            F.least("root", "hit").alias("a"), F.greatest("root", "hit").alias("b")).distinct()
+        # the nodes of a cluster's two blocks meet in one group, whose size is that of two blocks
+        own = near.join(texts, "node").select("cluster", "blocks", "block", "root", "line")
+        other = F.explode(F.expr("sequence(0, blocks - 1)"))
+        paired = (own.withColumn("other", other)
+                  .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "root", "line"))
 
-    labels = bucket_classes(banded, verify, compare, "line").where("node <> root")
-    return (labels.join(nodes.select("node", "k1", "k2"), "node")
-            .join(nodes.selectExpr("node root", "k1 c1", "k2 c2"), "root").select("k1", "k2", "c1", "c2"))
+        def hold(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = [(b, r, shingle_set(plain(x), o.width)) for b, r, x in zip(pdf["block"], pdf["root"], pdf["line"])]
+            p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+            found = set()
+            for i, (b1, r1, s1) in enumerate(rows):
+                for b2, r2, s2 in rows[:i]:
+                    pair = (min(r1, r2), max(r1, r2))
+                    if r1 != r2 and (p == q or b1 != b2) and pair not in found and close(s1, s2, o.similarity):
+                        found.add(pair)
+            return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
+        return paired.groupBy("cluster", "p", "q").applyInPandas(hold, "a long, b long").distinct()
 
-def close(a, b, o: Options):
-    """Jaccard similarity of two arrays of distinct hashes, by their sizes first."""
-    return ((F.least(F.size(a), F.size(b)) >= o.similarity * F.greatest(F.size(a), F.size(b)) - 1e-9)
-            & (F.size(F.array_intersect(a, b)) * (1 + o.similarity) >= o.similarity * (F.size(a) + F.size(b)) - 1e-9))
+    return bucket_classes(members, verify, compare, "line").where("node <> root")
 
 
 def removals(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """Positions of the lines that go, by document: doc_id, tag, gone (array of line numbers)."""
     both = ["k1", "k2"]
-    places = stored(lines_of(docs).select("doc_id", "tag", "pos", *both), "line-places")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag", "pos")
-    firsts = stored(places.groupBy(*both).agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n"))
-                    .select(*both, "f.*", "n"), "line-firsts")
-    moved = line_classes(docs, firsts.select(*both, "doc_id", "tag", "pos"), o)
+    order = F.struct("z", "doc_id", "tag", "pos")
+    nodes = stored(lines_of(docs, o).groupBy(*both).agg(
+        F.max("size").alias("size"), F.sum("places").alias("n"), F.min(order).alias("f"),
+        *[F.max(f"b{k}").alias(f"b{k}") for k in range(2 * o.bands)])
+        .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
+    moved = line_classes(docs, nodes, o)
     # of each component the first place; a line at one place only, without a component, is none of them
-    named = firsts.join(moved, both, "left").select(
-        *both, "n", F.struct("z", "doc_id", "tag", "pos").alias("f"),
-        F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2"))
-    kept = named.groupBy("c1", "c2").agg(F.sum("n").alias("places"), F.min("f").alias("f")).where("places > 1")
-    fate = stored(named.select(*both, "n", "c1", "c2").join(kept, ["c1", "c2"])
-                  .select(*both, "n", F.col("f.doc_id").alias("fd"), F.col("f.tag").alias("ft"), F.col("f.pos").alias("fp")),
-                  "line-fate")
+    named = nodes.select("node", *both, "n", "f").join(moved, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    kept = named.groupBy("c").agg(F.sum("n").alias("places"), F.min("f").alias("first")).where("places > 1")
+    fate = stored(named.join(kept, "c").select(*both, "n", F.col("first.doc_id").alias("fd"), F.col("first.tag").alias("ft"),
+                                               F.col("first.pos").alias("fp")), "line-fate")
     # lines at very many places, a bounded number, don't meet all their places in one task
-    total = places.agg(F.count(F.lit(1))).first()[0]
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = F.col("n") * HOT > total
-    split = places.join(F.broadcast(fate.where(often).select(*both, "fd", "ft", "fp", F.lit(True).alias("hot"))), both, "left")
+    places = sieve(places_of(docs), F.col("k1"), fate.select("k1"), "_maybe").where("_maybe").drop("_maybe")
+    split = stored(places.join(F.broadcast(fate.where(often).drop("n").withColumn("hot", F.lit(True))), both, "left"), "line-places")
     columns = ["doc_id", "tag", "pos", "fd", "ft", "fp"]
-    cold = sieve(split.where("hot is null").select("doc_id", "tag", "pos", *both), F.col("k1"),
-                 fate.where(~often).select("k1"), "_maybe").where("_maybe").join(fate.where(~often).drop("n"), both)
+    cold = split.where("hot is null").select("doc_id", "tag", "pos", *both).join(fate.where(~often).drop("n"), both)
     gone = (split.where("hot").select(columns).union(cold.select(columns))
             .where("not (doc_id <=> fd and tag = ft and pos = fp)"))
     return stored(gone.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("gone")), "line-gone")
