@@ -31,6 +31,7 @@ doc_id and text) are one place; an empty table gives no rows.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -230,20 +231,38 @@ def close(a: set, b: set, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
-def line_classes(docs: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
+@contextmanager
+def shuffles_released(spark):
+    """Shuffle files of a finished write go at once, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
     """Lines that belong to another line's component: node, root."""
-    members = nodes.select("node", F.explode(F.array_compact(F.array(*[f"b{k}" for k in range(2 * o.bands)]))).alias("key"))
+    # equal lines of several batches: the keys of one of them count, and only the others' rows are shuffled
+    again = stored(lines.select("row").join(nodes.select(F.col("node").alias("row")), "row", "left_anti"), "line-again")
+    keys = F.array_compact(F.array(*[f"b{k}" for k in range(2 * o.bands)])).alias("keys")
+    flagged = sieve(lines.select("row", keys), F.xxhash64("row"), again.select(F.xxhash64("row").alias("h")), "_maybe")
+    once = (flagged.where("not _maybe").drop("_maybe")
+            .union(flagged.where("_maybe").drop("_maybe").join(again, "row", "left_anti")))
+    members = once.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
     sizes = nodes.select("node", "size")
 
     def texts_of(wanted, name):
-        """The plain text of lines, from one place of each."""
-        need = stored(wanted.join(nodes.select("node", "f.doc_id", "f.tag", "f.pos"), "node"), f"{name}-need")
-        found = sieve(keyed(docs), F.xxhash64("doc_id", "tag"), need.select(F.xxhash64("doc_id", "tag").alias("k")), "_maybe")
-        found = (found.where("_maybe").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"),
-                                              F.split("text", "\n").alias("lines"))
-                 .dropDuplicates(["_d", "_t"])
-                 .join(need, F.expr("_d <=> doc_id and _t = tag")))
-        return stored(found.select("node", F.expr("lines[pos]").alias("line")), f"{name}-texts")
+        """The text of lines, from one place of each: the lines wanted are cut out before anything is shuffled."""
+        spot = [F.xxhash64("doc_id", "tag", "pos").alias("spot"), "tag", "pos"]
+        need = stored(wanted.join(nodes.select("node", "f.doc_id", "f.tag", "f.pos"), "node").select("node", *spot), f"{name}-need")
+        every = (keyed(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+                 .select(*spot, "line"))
+        found = sieve(every, F.col("spot"), need.select("spot"), "_maybe").where("_maybe").drop("_maybe")
+        at = ["spot", "tag", "pos"]
+        return stored(found.dropDuplicates(at).join(need, at).select("node", "line"), f"{name}-texts")
 
     texts = None
 
@@ -297,13 +316,17 @@ def line_classes(docs: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
 
 def removals(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """Positions of the lines that go, by document: doc_id, tag, gone (array of line numbers)."""
+    with shuffles_released(docs.sparkSession):
+        return _removals(docs, o)
+
+
+def _removals(docs: DataFrame, o: Options) -> DataFrame:
     both = ["k1", "k2"]
-    order = F.struct("z", "doc_id", "tag", "pos")
-    nodes = stored(lines_of(docs, o).groupBy(*both).agg(
-        F.max("size").alias("size"), F.sum("places").alias("n"), F.min(order).alias("f"),
-        *[F.max(f"b{k}").alias(f"b{k}") for k in range(2 * o.bands)])
-        .withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    moved = line_classes(docs, nodes, o)
+    lines = stored(lines_of(docs, o).withColumn("row", F.monotonically_increasing_id()), "line-lines")
+    nodes = stored(lines.groupBy(*both).agg(
+        F.min("row").alias("node"), F.max("size").alias("size"), F.sum("places").alias("n"),
+        F.min(F.struct("z", "doc_id", "tag", "pos")).alias("f")), "line-nodes")
+    moved = line_classes(docs, lines, nodes, o)
     # of each component the first place; a line at one place only, without a component, is none of them
     named = nodes.select("node", *both, "n", "f").join(moved, "node", "left").withColumn("c", F.coalesce("root", "node"))
     kept = named.groupBy("c").agg(F.sum("n").alias("places"), F.min("f").alias("first")).where("places > 1")
