@@ -9,9 +9,11 @@ the other view.  Each view is calibrated (Platt) on labelled rows that
 no fit has seen; the combined score adds the calibrated log odds of both
 views and takes off the prior, which both contain.
 
-Fitting uses a bounded sample (``Options``: labelled rows, pool rows,
-words read of a sampled row), picked by the hash of doc_id; scoring
-covers every document and its whole text.
+Fitting uses a bounded sample (``Options``: labelled rows, pool rows),
+picked by the hash of doc_id, and reads the whole text of its rows;
+scoring covers every document.  Each part of the labelled sample holds
+its share of both kinds; a kind of fewer than ``PARTS`` rows is in all
+parts.
 
 Defined results: a NULL text is an empty one; NULL metadata are values
 of their own; labels repeated for a doc_id count as bad if any is; a
@@ -35,14 +37,15 @@ from pyspark.sql import functions as F
 from .decontaminate import words_of
 
 META_SLOTS = 128
+#: Of so many labelled rows of a kind the last is held out for calibration.
+PARTS = 4
 SHARES = 9
 
 
 @dataclass(frozen=True)
 class Options:
-    labelled_rows: int = 6000
-    pool_rows: int = 3000
-    sample_words: int = 2000     # words of a sampled document that a fit reads
+    labelled_rows: int = 5000
+    pool_rows: int = 2500
     rounds: int = 3
     confident: float = 0.97      # calibrated probability of a pseudo-label
     per_round: int = 500         # pseudo-labels a view hands over in a round, at most
@@ -193,12 +196,24 @@ class Sample:
         return [self.sets[i] for i in rows], self.shares[rows], [self.slots[i] for i in rows]
 
 
+def split(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit on and rows held out; every second row to fit on is of one kind as often as the others."""
+    train, held = [], []
+    for kind in (0.0, 1.0):
+        own = np.flatnonzero(good == kind)
+        few = len(own) < PARTS
+        last = np.arange(len(own)) % PARTS == PARTS - 1
+        held.append(own if few else own[last])
+        # a pair of rows goes to both halves
+        train.append(np.repeat(own, 2) if few else own[~last])
+    return np.concatenate(train), np.sort(np.concatenate(held))
+
+
 def co_train(s: Sample, o: Options) -> Model:
-    known = np.flatnonzero(~np.isnan(s.good))
-    hold = np.arange(len(known)) % 4 == 3
-    train, held, pool = known[~hold], known[hold], np.flatnonzero(np.isnan(s.good))
-    if any(len(set(s.good[x])) < 2 for x in (train[0::2], train[1::2], held)):
+    if len(set(s.good[~np.isnan(s.good)])) < 2:
         return Model()
+    train, held = split(s.good)
+    pool = np.flatnonzero(np.isnan(s.good))
     (ts, tx, tm), (hs, hx, hm), (ps, px, pm) = s.take(train), s.take(held), s.take(pool)
     ty, hy = s.good[train], s.good[held]
     for_text: dict[int, float] = {}   # pool row -> pseudo-label, by the view that learns from it
@@ -247,7 +262,7 @@ def learn(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
             texts = [bytes(t) if t is not None else b"" for t in f.text]
             yield pd.DataFrame({
                 "key": f["_id"], "good": f.good,
-                "words": [list(terms_of(words_of(t)[:o.sample_words])) for t in texts],
+                "words": [list(terms_of(words_of(t))) for t in texts],
                 "shares": [shares_of(t) for t in texts],
                 "slots": [meta_of(*x) for x in zip(f.lang, f.source, f.n_chars)]})
 

@@ -9,9 +9,10 @@ wins.  A phrase costs the same in every language: a language with little
 text has shorter matches and so higher costs, and one with next to none
 pays that price for each byte.
 
-The automata are fitted on a bounded sample: per language the
-``sample_docs`` documents with the smallest hash, at most ``doc_chars``
-characters of each, ``ref_bytes`` bytes in all.  Predictions parse whole
+The automata are fitted on a bounded sample of whole documents: of the
+``sample_docs`` documents of a language with the smallest hash those that
+fit, one after another, into ``ref_bytes`` bytes; if none does, the
+shortest.  Predictions parse whole
 texts: segments of ``segment`` bytes each start a new phrase and are
 parsed side by side.
 
@@ -46,7 +47,6 @@ def plain(data: bytes) -> bytes:
 @dataclass(frozen=True)
 class Sample:
     sample_docs: int = 300
-    doc_chars: int = 2000
     ref_bytes: int = 50_000
     segment: int = 4096
     lanes: int = 4096
@@ -150,19 +150,31 @@ def learn(docs: DataFrame, opts: Sample) -> tuple[list[str], list[bytes]]:
         "and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
     # the sample is picked on narrow rows; the limit by rank runs before the shuffle as well
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (keyed.select("lang", "doc_id").withColumn("_r", F.row_number().over(order))
-              .where(F.col("_r") <= opts.sample_docs).select("doc_id").collect())
-    ids = [r["doc_id"] for r in picked]
-    if not ids:
+    some = (keyed.select("lang", "doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+            .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= opts.sample_docs).collect())
+    chosen: dict[str, list] = {}
+    for lang in sorted({r["lang"] for r in some}):
+        left, seen = opts.ref_bytes, set()
+        own = sorted((r for r in some if r["lang"] == lang), key=lambda r: r["_r"])
+        for r in own:
+            if r["size"] <= left and (r["doc_id"], r["h"]) not in seen:
+                left -= r["size"]
+                seen.add((r["doc_id"], r["h"]))
+        if not seen:
+            r = min(own, key=lambda r: (r["size"], r["_r"]))
+            seen = {(r["doc_id"], r["h"])}
+        chosen[lang] = sorted(seen)
+    if not chosen:
         return [], []
-    rows = (keyed.where(F.col("doc_id").isin(ids))
-            .select("lang", "doc_id", F.substring("text", 1, opts.doc_chars).alias("text"))
-            .groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("doc_id")).collect())
+    keys = docs.sparkSession.createDataFrame([(x, d, h) for x, own in chosen.items() for d, h in own], "lang string, doc_id long, h long")
+    # ``ref_bytes`` of a language reach the driver
+    rows = (keyed.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), ["lang", "doc_id", "h"])
+            .dropDuplicates(["lang", "doc_id", "h"]).orderBy("lang", F.xxhash64("doc_id"), "h").select("lang", "text").collect())
     parts: dict[str, list[bytes]] = {}
     for r in rows:
         parts.setdefault(r["lang"], []).append(r["text"].encode())
     langs = sorted(parts)
-    return langs, [b"".join(map(plain, parts[x]))[:opts.ref_bytes] for x in langs]
+    return langs, [b"".join(map(plain, parts[x])) for x in langs]
 
 
 def identify(docs: DataFrame, opts: Sample = Sample()) -> DataFrame:

@@ -324,6 +324,55 @@ def test_quality_messy(spark, messy, clashing, empty):
     assert cotraining.classify(empty, labels).collect() == []
 
 
+def test_scores_equal_the_model_row_by_row(spark):
+    """What the query returns is the learned model, applied to whole texts one after another."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = cotraining.learn(docs, labels)
+    got = {r["doc_id"]: r for r in cotraining.classify(docs, labels).collect()}
+    for r in docs.collect():
+        t = (r["text"] or "").encode()
+        found = cotraining.evidence([m.words[w] for w in cotraining.terms_of(cotraining.words_of(t)) if w in m.words])
+        a, b = m.odds([found], np.array([cotraining.shares_of(t)]), [cotraining.meta_of(r["lang"], r["source"], r["n_chars"])])
+        p = float(cotraining.sigmoid(a + b - m.prior)[0])
+        assert abs(got[r["doc_id"]]["score"] - p) < 1e-12 and got[r["doc_id"]]["keep"] == (p >= 0.5)
+
+
+@pytest.mark.parametrize("bad", [0, 1, 2, 3, 4, 9])
+def test_rare_classes_are_in_every_part(bad):
+    good = np.array([1.0] * 60 + [0.0] * bad + [np.nan] * 5)[np.random.default_rng(bad).permutation(65 + bad)]
+    train, held = cotraining.split(good)
+    for part in (train[0::2], train[1::2], held):
+        assert set(good[part]) == ({0.0, 1.0} if bad else {1.0})
+    if bad >= 4:
+        assert not set(train) & set(held) and len(set(train)) == len(train)
+
+
+def test_two_bad_rows_give_a_model(spark):
+    """400 labelled rows, two of them bad: a model is fitted, not an empty one that keeps everything."""
+    rows = [(i, "plain words of a good document number %d" % i, "en", "a", 40) for i in range(398)]
+    rows += [(398, "### %%% $$$ @@@ !!!", "en", "a", 19), (399, "!!! ### $$$ %%%", "en", "a", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i < 398), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = cotraining.learn(docs, labels)
+    assert model.text is not None
+    got = {r["doc_id"]: r["keep"] for r in cotraining.classify(docs, labels).collect()}
+    assert not got[398] and not got[399] and sum(got.values()) == 398
+
+
+def test_a_language_is_learned_from_whole_texts(spark):
+    """No text is cut: what fits is taken whole, and of texts that don't fit the shortest."""
+    rows = [(i, ("alpha%d " % i) * 40, "x") for i in range(60)] + [(100 + i, "omega%d " % i * (3000 + i), "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, texts = language_id.learn(docs, language_id.Sample(ref_bytes=3000))
+    assert langs == ["x", "y"] and len(texts[0]) <= 3100
+    for t, lang in zip(texts, langs):
+        whole = {language_id.plain(r[1].encode()) for r in rows if r[2] == lang}
+        while t:
+            own = max((w for w in whole if t.startswith(w) and t[len(w):len(w) + 1] in (b"", b" ")), key=len)
+            t = t[len(own):]
+
+
 def test_views_exchange_confident_labels():
     rng = np.random.default_rng(9)
     n, y = 900, rng.integers(0, 2, 900)
@@ -342,7 +391,7 @@ def test_views_exchange_confident_labels():
 # --- registration ------------------------------------------------------------------------
 def test_every_operator_is_registered():
     names = entry.queries()
-    for k in range(1, 11):
+    for k in range(1, 14):
         assert sum(n.startswith(f"op{k}_") for n in names) == 1
     assert "pipeline" in names and json.dumps(sorted(entry.oracle_sql()))
 
