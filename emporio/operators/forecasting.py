@@ -251,50 +251,67 @@ def scorer(members: Members) -> Callable[[DataFrame], DataFrame]:
 
 
 # --- H23 / H24 -------------------------------------------------------------------------------------
-def walk_forward(data: DataFrame, family: str, params: dict, n_folds: int = 4, horizon: int = 30,
-                 min_train: int = 200) -> DataFrame:
-    """Growing train window, the last ``n_folds`` x ``horizon`` days as test folds.
+#: (train rows, test rows) -> predictions (order_date, model, y, pred)
+Predictor = Callable[[DataFrame, DataFrame], DataFrame]
 
-    Every fold has a row; ``status`` says why a fold has no metrics
-    (fewer than ``min_train`` days of training, or no test day).
+
+def fitted_per_fold(family: str, params: dict) -> Predictor:
+    """A model fitted anew on the training rows of each fold."""
+    return lambda train, test: predict(make_estimator(family, params).fit(train), test, family)
+
+
+def _no_metrics(spark) -> DataFrame:
+    return spark.range(1).select(F.lit(0).cast("long").alias("n"),
+                                 *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "r2", "mape")])
+
+
+def walk_forward_folds(data: DataFrame, n_folds: int = 4, horizon: int = 30, min_train: int = 200) -> DataFrame:
+    """The folds of H23: the last ``n_folds`` x ``horizon`` days, the last fold ending with the data.
+
+    ``status`` says why a fold is not scored: fewer than ``min_train``
+    days of training, whatever the number of series, or no test day.
     """
-    spark = data.sparkSession
-    max_date = data.agg(F.max("order_date")).first()[0]
-    import datetime as dt
-    start = max_date - dt.timedelta(days=(n_folds - 1) * horizon)
-    out = []
-    for k in range(n_folds):
-        end = min(start + dt.timedelta(days=horizon - 1), max_date)
-        tr = data.where(F.col("order_date") < F.lit(start))
-        te = data.where((F.col("order_date") >= F.lit(start)) & (F.col("order_date") <= F.lit(end)))
-        days = tr.select("order_date").distinct().count()   # days, whatever the number of series
-        status = "short_train" if days < min_train else "ok" if te.limit(1).count() else "no_test"
-        if status == "ok":
-            m = make_estimator(family, params).fit(tr)
-            met = T.regression_metrics(predict(m, te, family), by=["model"])
-        else:
-            met = spark.range(1).select(F.lit(0).cast("long").alias("n"),
-                                        *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "r2", "mape")])
-        out.append(met.select(F.lit(k + 1).alias("fold"), F.lit(str(start)).alias("fold_test_start"),
-                              F.lit(str(end)).alias("fold_test_end"), F.lit(status).alias("status"),
+    days = data.select("order_date").distinct()
+    last = days.select(F.max("order_date")).scalar()
+    fold = F.explode(F.sequence(F.lit(1), F.lit(n_folds)))
+    every = days.select("order_date", fold.alias("fold"))      # a row per day and fold
+    start = F.date_add(last, (F.col("fold") - n_folds) * horizon)
+    every = every.withColumn("start", start).withColumn("end", F.least(F.date_add("start", horizon - 1), last))
+    day = F.col("order_date")
+    found = every.groupBy("fold", "start", "end").agg(
+        F.count_if(day < F.col("start")).alias("train_days"), F.count_if(day.between(F.col("start"), F.col("end"))).alias("test_days"))
+    status = F.when(F.col("train_days") < min_train, "short_train").when(F.col("test_days") == 0, "no_test").otherwise("ok")
+    return found.withColumn("status", status)
+
+
+def walk_forward(data: DataFrame, predictor: Predictor, n_folds: int = 4, horizon: int = 30, min_train: int = 200) -> DataFrame:
+    """A growing training window; every fold has a row, with metrics where it could be scored."""
+    spark, day, out = data.sparkSession, F.col("order_date"), []
+    for f in walk_forward_folds(data, n_folds, horizon, min_train).orderBy("fold").collect():    # ``n_folds`` rows
+        met = _no_metrics(spark)
+        if f["status"] == "ok":
+            train, test = data.where(day < F.lit(f["start"])), data.where(day.between(F.lit(f["start"]), F.lit(f["end"])))
+            met = T.regression_metrics(predictor(train, test), by=["model"])
+        out.append(met.select(F.lit(f["fold"]).alias("fold"), F.lit(str(f["start"])).alias("fold_test_start"),
+                              F.lit(str(f["end"])).alias("fold_test_end"), F.lit(f["status"]).alias("status"),
                               "n", "mae", "rmse", "r2", "mape"))
-        start = end + dt.timedelta(days=1)
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def expanding_cv(data: DataFrame, family: str, params: dict, n_splits: int = 5) -> DataFrame:
+def expanding_cv(data: DataFrame, predictor: Predictor, n_splits: int = 5) -> DataFrame:
     """``n_splits`` consecutive test blocks of n // (n_splits + 1) days, train = all before."""
     days = data.select("order_date").distinct()
     n = days.count()
     size = n // (n_splits + 1)
+    if not size:
+        raise ValueError(f"{n} days are too few for {n_splits} splits")
     ranked = days.withColumn("_i", F.row_number().over(Window.orderBy("order_date")) - 1)  # one row per day
     d = data.join(ranked, "order_date")
     out = []
     for k in range(n_splits):
         lo = n - (n_splits - k) * size
-        tr, te = d.where(F.col("_i") < lo), d.where((F.col("_i") >= lo) & (F.col("_i") < lo + size))
-        m = make_estimator(family, params).fit(tr)
-        met = T.regression_metrics(predict(m, te, family), by=["model"])
+        train, test = d.where(F.col("_i") < lo), d.where((F.col("_i") >= lo) & (F.col("_i") < lo + size))
+        met = T.regression_metrics(predictor(train, test), by=["model"])
         out.append(met.select(F.lit(k + 1).alias("fold"), F.lit(lo).cast("long").alias("train_size"),
                               "n", "mae", "rmse", "r2", "mape"))
     return reduce(lambda a, b: a.unionByName(b), out)

@@ -85,11 +85,19 @@ def feature_validation(features: DataFrame) -> DataFrame:
 
 
 # --- I4 ---------------------------------------------------------------------------------------
-def quintile_edges(df: DataFrame, col: str) -> DataFrame:
-    """Inner quintile edges (20/40/60/80 %) as one row (e1..e4), exact."""
-    q = exact_quantiles(df, col, [0.2, 0.4, 0.6, 0.8])
-    return q.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"e{i + 1}")
-                   for i, p in enumerate([0.2, 0.4, 0.6, 0.8])])
+QUINTILES = [0.2, 0.4, 0.6, 0.8]
+
+
+def quintile_edges(df: DataFrame, cols: list[str]) -> Column:
+    """Inner quintile edges (20/40/60/80 %) of the columns, exact: a struct of arrays, from one pass for all of them."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                                         for c in cols])).alias("s")).select("s.*")
+    q = exact_quantiles(long, "x", QUINTILES, group="column")
+
+    def edge(c, p):
+        return F.max(F.when((F.col("column") == c) & (F.col("p") == p), F.col("value")))
+
+    return q.agg(F.struct(*[F.array(*[edge(c, p) for p in QUINTILES]).alias(c) for c in cols])).scalar()
 
 
 def _bin(x: Column, edges: Column) -> Column:
@@ -101,9 +109,9 @@ def _bin(x: Column, edges: Column) -> Column:
 def rfm_scores(features: DataFrame) -> DataFrame:
     """R: recency quintile reversed (5 = most recent); F: order-count bins
     (0,1] (1,2] (2,5] (5,100] -> 1..4, else 1; M: revenue quintile."""
-    # the edges are scalar subqueries (one 4-element array each), not joined frames
-    r = quintile_edges(features, "recency_days").select(F.array("e1", "e2", "e3", "e4")).scalar()
-    m = quintile_edges(features, "total_revenue").select(F.array("e1", "e2", "e3", "e4")).scalar()
+    # the edges are one scalar subquery (two arrays of four), not a joined frame
+    edges = quintile_edges(features, ["recency_days", "total_revenue"])
+    r, m = edges["recency_days"], edges["total_revenue"]
     n = F.col("number_of_orders")
     f_score = (F.when((n > 0) & (n <= 1), 1).when((n > 1) & (n <= 2), 2).when((n > 2) & (n <= 5), 3)
                 .when((n > 5) & (n <= 100), 4).otherwise(1))

@@ -49,15 +49,26 @@ def daily_aggregates(fact: DataFrame, series_col: str | None = None) -> DataFram
     key = F.col(series_col).cast("string") if series_col else F.lit("all")
     f = fact.select(key.alias("series_key"), "order_date", "order_id", "customer_id", "seller_id",
                     "price", "freight_value", "total_sales_amount")
-    return (f.groupBy("series_key", "order_date")
-             .agg(F.countDistinct("order_id").cast("double").alias("total_orders"),
-                  F.count(F.lit(1)).cast("double").alias("total_items"),
-                  F.countDistinct("customer_id").cast("double").alias("total_customers"),
-                  F.countDistinct("seller_id").cast("double").alias("total_sellers"),
-                  F.sum("total_sales_amount").cast("double").alias("daily_revenue"),
-                  (F.sum("price").cast("double") / F.count("price")).alias("avg_item_price"),
-                  F.sum("freight_value").cast("double").alias("total_freight"),
-                  (F.sum("freight_value").cast("double") / F.count("freight_value")).alias("avg_freight")))
+    day = ["series_key", "order_date"]
+    sums = {"_revenue": "total_sales_amount", "_price": "price", "_freight": "freight_value"}
+    # orders first: their count is a row count then, and one distinct count is left
+    by_order = f.groupBy(*day, "order_id").agg(
+        F.max("customer_id").alias("_customer"), F.count(F.lit(1)).alias("_items"),
+        F.count("price").alias("_prices"), F.count("freight_value").alias("_freights"),
+        *[F.sum(c).alias(n) for n, c in sums.items()])
+    sellers = (f.where(F.col("seller_id").isNotNull()).select(*day, "seller_id").distinct()
+               .groupBy(*day).agg(F.count(F.lit(1)).alias("_sellers")))
+    days = by_order.groupBy(*day).agg(
+        F.count("order_id").alias("_orders"), F.countDistinct("_customer").alias("_customers"),
+        *[F.sum(c).alias(c) for c in ("_items", "_prices", "_freights", *sums)])
+    return days.join(sellers, day, "left").select(
+        *day, F.col("_orders").cast("double").alias("total_orders"), F.col("_items").cast("double").alias("total_items"),
+        F.col("_customers").cast("double").alias("total_customers"),
+        F.coalesce("_sellers", F.lit(0)).cast("double").alias("total_sellers"),
+        F.col("_revenue").cast("double").alias("daily_revenue"),
+        (F.col("_price").cast("double") / F.nullif(F.col("_prices"), F.lit(0))).alias("avg_item_price"),
+        F.col("_freight").cast("double").alias("total_freight"),
+        (F.col("_freight").cast("double") / F.nullif(F.col("_freights"), F.lit(0))).alias("avg_freight"))
 
 
 def gap_fill(daily: DataFrame) -> DataFrame:

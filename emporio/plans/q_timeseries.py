@@ -623,14 +623,63 @@ def h21r2(ctx):
 def h23(ctx):
     data, _ = _prepared(ctx)
     best = _searched(ctx)["random_forest"][0]
-    return FC.walk_forward(data, "random_forest", best.params)
+    return FC.walk_forward(data, FC.fitted_per_fold("random_forest", best.params))
 
 
 @register("h24_expanding_window_cv")
 def h24(ctx):
     data, _ = _prepared(ctx)
     best = _searched(ctx)["random_forest"][0]
-    return FC.expanding_cv(data, "random_forest", best.params)
+    return FC.expanding_cv(data, FC.fitted_per_fold("random_forest", best.params))
+
+
+# the same folds scored by a rule that needs no fit: the 7-day mean
+def _rule_days(ctx):
+    b = T.baselines(features(ctx)).where(F.col("pred_ma7_log").isNotNull())
+    return b.select("series_key", "order_date", F.lit("ma7").alias("model"), F.col("daily_revenue").alias("y"),
+                    F.col("pred_ma7_log").alias("pred"))
+
+
+def _fold_metrics(of: str) -> str:
+    return f"""count(*) AS n, round(avg(abs(y - pred)), 4) AS mae, round(sqrt(avg(pow(y - pred, 2))), 4) AS rmse,
+       round(1.0 - sum(pow(y - pred, 2)) / nullif(var_pop(y) * count(*), 0), 6) AS r2,
+       round(avg(CASE WHEN y <> 0 THEN abs((y - pred) / y) END) * 100.0, 6) AS mape FROM {of}"""
+
+
+_DAYS_CTE = ", dy AS (SELECT order_date, y, pred_ma7_log AS pred FROM bl WHERE pred_ma7_log IS NOT NULL)"
+
+
+def _rounded_folds(df):
+    return rounded(rounded(df, 4, ["mae", "rmse"]), cols=["r2", "mape"])
+
+
+@register("h23_walk_forward_of_a_rule", bsql(_DAYS_CTE + f"""
+, fo AS (SELECT k AS fold, CAST(m + CAST((k - 4) * 30 AS INTEGER) AS DATE) AS s, least(CAST(m + CAST((k - 4) * 30 + 29 AS INTEGER) AS DATE), m) AS e
+         FROM (SELECT max(order_date) AS m FROM dy) z, (SELECT unnest(range(1, 5)) AS k) q)
+SELECT CAST(fold AS INTEGER) AS fold, strftime(s, '%Y-%m-%d') AS fold_test_start, strftime(e, '%Y-%m-%d') AS fold_test_end,
+       'ok' AS status, {_fold_metrics("dy JOIN fo ON order_date BETWEEN s AND e")} GROUP BY 1, 2, 3"""))
+def h23r(ctx):
+    return _rounded_folds(FC.walk_forward(_rule_days(ctx), lambda train, test: test))
+
+
+@register("h23_walk_forward_without_enough_days", bsql(_DAYS_CTE + """
+SELECT CAST(k AS INTEGER) AS fold, strftime(CAST(m + CAST((k - 4) * 30 AS INTEGER) AS DATE), '%Y-%m-%d') AS fold_test_start,
+       strftime(least(CAST(m + CAST((k - 4) * 30 + 29 AS INTEGER) AS DATE), m), '%Y-%m-%d') AS fold_test_end, 'short_train' AS status,
+       CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS rmse, CAST(NULL AS DOUBLE) AS r2,
+       CAST(NULL AS DOUBLE) AS mape
+FROM (SELECT max(order_date) AS m FROM dy) z, (SELECT unnest(range(1, 5)) AS k) q"""))
+def h23s(ctx):
+    """More days of training asked for than there are."""
+    return FC.walk_forward(_rule_days(ctx), lambda train, test: test, min_train=10 ** 6)
+
+
+@register("h24_expanding_cv_of_a_rule", bsql(_DAYS_CTE + f"""
+, nd AS (SELECT dy.*, row_number() OVER (ORDER BY order_date) - 1 AS i, count(*) OVER () AS n0, (count(*) OVER ()) // 6 AS size FROM dy),
+fo AS (SELECT k AS fold, n0 - (5 - (k - 1)) * size AS lo, size FROM (SELECT DISTINCT n0, size FROM nd) z, (SELECT unnest(range(1, 6)) AS k) q)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(lo AS BIGINT) AS train_size,
+       {_fold_metrics("nd JOIN fo ON i >= lo AND i < lo + fo.size")} GROUP BY 1, 2"""))
+def h24r(ctx):
+    return _rounded_folds(FC.expanding_cv(_rule_days(ctx), lambda train, test: test))
 
 
 @register("h27_recursive_forecast")

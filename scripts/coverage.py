@@ -12,16 +12,17 @@ from emporio.plans.registry import REGISTRY, _load_all, oracle_sql  # noqa: E402
 LIBRARY = {
     "A1": "sources/csv.py load_* (fixed schemas)", "A2": "sources/csv.py load_all_sources",
     "A3": "sources/sinks.py read_table", "A4": "sources/sinks.py replace_table",
-    "A5": "sources/sinks.py append_table / load_table; streaming/incremental.py",
     "A6": "sources/sinks.py reset_warehouse / truncate_table", "A7": "sources/sinks.py paged_report",
     "A8": "sources/sinks.py export_csv", "A9": "sources/sinks.py StageMetrics; plans/warehouse_load.py",
     "A10": "sources/sinks.py replace_table (persona table)", "B6": "functions/keys.py with_dense_key",
     "B9": "operators/warehouse.py fact_sales", "B14": "operators/warehouse.py fact_sales",
-    "C1": "operators/quality.py schema_check (metadata only; tests/test_warehouse.py)",
-    "E12": "operators/reporting.py refresh_reporting_layer", "E20": "operators/reporting.py staleness",
-    "F1": "functions/filters.py Slice", "F2": "operators/dashboard.py order_source / uses_order_table",
+    "C1": "operators/quality.py schema_check; plans/warehouse_load.py",
+    "E12": "operators/reporting.py refresh_reporting_layer; sources/versions.py", "E20": "operators/reporting.py staleness",
+    "F1": "functions/filters.py Slice", "F2": "operators/cubes.py candidates / source",
     "G3": "operators/insights.py trend_label", "H11": "operators/timeseries.py ewm_mean",
-    "I6": "operators/segmentation.py standard_scale / robust_scale",
+    "I6": "operators/segmentation.py standard_scale / robust_scale", "I11": "operators/clustering.py fit_many",
+    "I13": "operators/clustering.py euclidean_silhouette", "H27": "operators/forecasting.py recursive_forecast",
+    "H28": "operators/forecasting.py permutation_importance", "A5": "sources/sinks.py append_table / load_table; streaming/incremental.py",
 }
 
 
