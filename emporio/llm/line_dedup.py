@@ -18,8 +18,8 @@ rule the similarity out; those with an exact Jaccard similarity of
 union-find), and of all places of a component's lines the first stays.
 
 Equal lines are one line from the start.  Pairs are made in small buckets
-only; large ones are compared with one member first, and what is left in
-different classes block against block (``common.bucket_classes``).
+only; large ones are compared with one member first, and a large bucket
+that isn't one class by then block against block, without emitting pairs.
 Signatures and exact checks run in Arrow batches (the README says why);
 joins, grouping, union-find and the assembly of texts are SQL functions.
 
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_classes, fresh, sieve, stored
+from .common import BLOCK, SMALL_BUCKET, components, fresh, sieve, stored
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,8 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7
 #: Bits of a hash that are kept beside the number of its line.
 HASH_BITS = np.uint64(44)
 EMPTY = np.uint64(0)
+#: What equal hashes of different shingles could change at most; pairs that near are checked exactly.
+MARGIN = 1e-3
 
 
 def plain(line: str) -> str:
@@ -243,6 +245,16 @@ def shuffles_released(spark):
         spark.conf.set(name, before)
 
 
+def overlaps(a: list[str], b: list[str], width: int) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of pairs of lines, by hash."""
+    with np.errstate(over="ignore"):
+        h, owner, size = shingle_sets(a + b, width)
+    both = np.sort((owner % len(a)).astype(np.uint64) << HASH_BITS | h)
+    twice = both[1:][both[1:] == both[:-1]] >> HASH_BITS
+    common = np.bincount(twice.astype(np.int64), minlength=len(a))
+    return common / (size[:len(a)] + size[len(a):] - common)
+
+
 def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
     """Lines that belong to another line's component: node, root."""
     # equal lines of several batches: the keys of one of them count, and only the others' rows are shuffled
@@ -277,41 +289,71 @@ def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options
 
         def check(batches):
             for batch in batches:
-                held: dict[int, set] = {}   # of a batch
-
-                def set_of(node, line):
-                    s = held.get(node)
-                    if s is None:
-                        s = held[node] = shingle_set(plain(line), o.width)
-                    return s
-
                 a, b, la, lb = (batch.column(k).to_pylist() for k in range(4))
-                same = [close(set_of(*x), set_of(*y), o.similarity) for x, y in zip(zip(a, la), zip(b, lb))]
-                yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+                same = np.zeros(len(a), bool)
+                la, lb = [plain(x) for x in la], [plain(x) for x in lb]
+                for lo, hi in chunks([x + y for x, y in zip(la, lb)]):
+                    for k in np.flatnonzero(overlaps(la[lo:hi], lb[lo:hi], o.width) >= o.similarity - MARGIN) + lo:
+                        same[k] = close(shingle_set(la[k], o.width), shingle_set(lb[k], o.width), o.similarity)
+                yield batch.select(["a", "b"]).filter(pa.array(same))
 
         return stored(both.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long"), f"{name}-links")
 
-    def compare(near, name):
-        # the nodes of a cluster's two blocks meet in one group, whose size is that of two blocks
-        own = near.join(texts, "node").select("cluster", "blocks", "block", "root", "line")
-        other = F.explode(F.expr("sequence(0, blocks - 1)"))
-        paired = (own.withColumn("other", other)
-                  .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "root", "line"))
-
-        def hold(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = [(b, r, shingle_set(plain(x), o.width)) for b, r, x in zip(pdf["block"], pdf["root"], pdf["line"])]
-            p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-            found = set()
-            for i, (b1, r1, s1) in enumerate(rows):
-                for b2, r2, s2 in rows[:i]:
-                    pair = (min(r1, r2), max(r1, r2))
-                    if r1 != r2 and (p == q or b1 != b2) and pair not in found and close(s1, s2, o.similarity):
-                        found.add(pair)
-            return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-
-        return paired.groupBy("cluster", "p", "q").applyInPandas(hold, "a long, b long").distinct()
-
-    return bucket_classes(members, verify, compare, "line").where("node <> root")
+    count = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "line-sizes")
+    # most buckets hold one node; their rows are dropped before the join's shuffle
+    sized = stored(sieve(members, F.col("key"), count.select("key"), "_maybe").where("_maybe").drop("_maybe").join(count, "key"),
+                   "line-buckets")
+    small = sized.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
+    pairs = (small.selectExpr("key", "node a").join(small.selectExpr("key", "node b"), "key").where("a < b")
+             .select("a", "b"))
+    star = sized.where((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("pivot"))).selectExpr("pivot a", "node b")
+    links = verify(stored(pairs.union(star).distinct(), "line-pairs"), "line")
+    labels = stored(components(links, "line-classes"), "line-labels")
+
+    # buckets above the limit that aren't one class by now, block against block
+    large = stored(sized.where(F.col("n") > SMALL_BUCKET).join(labels, "node", "left")
+                   .select("key", "node", "n", F.coalesce("root", "node").alias("root")), "line-large")
+    open_ = large.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    near = (large.join(open_, "key").join(sizes, "node").withColumn("blocks", blocks)
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    near = stored(near.select("key", "node", "root", "size", "blocks", "block"), "line-open")
+    if near.isEmpty():
+        return labels.where("node <> root")
+    more_texts = texts_of(near.select("node").distinct(), "line-more")
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    paired = (near.join(more_texts, "node").withColumn("other", other)
+              .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "root", "size", "line"))
+
+    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between classes in two blocks of a bucket, enough to join what belongs together."""
+        pdf = pdf.sort_values(["size", "root"], kind="stable")
+        root, size, line = pdf["root"].tolist(), pdf["size"].tolist(), pdf["line"].tolist()
+        head, found, sets = {r: r for r in root}, [], {}
+
+        def top(r):
+            while head[r] != r:
+                r = head[r]
+            return r
+
+        def set_of(i):
+            if i not in sets:
+                sets[i] = shingle_set(plain(line[i]), o.width)
+            return sets[i]
+
+        first = 0
+        for i in range(len(root)):
+            while size[first] < o.similarity * size[i] - 1e-9:   # too small for this and all that follow
+                sets.pop(first, None)
+                first += 1
+            for j in range(first, i):
+                if top(root[i]) != top(root[j]) and close(set_of(i), set_of(j), o.similarity):
+                    head[top(root[i])] = top(root[j])
+                    found.append((min(root[i], root[j]), max(root[i], root[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    more = stored(paired.groupBy("key", "p", "q").applyInPandas(hold, "a long, b long").distinct(), "line-joined")
+    return stored(components(links.union(more), "line-all"), "line-labels").where("node <> root")
 
 
 def removals(docs: DataFrame, o: Options = Options()) -> DataFrame:
