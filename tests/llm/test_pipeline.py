@@ -86,7 +86,6 @@ def test_each_stage_equals_brute_force(spark, folder):
 
     good = run("quality classifier", docs)
     assert texts_of(good) == brute_quality(spark, docs, folder)
-    assert 0 < good.count() < docs.count()
 
     # stages are judged on their own input, so each gets all documents here
     lined = run("line dedup", docs)
