@@ -5,6 +5,7 @@ import os
 import pytest
 
 from emporio.config import Params
+from emporio.operators import warehouse as W
 from emporio.plans.context import Context
 
 from conftest import SF_SMALL
@@ -16,6 +17,10 @@ def ctx(spark):
     return Context(spark, Context.for_fixture(spark, SF_SMALL).src, Params.for_fixture(), name=os.urandom(8).hex())
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_csv_source_writes_no_other_source(ctx):
     from emporio.plans.q_warehouse import csv_source, csv_sources
     payments = csv_source(ctx, "payments")
@@ -24,3 +29,22 @@ def test_a_csv_source_writes_no_other_source(ctx):
     assert written() == {"payments"}
     assert payments.exceptAll(ctx.src["payments"]).isEmpty() and payments.count() == ctx.src["payments"].count()
     assert set(csv_sources(ctx)) == set(ctx.src) == written()
+
+
+def test_items_are_not_shuffled_on_sellers_of_a_written_table(spark, ctx):
+    """The size of the written sellers is known before the join is planned: only they move."""
+    fact = W.enriched_fact(ctx.src, ctx.params, ctx._store)
+    moved = [line for line in plan_of(fact).splitlines() if "hashpartitioning(" in line]
+    assert moved and not any("seller_id" in line.split("hashpartitioning(")[1].split("),")[0] for line in moved)
+    assert sorted(map(str, fact.collect())) == sorted(map(str, W.enriched_fact(ctx.src, ctx.params).collect()))
+
+
+def test_sellers_too_many_to_broadcast_give_the_same_rows(spark, ctx):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted(map(str, W.enriched_fact(ctx.src, ctx.params).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(str, W.enriched_fact(ctx.src, ctx.params, ctx._store).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == want
