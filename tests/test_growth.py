@@ -5,6 +5,7 @@ import os
 import pytest
 
 from emporio.config import Params
+from emporio.operators import segmentation as S
 from emporio.operators import warehouse as W
 from emporio.plans.context import Context
 
@@ -48,3 +49,33 @@ def test_sellers_too_many_to_broadcast_give_the_same_rows(spark, ctx):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got == want
+
+
+ITEMS = ("customer_unique_id string, order_id string, product_id string, product_category_name_english string, "
+         "state_code string, quantity int, total_sales_amount decimal(13,2), freight_value decimal(12,2), order_date date")
+
+
+def items_of(spark):
+    from datetime import date
+    from decimal import Decimal as D
+    day = lambda n: date(2018, 1, n)
+    return spark.createDataFrame([
+        # one customer in two places, with the same product, category and order in both
+        ("a", "o1", "p1", "x", "SB", 1, D("10.00"), D("1.00"), day(3)), ("a", "o1", "p2", None, "SA", 1, D("5.00"), None, day(3)),
+        ("a", "o2", "p1", "x", "SA", 1, D("2.50"), D("0.50"), day(1)), ("a", "o3", None, "x", None, 1, None, D("0.25"), day(9)),
+        # no place, no money
+        ("b", "o4", "p3", "y", None, 1, None, None, day(2)), (None, "o5", "p1", "x", "SC", 1, D("1.00"), D("1.00"), day(2))], ITEMS)
+
+
+def test_customer_in_two_places_is_one_customer(spark):
+    from datetime import date
+    got = {r[0]: tuple(r)[1:] for r in S.customer_aggregates(items_of(spark)).collect()}
+    assert got == {"a": (3, 17.5, 17.5 / 3, 4, 2, 1, 1.75 / 3, date(2018, 1, 1), date(2018, 1, 9), "SB"),
+                   "b": (1, None, None, 1, 1, 1, None, date(2018, 1, 2), date(2018, 1, 2), "UNKNOWN")}
+
+
+def test_items_are_not_sorted_for_the_customer_aggregates(spark):
+    """Sorting is left to the aggregate of a row per customer and place."""
+    plan = plan_of(S.customer_aggregates(items_of(spark)))
+    below = [line for line in plan.splitlines() if "SortAggregate" in line]
+    assert below and not any("gid" in line or "order_id" in line or "quantity" in line for line in below)
