@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from emporio.config import Params
+from emporio.operators import clustering as C
 from emporio.operators import segmentation as S
 from emporio.operators import warehouse as W
 from emporio.plans.context import Context
@@ -79,3 +81,29 @@ def test_items_are_not_sorted_for_the_customer_aggregates(spark):
     plan = plan_of(S.customer_aggregates(items_of(spark)))
     below = [line for line in plan.splitlines() if "SortAggregate" in line]
     assert below and not any("gid" in line or "order_id" in line or "quantity" in line for line in below)
+
+
+def test_nearest_centre_by_search_and_the_first_of_equal_ones():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (500, 3)).astype(float)
+    for k in (1, 2, 7):
+        centres = np.repeat(rng.integers(-3, 4, (k, 3)).astype(float), 2, axis=0)   # every centre twice
+        far = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        for square in (None, (x * x).sum(axis=1)):
+            label, d = C.nearest(x, centres, square)
+            assert (label == far.argmin(axis=1)).all() and np.allclose(d, far.min(axis=1))
+
+
+def test_sums_of_a_pass_over_two_spaces(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(300, 2)), rng.normal(size=(300, 3))
+    points = spark.createDataFrame([(u.tolist(), v.tolist()) for u, v in zip(a, b)], "a array<double>, b array<double>")
+    centres = {C.Config("a", 2, 0): a[:2], C.Config("b", 3, 0): b[:3], C.Config("a", 3, 0): a[5:8]}
+    got = {(r.config, r.label, r.dim): r.total for r in C._sums(points, centres).itertuples()}
+    for n, (config, c) in enumerate(centres.items()):
+        x = a if config.space == "a" else b
+        far = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        for k in range(len(c)):
+            own = far.argmin(axis=1) == k
+            assert got[n, k, -2] == own.sum() and np.isclose(got[n, k, -1], far[own, k].sum())
+            assert np.allclose([got[n, k, i] for i in range(x.shape[1])], x[own].sum(axis=0))
