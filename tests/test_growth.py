@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emporio.config import Params
 from emporio.operators import clustering as C
@@ -107,3 +108,8 @@ def test_sums_of_a_pass_over_two_spaces(spark):
             own = far.argmin(axis=1) == k
             assert got[n, k, -2] == own.sum() and np.isclose(got[n, k, -1], far[own, k].sum())
             assert np.allclose([got[n, k, i] for i in range(x.shape[1])], x[own].sum(axis=0))
+
+
+def test_customer_features_make_no_copies_of_the_items(spark):
+    """A distinct count beside another one works on a copy of every item for each."""
+    assert "Expand" not in plan_of(S.customer_aggregates(items_of(spark)))
