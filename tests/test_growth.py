@@ -113,3 +113,12 @@ def test_sums_of_a_pass_over_two_spaces(spark):
 def test_customer_features_make_no_copies_of_the_items(spark):
     """A distinct count beside another one works on a copy of every item for each."""
     assert "Expand" not in plan_of(S.customer_aggregates(items_of(spark)))
+
+
+def test_the_stored_fact_is_not_sorted_as_a_whole(ctx):
+    """Sorting every column of every item is what spilled; only the joins sort, on their keys."""
+    seen = []
+    store = ctx._store
+    ctx._store = lambda df, label: (seen.append((label, plan_of(df))), store(df, label))[1]
+    ctx.enriched
+    assert not any("month_year" in line for label, plan in seen for line in plan.splitlines() if "Sort [" in line)
