@@ -18,7 +18,7 @@ SELECT year_number, month_number, month_year AS order_month,
          AS average_order_value
 FROM fact GROUP BY year_number, month_number, month_year"""))
 def e1(ctx):
-    return R.sales_summary(ctx.fact)
+    return R.sales_summary(ctx.fact, ctx.single_orders)
 
 
 @register("e2_category_summary", sql("""
@@ -49,7 +49,7 @@ SELECT state_code, CAST(sum(total_sales_amount) AS DOUBLE) AS total_revenue,
        CAST(sum(freight_value) AS DOUBLE) AS total_freight_cost
 FROM enriched WHERE state_code IS NOT NULL GROUP BY state_code"""))
 def e4(ctx):
-    return R.state_summary(ctx.enriched)
+    return R.state_summary(ctx.enriched, ctx.single_orders)
 
 
 @register("e5_state_summary_denorm", sql("""
@@ -58,7 +58,7 @@ SELECT left(state_code, 2) AS state_code, CAST(sum(total_sales_amount) AS DOUBLE
        CAST(sum(freight_value) AS DOUBLE) AS total_freight_cost
 FROM fact WHERE state_code IS NOT NULL AND length(state_code) = 2 GROUP BY left(state_code, 2)"""))
 def e5(ctx):
-    return R.state_summary_denorm(ctx.fact)
+    return R.state_summary_denorm(ctx.fact, ctx.single_orders)
 
 
 @register("e6_customer_summary", sql("""
@@ -132,13 +132,13 @@ FILTER_MEASURES = """CAST(sum(total_sales_amount) AS DOUBLE) AS total_revenue,
 SELECT segment, state_code, month_year, year_number, month_number, {FILTER_MEASURES}
 FROM fact GROUP BY 1, 2, 3, 4, 5"""))
 def e13(ctx):
-    return R.filter_monthly(ctx.fact)
+    return R.filter_monthly(ctx.fact, ctx.single_orders)
 
 
 @register("e14_filter_totals", sql(f"""
 SELECT segment, state_code, {FILTER_MEASURES} FROM fact GROUP BY 1, 2"""))
 def e14(ctx):
-    return R.filter_totals(ctx.fact)
+    return R.filter_totals(ctx.fact, ctx.single_orders)
 
 
 @register("e15_filter_categories", sql("""

@@ -47,7 +47,7 @@ def rounded(df: DataFrame, digits: int = R, cols: list[str] | None = None) -> Da
 
 # --- Spark side: shared per-context tables ------------------------------------------------------
 def series(ctx, by: str | None = None) -> DataFrame:
-    return T.daily_series(ctx.fact, by)
+    return T.daily_series(ctx.fact, by, ctx.single_orders)
 
 
 def features(ctx) -> DataFrame:
@@ -190,12 +190,12 @@ DAILY_COLS = "series_key, order_date, " + ", ".join(T.MEASURES)
 
 @register("h1_daily_aggregates", tsql(f"SELECT {DAILY_COLS} FROM dd"))
 def h1(ctx):
-    return T.daily_aggregates(ctx.fact)
+    return T.daily_aggregates(ctx.fact, single=ctx.single_orders)
 
 
 @register("h1_daily_aggregates_by_state", tsql(f"SELECT {DAILY_COLS} FROM dd", by="state_code"))
 def h1s(ctx):
-    return T.daily_aggregates(ctx.fact, "state_code")
+    return T.daily_aggregates(ctx.fact, "state_code", ctx.single_orders)
 
 
 @register("h2_h3_gap_filled_series", tsql("""

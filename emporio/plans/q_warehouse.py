@@ -299,7 +299,7 @@ SELECT year_number, month_number, month_year AS order_month,
 FROM fact GROUP BY 1, 2, 3"""))
 def a8(ctx):
     from ..operators import reporting as R
-    report = R.sales_summary(ctx.fact)
+    report = R.sales_summary(ctx.fact, ctx.single_orders)
     path = ctx.scratch("a8_export")
     sinks.export_csv(report, "reporting_sales_summary", path)
     return ctx.spark.read.schema(report.schema).option("header", True).csv(path)

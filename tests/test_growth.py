@@ -122,3 +122,41 @@ def test_the_stored_fact_is_not_sorted_as_a_whole(ctx):
     ctx._store = lambda df, label: (seen.append((label, plan_of(df))), store(df, label))[1]
     ctx.enriched
     assert not any("month_year" in line for label, plan in seen for line in plan.splitlines() if "Sort [" in line)
+
+
+def test_items_are_not_sorted_for_the_rows_of_orders(ctx):
+    """What items take from their order is grouped by; no greatest string is taken over items."""
+    from emporio.operators import cubes, reporting, timeseries
+    assert ctx.single_orders
+    for df in (cubes.order_categories(ctx.fact, True), reporting.sales_summary(ctx.fact, True),
+               timeseries.daily_aggregates(ctx.fact, single=True)):
+        assert "SortAggregate" not in plan_of(df)
+
+
+def test_an_order_with_two_customers_is_one_row(spark):
+    from decimal import Decimal as D
+    from emporio.functions.order_rows import order_rows
+    rows = spark.createDataFrame([("o1", "a", "SA", D("1.10")), ("o1", "b", None, D("2.20")), ("o1", "a", "SA", None),
+                                  ("o2", None, "SB", None), ("o3", "c", None, D("4.00"))],
+                                 "order_id string, customer string, state string, money decimal(13,2)")
+    sums = {"money": F.sum("money"), "items": F.count(F.lit(1)), "priced": F.count("money")}
+    got = order_rows(rows, ["order_id"], ["customer", "state"], sums)
+    want = rows.groupBy("order_id").agg(F.max("customer").alias("customer"), F.max("state").alias("state"),
+                                        *[x.alias(n) for n, x in sums.items()])
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    single = order_rows(rows.where("order_id <> 'o1'"), ["order_id"], ["customer", "state"], sums, single=True)
+    assert sorted(map(str, single.select(want.columns).collect())) == sorted(map(str, want.where("order_id <> 'o1'").collect()))
+
+
+@pytest.mark.parametrize("name, key", [("orders", "order_id"), ("customers", "customer_id")])
+def test_a_repeated_order_or_customer_is_seen(spark, ctx, name, key):
+    same = ctx.src[name].where(F.col(key).isNotNull()).limit(1)
+    assert ctx.single_orders
+    twice = Context(spark, ctx.src | {name: ctx.src[name].union(same)}, ctx.params, name=os.urandom(8).hex())
+    assert not twice.single_orders
+    first = lambda c: sorted(map(str, c.orders.select(sorted(c.orders.columns)).collect()))
+    want = (twice.fact.groupBy("order_id").agg(
+        *[F.max(c).alias(c) for c in ("customer_unique_id", "segment", "state_code", "month_year")],
+        F.sum("total_sales_amount").alias("revenue"), F.sum("quantity").cast("long").alias("quantity"),
+        F.sum("freight_value").alias("freight")))
+    assert first(twice) == sorted(map(str, want.select(sorted(want.columns)).collect()))
