@@ -53,7 +53,7 @@ class Options:
 
 
 #: Characters of the lines whose shingles are sorted together.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 18
 #: A line at more than 1 / HOT of all places is joined by a broadcast; there are HOT of them at most.
 HOT = 1024
 #: Odd factors of the hashes (own choice).
