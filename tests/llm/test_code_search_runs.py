@@ -56,6 +56,16 @@ def test_long_words_merge_as_short_ones(w):
     assert ENCODER.merged_long(w) == short
 
 
+def test_ascii_words_are_those_of_the_library(monkeypatch):
+    """op11: text within ASCII is cut without a call of the library, and at the same places."""
+    some = "aZ09 \t\n\x0b\r\x1c\x1f\x00'stmdrevl_."
+    texts = ["".join(p) for n in (1, 2, 3) for p in itertools.product(some, repeat=n)]
+    texts += ["".join(p) for p in itertools.product(map(chr, range(128)), repeat=2)] + ["I'll say 12 times:  'save'\r\n\n  x's "]
+    want = [[t[a:b] for _, (a, b) in ENCODER.cuts(t)] for t in texts]
+    monkeypatch.setattr(ENCODER, "cuts", lambda t: pytest.fail("the library was called"))
+    assert [ENCODER.find(t) for t in texts] == want
+
+
 def test_very_long_words():
     rng = random.Random(3)
     for t in ("x" * 30000, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(9000)), "ab" * 9000 + " " + "-" * 5000):
