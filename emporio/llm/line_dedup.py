@@ -17,9 +17,10 @@ rule the similarity out; those with an exact Jaccard similarity of
 ``similarity`` are linked, linked lines form components (distributed
 union-find), and of all places of a component's lines the first stays.
 
-Equal lines are one line from the start.  Pairs are made in small buckets
-only; large ones are compared with one member first, and a large bucket
-that isn't one class by then block against block, without emitting pairs.
+Equal lines are one line from the start.  The lines of a bucket are
+compared with one of them first.  Other pairs are made in small buckets
+only, of lines that aren't in one class by then; a large bucket that
+isn't one class is compared block against block, without emitting pairs.
 Signatures and exact checks run in Arrow batches (the README says why);
 joins, grouping, union-find and the assembly of texts are SQL functions.
 
@@ -299,17 +300,24 @@ def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options
 
         return stored(both.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long"), f"{name}-links")
 
-    count = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "line-sizes")
+    # the pivot isn't in this shuffle, which every key goes through
+    count = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-sizes")
     # most buckets hold one node; their rows are dropped before the join's shuffle
     sized = stored(sieve(members, F.col("key"), count.select("key"), "_maybe").where("_maybe").drop("_maybe").join(count, "key"),
                    "line-buckets")
-    small = sized.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
-    pairs = (small.selectExpr("key", "node a").join(small.selectExpr("key", "node b"), "key").where("a < b")
-             .select("a", "b"))
-    star = sized.where((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("pivot"))).selectExpr("pivot a", "node b")
-    links = verify(stored(pairs.union(star).distinct(), "line-pairs"), "line")
+    pivots = sized.groupBy("key").agg(F.min("node").alias("pivot"))
+    star = sized.select("key", "node").join(pivots, "key").where("node <> pivot").selectExpr("pivot a", "node b")
+    links = verify(stored(star.distinct(), "line-pairs"), "line")
     labels = stored(components(links, "line-classes"), "line-labels")
 
+    # of small buckets the pairs that aren't in one class by now; those with the pivot have been compared
+    small = (sized.where(F.col("n").between(3, SMALL_BUCKET)).select("key", "node").join(pivots, "key").where("node <> pivot")
+             .join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    rest = (small.selectExpr("key", "node a", "root ra").join(small.selectExpr("key", "node b", "root rb"), "key")
+            .where("a < b and ra <> rb").select("a", "b"))
+    links = links.union(verify(stored(rest.distinct(), "line-rest-pairs"), "line-rest"))
+    labels = stored(components(links, "line-small"), "line-labels")
+
     # buckets above the limit that aren't one class by now, block against block
     large = stored(sized.where(F.col("n") > SMALL_BUCKET).join(labels, "node", "left")
                    .select("key", "node", "n", F.coalesce("root", "node").alias("root")), "line-large")

@@ -276,6 +276,33 @@ def test_repetitive_lines_meet_short_ones(spark):
     assert out == {i: len([1 for g in gone if g[0] == i]) for i, _ in rows} and len(gone) == 3
 
 
+def test_small_buckets_of_one_class_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """op4: twelve copies are compared with the first of a bucket; lines apart in a bucket are still compared with each other."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 4000, n)]
+    base, rows = words(90), []
+    for i in range(12):
+        rows.append((i, " ".join(base[:7 * i] + [f"x{i}"] + base[7 * i + 1:])))
+    # a chain: neighbours are similar, the ends are not
+    chain = words(60)
+    rows += [(100 + i, " ".join(chain[5 * i:5 * i + 40])) for i in range(5)]
+    compared = {}
+
+    def kept(df, name):
+        out = plain(df, name)
+        if name.endswith("-able"):
+            compared[name] = out.count()
+        return out
+
+    plain = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, counts=True).collect()}
+    gone = {d[1] for g in brute_char_lines(docs.collect()).values() for d, *_ in sorted(g, key=lambda x: (x[0], x[2]))[1:]}
+    assert {i for i, n in out.items() if n} == gone and set(range(1, 12)) <= gone
+    assert sum(compared.values()) < 12 * 11 // 2
+
+
 def test_hot_line_is_joined_by_broadcast(spark, monkeypatch):
     """A line in every document, by the broadcast and by the plain join."""
     rows = [(i, f"the same line in all of the documents here\nown words of document number {i * 7919} only") for i in range(60)]
