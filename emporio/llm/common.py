@@ -83,6 +83,8 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
                .distinct(), f"{name}-edges")
     spread = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = e.agg(*spread).first()
+    if not before[0]:   # no edge, no rounds
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for k in range(max_rounds):
         # large star: every larger neighbour of u points at the least of u's neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -160,6 +162,8 @@ def bucket_classes(members: DataFrame, verify, compare, name: str) -> DataFrame:
     tested = stored(pairs.union(star).distinct(), f"{name}-pairs")
     links = verify(tested, name)
     labels = stored(components(links, f"{name}-classes"), f"{name}-labels")
+    if sizes.where(F.col("n") > SMALL_BUCKET).isEmpty():   # every pair of every bucket has been compared
+        return labels
 
     clusters = components(star.distinct(), f"{name}-clusters").withColumnRenamed("root", "cluster")
     placed = stored(clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")),

@@ -29,6 +29,29 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in got} == {x: find(par, x) for a, b in edges if a != b for x in (a, b)}
 
 
+def tables_of(monkeypatch, call):
+    """What ``call`` gives, and the names of the tables that it writes."""
+    names, write = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: names.append(name) or write(df, name))
+    return call(), names
+
+
+def test_no_edge_needs_no_round(spark, monkeypatch):
+    loops = spark.createDataFrame([(1, 1), (2, 2)], "a long, b long")
+    got, names = tables_of(monkeypatch, lambda: common.components(loops, "t"))
+    assert got.columns == ["node", "root"] and got.isEmpty() and names == ["t-edges"]
+
+
+def test_small_buckets_alone_make_no_clusters(spark, monkeypatch):
+    """pipeline: without a large bucket the driver plans none of the steps that serve large ones."""
+    links = [(k, 10 * k + i) for k in range(30) for i in range(4)]
+    members = spark.createDataFrame(links, "key long, node long")
+    similar = lambda pairs, name: common.stored(pairs.where("b - a < 3"), f"{name}-links")
+    got, names = tables_of(monkeypatch, lambda: common.bucket_classes(members, similar, None, "t"))
+    assert {(r["node"], r["root"]) for r in got.collect()} == {(n, 10 * k) for k, n in links}
+    assert not any(n.startswith(("t-clusters", "t-placed", "t-open")) for n in names)
+
+
 def test_sieve_loses_nothing(spark):
     df = spark.range(5000)
     keys = spark.range(0, 5000, 7).select(F.xxhash64("id").alias("k"))
