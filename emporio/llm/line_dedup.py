@@ -12,15 +12,18 @@ gets minima under independent permutations.  From ``similarity * small``
 shingles on a set has both kinds, so that two sets which are similar
 enough always have a kind in common.
 
-Lines that share a band's key are candidates, unless their sizes alone
-rule the similarity out; those with an exact Jaccard similarity of
-``similarity`` are linked, linked lines form components (distributed
+Lines that share a band's key are candidates, unless their sizes or their
+sketches (two bits of each minimum) rule the similarity out: random lines
+of a language share keys too, in numbers that grow with the square of the
+input.  A similar pair is lost so with a probability of 1e-9 at most.
+Candidates with an exact Jaccard similarity of ``similarity`` are linked, linked lines form components (distributed
 union-find), and of all places of a component's lines the first stays.
 
 Equal lines are one line from the start.  The lines of a bucket are
 compared with one of them first.  Other pairs are made in small buckets
 only, of lines that aren't in one class by then; a large bucket that
-isn't one class is compared block against block, without emitting pairs.
+isn't one class is compared block against block, by sketches and then by
+text, without emitting pairs.
 Signatures and exact checks run in Arrow batches (the README says why);
 joins, grouping, union-find and the assembly of texts are SQL functions.
 
@@ -34,11 +37,12 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK, SMALL_BUCKET, components, fresh, sieve, stored
@@ -53,8 +57,8 @@ class Options:
     small: int = 250
 
 
-#: Characters of the lines whose shingles are sorted together.
-CHUNK_CHARS = 1 << 18
+#: Characters of the lines whose shingles are sorted together; the arrays stay in a core's cache.
+CHUNK_CHARS = 1 << 16
 #: A line at more than 1 / HOT of all places is joined by a broadcast; there are HOT of them at most.
 HOT = 1024
 #: Odd factors of the hashes (own choice).
@@ -62,8 +66,14 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7
 #: Bits of a hash that are kept beside the number of its line.
 HASH_BITS = np.uint64(44)
 EMPTY = np.uint64(0)
-#: What equal hashes of different shingles could change at most; pairs that near are checked exactly.
-MARGIN = 1e-3
+#: Minima in a word of a sketch, two bits each; the lower bit of each.
+IN_WORD, LOW = 30, 0x1555555555555555
+#: Probability at most that the sketches of a pair that is just similar rule it out.
+LOST = 1e-9
+#: Bits of the sieve of keys that several lines have.
+KEY_BITS = 1 << 26
+#: Pairs this near to ``similarity`` by hashes are checked by their shingles, as are those that two equal hashes could change.
+MARGIN, EQUAL_HASHES = 1e-3, 2
 
 
 def plain(line: str) -> str:
@@ -82,19 +92,28 @@ def shingle_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray,
     size = np.array([len(x) for x in lines])
     first = np.cumsum(size + len(gap)) - size - len(gap)
     count = np.maximum(size - width + 1, 1)
-    ahead = np.concatenate([chars, np.zeros(width, np.uint64)])
+    ahead = np.concatenate([chars, np.zeros(width, np.uint64)]) + np.uint64(1)
     h = np.zeros(len(chars), np.uint64)
     for j in range(width):
-        h = h * MIX[0] + ahead[j:j + len(chars)] + np.uint64(1)
-    h = (h ^ h >> np.uint64(32)) * MIX[1]
+        h *= MIX[0]
+        h += ahead[j:j + len(chars)]
+    h ^= h >> np.uint64(32)
+    h *= MIX[1]
     h ^= h >> np.uint64(29)
-    owner = np.repeat(np.arange(len(lines)), count)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    both = owner.astype(np.uint64) << HASH_BITS | h[at] >> (np.uint64(64) - HASH_BITS)
+    h >>= np.uint64(64) - HASH_BITS
+    # windows that would reach into the gap or past a line's end
+    over = np.minimum(size + len(gap) - count, len(chars) - first - count)
+    starts = np.ones(len(chars), bool)
+    starts[np.arange(over.sum()) + np.repeat(first + count - np.cumsum(over) + over, over)] = False
+    both = h[starts]
+    both |= np.repeat(np.arange(len(lines), dtype=np.uint64) << HASH_BITS, count)
     both.sort()
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    owner = (both >> HASH_BITS).astype(np.int64)
-    return both & (np.uint64(1) << HASH_BITS) - np.uint64(1), owner, np.bincount(owner, minlength=len(lines))
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    both = both[new]
+    owner = (both >> HASH_BITS).view(np.int64)
+    both &= (np.uint64(1) << HASH_BITS) - np.uint64(1)
+    return both, owner, np.bincount(owner, minlength=len(lines))
 
 
 def banded(minima: np.ndarray, salt: int) -> np.ndarray:
@@ -105,42 +124,102 @@ def banded(minima: np.ndarray, salt: int) -> np.ndarray:
     return mixed(key + np.arange(salt + 1, salt + 1 + key.shape[1], dtype=np.uint64) * MIX[1])
 
 
-def bin_keys(h: np.ndarray, owner: np.ndarray, sets: int, o: Options) -> np.ndarray:
-    """Keys from minima of bins; a band with more than one empty bin has none."""
+def bin_minima(h: np.ndarray, owner: np.ndarray, sets: int, o: Options) -> np.ndarray:
+    """Minima of bins (0: an empty bin): sets x minima."""
     n = o.bands * o.rows
     place = (h >> np.uint64(12)) * np.uint64(n) >> HASH_BITS - np.uint64(12)
     cell = owner * n + place.astype(np.int64)
     least = np.concatenate([[True], cell[1:] != cell[:-1]])
     minima = np.zeros(sets * n, np.uint64)
     minima[cell[least]] = h[least] + np.uint64(1)
-    minima = minima.reshape(sets, o.bands, o.rows)
-    return np.where((minima > 0).sum(axis=2) >= o.rows - 1, banded(minima, 0), EMPTY)
+    return minima.reshape(sets, n)
 
 
-def permuted_keys(h: np.ndarray, first: np.ndarray, o: Options) -> np.ndarray:
-    """Keys from minima under permutations: odd multiples of a mixed hash."""
+def permuted_minima(h: np.ndarray, first: np.ndarray, o: Options) -> np.ndarray:
+    """Minima under permutations, odd multiples of a mixed hash: sets x minima."""
     factors = np.random.default_rng(7).integers(0, 1 << 63, o.bands * o.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     x = mixed(h * MIX[0] + np.uint64(7))
-    minima = np.empty((len(factors), len(first)), np.uint64)
+    minima, y = np.empty((len(factors), len(first)), np.uint64), np.empty_like(x)
     for k, f in enumerate(factors):
-        y = x * f
-        minima[k] = np.minimum.reduceat(y ^ y >> np.uint64(32), first)
-    return banded(minima.T.reshape(len(first), o.bands, o.rows), o.bands)
+        np.multiply(x, f, out=y)
+        np.minimum.reduceat(y, first, out=minima[k])
+    return np.ascontiguousarray(minima.T)
 
 
-def signatures(lines: list[str], o: Options) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the shingle sets, and 2 x bands keys of each (0: none)."""
+def keys_of_bins(minima: np.ndarray, o: Options) -> np.ndarray:
+    """A band with more than one empty bin has no key."""
+    minima = minima.reshape(len(minima), o.bands, o.rows)
+    return np.where((minima > 0).sum(axis=2) >= o.rows - 1, banded(minima, 0), EMPTY)
+
+
+def keys_of_permutations(minima: np.ndarray, o: Options) -> np.ndarray:
+    return banded(minima.reshape(len(minima), o.bands, o.rows), o.bands)
+
+
+def bin_keys(h: np.ndarray, owner: np.ndarray, sets: int, o: Options) -> np.ndarray:
+    return keys_of_bins(bin_minima(h, owner, sets, o), o)
+
+
+def permuted_keys(h: np.ndarray, first: np.ndarray, o: Options) -> np.ndarray:
+    return keys_of_permutations(permuted_minima(h, first, o), o)
+
+
+def words_of(o: Options) -> int:
+    return -(-o.bands * o.rows // IN_WORD)
+
+
+def sketched(minima: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum: sets x words from sets x minima."""
+    words = -(-minima.shape[1] // IN_WORD)
+    bits = np.zeros((len(minima), words * IN_WORD), np.uint64)
+    bits[:, :minima.shape[1]] = mixed(minima * MIX[0]) >> np.uint64(62)
+    bits = bits.reshape(len(minima), words, IN_WORD) << np.arange(0, 2 * IN_WORD, 2, dtype=np.uint64)
+    return np.bitwise_or.reduce(bits, axis=2)
+
+
+def most_differing(o: Options) -> int:
+    """Minima whose bits differ in two sketches at most, but for ``LOST`` of the pairs at ``similarity``."""
+    n, p, lost = o.bands * o.rows, (1 + 3 * o.similarity) / 4, 0.0
+    for t in range(n):
+        lost += comb(n, t) * p ** t * (1 - p) ** (n - t)
+        if lost > LOST:
+            return n - t
+    return 0
+
+
+def may_agree(a: str, b: str, o: Options) -> Column:
+    """Whether sizes (``<a>size``) and sketches (``<a>w0`` ...) of two lines leave their similarity open."""
+    differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {LOW}L)"
+              for x in (f"({a}w{k} ^ {b}w{k})" for k in range(words_of(o)))]
+    sizes = f"least({a}size, {b}size) >= {o.similarity}D * greatest({a}size, {b}size) - 1e-9D"
+    return F.expr(f"{sizes} and {' + '.join(differ)} <= {most_differing(o)}")
+
+
+def signed(lines: list[str], o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the shingle sets, 2 x bands keys of each (0: none) and the sketches of both kinds of minima.
+
+    The lowest bit of a key says which kind it is of: 0 bins, 1 permutations.
+    """
     with np.errstate(over="ignore"):
         h, owner, size = shingle_sets(lines, o.width)
-        keys = np.zeros((len(lines), 2 * o.bands), np.uint64)
-        large = size >= o.similarity * o.small
+        keys, words = np.zeros((len(lines), 2 * o.bands), np.uint64), words_of(o)
+        sketch = np.zeros((len(lines), 2 * words), np.uint64)
+        large, few = size >= o.similarity * o.small, size <= o.small
         if large.any():
             own = large[owner]
-            keys[large, :o.bands] = bin_keys(h[own], (np.cumsum(large) - 1)[owner[own]], int(large.sum()), o)
-        few = size <= o.small
+            minima = bin_minima(h[own], (np.cumsum(large) - 1)[owner[own]], int(large.sum()), o)
+            keys[large, :o.bands] = keys_of_bins(minima, o) & ~np.uint64(1)
+            sketch[large, :words] = sketched(minima)
         if few.any():
-            keys[few, o.bands:] = permuted_keys(h[few[owner]], np.cumsum(size[few]) - size[few], o)
-    return size, keys
+            minima = permuted_minima(h[few[owner]], np.cumsum(size[few]) - size[few], o)
+            keys[few, o.bands:] = keys_of_permutations(minima, o) | np.uint64(1)
+            sketch[few, words:] = sketched(minima)
+    return size, keys, sketch
+
+
+def signatures(lines: list[str], o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the shingle sets, and 2 x bands keys of each (0: none)."""
+    return signed(lines, o)[:2]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -189,8 +268,8 @@ def chunks(lines: list[str]):
 
 
 def lines_of(docs: DataFrame, o: Options) -> DataFrame:
-    """The lines of every batch: k1, k2, their places there (how many, and the first), size and keys."""
-    names = [f"b{k}" for k in range(2 * o.bands)]
+    """The lines of every batch: k1, k2, their places there (how many, and the first), size, keys and sketches."""
+    names = [f"s{k}" for k in range(2 * words_of(o))]
 
     def run(batches):
         for batch in batches:
@@ -208,18 +287,22 @@ def lines_of(docs: DataFrame, o: Options) -> DataFrame:
                             held[1] = min(held[1], place)
             lines = list(seen)
             for a, b in chunks(lines):
-                size, keys = signatures(lines[a:b], o)
+                size, keys, sketch = signed(lines[a:b], o)
+                given = keys != EMPTY
+                ends = np.concatenate([[0], np.cumsum(given.sum(axis=1))]).astype(np.int32)
                 own = [line_keys(x) for x in lines[a:b]]
                 held = [seen[x] for x in lines[a:b]]
                 z, d, t, p = zip(*(h[1] for h in held))
                 columns = [pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64()),
                            pa.array(size, pa.int64()), pa.array([h[0] for h in held], pa.int64()), pa.array(z, pa.bool_()),
                            pa.array(d, pa.int64(), mask=np.array(z)), pa.array(t, pa.int64()), pa.array(p, pa.int32()),
-                           *[pa.array(k.view(np.int64), mask=k == EMPTY) for k in np.ascontiguousarray(keys.T)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "size", "places", "z", "doc_id", "tag", "pos", *names])
+                           pa.ListArray.from_arrays(ends, keys[given].view(np.int64)),
+                           *[pa.array(k.view(np.int64)) for k in np.ascontiguousarray(sketch.T)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "size", "places", "z", "doc_id", "tag", "pos", "keys",
+                                                                 *names])
 
     return keyed(docs).mapInArrow(run, "k1 long, k2 long, size long, places long, z boolean, doc_id long, tag long, pos int, "
-                                  + ", ".join(f"{n} long" for n in names))
+                                  "keys array<long>, " + ", ".join(f"{n} long" for n in names))
 
 
 def shingle_set(x: str, width: int) -> set[str]:
@@ -246,26 +329,43 @@ def shuffles_released(spark):
         spark.conf.set(name, before)
 
 
-def overlaps(a: list[str], b: list[str], width: int) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of pairs of lines, by hash."""
+def overlaps(a: list[str], b: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of the shingle sets of pairs of lines, by hash, and the size of the smaller set."""
     with np.errstate(over="ignore"):
         h, owner, size = shingle_sets(a + b, width)
     both = np.sort((owner % len(a)).astype(np.uint64) << HASH_BITS | h)
     twice = both[1:][both[1:] == both[:-1]] >> HASH_BITS
     common = np.bincount(twice.astype(np.int64), minlength=len(a))
-    return common / (size[:len(a)] + size[len(a):] - common)
+    size = size.reshape(2, -1)
+    return common / (size.sum(axis=0) - common), size.min(axis=0)
+
+
+def similar(a: list[str], b: list[str], o: Options) -> np.ndarray:
+    """Which pairs of plain lines have ``similarity``."""
+    same = np.zeros(len(a), bool)
+    for lo, hi in chunks([x + y for x, y in zip(a, b)]):
+        j, size = overlaps(a[lo:hi], b[lo:hi], o.width)
+        margin = np.maximum(MARGIN, 2 * EQUAL_HASHES / size)
+        same[lo:hi] = j >= o.similarity + margin
+        for k in np.flatnonzero(np.abs(j - o.similarity) <= margin) + lo:
+            same[k] = close(shingle_set(a[k], o.width), shingle_set(b[k], o.width), o.similarity)
+    return same
 
 
 def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
     """Lines that belong to another line's component: node, root."""
     # equal lines of several batches: the keys of one of them count, and only the others' rows are shuffled
     again = stored(lines.select("row").join(nodes.select(F.col("node").alias("row")), "row", "left_anti"), "line-again")
-    keys = F.array_compact(F.array(*[f"b{k}" for k in range(2 * o.bands)])).alias("keys")
-    flagged = sieve(lines.select("row", keys), F.xxhash64("row"), again.select(F.xxhash64("row").alias("h")), "_maybe")
-    once = (flagged.where("not _maybe").drop("_maybe")
-            .union(flagged.where("_maybe").drop("_maybe").join(again, "row", "left_anti")))
-    members = once.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    sizes = nodes.select("node", "size")
+
+    def members(*columns):
+        """A row for each key of a line."""
+        flagged = sieve(lines.select("row", "keys", *columns), F.xxhash64("row"), again.select(F.xxhash64("row").alias("h")), "_maybe")
+        once = (flagged.where("not _maybe").drop("_maybe")
+                .union(flagged.where("_maybe").drop("_maybe").join(again, "row", "left_anti")))
+        return once.select(F.col("row").alias("node"), F.explode("keys").alias("key"), *columns)
+
+    words = words_of(o)
+    own = [f"w{k}" for k in range(words)]
 
     def texts_of(wanted, name):
         """The text of lines, from one place of each: the lines wanted are cut out before anything is shuffled."""
@@ -277,66 +377,96 @@ def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options
         at = ["spot", "tag", "pos"]
         return stored(found.dropDuplicates(at).join(need, at).select("node", "line"), f"{name}-texts")
 
-    texts = None
-
-    def verify(pairs, name):
-        nonlocal texts
-        # sizes are exact, so what they rule out isn't similar
-        able = (pairs.join(sizes.selectExpr("node a", "size na"), "a").join(sizes.selectExpr("node b", "size nb"), "b")
-                .where(F.least("na", "nb") >= o.similarity * F.greatest("na", "nb") - 1e-9).select("a", "b"))
-        able = stored(able, f"{name}-able")
+    def verify(able, name):
         texts = texts_of(able.select(F.col("a").alias("node")).union(able.select(F.col("b").alias("node"))).distinct(), name)
         both = able.join(texts.selectExpr("node a", "line la"), "a").join(texts.selectExpr("node b", "line lb"), "b")
 
         def check(batches):
             for batch in batches:
-                a, b, la, lb = (batch.column(k).to_pylist() for k in range(4))
-                same = np.zeros(len(a), bool)
-                la, lb = [plain(x) for x in la], [plain(x) for x in lb]
-                for lo, hi in chunks([x + y for x, y in zip(la, lb)]):
-                    for k in np.flatnonzero(overlaps(la[lo:hi], lb[lo:hi], o.width) >= o.similarity - MARGIN) + lo:
-                        same[k] = close(shingle_set(la[k], o.width), shingle_set(lb[k], o.width), o.similarity)
+                la, lb = ([plain(x) for x in batch.column(k).to_pylist()] for k in (2, 3))
+                same = similar(la, lb, o)
                 yield batch.select(["a", "b"]).filter(pa.array(same))
 
         return stored(both.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long"), f"{name}-links")
 
-    # the pivot isn't in this shuffle, which every key goes through
-    count = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-sizes")
+    # the keys alone are in this shuffle, which every key goes through; few of them come twice in a task
+    count = stored(members().select("key").repartition("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-sizes")
     # most buckets hold one node; their rows are dropped before the join's shuffle
-    sized = stored(sieve(members, F.col("key"), count.select("key"), "_maybe").where("_maybe").drop("_maybe").join(count, "key"),
-                   "line-buckets")
-    pivots = sized.groupBy("key").agg(F.min("node").alias("pivot"))
-    star = sized.select("key", "node").join(pivots, "key").where("node <> pivot").selectExpr("pivot a", "node b")
+    sketches = [F.expr(f"if(key & 1 = 0, s{k}, s{words + k})").alias(w) for k, w in enumerate(own)]
+    shared = (sieve(members("size", *[f"s{k}" for k in range(2 * words)]), F.col("key"), count.select("key"), "_maybe", KEY_BITS)
+              .where("_maybe").select("key", "node", "size", *sketches))
+    sized = stored(shared.join(count, "key"), "line-buckets")
+    at = ["node", "size", *own]
+    pivots = sized.groupBy("key").agg(F.min(F.struct(*at)).alias("a_")).select("key", *[F.col(f"a_.{c}").alias(f"a_{c}") for c in at])
+    star = (sized.join(pivots, "key").where("node <> a_node").where(may_agree("a_", "", o)).selectExpr("a_node a", "node b"))
     links = verify(stored(star.distinct(), "line-pairs"), "line")
     labels = stored(components(links, "line-classes"), "line-labels")
 
     # of small buckets the pairs that aren't in one class by now; those with the pivot have been compared
-    small = (sized.where(F.col("n").between(3, SMALL_BUCKET)).select("key", "node").join(pivots, "key").where("node <> pivot")
-             .join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    rest = (small.selectExpr("key", "node a", "root ra").join(small.selectExpr("key", "node b", "root rb"), "key")
-            .where("a < b and ra <> rb").select("a", "b"))
+    small = (sized.where(F.col("n").between(3, SMALL_BUCKET)).join(pivots.select("key", "a_node"), "key").where("node <> a_node")
+             .join(labels, "node", "left").select("key", *at, F.coalesce("root", "node").alias("root")))
+    other = small.select("key", *[F.col(c).alias(f"a_{c}") for c in (*at, "root")])
+    rest = (small.join(other, "key").where("a_node < node and a_root <> root").where(may_agree("a_", "", o))
+            .selectExpr("a_node a", "node b"))
     links = links.union(verify(stored(rest.distinct(), "line-rest-pairs"), "line-rest"))
     labels = stored(components(links, "line-small"), "line-labels")
 
     # buckets above the limit that aren't one class by now, block against block
     large = stored(sized.where(F.col("n") > SMALL_BUCKET).join(labels, "node", "left")
-                   .select("key", "node", "n", F.coalesce("root", "node").alias("root")), "line-large")
+                   .select("key", "n", *at, F.coalesce("root", "node").alias("root")), "line-large")
     open_ = large.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    near = (large.join(open_, "key").join(sizes, "node").withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    near = stored(near.select("key", "node", "root", "size", "blocks", "block"), "line-open")
+    columns = ["node", "root", "size", *own]
+
+    def in_blocks(rows):
+        """The rows of each two blocks of a bucket with one another: key, p, q, block and the rest."""
+        cut = (rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+        return (cut.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+                .withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("blocks", "other", "n"))
+
+    limit = most_differing(o)
+
+    def left_open(rows: pa.Table) -> pa.Table:
+        """Nodes of two blocks that sizes and sketches don't keep apart from all nodes of other classes."""
+        part = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        mine = part["block"] == part["p"]
+        theirs = ~mine if part["p"][0] != part["q"][0] else mine
+        node, root, size = part["node"], part["root"], part["size"]
+        near = root[mine][:, None] != root[theirs][None, :]
+        near &= (np.minimum(size[mine][:, None], size[theirs][None, :])
+                 >= o.similarity * np.maximum(size[mine][:, None], size[theirs][None, :]) - 1e-9)
+        differ = np.zeros(near.shape, np.int16)
+        for w in own:
+            x = part[w].view(np.uint64)
+            x = x[mine][:, None] ^ x[theirs][None, :]
+            x |= x >> np.uint64(1)
+            differ += np.bitwise_count(x & np.uint64(LOW))
+        near &= differ <= limit
+        found = np.unique(np.concatenate([node[mine][near.any(axis=1)], node[theirs][near.any(axis=0)]]))
+        return pa.table({"key": np.full(len(found), part["key"][0]), "node": found})
+
+    paired = in_blocks(large.join(open_, "key")).select("key", "p", "q", "block", *columns)
+    near = stored(paired.groupBy("key", "p", "q").applyInArrow(left_open, "key long, node long").distinct(), "line-near")
     if near.isEmpty():
         return labels.where("node <> root")
-    more_texts = texts_of(near.select("node").distinct(), "line-more")
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    paired = (near.join(more_texts, "node").withColumn("other", other)
-              .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "root", "size", "line"))
+    held = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # a line has 2 x bands keys at most; a pair that meets in several buckets is compared in one of them
+    meets = near.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    more_texts = texts_of(meets.select("node"), "line-more")
+    paired = (in_blocks(large.drop("n").join(near, ["key", "node"]).join(held, "key")).join(meets, "node").join(more_texts, "node")
+              .select("key", "p", "q", *columns, "keys", "line"))
 
     def hold(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between classes in two blocks of a bucket, enough to join what belongs together."""
         pdf = pdf.sort_values(["size", "root"], kind="stable")
         root, size, line = pdf["root"].tolist(), pdf["size"].tolist(), pdf["line"].tolist()
+        sketch = np.ascontiguousarray(pdf[own].to_numpy()).view(np.uint64)
+        met, here = np.concatenate(pdf["keys"].tolist()), pdf["key"].iat[0]
+        at = np.repeat(np.arange(len(root)), [len(k) for k in pdf["keys"]])
+        earlier = (met < here) & ((met ^ here) & 1 == 0)   # buckets of the same kind of minima, hence of the same sketches
+        names, code = np.unique(met[earlier], return_inverse=True)
+        shares = np.zeros((len(root), len(names)), np.float32)
+        shares[at[earlier], code] = 1
         head, found, sets = {r: r for r in root}, [], {}
 
         def top(r):
@@ -354,7 +484,10 @@ def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options
             while size[first] < o.similarity * size[i] - 1e-9:   # too small for this and all that follow
                 sets.pop(first, None)
                 first += 1
-            for j in range(first, i):
+            x = sketch[first:i] ^ sketch[i]
+            differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(LOW)).sum(axis=1)
+            elsewhere = shares[first:i] @ shares[i] > 0
+            for j in (np.flatnonzero((differ <= limit) & ~elsewhere) + first).tolist():
                 if top(root[i]) != top(root[j]) and close(set_of(i), set_of(j), o.similarity):
                     head[top(root[i])] = top(root[j])
                     found.append((min(root[i], root[j]), max(root[i], root[j])))

@@ -275,6 +275,58 @@ def test_different_sets_share_few_keys():
         assert ((keys[0] == keys[1]) & (keys[0] != 0)).any(axis=1).mean() < 0.09
 
 
+@pytest.mark.parametrize("union", [10, 60, 195, 245, 400, 900])
+def test_sketches_rule_out_no_similar_pair(spark, union):
+    """Sketches leave every pair at Jaccard 0.8 open, and hardly any at 0.1 of sets that aren't tiny."""
+    o, n = line_dedup.Options(), 2000
+    h = np.random.default_rng(union).integers(0, 1 << 44, (n, union), dtype=np.uint64)
+    bins = union * 4 // 5 >= o.similarity * o.small
+
+    def words(x):
+        x, take = np.sort(x, axis=1), x.shape[1]
+        with np.errstate(over="ignore"):
+            return line_dedup.sketched(line_dedup.bin_minima(x.ravel(), np.repeat(np.arange(n), take), n, o) if bins
+                                       else line_dedup.permuted_minima(x.ravel(), np.arange(n) * take, o)).view(np.int64)
+
+    def kept(a, b):
+        size = [x.shape[1] for x in (a, b)]
+        rows = [(*size, *map(int, x), *map(int, y)) for x, y in zip(words(a), words(b))]
+        names = ["a_size", "size", *[f"a_w{k}" for k in range(3)], *[f"w{k}" for k in range(3)]]
+        pairs = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+        return pairs.where(line_dedup.may_agree("a_", "", o)).count()
+
+    assert kept(h, h[:, :union * 4 // 5]) == n
+    if union >= 60:
+        cut = union * 11 // 20
+        assert kept(h[:, :cut], h[:, union - cut:]) <= n // 1000
+
+
+def test_random_lines_of_a_language_are_not_compared_by_text(spark, monkeypatch):
+    """Lines of the same frequent words share keys by the hundred; hardly any are candidates."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("aeiounrst"), rng.integers(2, 7))) for _ in range(80)]
+    share = 1 / np.arange(1, 81)
+    lines = [" ".join(rng.choice(words, 120, p=share / share.sum())) for _ in range(400)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    rows, stored = {}, line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: rows.setdefault(name, stored(df, name)))
+    want = brute_char_links(lines)
+    out = line_dedup.dedup_lines(docs, counts=True)
+    assert not want and out.agg(F.sum(out.columns[-1])).first()[0] == 0
+    count = {k: v.count() for k, v in rows.items()}
+    assert count["line-buckets"] > 500
+    assert count["line-pairs"] + count.get("line-rest-pairs", 0) + count.get("line-near", 0) < count["line-buckets"] // 20
+
+
+def test_pairs_are_similar_by_hash_as_by_text():
+    rng = np.random.default_rng(5)
+    a = random_sets(rng, [1, 4, 30, 100, 400, 2500] * 20)
+    b = [x[:max(1, round(len(x) * f))] for x, f in zip(a, rng.uniform(0.7, 0.9, len(a)))]
+    o = line_dedup.Options()
+    assert line_dedup.similar(a, b, o).tolist() == [
+        line_dedup.close(line_dedup.shingle_set(x, 5), line_dedup.shingle_set(y, 5), o.similarity) for x, y in zip(a, b)]
+
+
 def test_signatures_do_not_depend_on_chunks_or_order():
     rng = np.random.default_rng(3)
     lines = random_sets(rng, [1, 3, 40, 199, 200, 250, 251, 900]) + ["ab" * 700, "abc", "x"]
