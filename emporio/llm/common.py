@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +71,30 @@ def text_key(text: str | Column = "text") -> Column:
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
 
 
+#: Edges up to this number (2 MB) are joined on the driver; rounds of so few rows are all overhead.
+FEW_EDGES = 1 << 17
+
+
+def joined(a: list[int], b: list[int]) -> dict[int, int]:
+    """The least node of the component of each node of the edges."""
+    head = {x: x for x in (*a, *b)}
+
+    def top(x):
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    for u, v in zip(a, b):
+        u, v = top(u), top(v)
+        head[max(u, v)] = min(u, v)
+    return {x: top(x) for x in head}
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (node, root) per node, root = least node.
 
+    Few edges are joined on the driver, more by rounds over the cluster.
+
     Distributed union-find by alternating large-star and small-star
     steps: each step is one minimum per node and one join, every node
     ends up pointing at the least node of its component, and neighbour
@@ -85,6 +107,11 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     before = e.agg(*spread).first()
     if not before[0]:   # no edge, no rounds
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if before[0] <= FEW_EDGES:
+        few = e.toPandas()
+        rows = list(joined(few["u"].tolist(), few["v"].tolist()).items())
+        return stored(e.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["node", "root"]), "node long, root long"),
+                      f"{name}-few")
     for k in range(max_rounds):
         # large star: every larger neighbour of u points at the least of u's neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

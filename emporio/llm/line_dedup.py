@@ -70,6 +70,8 @@ EMPTY = np.uint64(0)
 IN_WORD, LOW = 30, 0x1555555555555555
 #: Probability at most that the sketches of a pair that is just similar rule it out.
 LOST = 1e-9
+#: Nodes of a block, and of a strip of one, in the comparison of large buckets by sketches.
+SKETCHES, STRIP = 2048, 256
 #: Bits of the sieve of keys that several lines have.
 KEY_BITS = 1 << 26
 #: Pairs this near to ``similarity`` by hashes are checked by their shingles, as are those that two equal hashes could change.
@@ -417,9 +419,9 @@ def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options
     open_ = large.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     columns = ["node", "root", "size", *own]
 
-    def in_blocks(rows):
+    def in_blocks(rows, size):
         """The rows of each two blocks of a bucket with one another: key, p, q, block and the rest."""
-        cut = (rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        cut = (rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
                .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
         return (cut.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
                 .withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("blocks", "other", "n"))
@@ -432,28 +434,32 @@ def line_classes(docs: DataFrame, lines: DataFrame, nodes: DataFrame, o: Options
         mine = part["block"] == part["p"]
         theirs = ~mine if part["p"][0] != part["q"][0] else mine
         node, root, size = part["node"], part["root"], part["size"]
-        near = root[mine][:, None] != root[theirs][None, :]
-        near &= (np.minimum(size[mine][:, None], size[theirs][None, :])
-                 >= o.similarity * np.maximum(size[mine][:, None], size[theirs][None, :]) - 1e-9)
-        differ = np.zeros(near.shape, np.int16)
-        for w in own:
-            x = part[w].view(np.uint64)
-            x = x[mine][:, None] ^ x[theirs][None, :]
-            x |= x >> np.uint64(1)
-            differ += np.bitwise_count(x & np.uint64(LOW))
-        near &= differ <= limit
-        found = np.unique(np.concatenate([node[mine][near.any(axis=1)], node[theirs][near.any(axis=0)]]))
+        mine, theirs, found = np.flatnonzero(mine), np.flatnonzero(theirs), []
+        for at in range(0, len(mine), STRIP):
+            one = mine[at:at + STRIP, None]
+            near = root[one] != root[theirs]
+            near &= np.minimum(size[one], size[theirs]) >= o.similarity * np.maximum(size[one], size[theirs]) - 1e-9
+            differ = np.zeros(near.shape, np.int16)
+            for w in own:
+                x = part[w].view(np.uint64)
+                x = x[one] ^ x[theirs]
+                x |= x >> np.uint64(1)
+                differ += np.bitwise_count(x & np.uint64(LOW))
+            near &= differ <= limit
+            found += [node[one[near.any(axis=1), 0]], node[theirs[near.any(axis=0)]]]
+        found = np.unique(np.concatenate(found)) if found else node[:0]
         return pa.table({"key": np.full(len(found), part["key"][0]), "node": found})
 
-    paired = in_blocks(large.join(open_, "key")).select("key", "p", "q", "block", *columns)
-    near = stored(paired.groupBy("key", "p", "q").applyInArrow(left_open, "key long, node long").distinct(), "line-near")
+    # dealt out by blocks, so that a bucket isn't left to one task
+    paired = in_blocks(large.join(open_, "key"), SKETCHES).select("key", "p", "q", "block", *columns)
+    near = stored(paired.repartition("key", "p", "q").groupBy("key", "p", "q").applyInArrow(left_open, "key long, node long").distinct(), "line-near")
     if near.isEmpty():
         return labels.where("node <> root")
     held = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     # a line has 2 x bands keys at most; a pair that meets in several buckets is compared in one of them
     meets = near.groupBy("node").agg(F.collect_set("key").alias("keys"))
     more_texts = texts_of(meets.select("node"), "line-more")
-    paired = (in_blocks(large.drop("n").join(near, ["key", "node"]).join(held, "key")).join(meets, "node").join(more_texts, "node")
+    paired = (in_blocks(large.drop("n").join(near, ["key", "node"]).join(held, "key"), BLOCK).join(meets, "node").join(more_texts, "node")
               .select("key", "p", "q", *columns, "keys", "line"))
 
     def hold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -164,6 +164,16 @@ def test_large_near_copy_group_equals_brute_force(spark):
         assert out[r["doc_id"]] == "\n".join(x for p, x in enumerate(r["text"].split("\n")) if (r["doc_id"], p) in first)
 
 
+def test_components_on_the_driver_and_over_the_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(500 + i, 501 + i) for i in range(30)]
+    df, got = spark.createDataFrame(edges, "a long, b long"), []
+    for few in (common.FEW_EDGES, 0):
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+        got.append({r["node"]: r["root"] for r in common.components(df, "t").collect()})
+    assert got[0] == got[1] and got[0][530] == 500
+
+
 # --- fuzzy lines -------------------------------------------------------------------
 def brute_char_links(lines, width=5):
     """Pairs of line numbers at Jaccard 0.8 or more by sets of character shingles."""
